@@ -150,10 +150,14 @@ def image_directory(document_type: Column) -> Column:
 def error_taxonomy(spark: SparkSession, app_name: str = "the library") -> DataFrame:
     """The closed table of error kinds as a (constant-size) dimension frame."""
     rows = [
-        (kind, message.replace("{app}", app_name), recovery)
+        F.struct(
+            F.lit(kind).alias("kind"),
+            F.lit(message.replace("{app}", app_name)).alias("message"),
+            F.lit(recovery).cast("string").alias("recovery"),
+        )
         for kind, (message, recovery) in ERRORS.items()
     ]
-    return spark.createDataFrame(rows, "kind string, message string, recovery string")
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def describe_errors(failures: DataFrame, app_name: str = "the library") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace is the Unicode set, not Spark's ASCII default.
@@ -177,9 +177,11 @@ def highlight_ranges(text: Column, terms: Column) -> Column:
     )
 
 
-def first_match(flattened: Column, terms: Column) -> Column:
-    """``struct<pos,ord,len>`` of the earliest match (1-based), null without one."""
-    folded = fold_aligned(flattened)
+def first_match(folded: Column, terms: Column) -> Column:
+    """``struct<pos,ord,len>`` of the earliest match (1-based), null without one.
+
+    ``folded`` is the length-preserving fold of the flattened text.
+    """
     hits = F.transform(
         terms,
         lambda term, position: F.struct(
@@ -191,29 +193,38 @@ def first_match(flattened: Column, terms: Column) -> Column:
     return F.array_min(F.filter(hits, lambda hit: (hit["pos"] > 0) & (hit["len"] > 0)))
 
 
-def preview(text: Column, length: int = PREVIEW_LENGTH) -> Column:
-    """Leading text of a page as one line, cut with an ellipsis."""
-    flat = flatten_whitespace(text)
+def _lead(flat: Column, length: int) -> Column:
     return F.when(
         F.length(flat) > length, F.concat(F.substring(flat, 1, length), F.lit(ELLIPSIS))
     ).otherwise(flat)
 
 
-def snippet(text: Column, terms: Column, radius: int = CONTEXT_RADIUS) -> Column:
-    """Context around the earliest match; the preview when nothing matches."""
-    flat = flatten_whitespace(text)
+def preview(text: Column, length: int = PREVIEW_LENGTH) -> Column:
+    """Leading text of a page as one line, cut with an ellipsis."""
+    return _lead(flatten_whitespace(text), length)
 
-    def cut(hit: Column) -> Column:
-        low = F.greatest(hit["pos"] - 1 - radius, F.lit(0))
-        high = F.least(hit["pos"] - 1 + hit["len"] + radius, F.length(flat))
-        return F.concat(
-            F.when(low > 0, F.lit(ELLIPSIS)).otherwise(F.lit("")),
-            F.substring(flat, low + 1, high - low),
-            F.when(high < F.length(flat), F.lit(ELLIPSIS)).otherwise(F.lit("")),
-        )
 
-    match = F.transform(F.array(first_match(flat, terms)), cut)[0]
-    return F.when(F.length(flat) == 0, F.lit("")).otherwise(F.coalesce(match, preview(text)))
+def with_snippet(df: DataFrame, text: str, terms: Column, radius: int = CONTEXT_RADIUS) -> DataFrame:
+    """Add ``snippet``: context around the earliest match, else the preview.
+
+    The flattened and folded texts are columns of their own, so each is
+    computed once per row rather than once per use.
+    """
+    flat, hit = F.col("_flat"), F.col("_hit")
+    low = F.greatest(hit["pos"] - 1 - radius, F.lit(0))
+    high = F.least(hit["pos"] - 1 + hit["len"] + radius, F.length(flat))
+    around = F.concat(
+        F.when(low > 0, F.lit(ELLIPSIS)).otherwise(F.lit("")),
+        F.substring(flat, low + 1, high - low),
+        F.when(high < F.length(flat), F.lit(ELLIPSIS)).otherwise(F.lit("")),
+    )
+    return (
+        df.withColumn("_flat", flatten_whitespace(F.col(text)))
+        .withColumn("_folded", fold_aligned(flat))
+        .withColumn("_hit", first_match(F.col("_folded"), terms))
+        .withColumn("snippet", F.when(hit.isNotNull(), around).otherwise(_lead(flat, PREVIEW_LENGTH)))
+        .drop("_flat", "_folded", "_hit")
+    )
 
 
 def title_rank(title: Column, query: str) -> Column:

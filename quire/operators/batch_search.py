@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, cut
 
 
 def term_table(queries: DataFrame) -> DataFrame:
@@ -57,9 +57,12 @@ def search_batch(queries: DataFrame, pages: DataFrame) -> DataFrame:
     text. Returns (query_id, document_id, page_id, page_number, page_matches,
     body_match_count) for every page that holds all terms of a query.
     """
-    terms = term_table(queries)
-    vocabulary = _tokens(pages, []).distinct()
-    token_terms = match_vocabulary(vocabulary, terms)
+    terms = cut(term_table(queries))
+    # Matching is compute-heavy for its size, so it keeps the full partition count.
+    width = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vocabulary = _tokens(pages, []).distinct().repartition(width, "token")
+    # Written once: its size is checked below and the posting scan reads it again.
+    token_terms = cut(match_vocabulary(vocabulary, terms))
     # One row per page and matching token before any further shuffle.
     postings = (
         _tokens(pages, ["document_id", "page_id", "page_number"])

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..runtime import broadcast_if_small
+from ..functions.paging import clamp_page
+from ..runtime import broadcast_if_small, cut
 
 RESULT_COLUMNS = [
     "result_id",
@@ -50,18 +51,16 @@ def page_statistics(pages: DataFrame, terms: list[str]) -> DataFrame:
     )
 
 
-def _shape(rows: DataFrame, terms: Column, body: bool, radius: int) -> DataFrame:
-    """Result columns, with the snippet built from the page text."""
-    shown = t.snippet(F.col("text"), terms, radius) if body else t.preview(F.coalesce(F.col("text"), F.lit("")))
-    marks = t.highlight_ranges(F.col("snippet"), terms) if body else F.array().cast(
-        "array<struct<start:int,end:int>>"
-    )
-    has_body = F.lit(body)
+def _shape(rows: DataFrame, terms: list[str], radius: int) -> DataFrame:
+    """Result columns; ``_body`` rows get a marked snippet, others a plain preview."""
+    nothing = F.array().cast("array<string>")
+    every = F.array(*[F.lit(term) for term in terms]) if terms else nothing
+    active = F.when(F.col("_body"), every).otherwise(nothing)
+    shown = t.with_snippet(rows, "text", active, radius)
     return (
-        rows.withColumn("snippet", shown)
-        .withColumn("highlights", marks)
-        .withColumn("match_kind", t.match_kind(has_body, F.col("title_rank")))
-        .withColumn("result_id", t.result_id(F.col("document_id"), F.col("page_id"), has_body))
+        shown.withColumn("highlights", t.highlight_ranges(F.col("snippet"), active))
+        .withColumn("match_kind", t.match_kind(F.col("_body"), F.col("title_rank")))
+        .withColumn("result_id", t.result_id(F.col("document_id"), F.col("page_id"), F.col("_body")))
         .select(*RESULT_COLUMNS)
     )
 
@@ -96,69 +95,48 @@ def search(
     docs = documents.select("document_id", "title", "document_type", "updated_at").withColumn(
         "title_rank", t.title_rank(F.col("title"), query)
     )
-    term_array = F.array(*[F.lit(term) for term in terms]) if terms else F.array().cast("array<string>")
-    if not terms:
-        empty = docs.filter(F.lit(False)).withColumns(
-            {
-                "body_match_count": F.lit(0).cast("long"),
-                "page_id": F.lit(None).cast(pages.schema["page_id"].dataType),
-                "page_number": F.lit(None).cast(pages.schema["page_number"].dataType),
-                "text": F.lit(""),
-            }
-        )
-        return _shape(empty, term_array, True, radius)
-
     slim = pages.select("document_id", "page_id", "page_number", "text")
-    scored = docs.join(page_statistics(slim, terms), "document_id", "left").withColumn(
-        "body_match_count", F.coalesce(F.col("body_match_count"), F.lit(0).cast("long"))
+    no_page = {
+        "page_id": F.lit(None).cast(pages.schema["page_id"].dataType),
+        "page_number": F.lit(None).cast(pages.schema["page_number"].dataType),
+        "text": F.lit(""),
+        "_body": F.lit(False),
+    }
+    if not terms:
+        return _shape(docs.filter(F.lit(False)).withColumns({"body_match_count": F.lit(0), **no_page}), terms, radius)
+
+    # One row per matching document. It is written to the checkpoint folder, so the
+    # full text scan behind it runs once although three branches read the result.
+    kept = cut(
+        docs.join(page_statistics(slim, terms), "document_id", "left")
+        .withColumn("body_match_count", F.coalesce(F.col("body_match_count"), F.lit(0).cast("long")))
+        .withColumn("_any_hit", F.coalesce(F.col("_any_hit"), F.lit(0)))
+        .filter("_any_hit = 1 OR title_rank < 2")
     )
-
-    # Full hits: the selective literal filter runs in the scan stage, before the exchange.
-    hits = slim.filter(t.contains_all(t.fold(F.col("text")), terms))
-    body = scored.filter("_any_hit = 1").join(hits, "document_id")
-
-    # Title-only documents show their first page. Their number is bounded by the
-    # title hits, which the cheap documents-only probe counts before broadcasting.
-    titled = scored.filter("title_rank < 2 AND coalesce(_any_hit, 0) = 0")
-    probe = docs.filter("title_rank < 2")
-    with_pages = slim.alias("p").join(
-        broadcast_if_small(titled.filter("_first_page IS NOT NULL"), probe).alias("d"),
-        (F.col("p.document_id") == F.col("d.document_id")) & (F.col("p.page_number") == F.col("d._first_page")),
-    ).select("d.*", "p.page_id", "p.page_number", "p.text")
-    without_pages = titled.filter("_first_page IS NULL").withColumns(
-        {
-            "page_id": F.lit(None).cast(pages.schema["page_id"].dataType),
-            "page_number": F.lit(None).cast(pages.schema["page_number"].dataType),
-            "text": F.lit(""),
-        }
+    side = broadcast_if_small(kept)
+
+    # Full hits: the selective literal filter runs in the scan stage, before any exchange.
+    hits = slim.filter(t.contains_all(t.fold(F.col("text")), terms)).withColumn("_body", F.lit(True))
+    body = hits.join(side.filter("_any_hit = 1"), "document_id")
+    # Documents matched by title alone show their first page, if they have one.
+    first = slim.withColumn("_body", F.lit(False)).join(
+        side.filter("_any_hit = 0").withColumnRenamed("_first_page", "page_number"),
+        ["document_id", "page_number"],
     )
+    bare = kept.filter("_any_hit = 0 AND _first_page IS NULL").withColumns(no_page)
     carried = [
         "document_id", "title", "document_type", "updated_at", "title_rank", "body_match_count",
-        "page_id", "page_number", "text",
+        "page_id", "page_number", "text", "_body",
     ]
-    preview_rows = with_pages.select(*carried).unionByName(without_pages.select(*carried))
-    body = body.select(*carried)
+    rows = body.select(*carried).unionByName(first.select(*carried)).unionByName(bare.select(*carried))
     if limit is None:
-        return _shape(body, term_array, True, radius).unionByName(
-            _shape(preview_rows, term_array, False, radius)
-        )
+        return _shape(rows, terms, radius)
     # Cut to the top k on the keys first, so snippets are built for k rows only.
-    ranked = (
-        body.withColumn("_body", F.lit(True))
-        .unionByName(preview_rows.withColumn("_body", F.lit(False)))
-        .orderBy(*rank_order())
-        .limit(limit)
-    )
-    shown = _shape(ranked.filter("_body"), term_array, True, radius).unionByName(
-        _shape(ranked.filter("NOT _body"), term_array, False, radius)
-    )
-    return shown.orderBy(*rank_order())
+    return _shape(rows.orderBy(*rank_order()).limit(limit), terms, radius).orderBy(*rank_order())
 
 
 def open_result_pages(results: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
     """Page each result opens on: its number clamped into the document."""
-    from ..functions.paging import clamp_page
-
     counted = documents.select("document_id", "page_count")
     wanted = results.join(counted, "document_id").withColumn(
         "page_number", clamp_page(F.coalesce(F.col("page_number"), F.lit(1)), F.col("page_count"))
