@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..runtime import broadcast_if_small, cut
 
+#: Tokens up to this length are cut by position, longer ones by a regex scan.
+WORD_LENGTH = 256
+
 
 def term_table(queries: DataFrame) -> DataFrame:
     """(query_id, term, times): folded distinct terms with their multiplicity."""
@@ -40,12 +43,26 @@ def match_vocabulary(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     distinct = terms.select("term").distinct()
     # The distinct term lengths: as many values as there are different word lengths.
     lengths = sorted(row[0] for row in distinct.select(F.length("term")).distinct().collect())
-    # A lookahead yields all overlapping substrings of one length in linear time.
-    windows = [F.regexp_extract_all(F.col("token"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
-    substrings = F.array_distinct(F.concat(*windows)) if windows else F.array().cast("array<string>")
+    if not lengths:
+        return vocabulary.join(distinct, F.lit(False)).select("token", "term", F.lit(0).alias("hits"))
+    size = F.length("token")
+    sizes = F.array(*[F.lit(n) for n in lengths])
+    # Words: every (start, size) pair, all in generated code.
+    words = (
+        vocabulary.filter(size <= WORD_LENGTH)
+        .withColumn("_at", F.explode(F.sequence(F.lit(1), size)))
+        .withColumn("_n", F.explode(sizes))
+        .filter(F.col("_at") + F.col("_n") - 1 <= size)
+        .select("token", F.substring(F.col("token"), F.col("_at"), F.col("_n")).alias("term"))
+    )
+    # Cutting by position costs the square of the length; for very long tokens
+    # (scripts without spaces) a lookahead yields the same pieces in linear time.
+    scans = [F.regexp_extract_all(F.col("token"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    runs = vocabulary.filter(size > WORD_LENGTH).select("token", F.explode(F.concat(*scans)).alias("term"))
     return (
-        vocabulary.select("token", F.explode(substrings).alias("term"))
+        words.unionByName(runs)
         .join(broadcast_if_small(distinct), "term")
+        .distinct()
         .select("token", "term", t.occurrences(F.col("token"), F.col("term")).alias("hits"))
     )
 
