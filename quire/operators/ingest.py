@@ -9,24 +9,42 @@ from pyspark.sql import functions as F
 from ..functions.assets import data_uri_payload, image_extension, sanitize_asset_name
 from ..functions.text import trim_all
 
-OCR_SCHEMA = (
-    "pages array<struct<markdown:string, images:array<struct<"
-    "id:string, name:string, image_id:string, image_base64:string, base64:string>>>>"
-)
-COMPLETION_SCHEMA = (
-    "choices array<struct<message:struct<content:string>>>, "
-    "usage struct<prompt_tokens:int, completion_tokens:int, total_tokens:int>"
-)
+
+
+def _member(value: Column, *names: str) -> Column:
+    """First member that is present, even as JSON null; SQL null when all are absent."""
+    return F.coalesce(*[F.try_variant_get(value, f"$.{name}", "variant") for name in names])
+
+
+def _is_string(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+
+
+def _string(value: Column) -> Column:
+    """Text of a JSON string; null for a number, null or nested value."""
+    return F.when(_is_string(value), F.try_variant_get(value, "$", "string"))
+
+
+def _is_object(value: Column) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
+
+
+def _objects(value: Column, path: str) -> Column:
+    """Array member whose elements are all objects; null otherwise."""
+    items = F.try_variant_get(value, path, "array<variant>")
+    return F.when(F.forall(items, lambda item: F.coalesce(_is_object(item), F.lit(False))), items)
 
 
 def parse_responses(responses: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Split OCR responses into (parsed, quarantine).
 
-    A response without a ``pages`` array is malformed and keeps its raw body.
+    A response whose JSON is broken or lacks an array of page objects is
+    malformed and keeps its raw body. Members are read as variants because a
+    number in place of a name must not turn into text.
     """
-    parsed = responses.withColumn("_ocr", F.from_json(F.col(body), OCR_SCHEMA))
-    good = F.col("_ocr.pages").isNotNull()
-    return parsed.filter(good), parsed.filter(~F.coalesce(good, F.lit(False))).drop("_ocr")
+    parsed = responses.withColumn("_pages", _objects(F.try_parse_json(F.col(body)), "$.pages"))
+    good = F.col("_pages").isNotNull()
+    return parsed.filter(good).drop(body), parsed.filter(~good).drop("_pages")
 
 
 def ocr_assets(parsed: DataFrame, key: str) -> DataFrame:
@@ -34,15 +52,22 @@ def ocr_assets(parsed: DataFrame, key: str) -> DataFrame:
 
     Images without a payload are skipped but still count for ``figure-n``.
     """
-    page = parsed.select(key, F.posexplode("_ocr.pages").alias("page_index", "_page"))
-    image = page.select(key, "page_index", F.posexplode("_page.images").alias("image_index", "_image"))
-    uri = F.coalesce("_image.image_base64", "_image.base64")
+    page = parsed.select(key, F.posexplode("_pages").alias("page_index", "_page"))
+    image = page.select(
+        key, "page_index", F.posexplode(_objects(F.col("_page"), "$.images")).alias("image_index", "_image")
+    )
+    payload = _string(_member(F.col("_image"), "image_base64", "base64"))
     named = F.coalesce(
-        "_image.id", "_image.name", "_image.image_id",
+        _string(_member(F.col("_image"), "id", "name", "image_id")),
         F.concat(F.lit("figure-"), (F.col("image_index") + 1).cast("string")),
     )
-    rows = image.withColumn("data", F.try_to_binary(data_uri_payload(uri), F.lit("base64"))).filter(
-        "data IS NOT NULL"
+    image = image.withColumn("_uri", payload).filter("_uri IS NOT NULL")
+    uri = F.col("_uri")
+    rows = (
+        image.withColumn("_payload", data_uri_payload(uri))
+        .filter(F.length("_payload") % 4 == 0)  # unpadded base64 does not decode
+        .withColumn("data", F.try_to_binary("_payload", F.lit("base64")))
+        .filter("data IS NOT NULL")
     )
     ext = image_extension(uri)
     proposed = F.format_string(
@@ -60,27 +85,27 @@ def ocr_assets(parsed: DataFrame, key: str) -> DataFrame:
 _SUFFIXED = r"-[0-9]+\.[^.]+$"
 
 
-@F.pandas_udf("array<struct<page_index:int,image_index:int,local_name:string>>")
-def _assign_in_turn(batches: pd.Series) -> pd.Series:
+def _assign_in_turn(images) -> list[dict]:
     """First free name per image, in page and image order, within one response."""
+    used: set[str] = set()
+    named = []
+    for image in images:
+        name = image["proposed"]
+        stem, _, ext = name.rpartition(".")
+        turn = 2
+        while name in used:
+            name = f"{stem}-{turn}.{ext}"
+            turn += 1
+        used.add(name)
+        named.append({"page_index": image["page_index"], "image_index": image["image_index"], "local_name": name})
+    return named
+
+
+def _resolve_names(batches: pd.Series) -> pd.Series:
+    return batches.map(_assign_in_turn)
+
 
-    def assign(images):
-        used: set[str] = set()
-        named = []
-        for image in images:
-            name = image["proposed"]
-            stem, _, ext = name.rpartition(".")
-            turn = 2
-            while name in used:
-                name = f"{stem}-{turn}.{ext}"
-                turn += 1
-            used.add(name)
-            named.append(
-                {"page_index": image["page_index"], "image_index": image["image_index"], "local_name": name}
-            )
-        return named
-
-    return batches.map(assign)
+_RESOLVED = "array<struct<page_index:int,image_index:int,local_name:string>>"
 
 
 def unique_names(assets: DataFrame, key: str) -> DataFrame:
@@ -112,7 +137,7 @@ def unique_names(assets: DataFrame, key: str) -> DataFrame:
         assets.join(risky, key, "left_semi")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("page_index", "image_index", "proposed"))).alias("_images"))
-        .select(key, F.inline(_assign_in_turn("_images")))
+        .select(key, F.inline(F.pandas_udf(_resolve_names, _RESOLVED)("_images")))
         .withColumnRenamed("local_name", "_resolved")
     )
     return (
@@ -149,8 +174,8 @@ def ocr_pages(parsed: DataFrame, assets: DataFrame, key: str) -> DataFrame:
 
     The images of one page come from one JSON value, so gathering them is bounded.
     """
-    pages = parsed.select(key, F.posexplode("_ocr.pages").alias("page_index", "_page")).select(
-        key, "page_index", F.col("_page.markdown").alias("_markdown")
+    pages = parsed.select(key, F.posexplode("_pages").alias("page_index", "_page")).select(
+        key, "page_index", _string(_member(F.col("_page"), "markdown")).alias("_markdown")
     )
     links = assets.groupBy(key, "page_index").agg(
         F.array_sort(F.collect_list(F.struct("image_index", "original_name", "local_name"))).alias("_all")
@@ -166,15 +191,33 @@ def ocr_pages(parsed: DataFrame, assets: DataFrame, key: str) -> DataFrame:
 def parse_completions(responses: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Split chat completions into (text and token usage, quarantine).
 
-    Rows whose JSON is broken or whose first choice is blank are malformed.
+    Malformed: broken JSON, a choice without text content, token counts that are
+    not whole numbers, or a first choice that is blank.
     """
-    parsed = responses.withColumn("_chat", F.from_json(F.col(body), COMPLETION_SCHEMA)).withColumn(
-        "text", trim_all(F.get(F.col("_chat.choices"), F.lit(0))["message"]["content"])
+    root = responses.withColumn("_root", F.try_parse_json(F.col(body)))
+    choices = F.try_variant_get("_root", "$.choices", "array<variant>")
+    usage = _member(F.col("_root"), "usage")
+    counts = ("prompt_tokens", "completion_tokens", "total_tokens")
+
+    def whole(name: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(usage, f"$.{name}", "variant"))
+        return F.coalesce(kind.isin("BIGINT", "VOID"), F.lit(True))
+
+    texts = F.transform(choices, lambda c: _string(F.try_variant_get(c, "$.message.content", "variant")))
+    typed_usage = F.coalesce(_is_object(usage) | F.is_variant_null(usage), F.lit(True))
+    for name in counts:
+        typed_usage = typed_usage & whole(name)
+    text = trim_all(F.get(texts, F.lit(0)))
+    good = F.coalesce(F.forall(texts, lambda x: x.isNotNull()) & typed_usage & (text != ""), F.lit(False))
+    tokens = F.struct(*[F.try_variant_get(usage, f"$.{n}", "int").alias(n) for n in counts])
+    parsed = (
+        root.withColumn("_good", good)
+        .withColumn("text", text)
+        .withColumn("usage", F.when(_is_object(usage), tokens))
     )
-    good = F.coalesce(F.col("text") != "", F.lit(False))
     return (
-        parsed.filter(good).withColumn("usage", F.col("_chat.usage")).drop("_chat", body),
-        parsed.filter(~good).drop("_chat", "text"),
+        parsed.filter("_good").drop("_root", "_good", body),
+        parsed.filter("NOT _good").drop("_root", "_good", "text", "usage"),
     )
 
 
