@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["search_queries", "layout_queries", "library_queries", "record_queries", "job_queries", "markdown_queries"]
+_MODULES = [
+    "search_queries",
+    "layout_queries",
+    "library_queries",
+    "record_queries",
+    "job_queries",
+    "markdown_queries",
+    "file_queries",
+    "stream_queries",
+]
 
 
 def _merged(attribute: str) -> dict:

@@ -331,8 +331,11 @@ def job_records(spark, sf_dir):
 
 
 def _updates(spark, sf_dir):
+    return stage_updates(r.events(spark, sf_dir))
+
+
+def stage_updates(rows):
     """Stage updates of one job per user; details, progress and counts come and go."""
-    rows = r.events(spark, sf_dir)
     stages = F.array(*[F.lit(s) for s in ("preparing", "baseOCR", "refining", "rendering", "complete", "failed")])
     return rows.select(
         F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"),

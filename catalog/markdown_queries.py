@@ -122,14 +122,41 @@ _TEX = (
     "replace(replace(replace(regexp_replace(replace({0}, '\\', chr(1)), '[&%$#_{{}}]', '\\\\\\0', 'g'), "
     "'~', '\\textasciitilde{{}}'), '^', '\\textasciicircum{{}}'), chr(1), '\\textbackslash{{}}')"
 )
-# RE2 has no look-ahead: an even run of "$" inside single-dollar math is spelled out.
-_PROSE = r"(?s)\$\$.*?(?:\$\$|\z)|\$(?:[^$](?:[^$]|\$\$)*?(?:\$(?:\z|[^$])|\z)|\z)|[^$]+"
 
-SQL_LATEX_LINES = f"""
+
+def _sql_prose(text: str) -> str:
+    """Token fold: a "$" pair is one token; prose is escaped while no math is open."""
+    start = "{'o': '', 'm': 0, 't': ''}"
+    token = "lambda w: {'o': '', 'm': 0, 't': w}"
+    return (
+        f"list_reduce(list_prepend({start}, list_transform(regexp_extract_all({text}, '(?s)\\$\\$|\\$|[^$]+'), {token})), "
+        "lambda a, b: {'o': a.o || CASE WHEN b.t LIKE '$%' OR a.m <> 0 THEN b.t ELSE "
+        + _TEX.format("b.t")
+        + " END, 'm': CASE WHEN b.t NOT LIKE '$%' THEN a.m WHEN a.m = 0 THEN length(b.t) "
+        "WHEN a.m = length(b.t) THEN 0 ELSE a.m END, 't': ''}).o"
+    )
+
+
+SQL_LATEX_LINES = rf"""
 WITH {r.SQL_SOURCES}, {SQL_EXTRA},
 spl AS (SELECT doc_id, string_split(replace(markdown, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM src),
 ln AS (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS i, unnest(ls) AS raw FROM spl),
-tr AS (SELECT *, {_TRIM.format('raw')} AS t FROM ln)"""
+tr AS (SELECT *, {_TRIM.format('raw')} AS t FROM ln),
+nb AS (SELECT *, t LIKE '- %' OR t LIKE '* %' AS bullet FROM tr),
+ng AS (SELECT *, coalesce(lag(bullet) OVER w, false) AS pb, coalesce(lead(bullet) OVER w, false) AS fb,
+              length(regexp_extract(t, '^(#{{1,4}}) ', 1)) AS lv, regexp_replace(t, '^#{{1,4}} ', '') AS ht,
+              regexp_extract(t, '^!\[(.*?)\]\((.*)\)$', 1) AS alt, regexp_extract(t, '^!\[(.*?)\]\((.*)\)$', 2) AS path
+       FROM nb WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+pc AS (SELECT doc_id, i, CASE
+         WHEN bullet THEN CASE WHEN pb THEN '' ELSE '\begin{{itemize}}' || chr(10) END || '\item ' || {_sql_prose('substr(t, 3)')}
+              || CASE WHEN fb THEN '' ELSE chr(10) || '\end{{itemize}}' END
+         WHEN t IN ('<div class="page-break"></div>', '<!-- page-break -->') THEN '\clearpage'
+         WHEN lv > 0 THEN '\' || ['section','subsection','subsubsection','paragraph'][lv] || '{{' || {_TEX.format('ht')} || '}}'
+         WHEN regexp_matches(t, '^!\[(.*?)\]\((.*)\)$') THEN
+              '\begin{{figure}}[htbp]\centering\includegraphics[width=.92\linewidth]{{' || {_TEX.format('path')}
+              || '}}\caption{{' || {_TEX.format('alt')} || '}}\end{{figure}}'
+         WHEN t = '' THEN '' ELSE {_sql_prose('t')} || '\par' END AS piece FROM ng)
+SELECT doc_id, string_agg(piece, chr(10) ORDER BY i) AS latex FROM pc GROUP BY 1"""
 
 
 def markdown_blocks(spark, sf_dir):
@@ -246,6 +273,8 @@ ORACLE = {
     "uncertain_counts": f"WITH {r.SQL_SOURCES}, {SQL_EXTRA} SELECT doc_id, CAST(len(regexp_extract_all(markdown, "
     r"'(?i)\[unclear:\s*[^\]]*\]')) AS INTEGER) AS uncertain_count FROM src",
     "html_text": SQL_HTML,
+    "latex_text": SQL_LATEX_LINES,
+    "prose_escape": f"SELECT doc_id, {_sql_prose('text')} AS tex FROM documents",
     "matrix_cells": r"""
 WITH x AS (SELECT doc_id, list_filter(string_split(replace(replace(text, chr(10), ' \\ '), ',', ' &'), '\\'),
              lambda s: trim(s) <> '') AS rs FROM documents),

@@ -94,6 +94,6 @@ def is_safe_path(path: Column) -> Column:
 def is_exportable(path: Column, excluded_names: list[str]) -> Column:
     """Artifact filter: visible, not excluded, never a key file, never a parent path."""
     name = F.element_at(F.split(path, "/"), -1)
-    hidden = path.rlike(r"(^|/)\.")
+    hidden = path.rlike(r"(^|/)\.[^./]")
     keep = ~hidden & ~F.contains(F.lower(path), F.lit("providerkeys")) & ~F.contains(path, F.lit(".."))
     return keep & ~name.isin(excluded_names) if excluded_names else keep
