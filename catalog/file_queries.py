@@ -173,17 +173,19 @@ def edit_history_sink(spark, sf_dir):
     return kept.unionByName(spark.read.parquet(current).select("job_id", F.lit("current").alias("place"), "source"))
 
 
-def line_recognizer(content: bytes) -> list[dict]:
+def line_recognizer():
     """Stand-in recogniser: each text line is a block, placed top to bottom in turns of three."""
-    found = []
-    for i, line in enumerate(content.decode("utf-8").split("\n")):
-        found.append(
+
+    def recognize(content: bytes) -> list[dict]:
+        return [
             {
                 "candidates": [{"text": line, "confidence": 0.9}],
                 "x": (i % 3) * 0.3, "y": 1.0 - (i // 3) * 0.25, "w": 0.2, "h": 0.125,
             }
-        )
-    return found
+            for i, line in enumerate(content.decode("utf-8").split("\n"))
+        ]
+
+    return recognize
 
 
 def _images(spark, sf_dir):
@@ -191,12 +193,12 @@ def _images(spark, sf_dir):
 
 
 def recognized_blocks(spark, sf_dir):
-    found = hooks.recognize(_images(spark, sf_dir), line_recognizer, "doc_id")
+    found = hooks.recognize(_images(spark, sf_dir), line_recognizer(), "doc_id")
     return clean_observations(found, ["doc_id"]).select("doc_id", "reading_order", "text", "x", "y")
 
 
 def recognized_pages(spark, sf_dir):
-    return hooks.recognize_pages(_images(spark, sf_dir), line_recognizer, "doc_id").select(
+    return hooks.recognize_pages(_images(spark, sf_dir), line_recognizer(), "doc_id").select(
         "doc_id", "part", "page_text", "block_count"
     )
 

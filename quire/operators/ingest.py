@@ -85,27 +85,33 @@ def ocr_assets(parsed: DataFrame, key: str) -> DataFrame:
 _SUFFIXED = r"-[0-9]+\.[^.]+$"
 
 
-def _assign_in_turn(images) -> list[dict]:
-    """First free name per image, in page and image order, within one response."""
-    used: set[str] = set()
-    named = []
-    for image in images:
-        name = image["proposed"]
-        stem, _, ext = name.rpartition(".")
-        turn = 2
-        while name in used:
-            name = f"{stem}-{turn}.{ext}"
-            turn += 1
-        used.add(name)
-        named.append({"page_index": image["page_index"], "image_index": image["image_index"], "local_name": name})
-    return named
-
-
-def _resolve_names(batches: pd.Series) -> pd.Series:
-    return batches.map(_assign_in_turn)
+_RESOLVED = "array<struct<page_index:int,image_index:int,local_name:string>>"
 
 
-_RESOLVED = "array<struct<page_index:int,image_index:int,local_name:string>>"
+def _names_in_turn():
+    """Arrow UDF naming the images of one response one after the other.
+
+    Built inside a function so it travels to workers by value.
+    """
+
+    def assign(images) -> list[dict]:
+        used: set[str] = set()
+        named = []
+        for image in images:
+            name = image["proposed"]
+            stem, _, ext = name.rpartition(".")
+            turn = 2
+            while name in used:
+                name = f"{stem}-{turn}.{ext}"
+                turn += 1
+            used.add(name)
+            named.append({"page_index": image["page_index"], "image_index": image["image_index"], "local_name": name})
+        return named
+
+    def resolve(batches: pd.Series) -> pd.Series:
+        return batches.map(assign)
+
+    return F.pandas_udf(resolve, _RESOLVED)
 
 
 def unique_names(assets: DataFrame, key: str) -> DataFrame:
@@ -137,7 +143,7 @@ def unique_names(assets: DataFrame, key: str) -> DataFrame:
         assets.join(risky, key, "left_semi")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("page_index", "image_index", "proposed"))).alias("_images"))
-        .select(key, F.inline(F.pandas_udf(_resolve_names, _RESOLVED)("_images")))
+        .select(key, F.inline(_names_in_turn()("_images")))
         .withColumnRenamed("local_name", "_resolved")
     )
     return (
