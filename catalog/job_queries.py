@@ -50,19 +50,19 @@ def ocr_responses(spark, sf_dir):
 
 
 def ocr_assets(spark, sf_dir):
-    parsed, _ = ingest.parse_responses(ocr_responses(spark, sf_dir))
+    parsed, _ = ingest.parse_responses(ocr_responses(spark, sf_dir), "job_id")
     return ingest.ocr_assets(parsed, "job_id").select(
         "job_id", "page_index", "image_index", "original_name", "local_name", F.hex("data").alias("data_hex")
     )
 
 
 def ocr_pages(spark, sf_dir):
-    parsed, _ = ingest.parse_responses(ocr_responses(spark, sf_dir))
-    return ingest.ocr_pages(parsed, ingest.ocr_assets(parsed, "job_id"), "job_id")
+    parsed, _ = ingest.parse_responses(ocr_responses(spark, sf_dir), "job_id")
+    return ingest.ocr_pages(parsed, "job_id")
 
 
 def ocr_quarantine(spark, sf_dir):
-    return ingest.parse_responses(ocr_responses(spark, sf_dir))[1]
+    return ingest.parse_responses(ocr_responses(spark, sf_dir), "job_id")[1]
 
 
 _SQL_PARAGRAPHS = """

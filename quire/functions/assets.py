@@ -37,6 +37,11 @@ def data_uri_payload(uri: Column) -> Column:
     return F.regexp_replace(payload, "[^A-Za-z0-9+/=]", "")
 
 
+def is_base64(payload: Column) -> Column:
+    """True for text that decodes: whole groups of four, padding only at the end."""
+    return F.coalesce((F.length(payload) % 4 == 0) & payload.rlike(r"\A[A-Za-z0-9+/]*+={0,2}\z"), F.lit(False))
+
+
 def media_type(path: Column) -> Column:
     extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     result = F.lit("image/png")

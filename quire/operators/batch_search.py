@@ -18,14 +18,16 @@ from ..runtime import broadcast_if_small, cut
 WORD_LENGTH = 256
 
 
-def term_table(queries: DataFrame) -> DataFrame:
-    """(query_id, term, times): folded distinct terms with their multiplicity."""
+def query_table(queries: DataFrame) -> DataFrame:
+    """(query_id, terms, anchor): folded terms with repeats, and the longest of them."""
+    terms = F.filter(F.transform(t.query_terms(F.col("query")), t.fold), lambda term: term != "")
+    longest = F.array_max(
+        F.transform("terms", lambda term: F.struct(F.length(term).alias("size"), term.alias("term")))
+    )
     return (
-        queries.select("query_id", F.explode(t.query_terms(F.col("query"))).alias("_raw"))
-        .select("query_id", t.fold(F.col("_raw")).alias("term"))
-        .filter("term <> ''")
-        .groupBy("query_id", "term")
-        .agg(F.count("*").alias("times"))
+        queries.select("query_id", terms.alias("terms"))
+        .filter(F.size("terms") > 0)
+        .withColumn("anchor", longest["term"])
     )
 
 
@@ -35,7 +37,7 @@ def _tokens(pages: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def match_vocabulary(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
-    """(token, term, hits): exact non-overlapping matches of terms inside tokens.
+    """(token, term): every token of the vocabulary with each term inside it.
 
     Every substring whose length some term has is looked up by equality, so no
     false candidate is ever produced.
@@ -44,7 +46,7 @@ def match_vocabulary(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     # The distinct term lengths: as many values as there are different word lengths.
     lengths = sorted(row[0] for row in distinct.select(F.length("term")).distinct().collect())
     if not lengths:
-        return vocabulary.join(distinct, F.lit(False)).select("token", "term", F.lit(0).alias("hits"))
+        return vocabulary.filter(F.lit(False)).withColumn("term", F.col("token"))
     size = F.length("token")
     sizes = F.array(*[F.lit(n) for n in lengths])
     # Words: every (start, size) pair, all in generated code.
@@ -62,8 +64,8 @@ def match_vocabulary(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     return (
         words.unionByName(runs)
         .join(broadcast_if_small(distinct), "term")
+        .select("token", "term")
         .distinct()
-        .select("token", "term", t.occurrences(F.col("token"), F.col("term")).alias("hits"))
     )
 
 
@@ -73,31 +75,43 @@ def search_batch(queries: DataFrame, pages: DataFrame) -> DataFrame:
     ``queries``: query_id, query. ``pages``: document_id, page_id, page_number,
     text. Returns (query_id, document_id, page_id, page_number, page_matches,
     body_match_count) for every page that holds all terms of a query.
+
+    Each query first finds the pages of its longest term, its anchor; only those
+    are checked for the other terms. Every page with all terms holds the anchor,
+    so nothing is lost.
     """
-    terms = cut(term_table(queries))
+    page_keys = ["document_id", "page_id"]
+    asked = cut(query_table(queries))
+    side = broadcast_if_small(asked)
     # Matching is compute-heavy for its size, so it keeps the full partition count.
     width = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vocabulary = _tokens(pages, []).distinct().repartition(width, "token")
-    # Written once: its size is checked below and the posting scan reads it again.
-    token_terms = cut(match_vocabulary(vocabulary, terms))
-    # One row per page and matching token before any further shuffle.
-    postings = (
-        _tokens(pages, ["document_id", "page_id", "page_number"])
+    # Written once: its size is checked before the broadcast and the scan reads it again.
+    token_terms = cut(match_vocabulary(vocabulary, asked.select(F.col("anchor").alias("term"))))
+    candidates = cut(
+        _tokens(pages, page_keys)
         .join(broadcast_if_small(token_terms), "token")
-        .groupBy("document_id", "page_id", "page_number", "term")
-        .agg(F.sum("hits").alias("hits"))
+        .select(*page_keys, F.col("term").alias("anchor"))
+        .distinct()
+        .join(side.select("query_id", "anchor"), "anchor")
+        .select("query_id", *page_keys)
+    )
+    folded = pages.select(*page_keys, "page_number", t.fold(F.col("text")).alias("_f"))
+    matches = F.aggregate(
+        "terms", F.lit(0).cast("long"), lambda total, term: total + t.occurrences(F.col("_f"), term)
     )
-    needed = terms.groupBy("query_id").agg(F.count("*").alias("_needed"))
-    per_page = (
-        postings.join(broadcast_if_small(terms), "term")
-        .groupBy("query_id", "document_id", "page_id", "page_number")
-        .agg(
-            F.sum(F.col("hits") * F.col("times")).alias("page_matches"),
-            F.count("*").alias("_found"),
-        )
+    hits = cut(
+        folded.join(broadcast_if_small(candidates), page_keys)
+        .join(side.select("query_id", "terms"), "query_id")
+        .filter(F.forall("terms", lambda term: F.contains(F.col("_f"), term)))
+        .select("query_id", *page_keys, "page_number", matches.alias("page_matches"))
     )
-    totals = per_page.groupBy("query_id", "document_id").agg(F.sum("page_matches").alias("body_match_count"))
-    full = per_page.join(broadcast_if_small(needed), "query_id").filter("_found = _needed")
-    return full.join(totals, ["query_id", "document_id"]).select(
-        "query_id", "document_id", "page_id", "page_number", "page_matches", "body_match_count"
+    # A document's count covers all its pages, also those without every term.
+    found = hits.select("query_id", "document_id").distinct()
+    totals = (
+        folded.join(broadcast_if_small(found, probe=hits), "document_id")
+        .join(side.select("query_id", "terms"), "query_id")
+        .groupBy("query_id", "document_id")
+        .agg(F.sum(matches).alias("body_match_count"))
     )
+    return hits.join(totals, ["query_id", "document_id"])

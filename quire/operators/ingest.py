@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.assets import data_uri_payload, image_extension, sanitize_asset_name
+from ..functions.assets import data_uri_payload, image_extension, is_base64, sanitize_asset_name
 from ..functions.text import trim_all
 
 
@@ -35,162 +35,131 @@ def _objects(value: Column, path: str) -> Column:
     return F.when(F.forall(items, lambda item: F.coalesce(_is_object(item), F.lit(False))), items)
 
 
-def parse_responses(responses: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+def parse_responses(responses: DataFrame, key: str, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Split OCR responses into (parsed, quarantine).
 
     A response whose JSON is broken or lacks an array of page objects is
     malformed and keeps its raw body. Members are read as variants because a
-    number in place of a name must not turn into text.
+    number in place of a name must not turn into text. ``parsed`` holds one row
+    per response with its ``pages`` (Markdown and decodable images) and the
+    ``local_names`` of the images; it is built in one pass without a shuffle.
     """
-    parsed = responses.withColumn("_pages", _objects(F.try_parse_json(F.col(body)), "$.pages"))
+    root = responses.withColumn("_pages", _objects(F.try_parse_json(F.col(body)), "$.pages"))
     good = F.col("_pages").isNotNull()
-    return parsed.filter(good).drop(body), parsed.filter(~good).drop("_pages")
+    pages = root.filter(good).select(key, F.transform("_pages", _page).alias("pages"))
+    proposed = F.transform("pages", lambda page: F.transform(page["images"], lambda image: image["proposed"]))
+    return pages.withColumn("local_names", _local_names()(proposed)), root.filter(~good).drop("_pages")
 
 
-def ocr_assets(parsed: DataFrame, key: str) -> DataFrame:
-    """Embedded images: one row per decodable image with its local file name.
-
-    Images without a payload are skipped but still count for ``figure-n``.
-    """
-    page = parsed.select(key, F.posexplode("_pages").alias("page_index", "_page"))
-    image = page.select(
-        key, "page_index", F.posexplode(_objects(F.col("_page"), "$.images")).alias("image_index", "_image")
-    )
-    payload = _string(_member(F.col("_image"), "image_base64", "base64"))
-    named = F.coalesce(
-        _string(_member(F.col("_image"), "id", "name", "image_id")),
-        F.concat(F.lit("figure-"), (F.col("image_index") + 1).cast("string")),
-    )
-    image = image.withColumn("_uri", payload).filter("_uri IS NOT NULL")
-    uri = F.col("_uri")
-    rows = (
-        image.withColumn("_payload", data_uri_payload(uri))
-        .filter(F.length("_payload") % 4 == 0)  # unpadded base64 does not decode
-        .withColumn("data", F.try_to_binary("_payload", F.lit("base64")))
-        .filter("data IS NOT NULL")
-    )
-    ext = image_extension(uri)
-    proposed = F.format_string(
-        "page-%03d-%s.%s", F.col("page_index") + 1, sanitize_asset_name(F.col("original_name")), F.col("extension")
-    )
-    return unique_names(
-        rows.withColumn("original_name", named)
-        .withColumn("extension", ext)
-        .withColumn("proposed", proposed)
-        .select(key, "page_index", "image_index", "original_name", "extension", "proposed", "data"),
-        key,
+def _page(page: Column, page_index: Column) -> Column:
+    """Markdown and usable images of one page object."""
+    images = F.transform(_objects(page, "$.images"), lambda image, i: _image(image, i, page_index))
+    usable = F.filter(images, lambda image: is_base64(image["payload"]))
+    return F.struct(
+        F.coalesce(_string(_member(page, "markdown")), F.lit("")).alias("markdown"),
+        F.coalesce(usable, F.array().cast(_IMAGES)).alias("images"),
     )
 
 
-_SUFFIXED = r"-[0-9]+\.[^.]+$"
+_IMAGES = "array<struct<image_index:int,original_name:string,payload:string,proposed:string>>"
 
 
-_RESOLVED = "array<struct<page_index:int,image_index:int,local_name:string>>"
+def _image(image: Column, image_index: Column, page_index: Column) -> Column:
+    uri = _string(_member(image, "image_base64", "base64"))
+    name = F.coalesce(
+        _string(_member(image, "id", "name", "image_id")),
+        F.concat(F.lit("figure-"), (image_index + 1).cast("string")),
+    )
+    proposed = F.format_string(
+        "page-%03d-%s.%s", page_index + 1, sanitize_asset_name(name), image_extension(uri)
+    )
+    return F.struct(
+        image_index.alias("image_index"), name.alias("original_name"), data_uri_payload(uri).alias("payload"),
+        proposed.alias("proposed"),
+    )
 
 
-def _names_in_turn():
-    """Arrow UDF naming the images of one response one after the other.
+def _local_names():
+    """Arrow UDF: first free name per image, in order, within one response.
 
-    Built inside a function so it travels to workers by value.
+    The first image proposing a name gets it; later ones try -2, -3, … until a
+    name is free. Only names travel to Python, never payloads. It is built
+    inside a function so that it reaches workers by value.
     """
 
-    def assign(images) -> list[dict]:
+    def assign(pages) -> list[list[str]]:
         used: set[str] = set()
-        named = []
-        for image in images:
-            name = image["proposed"]
-            stem, _, ext = name.rpartition(".")
-            turn = 2
-            while name in used:
+        counters: dict[str, int] = {}
+
+        def free(name: str) -> str:
+            if name in used:
+                stem, _, ext = name.rpartition(".")
+                turn = counters.get(name, 2)
+                while f"{stem}-{turn}.{ext}" in used:
+                    turn += 1
+                counters[name] = turn + 1
                 name = f"{stem}-{turn}.{ext}"
-                turn += 1
             used.add(name)
-            named.append({"page_index": image["page_index"], "image_index": image["image_index"], "local_name": name})
-        return named
+            return name
+
+        return [[free(name) for name in names] for names in pages]
 
     def resolve(batches: pd.Series) -> pd.Series:
         return batches.map(assign)
 
-    return F.pandas_udf(resolve, _RESOLVED)
+    return F.pandas_udf(resolve, "array<array<string>>")
 
 
-def unique_names(assets: DataFrame, key: str) -> DataFrame:
-    """Add ``local_name``: repeats of a proposed name get -2, -3, … in order.
+def ocr_assets(parsed: DataFrame, key: str) -> DataFrame:
+    """Embedded images: one row per decodable image with its local file name.
 
-    The n-th repeat is a window over (response, proposed name). Only where a
-    proposed name already looks suffixed can two of these collide; the images of
-    such a response (all from one JSON value) are named one after the other.
+    Images without a usable payload are skipped but still count for ``figure-n``.
     """
-    order = ["page_index", "image_index"]
-    turn = F.row_number().over(Window.partitionBy(key, "proposed").orderBy(*order))
-    stem = F.regexp_replace("proposed", r"\.[^.]+$", "")
-    numbered = assets.withColumn("_turn", turn).withColumn(
-        "local_name",
-        F.when(F.col("_turn") == 1, F.col("proposed")).otherwise(
-            F.concat(stem, F.lit("-"), F.col("_turn").cast("string"), F.lit("."), F.col("extension"))
-        ),
-    )
-    risky = (
-        numbered.groupBy(key)
-        .agg(
-            F.max(F.when(F.col("_turn") > 1, 1).otherwise(0)).alias("_repeats"),
-            F.max(F.when(F.col("proposed").rlike(_SUFFIXED), 1).otherwise(0)).alias("_suffixed"),
-        )
-        .filter("_repeats = 1 AND _suffixed = 1")
-        .select(key)
+    pages = parsed.select(key, F.posexplode("pages").alias("page_index", "_page"), "local_names")
+    zipped = F.zip_with(
+        F.col("_page.images"), F.get(F.col("local_names"), F.col("page_index")),
+        lambda image, name: F.struct(image.alias("image"), name.alias("name")),
     )
-    gathered = (
-        assets.join(risky, key, "left_semi")
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("page_index", "image_index", "proposed"))).alias("_images"))
-        .select(key, F.inline(_names_in_turn()("_images")))
-        .withColumnRenamed("local_name", "_resolved")
-    )
-    return (
-        numbered.join(gathered, [key, *order], "left")
-        .withColumn("local_name", F.coalesce("_resolved", "local_name"))
-        .drop("_turn", "_resolved", "proposed")
+    rows = pages.select(key, "page_index", F.explode(zipped).alias("_z"))
+    return rows.select(
+        key, "page_index",
+        F.col("_z.image.image_index").alias("image_index"),
+        F.col("_z.image.original_name").alias("original_name"),
+        F.col("_z.name").alias("local_name"),
+        F.try_to_binary(F.col("_z.image.payload"), F.lit("base64")).alias("data"),
     )
 
 
-def link_assets(markdown: Column, assets: Column) -> Column:
+def link_assets(markdown: Column, images: Column, local_names: Column) -> Column:
     """Point figure links of a page at local files; append links that are missing.
 
-    ``assets`` is an ordered array of (original_name, local_name). Replacement is
-    sequential: a later name may match inside an earlier local name.
+    Replacement is sequential: a later name may match inside an earlier path.
     """
+    pairs = F.zip_with(
+        images, local_names,
+        lambda image, name: F.struct(
+            image["original_name"].alias("name"), F.concat(F.lit("assets/"), name).alias("path")
+        ),
+    )
 
-    def step(text: Column, asset: Column) -> Column:
-        path = F.concat(F.lit("assets/"), asset["local_name"])
-        swapped = F.replace(text, asset["original_name"], path)
+    def step(text: Column, pair: Column) -> Column:
+        swapped = F.replace(text, pair["name"], pair["path"])
         return F.transform(
             F.array(swapped),
-            lambda s: F.when(F.contains(s, path), s).otherwise(
-                F.concat(s, F.lit("\n\n![Extracted figure]("), path, F.lit(")"))
+            lambda s: F.when(F.contains(s, pair["path"]), s).otherwise(
+                F.concat(s, F.lit("\n\n![Extracted figure]("), pair["path"], F.lit(")"))
             ),
         )[0]
 
-    linked = F.aggregate(F.coalesce(assets, F.array().cast(
-        "array<struct<original_name:string,local_name:string>>")), F.coalesce(markdown, F.lit("")), step)
-    return trim_all(linked)
+    return trim_all(F.aggregate(pairs, markdown, step))
 
 
-def ocr_pages(parsed: DataFrame, assets: DataFrame, key: str) -> DataFrame:
-    """(key, page_index, markdown) with figure links rewritten to local files.
-
-    The images of one page come from one JSON value, so gathering them is bounded.
-    """
-    pages = parsed.select(key, F.posexplode("_pages").alias("page_index", "_page")).select(
-        key, "page_index", _string(_member(F.col("_page"), "markdown")).alias("_markdown")
-    )
-    links = assets.groupBy(key, "page_index").agg(
-        F.array_sort(F.collect_list(F.struct("image_index", "original_name", "local_name"))).alias("_all")
-    )
-    pairs = F.transform(
-        "_all", lambda a: F.struct(a["original_name"].alias("original_name"), a["local_name"].alias("local_name"))
-    )
-    return pages.join(links, [key, "page_index"], "left").select(
-        key, "page_index", link_assets(F.col("_markdown"), pairs).alias("markdown")
+def ocr_pages(parsed: DataFrame, key: str) -> DataFrame:
+    """(key, page_index, markdown) with figure links rewritten to local files."""
+    pages = parsed.select(key, F.posexplode("pages").alias("page_index", "_page"), "local_names")
+    names = F.get(F.col("local_names"), F.col("page_index"))
+    return pages.select(
+        key, "page_index", link_assets(F.col("_page.markdown"), F.col("_page.images"), names).alias("markdown")
     )
 
 

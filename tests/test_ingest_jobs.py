@@ -28,18 +28,18 @@ def test_ocr_pages_and_assets(spark):
             }
         ]
     }
-    parsed, bad = ingest.parse_responses(responses(spark, body))
+    parsed, bad = ingest.parse_responses(responses(spark, body), "job_id")
     found = ingest.ocr_assets(parsed, "job_id")
     rows = found.orderBy("image_index").collect()
     assert [r.local_name for r in rows] == ["page-001-figure-one.png", "page-001-second-figure.jpg"]
     assert not any(".." in r.local_name or "/" in r.local_name for r in rows)
-    text = ingest.ocr_pages(parsed, found, "job_id").first().markdown
+    text = ingest.ocr_pages(parsed, "job_id").first().markdown
     assert all(text.count(f"assets/{r.local_name}") == 1 for r in rows)
     assert bad.count() == 0
 
 
 def test_malformed_responses_are_kept_apart(spark):
-    parsed, bad = ingest.parse_responses(responses(spark, "{oops", {"pages": 3}, {"pages": [1]}, {"pages": []}))
+    parsed, bad = ingest.parse_responses(responses(spark, "{oops", {"pages": 3}, {"pages": [1]}, {"pages": []}), "job_id")
     assert [r.job_id for r in parsed.collect()] == [3]
     assert {r.job_id: r.body for r in bad.collect()}[0] == "{oops"
 
@@ -51,7 +51,7 @@ def test_asset_names_in_turn(spark):
     images += [{"id": "skip"}, {"name": "n", "base64": "abc"}, {"name": "ok", "image_id": "z", "base64": "x,AA=="}]
     plain = [{"id": "b", "base64": "AAAA"}, {"id": "b", "base64": "AAAA"}]
     body = {"pages": [{"markdown": 3, "images": images}, {"images": plain}, {"markdown": "m", "images": [1]}]}
-    parsed, _ = ingest.parse_responses(responses(spark, body, {"pages": [{"images": plain}]}))
+    parsed, _ = ingest.parse_responses(responses(spark, body, {"pages": [{"images": plain}]}), "job_id")
     found = ingest.ocr_assets(parsed, "job_id")
     rows = found.filter("job_id = 0").orderBy("page_index", "image_index").collect()
     assert [r.local_name for r in rows] == [
