@@ -34,6 +34,13 @@ def search_top20(spark, sf_dir):
     )
 
 
+def search_flagship(spark, sf_dir):
+    """Top 20 pages and titles for two common words."""
+    return _results(
+        search.search(r.chat_documents(spark, sf_dir), r.chat_pages(spark, sf_dir), "The OF", limit=20)
+    )
+
+
 def search_all_pages(spark, sf_dir):
     return _results(search.search(r.corpus_documents(spark, sf_dir), r.corpus_pages(spark, sf_dir), TITLE_QUERY))
 
@@ -244,6 +251,7 @@ SELECT result_id, c.page_number, p.page_id AS open_page_id
 FROM c JOIN chat_pages p ON p.document_id = c.document_id AND p.page_number = c.page_number"""
 
 QUERIES = {
+    "search_flagship": search_flagship,
     "search_top20": search_top20,
     "search_all_pages": search_all_pages,
     "search_title_hits": search_title_hits,
@@ -259,6 +267,7 @@ QUERIES = {
 
 _CHAT = f"WITH {r.SQL_CHAT}"
 ORACLE = {
+    "search_flagship": _CHAT + sql_search("chat_documents", "chat_pages", ["the", "of"], "the of", 20),
     "search_top20": _CHAT + sql_search("chat_documents", "chat_pages", ["etion", "que"], "etion  que", 20),
     "search_all_pages": f"WITH {r.SQL_CORPUS}"
     + sql_search("corpus_documents", "corpus_pages", ["the", "thor"], "the thor"),

@@ -237,9 +237,24 @@ def retry_plan(calls: DataFrame) -> DataFrame:
     )
 
 
+def deadline_slot(at: Column, seconds: int) -> Column:
+    """Number of the deadline-long time slot an instant falls into."""
+    return F.floor(F.unix_micros(at) / (seconds * 1_000_000)).cast("long")
+
+
 def split_by_deadline(starts: DataFrame, results: DataFrame, seconds: int = DEADLINE_SECONDS) -> DataFrame:
-    """Results in time for their batch: within ``seconds`` of its start."""
+    """Results in time for their batch: within ``seconds`` of its start.
+
+    A result can only belong to a start in its own or the slot before, so the
+    join runs on (batch, slot): a batch id with very many rows is spread over
+    its slots and never pairs all its starts with all its results.
+    """
+    slot = deadline_slot(F.col("started_at"), seconds)
+    begun = starts.withColumn("_slot", F.explode(F.array(slot, slot + 1)))
     limit = F.col("started_at") + F.make_interval(secs=F.lit(seconds))
-    return results.join(starts, "batch_id").filter(
-        (F.col("finished_at") >= F.col("started_at")) & (F.col("finished_at") <= limit)
+    return (
+        results.withColumn("_slot", deadline_slot(F.col("finished_at"), seconds))
+        .join(begun, ["batch_id", "_slot"])
+        .filter((F.col("finished_at") >= F.col("started_at")) & (F.col("finished_at") <= limit))
+        .drop("_slot")
     )

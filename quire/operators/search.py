@@ -131,8 +131,10 @@ def search(
     rows = body.select(*carried).unionByName(first.select(*carried)).unionByName(bare.select(*carried))
     if limit is None:
         return _shape(rows, terms, radius)
-    # Cut to the top k on the keys first, so snippets are built for k rows only.
-    return _shape(rows.orderBy(*rank_order()).limit(limit), terms, radius).orderBy(*rank_order())
+    # The top k is written first (k rows); otherwise the optimiser moves the snippet
+    # expressions below the limit, which costs the top-k operator and builds them for all.
+    best = cut(rows.orderBy(*rank_order()).limit(limit))
+    return _shape(best, terms, radius).orderBy(*rank_order())
 
 
 def open_result_pages(results: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:

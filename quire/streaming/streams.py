@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paging import completion
-from ..operators.jobs import DEADLINE_SECONDS, current_state
+from ..operators.jobs import DEADLINE_SECONDS, current_state, deadline_slot
+from ..operators.ordered import Ordered, per_group
 from ..sources.sinks import append_once, read_or_none
 
 QUIET = "200 milliseconds"
@@ -22,15 +23,37 @@ QUIET = "200 milliseconds"
 def debounce(queries: DataFrame, key: str, quiet: str = QUIET, delay: str | None = None) -> DataFrame:
     """Last query of each burst: emitted once ``quiet`` passes without another.
 
-    ``queries``: key, ts, query. Works on batch and streaming frames; a stream
-    in append mode emits a burst when the watermark has passed its end.
+    ``queries``: key, ts, query. A stream in append mode emits a burst when the
+    watermark (``delay`` behind the newest row) has passed its end. On a batch
+    frame bursts are found with ordered scans, which spread a hot key.
     """
-    rows = queries.withWatermark("ts", delay) if delay and queries.isStreaming else queries
+    last = [F.max_by("query", F.struct("ts", "query")).alias("query"), F.count("*").alias("keystrokes")]
+    if not queries.isStreaming:
+        return _debounce_batch(queries, key, quiet, last)
+    rows = queries.withWatermark("ts", delay) if delay else queries
     burst = F.session_window("ts", quiet)
     return (
         rows.groupBy(key, burst.alias("burst"))
-        .agg(F.max_by("query", F.struct("ts", "query")).alias("query"), F.count("*").alias("keystrokes"))
-        .select(key, F.col("burst.start").alias("started_at"), F.col("burst.end").alias("settled_at"), "query", "keystrokes")
+        .agg(*last)
+        .select(
+            key, F.col("burst.start").alias("started_at"), F.col("burst.end").alias("settled_at"), "query", "keystrokes"
+        )
+    )
+
+
+def _debounce_batch(queries: DataFrame, key: str, quiet: str, last: list) -> DataFrame:
+    def number(rows: DataFrame, sliced: bool) -> DataFrame:
+        scan = Ordered(rows, [key], [F.col("ts"), F.col("query")], sliced).lag({"_before": "ts"})
+        near = F.col("ts") <= F.col("_before") + F.expr(f"INTERVAL {quiet}")
+        return scan.running_sum(F.when(near, 0).otherwise(1), "_burst").done()
+
+    return (
+        per_group(queries.select(key, "ts", "query"), [key], number)
+        .groupBy(key, "_burst")
+        .agg(
+            F.min("ts").alias("started_at"), (F.max("ts") + F.expr(f"INTERVAL {quiet}")).alias("settled_at"), *last
+        )
+        .drop("_burst")
     )
 
 
@@ -55,15 +78,24 @@ def within_deadline(
     """Results that finish within ``seconds`` of their batch start.
 
     Watermarks on both sides and the interval bound let the join drop its state.
+    Time slots in the join key spread a batch id that has very many rows.
     """
-    left = starts.withWatermark("started_at", delay).alias("s")
-    right = results.withWatermark("finished_at", delay).alias("r")
+    slot = deadline_slot(F.col("started_at"), seconds)
+    left = (
+        starts.withWatermark("started_at", delay).withColumn("_slot", F.explode(F.array(slot, slot + 1))).alias("s")
+    )
+    right = (
+        results.withWatermark("finished_at", delay)
+        .withColumn("_slot", deadline_slot(F.col("finished_at"), seconds))
+        .alias("r")
+    )
     on = (
         (F.col("s.batch_id") == F.col("r.batch_id"))
+        & (F.col("s._slot") == F.col("r._slot"))
         & (F.col("r.finished_at") >= F.col("s.started_at"))
         & (F.col("r.finished_at") <= F.col("s.started_at") + F.expr(f"INTERVAL {seconds} SECONDS"))
     )
-    return left.join(right, on).drop(F.col("r.batch_id"))
+    return left.join(right, on).drop(F.col("r.batch_id"), F.col("r._slot"), F.col("s._slot"))
 
 
 def first_results(results: DataFrame, keys: list[str], delay: str) -> DataFrame:
