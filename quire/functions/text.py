@@ -105,6 +105,14 @@ def contains_all(folded: Column, terms: list[str]) -> Column:
     return test
 
 
+def page_matches(text: Column, terms: list[str]) -> Column:
+    """True for text holding every literal folded term; the text is folded once.
+
+    A filter does not share sub-expressions, so the fold is bound in a lambda.
+    """
+    return F.exists(F.array(fold(text)), lambda folded: contains_all(folded, terms))
+
+
 def occurrences(folded: Column, term: Column) -> Column:
     """Non-overlapping occurrences of a folded term in folded text."""
     removed = F.length(folded) - F.length(F.replace(folded, term, F.lit("")))

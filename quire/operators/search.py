@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.paging import clamp_page
-from ..runtime import broadcast_if_small, cut
+from ..runtime import cut, is_small
 
 RESULT_COLUMNS = [
     "result_id",
@@ -113,11 +113,17 @@ def search(
         .withColumn("_any_hit", F.coalesce(F.col("_any_hit"), F.lit(0)))
         .filter("_any_hit = 1 OR title_rank < 2")
     )
-    side = broadcast_if_small(kept)
-
-    # Full hits: the selective literal filter runs in the scan stage, before any exchange.
-    hits = slim.filter(t.contains_all(t.fold(F.col("text")), terms)).withColumn("_body", F.lit(True))
-    body = hits.join(side.filter("_any_hit = 1"), "document_id")
+    small = is_small(kept)
+    side = F.broadcast(kept) if small else kept
+    full = t.page_matches(F.col("text"), terms)
+    if small:
+        # Pages of documents without a full hit are dropped by the join before their text
+        # is folded; naming a column of each side keeps the test above the join.
+        body = slim.join(side, "document_id").filter(F.when(F.col("_any_hit") == 1, full))
+    else:
+        # The selective literal filter runs in the scan stage, before any exchange.
+        body = slim.filter(full).join(side.filter("_any_hit = 1"), "document_id")
+    body = body.withColumn("_body", F.lit(True))
     # Documents matched by title alone show their first page, if they have one.
     first = slim.withColumn("_body", F.lit(False)).join(
         side.filter("_any_hit = 0").withColumnRenamed("_first_page", "page_number"),

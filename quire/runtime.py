@@ -43,12 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_small(df: DataFrame) -> bool:
+    """True when a bounded count proves the frame is short enough to broadcast."""
+    limit = setting(df.sparkSession, BROADCAST_ROWS)
+    return df.limit(limit + 1).count() <= limit
+
+
 def broadcast_if_small(df: DataFrame, probe: DataFrame | None = None) -> DataFrame:
-    """Hint a broadcast only when a bounded count proves the side is short.
+    """Hint a broadcast only when the side is proven short.
 
     ``probe`` is a cheaper frame known to hold at least as many rows as ``df``.
     Beyond the bound the join stays a shuffled join that AQE may split.
     """
-    limit = setting(df.sparkSession, BROADCAST_ROWS)
-    rows = (probe if probe is not None else df).limit(limit + 1).count()
-    return F.broadcast(df) if rows <= limit else df
+    return F.broadcast(df) if is_small(probe if probe is not None else df) else df
