@@ -14,9 +14,20 @@ from pyspark.sql import functions as F
 from .assets import figure_caption, is_blocked_path
 from .text import trim_all, trim_blank
 
-# Page-break lines and heading depth.
+# Page-break lines.
 PAGE_BREAKS = ['<div class="page-break"></div>', "<!-- page-break -->"]
-MAX_HEADING = 4
+# Markup written around rendered text.
+TOC_OPEN = '<nav class="toc" aria-label="Table of contents"><h2>Contents</h2><ol>'
+TOC_CLOSE = "</ol></nav>"
+MATH_OPEN = '<math xmlns="http://www.w3.org/1998/Math/MathML" display="{0}"><mtext>'
+MATH_CLOSE = "</mtext></math>"
+DISPLAY_OPEN, DISPLAY_CLOSE = '<div class="display-math">', "</div>"
+BREAK_ELEMENT = '<div class="page-break" aria-hidden="true"></div>'
+UNCLEAR_OPEN, UNCLEAR_CLOSE = '<span class="unclear">', "</span>"
+BLOCKED_IMAGE = '<span class="unclear">[blocked image path]</span>'
+TEX_FIGURE = "\\begin{figure}[htbp]\\centering\\includegraphics[width=.92\\linewidth]{"
+TEX_CAPTION, TEX_FIGURE_END = "}\\caption{", "}\\end{figure}"
+UNCERTAIN_MARK = r"(?i)\[unclear:\s*[^\]]*\]"
 
 _GAP = r"[\t\p{Zs}]*+"
 # In order: single-dollar block closed by a later line ending in "$"; one-line "$$…$$";
@@ -165,8 +176,8 @@ def math_element(tex: Column, display: str) -> Column:
     """Math kept as escaped TeX inside a ``math`` element."""
     safe = escape_html(tex)
     return F.concat(
-        F.lit(f'<math xmlns="http://www.w3.org/1998/Math/MathML" display="{display}"><mtext>'),
-        safe, F.lit("</mtext></math>"),
+        F.lit(MATH_OPEN.format(display)),
+        safe, F.lit(MATH_CLOSE),
     )
 
 
@@ -180,7 +191,7 @@ def inline_html(text: Column) -> Column:
         path = image_path(span)
         caption = escape_html(figure_caption(image_alt(span), path))
         picture = F.when(
-            is_blocked_path(path), F.lit('<span class="unclear">[blocked image path]</span>')
+            is_blocked_path(path), F.lit(BLOCKED_IMAGE)
         ).otherwise(
             F.concat(
                 F.lit('<figure><img alt="'), caption, F.lit('" src="'), escape_html(path),
@@ -190,7 +201,7 @@ def inline_html(text: Column) -> Column:
         return (
             F.when(kind == "bold", F.concat(F.lit("<strong>"), inner, F.lit("</strong>")))
             .when(kind == "math", math_element(tex, "inline"))
-            .when(kind == "unclear", F.concat(F.lit('<span class="unclear">'), escape_html(span), F.lit("</span>")))
+            .when(kind == "unclear", F.concat(F.lit(UNCLEAR_OPEN), escape_html(span), F.lit(UNCLEAR_CLOSE)))
             .when(kind == "image", picture)
             .otherwise(escape_html(span))
         )
@@ -199,7 +210,7 @@ def inline_html(text: Column) -> Column:
 
 
 def uncertain_count(source: Column) -> Column:
-    return F.regexp_count(source, F.lit(r"(?i)\[unclear:\s*[^\]]*\]"))
+    return F.regexp_count(source, F.lit(UNCERTAIN_MARK))
 
 
 def _list_tag(kind: Column) -> Column:
@@ -232,8 +243,8 @@ def html_body(blocks: Column, kinds: Column) -> Column:
             F.when(kind == "heading", heading)
             .when(tag.isNotNull(), item)
             .when(kind == "math", F.concat(
-                F.lit('<div class="display-math">'), math_element(display_math(block), "block"), F.lit("</div>")))
-            .when(kind == "page_break", F.lit('<div class="page-break" aria-hidden="true"></div>'))
+                F.lit(DISPLAY_OPEN), math_element(display_math(block), "block"), F.lit(DISPLAY_CLOSE)))
+            .when(kind == "page_break", F.lit(BREAK_ELEMENT))
             .when(kind == "paragraph", F.concat(F.lit("<p>"), inline_html(text), F.lit("</p>")))
         )
 
@@ -266,8 +277,8 @@ def html_contents(markdown: Column) -> Column:
     )
     return F.when(F.size(entries) == 0, F.lit("")).otherwise(
         F.concat(
-            F.lit('<nav class="toc" aria-label="Table of contents"><h2>Contents</h2><ol>'),
-            F.array_join(entries, ""), F.lit("</ol></nav>"),
+            F.lit(TOC_OPEN),
+            F.array_join(entries, ""), F.lit(TOC_CLOSE),
         )
     )
 
@@ -298,9 +309,9 @@ def latex_body(trimmed: Column) -> Column:
                 level == depth, F.concat(F.lit(f"\\{command}{{"), escape_tex(heading_text(line)), F.lit("}"))
             )
         figure = F.concat(
-            F.lit("\\begin{figure}[htbp]\\centering\\includegraphics[width=.92\\linewidth]{"),
-            escape_tex(F.regexp_extract(line, _FIGURE, 2)), F.lit("}\\caption{"),
-            escape_tex(F.regexp_extract(line, _FIGURE, 1)), F.lit("}\\end{figure}"),
+            F.lit(TEX_FIGURE),
+            escape_tex(F.regexp_extract(line, _FIGURE, 2)), F.lit(TEX_CAPTION),
+            escape_tex(F.regexp_extract(line, _FIGURE, 1)), F.lit(TEX_FIGURE_END),
         )
         return (
             out.when(line.rlike(_FIGURE), figure)

@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from .labels import document_type_name, file_extension
 from .text import BLANK_RUN, trim_all, trim_blank
 
+# Title length and characters, file-name and path formats, stamps.
 TITLE_LENGTH = 80
 _TITLE_ILLEGAL = r'[/\\:*?"<>|\n\t\r]'
+SOURCE_PREFIX = "doc_"
+PAGE_IMAGE = "page_%s_%04d.jpg"
+PAGE_SOURCE = "pages/page-%03d.jpg"
+REFINEMENT_CACHE = "refinement-page-%03d.json"
+OVERVIEW_CACHE = "vision-page-%03d-overview.json"
+CROP_CACHE = "vision-page-%03d-crop-%03d.json"
+HISTORY_STAMP = "yyyyMMdd-HHmmss-SSS"
+DATED_TITLE = "yyyy-MM-dd HH:mm"
 
 
 def sanitize_title(raw: Column, length: int = TITLE_LENGTH) -> Column:
@@ -23,43 +32,43 @@ def title_from_file_name(file_name: Column, document_type: Column, created_at: C
     base = F.regexp_replace(file_name, r"(?<=[^/])\.[^./\s]+$", "")
     clean = F.nullif(sanitize_title(base), F.lit(""))
     dated = F.concat(
-        document_type_name(document_type), F.lit(" "), F.date_format(created_at, "yyyy-MM-dd HH:mm")
+        document_type_name(document_type), F.lit(" "), F.date_format(created_at, DATED_TITLE)
     )
     return F.coalesce(clean, dated)
 
 
 def source_file_name(document_id: Column, document_type: Column) -> Column:
     return F.concat(
-        F.lit("doc_"), F.lower(document_id.cast("string")), F.lit("."), file_extension(document_type)
+        F.lit(SOURCE_PREFIX), F.lower(document_id.cast("string")), F.lit("."), file_extension(document_type)
     )
 
 
 def page_image_name(document_id: Column, page_number: Column) -> Column:
     number = F.greatest(page_number, F.lit(0)).cast("int")
-    return F.format_string("page_%s_%04d.jpg", F.lower(document_id.cast("string")), number)
+    return F.format_string(PAGE_IMAGE, F.lower(document_id.cast("string")), number)
 
 
 def page_source_path(page_index: Column) -> Column:
-    return F.format_string("pages/page-%03d.jpg", (page_index + 1).cast("int"))
+    return F.format_string(PAGE_SOURCE, (page_index + 1).cast("int"))
 
 
 def refinement_cache_path(page_index: Column) -> Column:
-    return F.format_string("refinement-page-%03d.json", (page_index + 1).cast("int"))
+    return F.format_string(REFINEMENT_CACHE, (page_index + 1).cast("int"))
 
 
 def vision_cache_path(page_index: Column, kind: Column, crop_index: Column) -> Column:
     """Cache file of one request; the crop index matters for crops only."""
     page = (page_index + 1).cast("int")
     return F.when(
-        kind == "overview", F.format_string("vision-page-%03d-overview.json", page)
+        kind == "overview", F.format_string(OVERVIEW_CACHE, page)
     ).otherwise(
-        F.format_string("vision-page-%03d-crop-%03d.json", page, (crop_index + 1).cast("int"))
+        F.format_string(CROP_CACHE, page, (crop_index + 1).cast("int"))
     )
 
 
 def history_stamp(at: Column) -> Column:
     """UTC stamp with milliseconds; the session time zone must be UTC."""
-    return F.date_format(at, "yyyyMMdd-HHmmss-SSS")
+    return F.date_format(at, HISTORY_STAMP)
 
 
 def default_job_title(title: Column, created_at: Column, prefix: str = "Notes") -> Column:

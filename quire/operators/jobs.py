@@ -12,11 +12,17 @@ from ..functions.geometry import plan_crops
 from ..functions.names import history_stamp, vision_cache_path
 from ..functions.text import trim_all
 
+# Page separator, evidence headings, crop label, history path, deadline.
 PAGE_BREAK = '\n\n<div class="page-break"></div>\n\n'
+OVERVIEW_HEADING = "## Complete-page overview\n"
+CROPS_HEADING = "\n\n## High-resolution crops\n"
+LEGACY_HEADING = "\n\n## Legacy OCR draft\n"
+CROP_LABEL = "### Crop %d/%d, top to bottom\n"
+HISTORY_PREFIX, HISTORY_SUFFIX = "edits/history-", ".md"
+DEADLINE_SECONDS = 210
+
 #: Pages per part when a job's pages are gathered into one value.
 PART_PAGES = 4096
-DEADLINE_SECONDS = 210
-ARCHIVE_CAP = 250 * 1024 * 1024
 
 REQUEST_KEYS = ["job_id", "page_index", "kind", "crop_index"]
 
@@ -82,7 +88,7 @@ def edit_history(current: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataF
     clean = edits.withColumn("source", trim_all(F.col("source"))).filter("source <> ''")
     history = current.join(clean.select("job_id", "edited_at"), "job_id").select(
         "job_id",
-        F.concat(F.lit("edits/history-"), history_stamp(F.col("edited_at")), F.lit(".md")).alias("path"),
+        F.concat(F.lit(HISTORY_PREFIX), history_stamp(F.col("edited_at")), F.lit(HISTORY_SUFFIX)).alias("path"),
         "source",
     )
     kept = current.select("job_id", "source").join(clean.select("job_id"), "job_id", "left_anti")
@@ -143,10 +149,13 @@ def split_pages(sources: DataFrame) -> DataFrame:
     )
 
 
-def merge_evidence(overviews: DataFrame, crops: DataFrame, legacy: DataFrame) -> DataFrame:
+def merge_evidence(
+    overviews: DataFrame, crops: DataFrame, legacy: DataFrame, instructions: str = ""
+) -> DataFrame:
     """Evidence text per page: overview, labelled crops in order, older OCR draft.
 
-    A page has at most six crops by plan, which bounds the gathered text.
+    ``instructions`` go in front and are the caller's. A page has at most six
+    crops by plan, which bounds the gathered text.
     """
     keys = ["job_id", "page_index"]
     total = F.count("*").over(Window.partitionBy(*keys))
@@ -154,16 +163,17 @@ def merge_evidence(overviews: DataFrame, crops: DataFrame, legacy: DataFrame) ->
     labelled = crops.withColumn("_of", total).withColumn("_nth", nth).withColumn(
         "_label",
         F.concat(
-            F.format_string("### Crop %d/%d, top to bottom\n", F.col("_nth"), F.col("_of")), F.col("transcript")
+            F.format_string(CROP_LABEL, F.col("_nth"), F.col("_of")), F.col("transcript")
         ),
     )
     joined = labelled.groupBy(*keys).agg(
         F.expr("listagg(_label, '\\n\\n') within group (order by _nth)").alias("_crops")
     )
     evidence = F.concat(
-        F.lit("## Complete-page overview\n"), F.col("overview"),
-        F.lit("\n\n## High-resolution crops\n"), F.coalesce("_crops", F.lit("")),
-        F.lit("\n\n## Legacy OCR draft\n"), F.coalesce("legacy", F.lit("")),
+        F.lit(instructions),
+        F.lit(OVERVIEW_HEADING), F.col("overview"),
+        F.lit(CROPS_HEADING), F.coalesce("_crops", F.lit("")),
+        F.lit(LEGACY_HEADING), F.coalesce("legacy", F.lit("")),
     )
     return (
         overviews.join(joined, keys, "left").join(legacy, keys, "left").select(*keys, evidence.alias("evidence"))

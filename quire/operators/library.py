@@ -13,6 +13,11 @@ from ..functions.text import ELLIPSIS, NEWLINES, PREVIEW_LENGTH, WHITESPACE, tri
 from ..runtime import broadcast_if_small
 from .ordered import with_global_index, with_group_index
 
+# Listing texts.
+NO_TEXT = "No text recognized."
+WAITING = "Waiting for text recognition…"
+ONE_PAGE, MANY_PAGES = "1 page", " pages"
+
 #: Pages per part wherever the pages of one document are gathered into one value.
 PART_PAGES = 4096
 
@@ -100,8 +105,8 @@ def listing_rows(documents: DataFrame, pages: DataFrame) -> DataFrame:
     counts = pages.groupBy("document_id").agg(F.count("*").alias("page_count"))
     count = F.coalesce(F.col("page_count"), F.lit(0).cast("long"))
     waiting = F.when(
-        F.col("processing_status") == "completed", "No text recognized."
-    ).otherwise("Waiting for text recognition…")
+        F.col("processing_status") == "completed", NO_TEXT
+    ).otherwise(WAITING)
     line = (
         F.when(
             (F.col("processing_status") == "failed") & F.col("processing_error").isNotNull(),
@@ -116,7 +121,7 @@ def listing_rows(documents: DataFrame, pages: DataFrame) -> DataFrame:
         .select(
             "document_id",
             "title",
-            F.when(count == 1, "1 page").otherwise(F.concat(count.cast("string"), F.lit(" pages"))).alias(
+            F.when(count == 1, ONE_PAGE).otherwise(F.concat(count.cast("string"), F.lit(MANY_PAGES))).alias(
                 "page_label"
             ),
             line.alias("detail_line"),

@@ -36,3 +36,15 @@ def hot_limits(spark):
     yield
     spark.conf.unset(runtime.HOT_GROUP_ROWS)
     spark.conf.unset(runtime.SLICE_ROWS)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Treat every side as too long to broadcast."""
+    from quire import runtime
+
+    spark.conf.set(runtime.BROADCAST_ROWS, "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset(runtime.BROADCAST_ROWS)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

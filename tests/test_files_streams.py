@@ -188,3 +188,21 @@ def test_arrivals(spark, tmp_path):
 
     run(spark, streams.arrivals(stream_of(spark, tmp_path, pages, ["i < 2", "i = 2"])), write, tmp_path, "complete")
     assert [(r.done, r.progress) for r in spark.read.parquet(out).collect()] == [(3, 0.75)]
+
+
+def test_debounce_with_a_hot_key(spark, hot_limits):
+    times = [0, 100, 250, 900, 950, 1500, 1600, 1650, 1700, 3000]
+    rows = [("u", T0 + datetime.timedelta(milliseconds=t), f"q{t}") for t in times] + [("v", T0, "w")]
+    df = spark.createDataFrame(rows, "user string, ts timestamp, query string")
+    got = sorted((r.user, r.query, r.keystrokes) for r in streams.debounce(df, "user").collect())
+    assert got == [("u", "q1700", 4), ("u", "q250", 3), ("u", "q3000", 1), ("u", "q950", 2), ("v", "w", 1)]
+
+
+def test_deadline_slots(spark):
+    from quire.operators.jobs import split_by_deadline
+
+    starts = spark.createDataFrame([("b", 1, T0), ("b", 2, T0 + datetime.timedelta(seconds=300))], "batch_id string, s int, started_at timestamp")
+    offsets = [-1, 0, 209, 210, 211, 299, 300, 509, 510, 511]
+    results = spark.createDataFrame([("b", o, T0 + datetime.timedelta(seconds=o)) for o in offsets], "batch_id string, o int, finished_at timestamp")
+    got = {(r.s, r.o) for r in split_by_deadline(starts, results).collect()}
+    assert got == {(s, o) for s, b in ((1, 0), (2, 300)) for o in offsets if b <= o <= b + 210}

@@ -159,3 +159,14 @@ def test_batch_search_matches_single_search(spark):
         for r in search(documents, pages, query).filter("match_kind = 'body'").collect():
             want.add((i, r.page_id, r.body_match_count))
     assert got == want
+
+
+def test_search_without_broadcasts(spark, no_broadcast):
+    test_every_term_on_one_page(spark)
+    test_title_only_match(spark)
+    test_title_match_without_pages(spark)
+    test_body_wins_over_title_kind_and_counts_all_pages(spark)
+
+
+def test_batch_search_without_broadcasts(spark, no_broadcast):
+    test_batch_search_matches_single_search(spark)
