@@ -32,8 +32,8 @@ def archive_manifest(files: DataFrame, excluded: list[str], cap: int = ARCHIVE_C
     )
     order = [F.col("_key"), F.col("archive_path")]
 
-    def compute(rows: DataFrame, sliced: bool) -> DataFrame:
-        return Ordered(rows, ["job_id"], order, sliced).index("entry").running_sum(
+    def compute(rows: DataFrame, slices: int) -> DataFrame:
+        return Ordered(rows, ["job_id"], order, slices).index("entry").running_sum(
             F.col("_bytes"), "running_bytes"
         ).done()
 

@@ -83,7 +83,7 @@ def order_with(
     above the hot-group limit do not fit one call; they take the built-in
     reading order, which spreads a page over many tasks.
     """
-    cold, hot = split_hot(blocks, keys)
+    cold, hot, _ = split_hot(blocks, keys)
     columns = [*blocks.columns, "reading_order"]
     schema = T.StructType([*blocks.schema.fields, T.StructField("reading_order", T.IntegerType())])
     width = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))

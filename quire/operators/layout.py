@@ -51,32 +51,32 @@ def _two_columns():
     return (F.col("_span") == 0) & (F.col("_left") >= 2) & (F.col("_right") >= 2)
 
 
-def assign_columns(blocks: DataFrame, keys: Sequence[str], sliced: bool = False) -> DataFrame:
+def assign_columns(blocks: DataFrame, keys: Sequence[str], slices: int = 0) -> DataFrame:
     """Add ``column_id``: 0, or 1 for the right side of a two-column page."""
     sided = blocks.withColumn("_side", page_side(F.col("x"), F.col("w")))
-    counted = with_group_totals(sided, keys, _side_counts(), sliced)
+    counted = with_group_totals(sided, keys, _side_counts(), slices)
     right = _two_columns() & (F.col("_side") == "right")
     return counted.withColumn("column_id", F.when(right, 1).otherwise(0)).drop(
         "_side", "_left", "_right", "_span"
     )
 
 
-def _with_lines(blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str], sliced: bool) -> DataFrame:
+def _with_lines(blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str], slices: int) -> DataFrame:
     """Add ``mid_y`` and ``line_id``, the 1-based visual line within a column.
 
     Blocks are visited by descending middle; only the latest line is open, so a
     block joins it exactly when it shares a line with the block just before.
     """
-    placed = assign_columns(blocks, keys, sliced).withColumn("mid_y", F.col("y") + F.col("h") / 2)
+    placed = assign_columns(blocks, keys, slices).withColumn("mid_y", F.col("y") + F.col("h") / 2)
     order = [F.col("mid_y").desc(), *[F.col(o) for o in ordinal]]
-    scan = Ordered(placed, [*keys, "column_id"], order, sliced).lag({"_py": "y", "_ph": "h"}, first="_start")
+    scan = Ordered(placed, [*keys, "column_id"], order, slices).lag({"_py": "y", "_ph": "h"}, first="_start")
     joined = shares_line(F.col("y"), F.col("h"), F.col("_py"), F.col("_ph"))
     fresh = F.when(~F.col("_start") & joined, 0).otherwise(1)
     return scan.running_sum(fresh, "line_id").done().drop("_py", "_ph", "_start")
 
 
-def _with_reading_order(blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str], sliced: bool) -> DataFrame:
-    lined = _with_lines(blocks, keys, ordinal, sliced)
+def _with_reading_order(blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str], slices: int) -> DataFrame:
+    lined = _with_lines(blocks, keys, ordinal, slices)
     order = [
         F.col("column_id"),
         F.col("line_id"),
@@ -84,17 +84,17 @@ def _with_reading_order(blocks: DataFrame, keys: Sequence[str], ordinal: Sequenc
         F.col("mid_y").desc(),
         *[F.col(o) for o in ordinal],
     ]
-    return Ordered(lined, keys, order, sliced).index("reading_order").done()
+    return Ordered(lined, keys, order, slices).index("reading_order").done()
 
 
 def group_lines(blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str]) -> DataFrame:
     """Visual lines within detected columns: adds ``column_id``, ``line_id``, ``mid_y``."""
-    return per_group(blocks, keys, lambda rows, sliced: _with_lines(rows, keys, ordinal, sliced))
+    return per_group(blocks, keys, lambda rows, slices: _with_lines(rows, keys, ordinal, slices))
 
 
 def reading_order(blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str]) -> DataFrame:
     """Natural reading order: adds a dense 0-based ``reading_order`` per page."""
-    return per_group(blocks, keys, lambda rows, sliced: _with_reading_order(rows, keys, ordinal, sliced))
+    return per_group(blocks, keys, lambda rows, slices: _with_reading_order(rows, keys, ordinal, slices))
 
 
 def reindex(blocks: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -103,19 +103,19 @@ def reindex(blocks: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return per_group(
         blocks.withColumnRenamed("reading_order", "_given"),
         keys,
-        lambda rows, sliced: Ordered(
-            rows, keys, [F.col("_given"), *columns], sliced
+        lambda rows, slices: Ordered(
+            rows, keys, [F.col("_given"), *columns], slices
         ).index("reading_order").done().drop("_given"),
     )
 
 
-def _with_text_lines(blocks: DataFrame, keys: Sequence[str], sliced: bool) -> Ordered:
+def _with_text_lines(blocks: DataFrame, keys: Sequence[str], slices: int) -> Ordered:
     """Add ``continues_line`` and the 1-based ``text_line``, following stored order.
 
     A block continues the line of the block before it when both share a visual
     line and it does not step back left.
     """
-    scan = Ordered(blocks, keys, [F.col("reading_order")], sliced)
+    scan = Ordered(blocks, keys, [F.col("reading_order")], slices)
     scan.lag({"_py": "y", "_ph": "h", "_px": "x"}, first="_start")
     follows = (
         ~F.col("_start")
@@ -130,16 +130,16 @@ def _with_text_lines(blocks: DataFrame, keys: Sequence[str], sliced: bool) -> Or
 
 def line_flags(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Continues-line flag and text line of each block in stored reading order."""
-    return per_group(blocks, keys, lambda rows, sliced: _with_text_lines(rows, keys, sliced).done())
+    return per_group(blocks, keys, lambda rows, slices: _with_text_lines(rows, keys, slices).done())
 
 
-def _with_pieces(blocks: DataFrame, keys: Sequence[str], sliced: bool) -> DataFrame:
+def _with_pieces(blocks: DataFrame, keys: Sequence[str], slices: int) -> DataFrame:
     """Add the ``piece`` each block contributes, with its own leading separator.
 
     Page text is then the plain concatenation of pieces in reading order. Empty
     blocks contribute nothing but still act as the block before the next one.
     """
-    scan = _with_text_lines(blocks, keys, sliced)
+    scan = _with_text_lines(blocks, keys, slices)
     scan.with_columns({"_text": trim_blank(F.col("text"))})
     scan.max_before(F.when(F.col("_text") != "", F.col("text_line")), "_before")
     separator = (
@@ -169,7 +169,7 @@ def compose_text(blocks: DataFrame, keys: Sequence[str], part_blocks: int = PART
     size has more than part 0, so no task ever builds an unbounded string.
     """
     return per_group(
-        blocks, keys, lambda rows, sliced: _concatenate(_with_pieces(rows, keys, sliced), keys, part_blocks)
+        blocks, keys, lambda rows, slices: _concatenate(_with_pieces(rows, keys, slices), keys, part_blocks)
     )
 
 
@@ -178,8 +178,8 @@ def order_and_compose(
 ) -> DataFrame:
     """Unordered blocks to page text in one pass over a single page-key exchange."""
 
-    def compute(rows: DataFrame, sliced: bool) -> DataFrame:
-        ordered = _with_reading_order(rows, keys, ordinal, sliced)
-        return _concatenate(_with_pieces(ordered, keys, sliced), keys, part_blocks)
+    def compute(rows: DataFrame, slices: int) -> DataFrame:
+        ordered = _with_reading_order(rows, keys, ordinal, slices)
+        return _concatenate(_with_pieces(ordered, keys, slices), keys, part_blocks)
 
     return per_group(blocks, keys, compute)

@@ -27,33 +27,38 @@ def same_keys(keys: Sequence[str], left: str = "a", right: str = "b") -> Column:
     return reduce(lambda x, y: x & y, tests)
 
 
-def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Split rows into (ordinary groups, hot groups); the latter is None without any.
+def split_hot(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None, int]:
+    """Split rows into (ordinary groups, hot groups, rows in hot groups).
 
-    Counting is a partially aggregated, column-pruned scan. The hot key table is
-    at most ``rows / limit`` long.
+    The second part is None without hot groups. Counting is a partially
+    aggregated, column-pruned scan. The hot key table is at most ``rows / limit``
+    long.
     """
     limit = setting(df.sparkSession, HOT_GROUP_ROWS)
-    hot = df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit)
     if not hot.take(1):
-        return df, None
+        return df, None, 0
     hot = cut(hot)
-    side = broadcast_if_small(hot).alias("b")
+    rows = hot.agg(F.sum("_rows")).first()[0]
+    side = broadcast_if_small(hot.select(*keys)).alias("b")
     on = same_keys(keys)
     return (
         df.alias("a").join(side, on, "left_anti"),
         df.alias("a").join(side, on, "left_semi"),
+        rows,
     )
 
 
-def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def slice_count(df: DataFrame, rows: int) -> int:
+    return max(1, math.ceil(rows / setting(df.sparkSession, SLICE_ROWS)))
+
+
+def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: int) -> DataFrame:
     """Range-partition on (keys, order) and tag each row with its slice number.
 
     The result is checkpointed: slice numbers are read twice (rows and summary)
     and must be the same after a lost executor.
     """
-    rows = df.count()
-    slices = max(1, math.ceil(rows / setting(df.sparkSession, SLICE_ROWS)))
     ranged = df.drop(SLICE).repartitionByRange(slices, *keys, *order)
     return cut(ranged.withColumn(SLICE, F.spark_partition_id()))
 
@@ -61,23 +66,26 @@ def slice_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 class Ordered:
     """Rows of a frame viewed in order within groups.
 
-    ``sliced`` rows carry the slice column and use carry-over between slices;
-    other rows use one window per group.
+    With ``slices`` the rows are cut into that many range slices and state is
+    carried over between them; with 0 each group is one ordinary window.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[Column], sliced: bool = False):
-        self.keys, self.order, self.sliced = list(keys), list(order), sliced
-        self.df = slice_rows(df, keys, order) if sliced else df
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: int = 0):
+        self.keys, self.order, self.sliced = list(keys), list(order), slices > 0
+        self.df = slice_rows(df, keys, order, slices) if slices else df
 
     def _window(self):
         return Window.partitionBy(*([SLICE] if self.sliced else []), *self.keys).orderBy(*self.order)
 
     def _carry(self, summary: DataFrame, carried: list[str]) -> None:
-        """Join the per-(slice, group) carry; it has one row per slice and hot group."""
+        """Join the per-(slice, group) carry; it has one row per slice and hot group.
+
+        The summary is written first, so later steps do not compute it again.
+        """
         keys = [SLICE, *self.keys]
         self.df = (
             self.df.alias("a")
-            .join(broadcast_if_small(summary.select(*keys, *carried)).alias("b"), same_keys(keys), "left")
+            .join(broadcast_if_small(cut(summary.select(*keys, *carried))).alias("b"), same_keys(keys), "left")
             .select("a.*", *[F.col(f"b.{c}") for c in carried])
         )
 
@@ -153,27 +161,27 @@ class Ordered:
 def per_group(
     df: DataFrame,
     keys: Sequence[str],
-    compute: Callable[[DataFrame, bool], DataFrame],
+    compute: Callable[[DataFrame, int], DataFrame],
 ) -> DataFrame:
-    """Apply ``compute(rows, sliced)`` to ordinary and hot groups and unite both."""
-    cold, hot = split_hot(df, keys)
-    result = compute(cold, False)
-    return result if hot is None else result.unionByName(compute(hot, True))
+    """Apply ``compute(rows, slices)`` to ordinary groups (0 slices) and hot groups; unite both."""
+    cold, hot, rows = split_hot(df, keys)
+    result = compute(cold, 0)
+    return result if hot is None else result.unionByName(compute(hot, slice_count(hot, rows)))
 
 
 def with_group_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     """Dense 0-based position of each row in its group."""
-    return per_group(df, keys, lambda rows, sliced: Ordered(rows, keys, order, sliced).index(out).done())
+    return per_group(df, keys, lambda rows, slices: Ordered(rows, keys, order, slices).index(out).done())
 
 
 def with_global_index(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
     """Dense 0-based position over the whole frame, without a single-task window."""
-    rows = slice_rows(df, [], order)
+    rows = slice_rows(df, [], order, slice_count(df, df.count()))
     window = Window.partitionBy(SLICE).orderBy(*order)
     sizes = rows.groupBy(SLICE).agg(F.count("*").alias("_size"))
     # One row per slice: the only un-partitioned window here is over slice numbers.
     before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(SLICE, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"))
+    bases = cut(sizes.select(SLICE, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base")))
     return (
         rows.withColumn(out, F.row_number().over(window) - 1)
         .join(broadcast_if_small(bases), SLICE)
@@ -182,18 +190,18 @@ def with_global_index(df: DataFrame, order: Sequence[Column], out: str) -> DataF
     )
 
 
-def with_group_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, Column], sliced: bool) -> DataFrame:
+def with_group_totals(df: DataFrame, keys: Sequence[str], totals: dict[str, Column], slices: int) -> DataFrame:
     """Attach per-group aggregates to rows.
 
     Ordinary groups use a window on the key they are already partitioned by.
     Hot groups are aggregated first and joined back, one row per hot group.
     """
-    if not sliced:
+    if not slices:
         window = Window.partitionBy(*keys)
         return df.withColumns({name: agg.over(window) for name, agg in totals.items()})
     summary = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in totals.items()])
     return (
         df.alias("a")
-        .join(broadcast_if_small(summary).alias("b"), same_keys(keys), "left")
+        .join(broadcast_if_small(cut(summary)).alias("b"), same_keys(keys), "left")
         .select("a.*", *[F.col(f"b.{name}") for name in totals])
     )

@@ -42,8 +42,8 @@ def debounce(queries: DataFrame, key: str, quiet: str = QUIET, delay: str | None
 
 
 def _debounce_batch(queries: DataFrame, key: str, quiet: str, last: list) -> DataFrame:
-    def number(rows: DataFrame, sliced: bool) -> DataFrame:
-        scan = Ordered(rows, [key], [F.col("ts"), F.col("query")], sliced).lag({"_before": "ts"})
+    def number(rows: DataFrame, slices: int) -> DataFrame:
+        scan = Ordered(rows, [key], [F.col("ts"), F.col("query")], slices).lag({"_before": "ts"})
         near = F.col("ts") <= F.col("_before") + F.expr(f"INTERVAL {quiet}")
         return scan.running_sum(F.when(near, 0).otherwise(1), "_burst").done()
 

@@ -137,10 +137,10 @@ def sequence_rows(spark):
     return rows, spark.createDataFrame(rows, "k int, i int, v int").repartition(4)
 
 
-@pytest.mark.parametrize("sliced", [False, True])
-def test_ordered_scans(spark, hot_limits, sliced):
+@pytest.mark.parametrize("slices", [0, 60])
+def test_ordered_scans(spark, hot_limits, slices):
     rows, df = sequence_rows(spark)
-    scan = Ordered(df, ["k"], [F.col("v"), F.col("i")], sliced)
+    scan = Ordered(df, ["k"], [F.col("v"), F.col("i")], slices)
     scan.lag({"prev": "i"}, first="start").running_sum(F.col("v"), "total").max_before(F.col("i"), "top").index("n")
     got = {(r.k, r.i): (r.prev, r.start, r.total, r.top, r.n) for r in scan.done().collect()}
     want = {}
@@ -188,3 +188,16 @@ def test_crop_plan(spark):
     overlap = first[0].crop_y + first[0].crop_h - first[1].crop_y
     assert overlap / first[0].crop_h == pytest.approx(0.20)
     assert len([r for r in rows if r.id == 2]) == 6 and len([r for r in rows if r.id == 3]) == 3
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_reindex_and_line_flags(spark, request, hot):
+    if hot:
+        request.getfixturevalue("hot_limits")
+    blocks = random_blocks(spark).withColumn("reading_order", F.col("ordinal") * 10)
+    rows = layout.line_flags(layout.reindex(blocks, ["page_id"], ["ordinal"]), ["page_id"]).collect()
+    assert all(r.reading_order == r.ordinal for r in rows)
+    for p in {r.page_id for r in rows}:
+        lines = [r.text_line for r in sorted((r for r in rows if r.page_id == p), key=lambda r: r.ordinal)]
+        flags = [r.continues_line for r in sorted((r for r in rows if r.page_id == p), key=lambda r: r.ordinal)]
+        assert lines[0] == 1 and all(b - a == (0 if f else 1) for a, b, f in zip(lines, lines[1:], flags[1:]))
