@@ -127,15 +127,18 @@ def spans(sources: DataFrame) -> DataFrame:
 
 
 def math_inventory(sources: DataFrame) -> DataFrame:
-    """Every math span: (doc_id, position, display, tex)."""
-    display = block_table(sources).filter("kind = 'math'").select(
-        "doc_id", "position", F.lit(True).alias("display"), m.display_math(F.col("source")).alias("tex")
-    )
-    inline = spans(sources).filter("span_kind = 'math'").select(
-        "doc_id", "position", F.lit(False).alias("display"),
-        F.substring(F.col("span"), F.lit(2), F.length("span") - 2).alias("tex"),
+    """Every math span: (doc_id, position, display, tex); one pass over the blocks."""
+
+    def entry(display: bool, tex):
+        return F.struct(F.lit(display).alias("display"), tex.alias("tex"))
+
+    text = _inline_text(F.col("kind"), F.col("source"))
+    inline = F.transform(
+        F.filter(m.inline_spans(text), lambda span: m.span_kind(span) == "math"),
+        lambda span: entry(False, F.substring(span, F.lit(2), F.length(span) - 2)),
     )
-    return display.unionByName(inline)
+    found = F.when(F.col("kind") == "math", F.array(entry(True, m.display_math(F.col("source"))))).otherwise(inline)
+    return block_table(sources).select("doc_id", "position", F.inline(found))
 
 
 def tex_commands(spark: SparkSession) -> DataFrame:
