@@ -77,5 +77,11 @@ def test_round_trip(spark, monkeypatch):
     rows = packing.pack_documents(frame(spark, texts), tokenizer_path()).collect()
     assert len(rows) == found.count()
     bins = check(rows)
-    assert len(bins) <= -(-sum(r["length"] for r in rows) // packing.CAPACITY) + 1
+    first_fit = []
+    for length in sorted((r["length"] for r in rows), reverse=True):
+        at = next((i for i, room in enumerate(first_fit) if room >= length), None)
+        if at is None:
+            first_fit.append(packing.CAPACITY)
+        first_fit[-1 if at is None else at] -= length
+    assert len(bins) <= len(first_fit)
     assert packing.pack_documents(frame(spark, texts).limit(0), tokenizer_path()).count() == 0
