@@ -32,6 +32,8 @@ PAIR_FRAGMENT_BITS = 3
 #: Hub rounds end when the pairs left are at most this many times the rows they come from.
 PAIRS_PER_ROW = 4
 MAX_HUB_ROUNDS = 6
+#: They also end when fewer than one in so many compared pairs links.
+BARREN_SHARE = 20
 CACHE_ENTRIES = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 
@@ -185,8 +187,12 @@ def _overlaps(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return summed.where(F.col("o") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("o")) * percent).select("u", "v")
 
 
-def _close(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _possible(n: Column, rest: Column, other_n: Column, other_rest: Column, percent: int) -> Column:
+    """Whether a pair that meets at one shingle can still link: ``rest`` counts a set's shared shingles from it on.
+
+    At the first shingle that two sets have in common, no more than the smaller rest can be common.
+    """
+    return F.least(rest, other_rest) * (100 + percent) >= (n + other_n) * percent
 
 
 def _merged(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -207,8 +213,12 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
         .agg(F.collect_list("s.hashes").alias("hashes"))
     )
     reach = F.size("shingles") - _needed(F.col("n"), percent) + 1
-    prefix = store(sets.select("id", "n", F.explode(F.slice("shingles", F.lit(1), reach)).alias("s")).select("id", "n", F.col("s.hashes").alias("hash")))
+    prefix = store(
+        sets.select("id", "n", F.size("shingles").alias("m"), F.posexplode(F.slice("shingles", F.lit(1), reach)).alias("at", "s"))
+        .select("id", "n", (F.col("m") - F.col("at")).alias("rest"), F.col("s.hashes").alias("hash"))
+    )
     members = store(sets.select("id", F.col("id").alias("comp")))
+    barren = False
     for turn in range(MAX_HUB_ROUNDS + 1):
         rows = store(prefix.join(members, "id"))
         by_comp = rows.groupBy("hash", "comp").agg(F.count("*").cast("double").alias("c"))
@@ -217,18 +227,22 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
         if not left["pairs"]:
             return members
         rows = rows.join(open_.select("hash"), "hash", "left_semi")
-        if left["pairs"] <= PAIRS_PER_ROW * left["rows"] or turn == MAX_HUB_ROUNDS:
+        if left["pairs"] <= PAIRS_PER_ROW * left["rows"] or turn == MAX_HUB_ROUNDS or barren:
             break
-        hubs = rows.groupBy("hash").agg(F.min_by(F.struct("id", "n", "comp"), F.xxhash64(F.lit(turn), "id")).alias("hub"))
-        near = rows.join(hubs, "hash").where((F.col("comp") != F.col("hub.comp")) & _close("n", "hub.n", percent))
-        pairs = near.select(F.col("id").alias("u"), F.col("hub.id").alias("v")).distinct()
-        members = _merged(members, store(_overlaps(pairs, parts, percent)))
+        hubs = rows.groupBy("hash").agg(F.min_by(F.struct("id", "n", "rest", "comp"), F.xxhash64(F.lit(turn), "id")).alias("hub"))
+        possible = _possible(F.col("n"), F.col("rest"), F.col("hub.n"), F.col("hub.rest"), percent)
+        near = rows.join(hubs, "hash").where((F.col("comp") != F.col("hub.comp")) & possible)
+        pairs = store(near.select(F.col("id").alias("u"), F.col("hub.id").alias("v")).distinct())
+        links = store(_overlaps(pairs, parts, percent))
+        members = _merged(members, links)
+        barren = links.count() * BARREN_SHARE < pairs.count()
     # all pairs across components, without walking the pairs inside one
     across = rows.select("hash", "comp").distinct()
     across = across.join(across.select("hash", F.col("comp").alias("other")), "hash").where("comp < other")
-    u = rows.select("hash", "comp", F.col("id").alias("u"), F.col("n").alias("nu"))
-    v = rows.select("hash", F.col("comp").alias("other"), F.col("id").alias("v"), F.col("n").alias("nv"))
-    pairs = across.join(u, ["hash", "comp"]).join(v, ["hash", "other"]).where(_close("nu", "nv", percent)).select("u", "v").distinct()
+    u = rows.select("hash", "comp", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("rest").alias("ru"))
+    v = rows.select("hash", F.col("comp").alias("other"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("rest").alias("rv"))
+    possible = _possible(F.col("nu"), F.col("ru"), F.col("nv"), F.col("rv"), percent)
+    pairs = across.join(u, ["hash", "comp"]).join(v, ["hash", "other"]).where(possible).select("u", "v").distinct()
     return _merged(members, store(_overlaps(pairs, parts, percent)))
 
 
