@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, ngram_join, packing, secrets, url_filters
+from quire.llm import decontaminate, language_id, line_dedup, ngram_join, packing, pii, quality, secrets, toxicity, url_filters
 
 #: Rules of the registered url query: (host, path, action).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -26,14 +27,37 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, rules).drop("url")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    return toxicity.predict(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), categories)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_read(spark, sf_dir, "documents")))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_read(spark, sf_dir, "documents")))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -42,7 +66,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_decontamination, op7_secret_scan, op9_ngram_jaccard_join, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_toxicity, op3_decontamination, op4_personal_data, op5_quality_rules, op6_language_id,
+        op7_secret_scan, op8_line_dedup, op9_ngram_jaccard_join, op10_packing,
+    )
+}
 
 _BLOCKED = "|".join(url_filters.BLOCKED_HOST_WORDS)
 _WORDS = """[w FOR w IN regexp_split_to_array(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
