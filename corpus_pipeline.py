@@ -14,7 +14,7 @@ from quire.llm.shared import store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Predictions of a lower score are rejected.
-LEAST_SCORE = 0.2
+LEAST_SCORE = 0.1
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

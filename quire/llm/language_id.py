@@ -129,8 +129,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 scores[part] = np.clip(values.max(axis=1), 0, 1)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    scored = docs.select(*others, score(F.col(text)).alias("_scored"))
-    return scored.select(*others, "_scored.lang_pred", "_scored.score")
+    scored = docs.select(*others, score(F.col(text)).alias("_quire_scored"))
+    return scored.select(*others, "_quire_scored.lang_pred", "_quire_scored.score")
 
 
 def held_out(doc_id: str = "doc_id"):

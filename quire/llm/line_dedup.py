@@ -1,8 +1,9 @@
 """Removal of repeated multi-line passages by content-defined chunks of lines.
 
-A text's lines are hashed, and a rolling hash over the last lines chooses the boundaries: they depend on the lines
-alone, so inserted or lost lines shift nothing beyond their chunk. A line of many words is a chunk of its own. A chunk
-that occurs again anywhere is removed but for its first occurrence, after the bytes of both have been compared.
+A text's lines are hashed, and rolling hashes over the lines before and after a place choose the boundaries: they
+depend on the lines alone, so inserted or lost lines shift nothing beyond their chunk. A long line is a chunk of its
+own. A chunk that occurs again anywhere is a repeat but for its first occurrence. Neighbouring repeats make a passage;
+passages of enough words are removed, after the bytes of each chunk and its first occurrence have been compared.
 """
 
 from __future__ import annotations
@@ -13,42 +14,48 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.shared import store
 
-#: Lines that the rolling hash spans.
+#: Lines that a rolling hash spans.
 WINDOW = 2
-#: One boundary in so many places, on average.
+#: A rolling hash makes a boundary at one place in so many.
 DIVISOR = 2
 MAX_LINES = 16
-#: A line of as many words is a chunk of its own; chunks of fewer words are never removed.
+#: A line of as many words is a chunk of its own.
+LONG_WORDS = 20
+#: Passages of fewer words stay.
 MIN_WORDS = 50
+_MASK = 0xFFFFFFFFFFFFFFFF
 
 
-def chunk_bounds(lines: list[bytes], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(first line, line after the last) of every chunk."""
-    bounds, start, rolling = [], 0, 0
+def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of every chunk. Blank lines stay with the line before them."""
     hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
-    long = [line.count(b" ") >= min_words - 1 and len(line.split()) >= min_words for line in lines]
-    for i in range(len(lines)):
-        rolling = sum(h * 31**k for k, h in enumerate(hashes[max(0, i - WINDOW + 1) : i + 1])) & 0xFFFFFFFFFFFFFFFF
-        cut = (rolling >> 17) % DIVISOR == 0 or i + 1 - start >= MAX_LINES
-        if cut or long[i] or i + 1 == len(lines) or long[i + 1]:
-            bounds.append((start, i + 1))
-            start = i + 1
+    pairs = [(h * 31 + g) & _MASK for h, g in zip(hashes, hashes[WINDOW - 1 :], strict=False)]  # of lines i and i + 1
+    chosen = [(p >> 17) % DIVISOR == 0 for p in pairs]
+    long = [line.count(b" ") + line.count(b"\t") >= LONG_WORDS - 1 for line in lines]
+    bounds, start, last = [], 0, len(lines) - 1
+    for i in range(last):
+        before, after = i > 0 and chosen[i - 1], i + 1 < last and chosen[i + 1]
+        if before or after or long[i] or long[i + 1] or i + 1 - start >= MAX_LINES:
+            if lines[i + 1].strip():
+                bounds.append((start, i + 1))
+                start = i + 1
+    bounds.append((start, last + 1))
     return bounds
 
 
-def chunks_of(text: str | None, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """Chunks of at least ``min_words`` words: first line, line after the last, bytes."""
+def chunks_of(text: str | None) -> list[tuple[int, int, int, bytes]]:
+    """Chunks with words: first line, line after the last, number of words, bytes."""
     lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
     found = []
-    for low, high in chunk_bounds(lines, min_words):
+    for low, high in chunk_bounds(lines):
         body = b"\n".join(lines[low:high])
-        if len(body) >= 2 * min_words - 1 and len(body.split()) >= min_words:
-            found.append((low, high, body))
+        if words := len(body.split()):
+            found.append((low, high, words, body))
     return found
 
 
@@ -56,23 +63,25 @@ def _keys(text: str) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
 
 
-def _occurrences(rows: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, t1, t2, low, high, h1, h2): the chunks of every text with 128 bits of their bytes."""
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, low, high, words, h1, h2): the chunks of every text with 128 bits of their bytes."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            owner, lows, highs, digests = [], [], [], []
+            owner, lows, highs, sizes, digests = [], [], [], [], []
             for i, body in enumerate(batch["text"].tolist()):
-                for low, high, chunk in chunks_of(body, min_words):
+                for low, high, words, chunk in chunks_of(body):
                     owner.append(i)
                     lows.append(low)
                     highs.append(high)
+                    sizes.append(words)
                     digests.append(hashlib.blake2b(chunk, digest_size=16).digest())
             h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             own = batch[["doc_id", "t1", "t2"]].iloc[owner].reset_index(drop=True)
-            yield own.assign(low=np.array(lows, dtype=np.int32), high=np.array(highs, dtype=np.int32), h1=h[:, 0], h2=h[:, 1])
+            ints = {k: np.array(v, dtype=np.int32) for k, v in (("low", lows), ("high", highs), ("words", sizes))}
+            yield own.assign(**ints, h1=h[:, 0], h2=h[:, 1])
 
-    schema = "doc_id string, t1 bigint, t2 bigint, low int, high int, h1 bigint, h2 bigint"
+    schema = "doc_id string, t1 bigint, t2 bigint, low int, high int, words int, h1 bigint, h2 bigint"
     return rows.select("doc_id", "t1", "t2", "text").mapInPandas(cut, schema)
 
 
@@ -92,17 +101,27 @@ def _texts_of(rows: DataFrame, work: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_key, t1, t2, low, high): occurrences whose bytes equal an earlier one's; first is the smallest doc_id (as a
-    number, nulls last), then text hash, then line."""
-    found = store(_occurrences(rows, min_words).distinct())  # wholly equal rows count once
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("decimal(38,0)"), "doc_id", "t1", "t2", "low")
+    """(_key, t1, t2, low, high): repeated chunks in passages of ``min_words`` whose bytes equal their first
+    occurrence's. First is the smallest doc_id (as a number, nulls last), then text hash, then line."""
+    found = store(_occurrences(rows).distinct())  # wholly equal rows count once
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("decimal(38,0)"), "doc_id", "t1", "t2", "low", "high")
     known = found.groupBy("h1", "h2").agg(F.min(order).alias("one"), F.count("*").alias("n")).where("n > 1")
     first = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("t1") == F.col("one.t1")) & (F.col("t2") == F.col("one.t2")) & (F.col("low") == F.col("one.low"))
-    listed = found.join(known.drop("n"), ["h1", "h2"]).select(_doc_key(), "t1", "t2", F.struct("low", "high", "h1", "h2", first.alias("first")).alias("w"))
-    work = listed.groupBy("_key", "t1", "t2").agg(F.collect_list("w").alias("work"))  # a text's own chunks
+    listed = found.join(known.drop("n"), ["h1", "h2"])
+    # neighbouring repeats of one text are a passage
+    by_text = Window.partitionBy("_key", "t1", "t2")
+    repeats = listed.where(~first).select(_doc_key(), "t1", "t2", "low", "high", "words", "h1", "h2", "one")
+    apart = F.coalesce((F.col("low") != F.lag("high").over(by_text.orderBy("low"))).cast("int"), F.lit(1))
+    passages = repeats.withColumn("apart", apart).withColumn("passage", F.sum("apart").over(by_text.orderBy("low")))
+    sized = passages.withColumn("size", F.sum("words").over(Window.partitionBy("_key", "t1", "t2", "passage")))
+    gone = store(sized.where(F.col("size") >= min_words).drop("apart", "passage", "size", "words"))
+    ones = gone.groupBy("h1", "h2").agg(F.first("one").alias("one"))
+    ones = ones.select(F.coalesce("one.doc_id", F.lit("")).alias("_key"), "one.t1", "one.t2", F.col("one.low").alias("low"), F.col("one.high").alias("high"), "h1", "h2")
+    wanted = gone.drop("one").withColumn("first", F.lit(False)).unionByName(ones.withColumn("first", F.lit(True)))
+    work = wanted.groupBy("_key", "t1", "t2").agg(F.collect_list(F.struct("low", "high", "h1", "h2", "first")).alias("work"))  # a text's own chunks
     texts = store(_texts_of(rows, work))
-    ones = texts.where("first").select("h1", "h2", F.col("body").alias("one")).dropDuplicates(["h1", "h2"])
-    same = texts.where("not first").join(ones, ["h1", "h2"]).where("body = one")
+    firsts = texts.where("first").select("h1", "h2", F.col("body").alias("one")).dropDuplicates(["h1", "h2"])
+    same = texts.where("not first").join(firsts, ["h1", "h2"]).where("body = one")
     return same.select(_doc_key(), "t1", "t2", "low", "high").distinct()
 
 
@@ -115,20 +134,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WOR
     numbers of lines before and of lines removed.
 
     A null text stays null and has no lines; a text whose chunks all repeat becomes empty. Wholly equal (doc_id, text)
-    rows count as one document, and each keeps what it keeps. Shorter chunks stay. An empty table gives an empty one.
-    Input columns named _lines or _removed are replaced; other names do not clash.
+    rows count as one document, and each keeps what it keeps. Shorter passages stay. An empty table gives an empty one.
+    Input columns named _lines or _removed are replaced; the prefix _quire_ is reserved.
     """
     others = [c for c in docs.columns if c not in ("_lines", "_removed")]
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), *_keys(text), F.col(text).alias("text"))
     gone = store(repeated_chunks(rows, min_words))
     cuts = gone.groupBy("_key", "t1", "t2").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))
-    cuts = cuts.select(F.col("_key").alias("_qk"), F.col("t1").alias("_q1"), F.col("t2").alias("_q2"), F.col("cuts").alias("_cuts"))
-    keyed = docs.select(*others, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_k"), F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(7), text).alias("_t2"))
-    same = (F.col("_k") == F.col("_qk")) & (F.col("_t1") == F.col("_q1")) & (F.col("_t2") == F.col("_q2"))
+    cuts = cuts.select(F.col("_key").alias("_quire_qk"), F.col("t1").alias("_quire_q1"), F.col("t2").alias("_quire_q2"), F.col("cuts").alias("_quire_cuts"))
+    keyed = docs.select(*others, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_quire_k"), F.xxhash64(text).alias("_quire_t1"), F.xxhash64(F.lit(7), text).alias("_quire_t2"))
+    same = (F.col("_quire_k") == F.col("_quire_qk")) & (F.col("_quire_t1") == F.col("_quire_q1")) & (F.col("_quire_t2") == F.col("_quire_q2"))
     joined = keyed.join(cuts.hint("shuffle_hash"), same, "left")
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda _, i: ~F.exists("_cuts", lambda c: (i >= c["low"]) & (i < c["high"])))
-    cleaned = F.when(F.col("_cuts").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    removed = F.coalesce(F.aggregate("_cuts", F.lit(0), lambda a, c: a + c["high"] - c["low"]), F.lit(0))
+    kept = F.filter(lines, lambda _, i: ~F.exists("_quire_cuts", lambda c: (i >= c["low"]) & (i < c["high"])))
+    cleaned = F.when(F.col("_quire_cuts").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    removed = F.coalesce(F.aggregate("_quire_cuts", F.lit(0), lambda a, c: a + c["high"] - c["low"]), F.lit(0))
     count = F.when(F.col(text).isNull(), 0).otherwise(F.length(F.col(text)) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
     return joined.select(*[cleaned.alias(text) if c == text else F.col(c) for c in others], count.cast("long").alias("_lines"), removed.cast("long").alias("_removed"))

@@ -277,9 +277,9 @@ def keep_one(docs: DataFrame, percent: int = 80, size: int = 5, text: str = "tex
     # a component of null ids alone is told apart by its text
     group = F.when(F.col("component_id").isNull(), F.struct(F.lit(2).alias("a"), F.col("t1").alias("b"), F.col("t2").alias("c"))).otherwise(group)
     first = linked.groupBy(group.alias("g")).agg(F.min(order).alias("first")).select("first.doc_id", "first.t1", "first.t2")
-    first = store(first.select(F.col("doc_id").alias("_d"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")))
-    keyed = docs.withColumns({"_q1": F.xxhash64(text), "_q2": F.xxhash64(F.lit(7), text)})
-    same = keyed["doc_id"].eqNullSafe(first["_d"]) & (keyed["_q1"] == first["_t1"]) & (keyed["_q2"] == first["_t2"])
+    first = store(first.select(F.col("doc_id").alias("_quire_d"), F.col("t1").alias("_quire_t1"), F.col("t2").alias("_quire_t2")))
+    keyed = docs.withColumns({"_quire_q1": F.xxhash64(text), "_quire_q2": F.xxhash64(F.lit(7), text)})
+    same = keyed["doc_id"].eqNullSafe(first["_quire_d"]) & (keyed["_quire_q1"] == first["_quire_t1"]) & (keyed["_quire_q2"] == first["_quire_t2"])
     kept = keyed.join(first, same, "left_semi")
     twice = linked.groupBy("doc_id", "t1", "t2").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "_q1", "_q2"]) if twice else kept).drop("_q1", "_q2")
+    return (kept.dropDuplicates(["doc_id", "_quire_q1", "_quire_q2"]) if twice else kept).drop("_quire_q1", "_quire_q2")
