@@ -18,6 +18,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 KEY = ["k1", "k2"]
 #: Terms of a phrase whose postings are intersected before words are compared.
 DEPTH = 2
+#: Key buckets that tell, before words are shuffled, which texts can have a place; the list is never longer.
+BUCKETS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -81,13 +83,15 @@ def alignments(index: PositionalIndex, depth: int = DEPTH) -> DataFrame:
 
 def _with_words(index: PositionalIndex, places: DataFrame) -> DataFrame:
     """The places with the words of their texts; only texts with a place are kept."""
-    one = index.texts.select(*KEY, "words")
+    bucket = F.pmod("k1", F.lit(BUCKETS)).cast("int")
+    some = F.broadcast(places.select(bucket.alias("bucket")).distinct())  # at most BUCKETS numbers
+    one = index.texts.select(*KEY, "words").withColumn("bucket", bucket).join(some, "bucket", "left_semi").drop("bucket")
     return one.join(places.hint("shuffle_hash"), KEY)
 
 
 def exact_matches(index: PositionalIndex) -> DataFrame:
     """(k1, k2, phrase, start): all occurrences of the phrases; ``start`` counts words from 0."""
-    places = _with_words(index, alignments(index))
+    places = _with_words(index, store(alignments(index)))
     return places.where(F.slice("words", F.col("start") + 1, F.size("phrase")) == F.col("phrase")).select(*KEY, "phrase", "start").distinct()
 
 
@@ -97,7 +101,7 @@ def proximity_matches(index: PositionalIndex, slop: int = 3, share: float = 0.8)
     low = F.greatest(F.col("start") - slop, F.lit(0))
     around = F.slice("words", low + 1, F.col("start") + F.size("phrase") + slop - low)
     near = F.size(F.array_intersect("phrase", around))
-    places = _with_words(index, alignments(index, 1)).select(*KEY, "phrase", "start", near.alias("n_near"))
+    places = _with_words(index, store(alignments(index, 1))).select(*KEY, "phrase", "start", near.alias("n_near"))
     return places.where(F.col("n_near") >= share * F.size(F.array_distinct("phrase"))).distinct()
 
 

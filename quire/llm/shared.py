@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
 def store(df: DataFrame) -> DataFrame:
     """Write a frame once to the shared folder and read it back: what follows survives a lost executor."""
     path = f"{shared_folder(df.sparkSession)}/quire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
