@@ -29,9 +29,11 @@ from quire.llm.shared import store
 FRAGMENT_SHINGLES = 4_000_000
 #: Fragments in which a pair's overlap is counted: the highest bits of the hash.
 PAIR_FRAGMENT_BITS = 3
+#: Longs of the bitmap that bounds an overlap before it is counted.
+BITMAP_LONGS = 8
 #: Hub rounds end when the pairs left are at most this many times the rows they come from.
 PAIRS_PER_ROW = 4
-MAX_HUB_ROUNDS = 6
+MAX_HUB_ROUNDS = 3
 #: They also end when fewer than one in so many compared pairs links.
 BARREN_SHARE = 20
 CACHE_ENTRIES = 1_000_000
@@ -130,47 +132,79 @@ def _segments(docs: DataFrame, fragments: int, text: str, size: int) -> DataFram
     return docs.select(F.col(text).alias("text")).mapInPandas(cut, "fragment bigint, keys binary, sizes binary, counts binary, hashes binary")
 
 
-def _shared_of_fragment(group: pd.DataFrame) -> pd.DataFrame:
-    """Per set of one fragment: its shingles that at least one other set holds, and by how many sets each is held."""
-    columns = ["k1", "k2", "n", "hashes", "holders"]
+def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """keys (two longs a set), sizes, counts and hashes of packed rows."""
     keys = np.frombuffer(b"".join(group["keys"]), dtype="<i8").reshape(-1, 2)
-    sizes = np.frombuffer(b"".join(group["sizes"]), dtype="<i8")
-    counts = np.frombuffer(b"".join(group["counts"]), dtype="<i8")
-    hashes = np.frombuffer(b"".join(group["hashes"]), dtype="<u8")
-    _, first = np.unique(keys.view([("a", "<i8"), ("b", "<i8")]).ravel(), return_index=True)
-    once = np.zeros(len(keys), dtype=bool)  # a set may have come from several tasks
-    once[first] = True
-    hashes = hashes[np.repeat(once, counts)]
-    keys, sizes, counts = keys[once], sizes[once], counts[once]
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
-    holders = np.empty(len(hashes), dtype=np.int64)
-    holders[order] = np.repeat(np.diff(edges), np.diff(edges))
-    starts = np.concatenate(([0], np.cumsum(counts)))
-    shared = holders > 1
-    per_set = np.add.reduceat(shared.astype(np.int64), starts[:-1]) if len(counts) else counts
-    rows = []
-    for i in np.flatnonzero(per_set):
-        own = slice(starts[i], starts[i + 1])
-        keep = shared[own]
-        rows.append((keys[i, 0], keys[i, 1], sizes[i], hashes[own][keep].view(np.int64), holders[own][keep]))
-    return pd.DataFrame(rows, columns=columns)
+    sizes, counts = (np.frombuffer(b"".join(group[c]), dtype="<i8") for c in ("sizes", "counts"))
+    return keys, sizes, counts, np.frombuffer(b"".join(group["hashes"]), dtype="<u8")
+
+
+def _shared_of_fragment(buckets: int):
+    """Of one fragment: the shingles that at least two sets hold, and how many hold each; packed by bucket of the sets."""
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        keys, sizes, counts, hashes = _unpacked(group)
+        _, first = np.unique(keys.view([("a", "<i8"), ("b", "<i8")]).ravel(), return_index=True)
+        once = np.zeros(len(keys), dtype=bool)  # a set may have come from several tasks
+        once[first] = True
+        hashes = hashes[np.repeat(once, counts)]
+        keys, sizes, counts = keys[once], sizes[once], counts[once]
+        order = np.argsort(hashes, kind="stable")
+        ordered = hashes[order]
+        edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
+        holders = np.empty(len(hashes), dtype=np.int64)
+        holders[order] = np.repeat(np.diff(edges), np.diff(edges))
+        owner = np.repeat(np.arange(len(keys)), counts)
+        shared = holders > 1
+        hashes, holders, owner = hashes[shared], holders[shared], owner[shared]
+        bucket = keys[owner, 0] % buckets
+        by_bucket = np.argsort(bucket, kind="stable")
+        bounds = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
+        rows = []
+        for part in np.split(by_bucket, bounds) if len(by_bucket) else []:
+            own, n = np.unique(owner[part], return_counts=True)
+            packed = (keys[own], sizes[own], n.astype(np.int64), hashes[part], holders[part])
+            rows.append((int(bucket[part[0]]), *(x.tobytes() for x in packed)))
+        return pd.DataFrame(rows, columns=["bucket", "keys", "sizes", "counts", "hashes", "holders"])
+
+    return count
+
+
+def _survivors_of_bucket(percent: int):
+    """Sums what the fragments counted per set; sets that can link, with their shared shingles from the rarest on."""
+
+    def select(group: pd.DataFrame) -> pd.DataFrame:
+        keys, sizes, counts, hashes = _unpacked(group)
+        holders = np.frombuffer(b"".join(group["holders"]), dtype="<i8")
+        _, first, same = np.unique(keys.view([("a", "<i8"), ("b", "<i8")]).ravel(), return_index=True, return_inverse=True)
+        enough = np.bincount(same, weights=counts) * 100 >= sizes[first] * percent
+        owner = np.repeat(same, counts)
+        keep = enough[owner]
+        owner, hashes, holders = owner[keep], hashes[keep], holders[keep]
+        order = np.lexsort((hashes, holders, owner))
+        owner, hashes = owner[order], hashes[order]
+        rows = []
+        for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1) if len(owner) else []:
+            own, at = hashes[part], first[owner[part[0]]]
+            bits = np.zeros(BITMAP_LONGS, dtype=np.uint64)
+            np.bitwise_or.at(bits, ((own >> np.uint64(6)) % np.uint64(BITMAP_LONGS)).astype(np.int64), np.uint64(1) << (own & np.uint64(63)))
+            rows.append((keys[at, 0], keys[at, 1], sizes[at], own.view(np.int64), bits.view(np.int64)))
+        return pd.DataFrame(rows, columns=["k1", "k2", "n", "hashes", "bits"])
+
+    return select
 
 
 def survivors(docs: DataFrame, total: int, percent: int, text: str, size: int) -> DataFrame:
-    """(id, n, shingles): sets that share at least ``percent`` of their shingles with others; only the shared ones,
-    as (holders, hash) from the rarest on."""
+    """(id, n, hashes, bits): sets that share at least ``percent`` of their shingles with others; the shared ones from
+    the rarest on, and a bitmap of them."""
     fragments = max(1, -(-total // FRAGMENT_SHINGLES))
-    shared = store(
+    shared = (
         _segments(docs, fragments, text, size)
         .groupBy("fragment")
-        .applyInPandas(_shared_of_fragment, "k1 bigint, k2 bigint, n bigint, hashes array<bigint>, holders array<bigint>")
+        .applyInPandas(_shared_of_fragment(fragments), "bucket bigint, keys binary, sizes binary, counts binary, hashes binary, holders binary")
     )
-    enough = shared.groupBy("k1", "k2", "n").agg(F.sum(F.size("hashes")).alias("m")).where(F.col("m") * 100 >= F.col("n") * percent)
-    parts = shared.join(enough.select("k1", "k2"), ["k1", "k2"], "left_semi")
-    pairs = F.flatten(F.collect_list(F.arrays_zip(F.col("holders"), F.col("hashes"))))
-    return parts.groupBy("k1", "k2", "n").agg(F.array_sort(pairs).alias("shingles")).select(_id(), "n", "shingles")
+    found = shared.groupBy("bucket").applyInPandas(_survivors_of_bucket(percent), "k1 bigint, k2 bigint, n bigint, hashes array<bigint>, bits array<bigint>")
+    return found.select(_id(), "n", "hashes", "bits")
 
 
 def _needed(n: Column, percent: int) -> Column:
@@ -187,12 +221,17 @@ def _overlaps(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return summed.where(F.col("o") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("o")) * percent).select("u", "v")
 
 
-def _possible(n: Column, rest: Column, other_n: Column, other_rest: Column, percent: int) -> Column:
-    """Whether a pair that meets at one shingle can still link: ``rest`` counts a set's shared shingles from it on.
+def _possible(u: str, v: str, percent: int) -> Column:
+    """Whether two sets that meet at one shingle can still link.
 
-    At the first shingle that two sets have in common, no more than the smaller rest can be common.
+    ``rest`` counts a set's shared shingles from the meeting one on: at the first shingle that both hold, no more than
+    the smaller rest can be common. A bit that only one bitmap has stands for a shingle that only one set holds.
     """
-    return F.least(rest, other_rest) * (100 + percent) >= (n + other_n) * percent
+    most = F.least(F.col(f"{u}.rest"), F.col(f"{v}.rest"))
+    for one, other in ((u, v), (v, u)):
+        alone = [F.bit_count(F.col(f"{one}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{other}.bits")[i]))) for i in range(BITMAP_LONGS)]
+        most = F.least(most, F.col(f"{one}.m") - sum(alone[1:], alone[0]))
+    return most * (100 + percent) >= (F.col(f"{u}.n") + F.col(f"{v}.n")) * percent
 
 
 def _merged(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -208,41 +247,41 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     """(id, comp) of the surviving sets; ``comp`` is the smallest id that links reach."""
     sets = store(sets)
     parts = store(
-        sets.select("id", "n", F.explode("shingles").alias("s"))
-        .groupBy("id", "n", F.shiftrightunsigned(F.col("s.hashes"), 64 - PAIR_FRAGMENT_BITS).alias("fragment"))
-        .agg(F.collect_list("s.hashes").alias("hashes"))
+        sets.select("id", "n", F.explode("hashes").alias("h"))
+        .groupBy("id", "n", F.shiftrightunsigned("h", 64 - PAIR_FRAGMENT_BITS).alias("fragment"))
+        .agg(F.collect_list("h").alias("hashes"))
     )
-    reach = F.size("shingles") - _needed(F.col("n"), percent) + 1
+    m = F.size("hashes")
     prefix = store(
-        sets.select("id", "n", F.size("shingles").alias("m"), F.posexplode(F.slice("shingles", F.lit(1), reach)).alias("at", "s"))
-        .select("id", "n", (F.col("m") - F.col("at")).alias("rest"), F.col("s.hashes").alias("hash"))
+        sets.select("id", "n", "bits", m.alias("m"), F.posexplode(F.slice("hashes", F.lit(1), m - _needed(F.col("n"), percent) + 1)).alias("at", "hash"))
+        .select("hash", F.struct("id", "n", "m", (F.col("m") - F.col("at")).alias("rest"), "bits").alias("s"))
     )
     members = store(sets.select("id", F.col("id").alias("comp")))
     barren = False
     for turn in range(MAX_HUB_ROUNDS + 1):
-        rows = store(prefix.join(members, "id"))
+        rows = prefix.join(members, prefix["s.id"] == members["id"]).drop("id")
         by_comp = rows.groupBy("hash", "comp").agg(F.count("*").cast("double").alias("c"))
-        open_ = by_comp.groupBy("hash").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("comps")).where("comps > 1")
+        top = F.max_by("comp", F.struct("c", "comp")).alias("top")
+        open_ = by_comp.groupBy("hash").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("comps"), top)
+        open_ = store(open_.where("comps > 1"))
         left = open_.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("rows")).first()
         if not left["pairs"]:
             return members
-        rows = rows.join(open_.select("hash"), "hash", "left_semi")
+        rows = store(rows.join(open_.select("hash", "top"), "hash"))
         if left["pairs"] <= PAIRS_PER_ROW * left["rows"] or turn == MAX_HUB_ROUNDS or barren:
             break
-        hubs = rows.groupBy("hash").agg(F.min_by(F.struct("id", "n", "rest", "comp"), F.xxhash64(F.lit(turn), "id")).alias("hub"))
-        possible = _possible(F.col("n"), F.col("rest"), F.col("hub.n"), F.col("hub.rest"), percent)
-        near = rows.join(hubs, "hash").where((F.col("comp") != F.col("hub.comp")) & possible)
-        pairs = store(near.select(F.col("id").alias("u"), F.col("hub.id").alias("v")).distinct())
+        hubs = rows.groupBy("hash").agg(F.min_by(F.struct("s", "comp"), F.xxhash64(F.lit(turn), "s.id")).alias("hub")).select("hash", F.col("hub.s").alias("h"), F.col("hub.comp").alias("hub"))
+        near = rows.join(hubs, (rows["hash"] == hubs["hash"]) & (F.col("comp") != F.col("hub")) & _possible("s", "h", percent))
+        pairs = store(near.select(F.col("s.id").alias("u"), F.col("h.id").alias("v")).distinct())
         links = store(_overlaps(pairs, parts, percent))
         members = _merged(members, links)
         barren = links.count() * BARREN_SHARE < pairs.count()
-    # all pairs across components, without walking the pairs inside one
-    across = rows.select("hash", "comp").distinct()
-    across = across.join(across.select("hash", F.col("comp").alias("other")), "hash").where("comp < other")
-    u = rows.select("hash", "comp", F.col("id").alias("u"), F.col("n").alias("nu"), F.col("rest").alias("ru"))
-    v = rows.select("hash", F.col("comp").alias("other"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("rest").alias("rv"))
-    possible = _possible(F.col("nu"), F.col("ru"), F.col("nv"), F.col("rv"), percent)
-    pairs = across.join(u, ["hash", "comp"]).join(v, ["hash", "other"]).where(possible).select("u", "v").distinct()
+    # all pairs across components: one of the two is not in the largest component of their shingle
+    u = rows.where("comp != top").select(F.col("hash").alias("hu"), F.col("s").alias("u"), F.col("comp").alias("cu"))
+    v = rows.select(F.col("hash").alias("hv"), F.col("s").alias("v"), F.col("comp").alias("cv"), "top")
+    once = (F.col("cv") == F.col("top")) | (F.col("u.id") < F.col("v.id"))
+    met = u.join(v, (F.col("hu") == F.col("hv")) & (F.col("cu") != F.col("cv")) & once & _possible("u", "v", percent))
+    pairs = store(met.select(F.col("u.id").alias("u"), F.col("v.id").alias("v")).distinct())
     return _merged(members, store(_overlaps(pairs, parts, percent)))
 
 
