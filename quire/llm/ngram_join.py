@@ -33,7 +33,7 @@ PAIR_FRAGMENT_BITS = 3
 BITMAP_LONGS = 8
 #: Hub rounds end when the pairs left are at most this many times the rows they come from.
 PAIRS_PER_ROW = 4
-MAX_HUB_ROUNDS = 3
+MAX_HUB_ROUNDS = 2
 #: They also end when fewer than one in so many compared pairs links.
 BARREN_SHARE = 20
 CACHE_ENTRIES = 1_000_000
