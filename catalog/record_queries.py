@@ -197,7 +197,7 @@ n AS (SELECT *, regexp_extract_all(lower(url), '[0-9]+|[^0-9]+') AS pieces FROM
 SELECT page_id, array_to_string(list_filter(string_split(replace(raw, '\', '/'), '/'),
          lambda x: x NOT IN ('', '.', '..')), '/') AS path,
        array_to_string(list_transform(pieces, lambda x: CASE WHEN regexp_matches(x, '^[0-9]')
-         THEN lpad(x, CAST(greatest(20, length(x)) AS INTEGER), '0') ELSE x END), '') AS natural_key,
+         THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 10, '0') || ltrim(x, '0') ELSE x END), '') AS natural_key,
        NOT starts_with(url, '/') AND NOT contains(url, '..') AS safe, false AS raw_safe FROM n""",
     "page_arithmetic": f"SELECT {_LINE}, {_P} - 1 AS page_index, {_P} + 1 AS page_number, "
     f"CASE WHEN {_N} > 0 THEN least(greatest({_P}, 1), {_N}) END AS clamped, {_P} BETWEEN 1 AND {_N} AS valid, "

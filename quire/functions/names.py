@@ -82,18 +82,18 @@ def archive_path(path: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: ~p.isin("", ".", "..")), "/")
 
 
-def natural_key(path: Column, width: int = 20) -> Column:
-    """Sort key in which digit runs compare by value and case is ignored."""
+def natural_key(path: Column) -> Column:
+    """Sort key in which digit runs of any length compare by value and case is ignored.
+
+    A run becomes the number of its digits without leading zeros, ten places wide, and those digits.
+    """
     pieces = F.regexp_extract_all(F.lower(path), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(
-        F.transform(
-            pieces,
-            lambda p: F.when(
-                p.rlike("^[0-9]") & (F.length(p) < width), F.lpad(p, width, "0")
-            ).otherwise(p),
-        ),
-        "",
-    )
+
+    def keyed(piece: Column) -> Column:
+        digits = F.ltrim(piece, F.lit("0"))
+        return F.when(piece.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, keyed), "")
 
 
 def is_safe_path(path: Column) -> Column:

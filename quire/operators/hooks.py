@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import cut
 from .ingest import clean_observations
-from .layout import order_and_compose, reading_order
-from .ordered import split_hot, with_group_index
+from .layout import order_and_compose
+from .ordered import with_group_index
 
 OBSERVATIONS = (
     "array<struct<candidates:array<struct<text:string,confidence:double>>,x:double,y:double,w:double,h:double>>"
 )
-#: Expected rows per call of a page-ordering function.
+#: Expected rows of a bucket of pages.
 BUCKET_ROWS = 100_000
 #: Images per Arrow batch; images are large, rows are few.
 IMAGE_BATCH = 16
@@ -44,7 +45,8 @@ def recognize(images: DataFrame, recognizer: Callable[[bytes], list[dict]], key:
 
 def recognize_pages(images: DataFrame, recognizer: Callable[[bytes], list[dict]], key: str) -> DataFrame:
     """Recognise, clean, order and compose: page text per image."""
-    blocks = clean_observations(recognize(images, recognizer, key), [key])
+    # written once: the steps after it read it more than once, and a recogniser may not repeat itself
+    blocks = clean_observations(cut(recognize(images, recognizer, key)), [key])
     return order_and_compose(blocks.withColumnRenamed("reading_order", "ordinal"), [key], ["ordinal"])
 
 
@@ -64,7 +66,7 @@ def order_by_key(
         for batch in batches:
             yield batch.assign(_key=sort_key(batch).astype("float64"))
 
-    keyed = blocks.mapInPandas(run, schema)
+    keyed = cut(blocks.mapInPandas(run, schema))  # the key function runs once
     order = [F.col("_key"), *[F.col(o) for o in ordinal]]
     return with_group_index(keyed, keys, order, "reading_order").drop("_key")
 
@@ -77,25 +79,23 @@ def order_with(
 ) -> DataFrame:
     """Order pages by a user function over whole pages.
 
-    The function gets a frame holding many complete pages and returns its rows
-    so that the rows of each page stand in order; how pages interleave does not
-    matter. Pages are spread over hash buckets of bounded expected size. Pages
-    above the hot-group limit do not fit one call; they take the built-in
-    reading order, which spreads a page over many tasks.
+    Every call gets one complete page, sorted by ``ordinal``, and returns its rows in
+    reading order. Pages are spread over hash buckets; a page must fit one task,
+    however long it is, since the function sees it as a whole. ``order_by_key``
+    has no such need.
     """
-    cold, hot, _ = split_hot(blocks, keys)
     columns = [*blocks.columns, "reading_order"]
     schema = T.StructType([*blocks.schema.fields, T.StructField("reading_order", T.IntegerType())])
     width = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(width, math.ceil(cold.count() / BUCKET_ROWS))
+    buckets = max(width, math.ceil(blocks.count() / BUCKET_ROWS))
 
     def run(pages: pd.DataFrame) -> pd.DataFrame:
-        pages = pages.drop(columns="_bucket").sort_values(list(ordinal), kind="stable").reset_index(drop=True)
-        ordered = ordering(pages)
-        return ordered.assign(reading_order=ordered.groupby(list(keys), dropna=False).cumcount())[columns]
+        pages = pages.drop(columns="_bucket").sort_values(list(ordinal), kind="stable")
+        done = []
+        for _, page in pages.groupby(list(keys), sort=False, dropna=False):
+            ordered = ordering(page.reset_index(drop=True))
+            done.append(ordered.assign(reading_order=range(len(ordered))))
+        return pd.concat(done)[columns]
 
     bucket = F.pmod(F.hash(*keys), F.lit(buckets))
-    result = cold.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(run, schema)
-    if hot is None:
-        return result
-    return result.unionByName(reading_order(hot, keys, ordinal).select(*columns))
+    return blocks.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(run, schema)

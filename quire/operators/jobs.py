@@ -83,16 +83,26 @@ def effective_source(jobs: DataFrame, edited: DataFrame, machine: DataFrame) ->
 def edit_history(current: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(history rows to append, new current sources) for (job_id, source, edited_at).
 
-    Blank edits are rejected; the replaced text goes to history with its stamp.
+    Blank edits are rejected. The edits of a job follow each other by time, then text: each
+    sends the text before it to history with its own stamp, and the last one is current.
     """
-    clean = edits.withColumn("source", trim_all(F.col("source"))).filter("source <> ''")
-    history = current.join(clean.select("job_id", "edited_at"), "job_id").select(
-        "job_id",
-        F.concat(F.lit(HISTORY_PREFIX), history_stamp(F.col("edited_at")), F.lit(HISTORY_SUFFIX)).alias("path"),
-        "source",
+    clean = edits.select("job_id", "edited_at", trim_all(F.col("source")).alias("source")).filter("source <> ''")
+    order = Window.partitionBy("job_id").orderBy("edited_at", "source")
+    turns = clean.withColumn("_before", F.lag("source").over(order)).withColumn("_next", F.lead("source").over(order))
+    old = current.select("job_id", F.col("source").alias("_old"))
+    history = (
+        turns.join(old, "job_id", "left")
+        .withColumn("_replaced", F.coalesce("_before", "_old"))
+        .filter("_replaced is not null")
+        .select(
+            "job_id",
+            F.concat(F.lit(HISTORY_PREFIX), history_stamp(F.col("edited_at")), F.lit(HISTORY_SUFFIX)).alias("path"),
+            F.col("_replaced").alias("source"),
+        )
     )
-    kept = current.select("job_id", "source").join(clean.select("job_id"), "job_id", "left_anti")
-    return history, kept.unionByName(clean.select("job_id", "source"))
+    last = turns.filter("_next is null").select("job_id", "source")
+    kept = current.select("job_id", "source").join(last.select("job_id"), "job_id", "left_anti")
+    return history, kept.unionByName(last)
 
 
 def page_mismatches(manifests: DataFrame, pages: DataFrame) -> DataFrame:
@@ -104,10 +114,12 @@ def page_mismatches(manifests: DataFrame, pages: DataFrame) -> DataFrame:
         F.count("*").alias("actual"),
         F.min("page_index").alias("first_index"),
         F.max("page_index").alias("last_index"),
+        F.count_distinct("page_index").alias("_different"),
     )
     actual = F.coalesce("actual", F.lit(0).cast("long"))
     wrong = (
         (actual != F.coalesce("page_count", F.lit(-1)))
+        | (F.coalesce("_different", actual) != actual)
         | (F.coalesce("first_index", F.lit(0)) != 0)
         | (F.coalesce("last_index", actual - 1) != actual - 1)
     )
@@ -140,12 +152,16 @@ def assemble_markdown(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFra
     )
 
 
-def split_pages(sources: DataFrame) -> DataFrame:
-    """Assembled source back to pages at its page-break lines."""
+def split_pages(sources: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
+    """Assembled source back to pages at its page-break lines.
+
+    Where sources have a ``part``, each starts ``part_pages`` pages after the one before.
+    """
+    first = F.col("part") * part_pages if "part" in sources.columns else F.lit(0)
     breaks = r"(?:\A|(?<=\n))[\t\p{Zs}]*+(?:<div class=\"page-break\"></div>|<!-- page-break -->)[\t\p{Zs}]*+(?=\r?\n|\z)"
     parts = F.posexplode(F.split("markdown", breaks)).alias("page_index", "_text")
-    return sources.select("job_id", parts).select(
-        "job_id", "page_index", trim_all(F.col("_text")).alias("markdown")
+    return sources.select("job_id", first.cast("int").alias("_first"), parts).select(
+        "job_id", (F.col("_first") + F.col("page_index")).alias("page_index"), trim_all(F.col("_text")).alias("markdown")
     )
 
 

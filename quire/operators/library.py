@@ -191,10 +191,18 @@ def replace_document_pages(
 
 
 def rename(documents: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply (document_id, new_title, changed_at); a title empty after cleaning is a no-op."""
-    clean = changes.select(
-        "document_id", sanitize_title(F.col("new_title")).alias("_title"), "changed_at"
-    ).filter("_title <> ''")
+    """Apply (document_id, new_title, changed_at); a title empty after cleaning is a no-op.
+
+    The latest change of a document wins; of several at one time, the first title in order.
+    """
+    window = Window.partitionBy("document_id").orderBy(F.col("changed_at").desc(), F.col("_title"))
+    clean = (
+        changes.select("document_id", sanitize_title(F.col("new_title")).alias("_title"), "changed_at")
+        .filter("_title <> ''")
+        .withColumn("_n", F.row_number().over(window))
+        .filter("_n = 1")
+        .drop("_n")
+    )
     return (
         documents.join(clean, "document_id", "left")
         .withColumn("title", F.coalesce("_title", "title"))
@@ -233,8 +241,12 @@ def finish_processing(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Lifecycle after a run: (document_id, outcome, error_text).
 
     ``completed`` rows get full progress and no error, ``failed`` rows the error
-    text and no progress, ``cancelled`` rows leave; others are unchanged.
+    text and no progress, ``cancelled`` rows leave; others are unchanged. Of several
+    outcomes of a document, cancelled comes before failed and failed before completed.
     """
+    place = F.array_position(F.array(*map(F.lit, ("cancelled", "failed", "completed"))), F.col("outcome"))
+    first = Window.partitionBy("document_id").orderBy(F.when(place > 0, place).otherwise(9), "error_text")
+    outcomes = outcomes.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
     outcome = F.coalesce(F.col("outcome"), F.lit(""))
     return (
         documents.join(outcomes, "document_id", "left")

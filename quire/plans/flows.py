@@ -35,7 +35,8 @@ def responses_to_sources(responses: DataFrame, manifests: DataFrame) -> tuple[Da
     """
     parsed, quarantine = ingest.parse_responses(responses, "job_id")
     pages = cut(ingest.ocr_pages(parsed, "job_id"))
-    known = manifests.join(pages.select("job_id").distinct(), "job_id", "left_semi")
+    # of the responses, not of their pages: a response without pages is a mismatch too
+    known = manifests.join(parsed.select("job_id").distinct(), "job_id", "left_semi")
     wrong = jobs.page_mismatches(known, pages.join(known, "job_id", "left_semi"))
     complete = pages.join(known, "job_id", "left_semi").join(wrong.select("job_id"), "job_id", "left_anti")
     sources = jobs.assemble_markdown(complete.withColumnRenamed("markdown", "final_markdown"))

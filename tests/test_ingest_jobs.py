@@ -148,3 +148,24 @@ def test_effective_source(spark):
     machine = spark.createDataFrame([("a", "machine"), ("b", "machine")], "job_id string, source string")
     got = {r.job_id: r.source for r in jobs.effective_source(ids, edited, machine).collect()}
     assert got == {"a": "edited", "b": "machine", "c": ""}
+
+
+def test_repeated_edits_follow_each_other(spark):
+    current = spark.createDataFrame([("a", "one"), ("b", "kept")], "job_id string, source string")
+    edits = spark.sql("""select * from values ('a', 'three', timestamp '2024-01-02 00:00:00'), ('a', ' two ', timestamp '2024-01-01 00:00:00'),
+        ('b', '  ', timestamp '2024-01-01 00:00:00'), ('c', 'new', timestamp '2024-01-01 00:00:00') t(job_id, source, edited_at)""")
+    history, now = jobs.edit_history(current, edits)
+    assert [r.source for r in history.orderBy("path").collect()] == ["one", "two"]
+    assert {(r.job_id, r.source) for r in now.collect()} == {("a", "three"), ("b", "kept"), ("c", "new")}
+
+
+def test_repeated_and_missing_pages_are_found(spark):
+    manifests = spark.createDataFrame([("gap", 3), ("good", 2), ("none", 1)], "job_id string, page_count int")
+    pages = spark.createDataFrame([("gap", 0), ("gap", 0), ("gap", 2), ("good", 0), ("good", 1)], "job_id string, page_index int")
+    assert {r.job_id for r in jobs.page_mismatches(manifests, pages).collect()} == {"gap", "none"}
+
+
+def test_parts_split_back_to_their_pages(spark):
+    pages = spark.createDataFrame([("j", i, f"page {i}") for i in range(5)], "job_id string, page_index int, final_markdown string")
+    back = jobs.split_pages(jobs.assemble_markdown(pages, part_pages=2), part_pages=2)
+    assert sorted((r.page_index, r.markdown) for r in back.collect()) == [(i, f"page {i}") for i in range(5)]
