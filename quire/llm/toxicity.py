@@ -22,6 +22,8 @@ TRAINING_ROWS = 8_000
 TRAINING_CHARS = 20_000
 FOLDS = 4
 STEPS = 60
+#: A word counts when its log ratio is so many standard errors from zero.
+LEAST_ERRORS = 3
 CACHE_ENTRIES = 1_000_000
 _WORD = re.compile(r"\w+")
 
@@ -57,13 +59,15 @@ class Linear:
 
 
 def fit_linear(flat: np.ndarray, starts: np.ndarray, earlier: np.ndarray, target: np.ndarray) -> Linear:
-    """Logistic regression on word presence, each scaled by its log count ratio between the classes; Adam steps."""
+    """Logistic regression on word presence, each scaled by its log count ratio between the classes where that
+    is significant; Adam steps."""
     rows = np.repeat(np.arange(len(target)), np.diff(starts))
     in_bad = np.bincount(flat, weights=target[rows], minlength=DIMENSIONS)
     in_all = np.bincount(flat, minlength=DIMENSIONS)
     bad, good = target.sum() + 1, (1 - target).sum() + 1
     ratio = np.log(((in_bad + 0.5) / bad) / ((in_all - in_bad + 0.5) / good))
-    ratio[in_all < 3] = 0
+    error = np.sqrt(1 / (in_bad + 0.5) + 1 / (in_all - in_bad + 0.5))
+    ratio[np.abs(ratio) < LEAST_ERRORS * error] = 0
     scaled = ratio[flat]
     weight = np.where(target > 0, 0.5 / bad, 0.5 / good)
     theta = np.concatenate((np.zeros(DIMENSIONS), np.zeros(earlier.shape[1] + 1)))
@@ -96,7 +100,8 @@ def _rows(flat: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> tuple[np.nd
 
 
 def fit_chain(places: list[np.ndarray], targets: np.ndarray, folds: np.ndarray) -> Chain:
-    """One model per column of ``targets``; the limit on the last one has the best F1 out of fold."""
+    """One model per column of ``targets``; the limit on the last one has the best F1 out of
+    fold, midway to the next row below."""
     flat = np.concatenate([np.empty(0, np.int32), *places])
     starts = np.concatenate(([0], np.cumsum([len(p) for p in places]))).astype(np.int64)
     earlier, models = np.zeros((len(places), 0)), []
@@ -112,7 +117,11 @@ def fit_chain(places: list[np.ndarray], targets: np.ndarray, folds: np.ndarray)
     order = np.argsort(-earlier[:, -1], kind="stable")
     hits = np.cumsum(targets[order, -1])
     f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(1, targets[:, -1].sum()))
-    return Chain(models, float(earlier[order[int(f1.argmax())], -1]) if hits.size and hits[-1] else 1.1)
+    if not hits.size or not hits[-1]:
+        return Chain(models, 1.1)
+    ranked = np.append(earlier[order, -1], 0.0)
+    best = int(f1.argmax())
+    return Chain(models, float(ranked[best] + ranked[best + 1]) / 2)
 
 
 def predict(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], text: str = "text") -> DataFrame:
