@@ -75,7 +75,7 @@ def archive_manifest(spark, sf_dir):
 
 
 def archive_checksums(spark, sf_dir):
-    """Entries with their CRC-32; SQL has no such function."""
+    """Entries with their CRC-32."""
     return archive.archive_manifest(_artifact_files(spark, sf_dir), ["artifacts.zip"])
 
 
@@ -263,6 +263,16 @@ ORACLE = {
     "CASE WHEN s_suppkey % 3 = 0 THEN 'page 1' END AS \"stageDetail\" FROM supplier WHERE s_suppkey % 11 NOT IN (5, 6)",
     "archive_manifest": f"{_FILES} SELECT job_id, archive_path, size, entry, CAST(running AS BIGINT) AS running_bytes, "
     "running > 60000 AS over_cap FROM m",
+    "archive_checksums": f"""{_FILES},
+tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce([i, 0, 0, 0, 0],
+          lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(16) t(i))),
+b AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS b FROM documents),
+n AS (SELECT doc_id, flatten(list_transform(b,
+        lambda p: [strpos('0123456789ABCDEF', p[2]) - 1, strpos('0123456789ABCDEF', p[1]) - 1])) AS n FROM b),
+sums AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, n),
+           lambda c, d: xor(c >> 4, tab[(xor(c, d) & 15) + 1])), 4294967295) AS crc32 FROM n, tab)
+SELECT job_id, archive_path, size, CAST(crc32 AS BIGINT) AS crc32, entry, CAST(running AS BIGINT) AS running_bytes,
+       running > 262144000 AS over_cap FROM m JOIN sums USING (doc_id)""",
     "oversized_jobs": f"{_FILES} SELECT job_id, CAST(max(running) AS BIGINT) AS archive_bytes, max(running) > 60000 "
     "AS too_large FROM m GROUP BY 1",
     "value_histogram": "SELECT event_type, CAST(least(floor(value), 255) AS INTEGER) AS bin, count(*) AS n FROM events GROUP BY ALL",

@@ -25,34 +25,35 @@ def _results(found):
         "result_id", "document_id", "title", "document_type", "page_id", "page_number", "snippet",
         marks(F.col("highlights")).alias("highlights"), "match_kind", "title_rank",
         F.col("body_match_count").cast("long").alias("body_match_count"), "updated_at",
+        F.col("position").cast("long").alias("position"),
     )
 
 
 def search_top20(spark, sf_dir):
     return _results(
-        search.search(r.chat_documents(spark, sf_dir), r.chat_pages(spark, sf_dir), FRENCH_QUERY, limit=20)
+        search.search(r.chat_documents(spark, sf_dir), r.chat_pages(spark, sf_dir), FRENCH_QUERY, limit=20, ranked=True)
     )
 
 
 def search_flagship(spark, sf_dir):
     """Top 20 pages and titles for two common words."""
     return _results(
-        search.search(r.chat_documents(spark, sf_dir), r.chat_pages(spark, sf_dir), "The OF", limit=20)
+        search.search(r.chat_documents(spark, sf_dir), r.chat_pages(spark, sf_dir), "The OF", limit=20, ranked=True)
     )
 
 
 def search_all_pages(spark, sf_dir):
-    return _results(search.search(r.corpus_documents(spark, sf_dir), r.corpus_pages(spark, sf_dir), TITLE_QUERY))
+    return _results(search.search(r.corpus_documents(spark, sf_dir), r.corpus_pages(spark, sf_dir), TITLE_QUERY, ranked=True))
 
 
 def search_title_hits(spark, sf_dir):
-    """Titles come from the first turn only, so some documents match by title alone."""
-    late = r.chat_pages(spark, sf_dir).filter("page_number > 1")
-    return _results(search.search(r.chat_documents(spark, sf_dir), late, "the of"))
+    """The words stand in titles and on no page; some of the documents have no pages."""
+    documents = r.library_documents(spark, sf_dir).withColumn("updated_at", F.col("created_at"))
+    return _results(search.search(documents, r.library_pages(spark, sf_dir), "customer building", ranked=True))
 
 
 def search_blank_query(spark, sf_dir):
-    return _results(search.search(r.chat_documents(spark, sf_dir), r.chat_pages(spark, sf_dir), " \n "))
+    return _results(search.search(r.chat_documents(spark, sf_dir), r.chat_pages(spark, sf_dir), " \n ", ranked=True))
 
 
 def sql_search(documents: str, pages: str, terms: list[str], whole: str, limit: int | None = None) -> str:
@@ -99,12 +100,14 @@ n AS (SELECT *, CASE WHEN body THEN CASE WHEN lo > 0 THEN '…' ELSE '' END || s
                        || CASE WHEN hi < length(flat) THEN '…' ELSE '' END
                      WHEN length(flat) > 120 THEN left(flat, 120) || '…' ELSE flat END AS snippet FROM k),
 o AS (SELECT *, {fold.format('snippet')} AS sf FROM n)
-SELECT CAST(document_id AS VARCHAR) || '#' || CASE WHEN body THEN page_id ELSE 'title' END AS result_id,
+SELECT CAST(document_id AS VARCHAR) || '#' || CASE WHEN body THEN CAST(page_id AS VARCHAR) ELSE 'title' END AS result_id,
        document_id, title, document_type, page_id, page_number, snippet,
        CASE WHEN body THEN array_to_string(list_transform(list_sort(list_concat({spans})),
             lambda x: x.s || '-' || x.e), ',') ELSE '' END AS highlights,
        CASE WHEN body THEN 'body' WHEN title_rank = 0 THEN 'title_exact' ELSE 'title_partial' END AS match_kind,
-       title_rank, CAST(body_match_count AS BIGINT) AS body_match_count, updated_at
+       title_rank, CAST(body_match_count AS BIGINT) AS body_match_count, updated_at,
+       row_number() OVER (ORDER BY title_rank, body_match_count DESC, updated_at DESC, CAST(document_id AS VARCHAR), page_number) - 1
+         AS position
 FROM o {tail}"""
 
 
@@ -271,9 +274,9 @@ ORACLE = {
     "search_top20": _CHAT + sql_search("chat_documents", "chat_pages", ["etion", "que"], "etion  que", 20),
     "search_all_pages": f"WITH {r.SQL_CORPUS}"
     + sql_search("corpus_documents", "corpus_pages", ["the", "thor"], "the thor"),
-    "search_title_hits": _CHAT
-    + ", late AS (SELECT * FROM chat_pages WHERE page_number > 1)"
-    + sql_search("chat_documents", "late", ["the", "of"], "the of"),
+    "search_title_hits": f"WITH {r.SQL_LIBRARY}"
+    + ", dated AS (SELECT *, created_at AS updated_at FROM library_documents)"
+    + sql_search("dated", "library_pages", ["customer", "building"], "customer building"),
     "search_blank_query": _CHAT
     + sql_search("chat_documents", "chat_pages", ["the", "of"], "the of").replace("FROM o", "FROM o WHERE false"),
     "search_batch": SQL_BATCH,

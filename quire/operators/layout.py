@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import page_side, shares_line
+from ..functions.geometry import SAME_LINE_RATIO, page_side, shares_line
 from ..functions.text import trim_blank
 from .ordered import Ordered, per_group, with_group_totals
 
@@ -51,8 +51,10 @@ def _two_columns():
     return (F.col("_span") == 0) & (F.col("_left") >= 2) & (F.col("_right") >= 2)
 
 
-def assign_columns(blocks: DataFrame, keys: Sequence[str], slices: int = 0) -> DataFrame:
-    """Add ``column_id``: 0, or 1 for the right side of a two-column page."""
+def assign_columns(blocks: DataFrame, keys: Sequence[str], slices: int = 0, detect_columns: bool = True) -> DataFrame:
+    """Add ``column_id``: 0, or 1 for the right side of a two-column page; all 0 where columns are not detected."""
+    if not detect_columns:
+        return blocks.withColumn("column_id", F.lit(0))
     sided = blocks.withColumn("_side", page_side(F.col("x"), F.col("w")))
     counted = with_group_totals(sided, keys, _side_counts(), slices)
     right = _two_columns() & (F.col("_side") == "right")
@@ -61,22 +63,26 @@ def assign_columns(blocks: DataFrame, keys: Sequence[str], slices: int = 0) -> D
     )
 
 
-def _with_lines(blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str], slices: int) -> DataFrame:
+def _with_lines(
+    blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str], slices: int, same_line_ratio: float, detect_columns: bool
+) -> DataFrame:
     """Add ``mid_y`` and ``line_id``, the 1-based visual line within a column.
 
     Blocks are visited by descending middle; only the latest line is open, so a
     block joins it exactly when it shares a line with the block just before.
     """
-    placed = assign_columns(blocks, keys, slices).withColumn("mid_y", F.col("y") + F.col("h") / 2)
+    placed = assign_columns(blocks, keys, slices, detect_columns).withColumn("mid_y", F.col("y") + F.col("h") / 2)
     order = [F.col("mid_y").desc(), *[F.col(o) for o in ordinal]]
     scan = Ordered(placed, [*keys, "column_id"], order, slices).lag({"_py": "y", "_ph": "h"}, first="_start")
-    joined = shares_line(F.col("y"), F.col("h"), F.col("_py"), F.col("_ph"))
+    joined = shares_line(F.col("y"), F.col("h"), F.col("_py"), F.col("_ph"), same_line_ratio)
     fresh = F.when(~F.col("_start") & joined, 0).otherwise(1)
     return scan.running_sum(fresh, "line_id").done().drop("_py", "_ph", "_start")
 
 
-def _with_reading_order(blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str], slices: int) -> DataFrame:
-    lined = _with_lines(blocks, keys, ordinal, slices)
+def _with_reading_order(
+    blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str], slices: int, same_line_ratio: float, detect_columns: bool
+) -> DataFrame:
+    lined = _with_lines(blocks, keys, ordinal, slices, same_line_ratio, detect_columns)
     order = [
         F.col("column_id"),
         F.col("line_id"),
@@ -87,14 +93,28 @@ def _with_reading_order(blocks: DataFrame, keys: Sequence[str], ordinal: Sequenc
     return Ordered(lined, keys, order, slices).index("reading_order").done()
 
 
-def group_lines(blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str]) -> DataFrame:
+def group_lines(
+    blocks: DataFrame,
+    keys: Sequence[str],
+    ordinal: Sequence[str],
+    same_line_ratio: float = SAME_LINE_RATIO,
+    detect_columns: bool = True,
+) -> DataFrame:
     """Visual lines within detected columns: adds ``column_id``, ``line_id``, ``mid_y``."""
-    return per_group(blocks, keys, lambda rows, slices: _with_lines(rows, keys, ordinal, slices))
+    options = same_line_ratio, detect_columns
+    return per_group(blocks, keys, lambda rows, slices: _with_lines(rows, keys, ordinal, slices, *options))
 
 
-def reading_order(blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str]) -> DataFrame:
+def reading_order(
+    blocks: DataFrame,
+    keys: Sequence[str],
+    ordinal: Sequence[str],
+    same_line_ratio: float = SAME_LINE_RATIO,
+    detect_columns: bool = True,
+) -> DataFrame:
     """Natural reading order: adds a dense 0-based ``reading_order`` per page."""
-    return per_group(blocks, keys, lambda rows, slices: _with_reading_order(rows, keys, ordinal, slices))
+    options = same_line_ratio, detect_columns
+    return per_group(blocks, keys, lambda rows, slices: _with_reading_order(rows, keys, ordinal, slices, *options))
 
 
 def reindex(blocks: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -174,12 +194,17 @@ def compose_text(blocks: DataFrame, keys: Sequence[str], part_blocks: int = PART
 
 
 def order_and_compose(
-    blocks: DataFrame, keys: Sequence[str], ordinal: Sequence[str], part_blocks: int = PART_BLOCKS
+    blocks: DataFrame,
+    keys: Sequence[str],
+    ordinal: Sequence[str],
+    part_blocks: int = PART_BLOCKS,
+    same_line_ratio: float = SAME_LINE_RATIO,
+    detect_columns: bool = True,
 ) -> DataFrame:
     """Unordered blocks to page text in one pass over a single page-key exchange."""
 
     def compute(rows: DataFrame, slices: int) -> DataFrame:
-        ordered = _with_reading_order(rows, keys, ordinal, slices)
+        ordered = _with_reading_order(rows, keys, ordinal, slices, same_line_ratio, detect_columns)
         return _concatenate(_with_pieces(ordered, keys, slices), keys, part_blocks)
 
     return per_group(blocks, keys, compute)

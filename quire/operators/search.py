@@ -6,12 +6,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.paging import clamp_page
 from ..runtime import cut, is_small
+from .ordered import with_global_index
 
 RESULT_COLUMNS = [
     "result_id",
@@ -82,13 +83,15 @@ def search(
     query: str,
     limit: int | None = None,
     radius: int = t.CONTEXT_RADIUS,
+    ranked: bool = False,
 ) -> DataFrame:
     """Pages holding every term, and documents matched by title alone.
 
     A page matches when it holds all terms itself. Documents rank by title
     match, then by matches summed over all their pages, then by recency. With
-    ``limit`` the order is a top-k (no global sort); otherwise sort the result
-    by :func:`rank_order` where an order is needed.
+    ``limit`` the order is a top-k (no global sort). ``ranked`` adds the 0-based
+    ``position`` of each result; without a limit it comes from a range partitioning
+    of the results by :func:`rank_order`, never from one task.
     """
     literal = t.parse_terms(query)
     terms = [t.fold_literal(term) for term in literal]
@@ -103,7 +106,8 @@ def search(
         "_body": F.lit(False),
     }
     if not terms:
-        return _shape(docs.filter(F.lit(False)).withColumns({"body_match_count": F.lit(0), **no_page}), terms, radius)
+        nothing = _shape(docs.filter(F.lit(False)).withColumns({"body_match_count": F.lit(0), **no_page}), terms, radius)
+        return nothing.withColumn("position", F.lit(None).cast("long")) if ranked else nothing
 
     # One row per matching document. It is written to the checkpoint folder, so the
     # full text scan behind it runs once although three branches read the result.
@@ -136,11 +140,15 @@ def search(
     ]
     rows = body.select(*carried).unionByName(first.select(*carried)).unionByName(bare.select(*carried))
     if limit is None:
-        return _shape(rows, terms, radius)
+        shaped = _shape(rows, terms, radius)
+        return with_global_index(cut(shaped), rank_order(), "position") if ranked else shaped
     # The top k is written first (k rows); otherwise the optimiser moves the snippet
     # expressions below the limit, which costs the top-k operator and builds them for all.
     best = cut(rows.orderBy(*rank_order()).limit(limit))
-    return _shape(best, terms, radius).orderBy(*rank_order())
+    shaped = _shape(best, terms, radius)
+    if ranked:  # k rows, which the top-k had in one task already
+        shaped = shaped.withColumn("position", F.row_number().over(Window.orderBy(*rank_order())).cast("long") - 1)
+    return shaped.orderBy(*rank_order())
 
 
 def open_result_pages(results: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:

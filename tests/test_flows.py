@@ -41,7 +41,7 @@ def test_contract_is_complete():
     assert set(oracle) <= set(queries)
     import catalog
 
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"archive_checksums"}
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
     assert set(catalog.queries()) <= set(queries)
 
 

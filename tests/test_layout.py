@@ -122,6 +122,23 @@ def test_layout_against_brute_force(spark):
     check_against_brute_force(spark, 100_000)
 
 
+def test_sorter_options(spark):
+    """Two columns of two lines; the lines of the right one lie a little lower."""
+    rows = [(0, 0, "a", 0.1, 0.80, 0.3, 0.1), (0, 1, "b", 0.6, 0.76, 0.3, 0.1), (0, 2, "c", 0.1, 0.50, 0.3, 0.1), (0, 3, "d", 0.6, 0.46, 0.3, 0.1)]
+    blocks = spark.createDataFrame(rows, SCHEMA)
+
+    def order(**options):
+        found = layout.reading_order(blocks, ["page_id"], ["ordinal"], **options).orderBy("reading_order").collect()
+        return [r.ordinal for r in found], len({(r.column_id, r.line_id) for r in found})
+
+    assert order() == ([0, 2, 1, 3], 4)
+    assert order(detect_columns=False) == ([0, 1, 2, 3], 2)
+    assert order(detect_columns=False, same_line_ratio=0.9) == ([0, 1, 2, 3], 4)
+    assert {r.column_id for r in layout.group_lines(blocks, ["page_id"], ["ordinal"], detect_columns=False).collect()} == {0}
+    text = layout.order_and_compose(blocks, ["page_id"], ["ordinal"], detect_columns=False).first().page_text
+    assert text == "a b\nc d"
+
+
 def test_layout_with_hot_pages(spark, hot_limits):
     check_against_brute_force(spark, 7)
 
