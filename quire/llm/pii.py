@@ -77,9 +77,16 @@ def context(text: str, start: int, end: int) -> list[str]:
     return [f"{before[0]} {before[1]} _", f"{before[1]} _ {after}"]
 
 
+def _hash(value: str) -> int:
+    return xxhash.xxh3_64_intdigest(value) - (1 << 63)
+
+
 def identifiers(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple]:
-    """Seeds and other identifier-like tokens: (start, end, kind or None, instance, signs, digits, patterns)."""
-    out = [(s, e, k, xxhash.xxh3_64_intdigest(text[s:e]) - (1 << 63), None, None, context(text, s, e)) for s, _, k, e in base]
+    """Seeds and other identifier-like tokens: (start, end, kind or None, instance, signs, digits, patterns).
+
+    Instances and patterns are hashes: words around an identifier may themselves be personal data.
+    """
+    out = [(s, e, k, _hash(text[s:e]), None, None, list(map(_hash, context(text, s, e)))) for s, _, k, e in base]
     i, reach = 0, 0
     for m in _TOKEN.finditer(text):
         while i < len(base) and base[i][0] < m.end():
@@ -92,12 +99,13 @@ def identifiers(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple]
         token = token.rstrip(_EDGE)
         digits = sum("0" <= c <= "9" for c in token)
         if "@" in token or digits >= 4:
-            out.append((start, start + len(token), None, xxhash.xxh3_64_intdigest(token) - (1 << 63), token.count("@"), digits, context(text, start, start + len(token))))
+            patterns = list(map(_hash, context(text, start, start + len(token))))
+            out.append((start, start + len(token), None, _hash(token), token.count("@"), digits, patterns))
     return out
 
 
 _SPAN = "struct<start:bigint,place:int,kind:string,end:bigint>"
-_IDENTIFIER = "struct<start:bigint,end:bigint,kind:string,instance:bigint,signs:int,digits:int,patterns:array<string>>"
+_IDENTIFIER = "struct<start:bigint,end:bigint,kind:string,instance:bigint,signs:int,digits:int,patterns:array<bigint>>"
 
 
 def _measured(docs: DataFrame, text: str) -> DataFrame:
