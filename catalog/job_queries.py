@@ -368,6 +368,32 @@ def deadline_results(spark, sf_dir):
     return jobs.split_by_deadline(starts, results).select("batch_id", "start_id", "event_id")
 
 
+MONTH = 30 * 24 * 3600
+
+
+def _shipping(spark, sf_dir):
+    """An order plans its lines; a line has its result when it is received."""
+    lines = r.table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "batch_id", "l_linenumber": "line"})
+    orders = r.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"))
+    planned = lines.select("batch_id", "line").join(orders, "batch_id")
+    return planned, lines.select("batch_id", "line", F.col("l_shipdate").cast("timestamp").alias("finished_at"))
+
+
+def deadline_leftovers(spark, sf_dir):
+    planned, results = _shipping(spark, sf_dir)
+    return jobs.deadline_leftovers(planned, results, "line", MONTH).select("batch_id", "line")
+
+
+def deadline_progress(spark, sf_dir):
+    planned, results = _shipping(spark, sf_dir)
+    return jobs.deadline_progress(planned, jobs.deadline_leftovers(planned, results, "line", MONTH))
+
+
+_SHIPPED = """WITH k AS (
+  SELECT l_orderkey AS batch_id, l_linenumber AS line, o_orderdate, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+), s AS (
+  SELECT *, EXISTS (SELECT 1 FROM k r WHERE r.batch_id = k.batch_id AND r.line = k.line
+    AND r.l_shipdate >= k.o_orderdate AND r.l_shipdate <= k.o_orderdate + INTERVAL 30 DAY) AS in_time FROM k)"""
 _JOBS = f"WITH {SQL_JOBS}"
 _REQ = "job_id, page_index, kind, crop_index"
 _UPDATES = """
@@ -394,7 +420,7 @@ QUERIES = {
         ocr_assets, ocr_pages, ocr_quarantine, completions, completion_quarantine, clean_observations, best_candidates,
         language_negotiation, request_plan, pending_requests, reusable_requests, batch_completeness, write_once,
         effective_source, edit_history, edited_sources, page_mismatches, refinement_join, assembled_markdown,
-        split_assembled, merge_evidence, page_evidence, job_records, job_states, latest_manifests, deadline_results,
+        split_assembled, merge_evidence, page_evidence, job_records, job_states, latest_manifests, deadline_results, deadline_leftovers, deadline_progress,
     )
 }
 
@@ -473,4 +499,6 @@ SELECT doc_id, reading_order, text, CAST(0.9 AS DOUBLE) AS confidence FROM c WHE
     "deadline_results": "SELECT s.user_id AS batch_id, s.event_id AS start_id, e.event_id FROM events s JOIN events e "
     "ON s.user_id = e.user_id AND s.event_type = 'purchase' AND e.event_type <> 'purchase' "
     "AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 210 SECOND",
+    "deadline_leftovers": f"{_SHIPPED} SELECT batch_id, line FROM s WHERE NOT in_time",
+    "deadline_progress": f"{_SHIPPED} SELECT batch_id, count(*) FILTER (in_time) AS completed, count(*) AS total FROM s GROUP BY 1",
 }

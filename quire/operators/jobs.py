@@ -284,3 +284,25 @@ def split_by_deadline(starts: DataFrame, results: DataFrame, seconds: int = DEAD
         .filter((F.col("finished_at") >= F.col("started_at")) & (F.col("finished_at") <= limit))
         .drop("_slot")
     )
+
+
+def deadline_leftovers(planned: DataFrame, results: DataFrame, item: str, seconds: int = DEADLINE_SECONDS) -> DataFrame:
+    """Planned items (batch_id, ``item``, started_at) without a result in time, ready to be planned again.
+
+    Items are matched by equality on batch and item, so a batch of any size is spread over its items.
+    """
+    limit = F.col("p.started_at") + F.make_interval(secs=F.lit(seconds))
+    met = (
+        (F.col("p.batch_id") == F.col("r.batch_id"))
+        & (F.col(f"p.{item}") == F.col(f"r.{item}"))
+        & (F.col("r.finished_at") >= F.col("p.started_at"))
+        & (F.col("r.finished_at") <= limit)
+    )
+    return planned.alias("p").join(results.alias("r"), met, "left_anti")
+
+
+def deadline_progress(planned: DataFrame, leftovers: DataFrame) -> DataFrame:
+    """(batch_id, completed, total) after the deadline."""
+    rows = planned.select("batch_id", F.lit(0).alias("_left")).unionByName(leftovers.select("batch_id", F.lit(1).alias("_left")))
+    total = F.count_if(F.col("_left") == 0)
+    return rows.groupBy("batch_id").agg((total - F.sum("_left")).alias("completed"), total.alias("total"))

@@ -207,3 +207,16 @@ def test_deadline_slots(spark):
     results = spark.createDataFrame([("b", o, T0 + datetime.timedelta(seconds=o)) for o in offsets], "batch_id string, o int, finished_at timestamp")
     got = {(r.s, r.o) for r in split_by_deadline(starts, results).collect()}
     assert got == {(s, o) for s, b in ((1, 0), (2, 300)) for o in offsets if b <= o <= b + 210}
+
+
+def test_deadline_leftovers(spark):
+    from quire.operators.jobs import deadline_leftovers, deadline_progress
+
+    rows = [("b", 0, T0), ("b", 1, T0), ("b", 2, T0), ("b", 3, T0), ("c", 0, T0)]
+    planned = spark.createDataFrame(rows, "batch_id string, page int, started_at timestamp")
+    offsets = [("b", 0, 210), ("b", 1, 211), ("b", 2, 250), ("b", 2, 10), ("c", 1, 1)]
+    found = [(b, p, T0 + datetime.timedelta(seconds=o)) for b, p, o in offsets]
+    results = spark.createDataFrame(found, "batch_id string, page int, finished_at timestamp")
+    left = deadline_leftovers(planned, results, "page")
+    assert {(r.batch_id, r.page) for r in left.collect()} == {("b", 1), ("b", 3), ("c", 0)}
+    assert {tuple(r) for r in deadline_progress(planned, left).collect()} == {("b", 2, 4), ("c", 0, 1)}
