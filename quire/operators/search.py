@@ -129,8 +129,10 @@ def search(
         body = slim.filter(full).join(side.filter("_any_hit = 1"), "document_id")
     body = body.withColumn("_body", F.lit(True))
     # Documents matched by title alone show their first page, if they have one.
+    lone = kept.filter("_any_hit = 0")
+    lone = F.broadcast(lone) if small or is_small(lone) else lone
     first = slim.withColumn("_body", F.lit(False)).join(
-        side.filter("_any_hit = 0").withColumnRenamed("_first_page", "page_number"),
+        lone.withColumnRenamed("_first_page", "page_number"),
         ["document_id", "page_number"],
     )
     bare = kept.filter("_any_hit = 0 AND _first_page IS NULL").withColumns(no_page)
