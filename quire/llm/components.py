@@ -21,16 +21,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return near.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars already: a node is a centre, or a leaf with one centre, and never both."""
+    nodes = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre"))
+    )
+    seen = nodes.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+    return seen.where(F.col("leaf") + F.col("centre") > 1).limit(1).count() == 0
+
+
 def label(links: DataFrame) -> DataFrame:
     """(u, v): every linked node but the smallest of its component, with that smallest one.
 
     ``links`` has two columns u and v of any orderable type; loops and repeats are allowed, and no links give no rows.
     """
-    edges = store(links.where("u != v").select("u", "v").distinct())
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return edges
-        before = state
+    edges = store(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _is_settled(edges):
         edges = store(_small_star(_large_star(edges)))
+    return edges

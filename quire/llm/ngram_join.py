@@ -246,11 +246,11 @@ def _merged(members: DataFrame, links: DataFrame) -> DataFrame:
 def set_components(sets: DataFrame, percent: int) -> DataFrame:
     """(id, comp) of the surviving sets; ``comp`` is the smallest id that links reach."""
     sets = store(sets)
-    parts = store(
-        sets.select("id", "n", F.explode("hashes").alias("h"))
-        .groupBy("id", "n", F.shiftrightunsigned("h", 64 - PAIR_FRAGMENT_BITS).alias("fragment"))
-        .agg(F.collect_list("h").alias("hashes"))
+    cut = F.transform(
+        F.sequence(F.lit(0), F.lit((1 << PAIR_FRAGMENT_BITS) - 1)),
+        lambda i: F.struct(i.alias("fragment"), F.filter("hashes", lambda h: F.shiftrightunsigned(h, 64 - PAIR_FRAGMENT_BITS) == i).alias("hashes")),
     )
+    parts = store(sets.select("id", "n", F.inline(cut)).where(F.size("hashes") > 0))
     m = F.size("hashes")
     prefix = store(
         sets.select("id", "n", "bits", m.alias("m"), F.posexplode(F.slice("hashes", F.lit(1), m - _needed(F.col("n"), percent) + 1)).alias("at", "hash"))
@@ -259,7 +259,8 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     members = store(sets.select("id", F.col("id").alias("comp")))
     barren = False
     for turn in range(MAX_HUB_ROUNDS + 1):
-        rows = prefix.join(members, prefix["s.id"] == members["id"]).drop("id")
+        alone = prefix.withColumn("comp", F.col("s.id"))
+        rows = prefix.join(members, prefix["s.id"] == members["id"]).drop("id") if turn else alone
         by_comp = rows.groupBy("hash", "comp").agg(F.count("*").cast("double").alias("c"))
         top = F.max_by("comp", F.struct("c", "comp")).alias("top")
         open_ = by_comp.groupBy("hash").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("comps"), top)
