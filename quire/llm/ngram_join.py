@@ -26,7 +26,9 @@ from quire.llm import components
 from quire.llm.shared import store
 
 #: Shingles that one fragment holds, on average.
-FRAGMENT_SHINGLES = 4_000_000
+FRAGMENT_SHINGLES = 2_000_000
+#: A task packs the parts of so many shingles at once, whatever the batch holds.
+PACKED_SHINGLES = 2_000_000
 #: Fragments in which a pair's overlap is counted: the highest bits of the hash.
 PAIR_FRAGMENT_BITS = 3
 #: Longs of the bitmap that bounds an overlap before it is counted.
@@ -36,7 +38,7 @@ PAIRS_PER_ROW = 4
 MAX_HUB_ROUNDS = 2
 #: They also end when fewer than one in so many compared pairs links.
 BARREN_SHARE = 20
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -95,13 +97,29 @@ def sets_of(docs: DataFrame, text: str = "text", size: int = 5) -> DataFrame:
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _packed(keys: list[bytes], sizes: list[int], parts: list[np.ndarray], fragments: int) -> pd.DataFrame:
+    """One row a fragment: the keys and sizes of its sets, how many shingles of each lie in it, and those."""
+    total = np.array(sizes, dtype=np.int64)
+    hashes, owner = np.concatenate(parts), np.repeat(np.arange(len(keys), dtype=np.int32), total)
+    fragment = ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+    order = np.argsort(fragment, kind="stable")
+    hashes, owner, fragment = hashes[order], owner[order], fragment[order]
+    packed = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
+    bounds = np.flatnonzero(np.diff(fragment)) + 1
+    rows = []
+    for low, high in zip([0, *bounds], [*bounds, len(fragment)], strict=True):
+        own, counts = np.unique(owner[low:high], return_counts=True)  # owners are in order: so are the counts
+        rows.append((int(fragment[low]), packed[own].tobytes(), total[own].tobytes(), counts.astype(np.int64).tobytes(), hashes[low:high].tobytes()))
+    return pd.DataFrame(rows, columns=["fragment", "keys", "sizes", "counts", "hashes"])
+
+
 def _segments(docs: DataFrame, fragments: int, text: str, size: int) -> DataFrame:
     """(fragment, keys, sizes, counts, hashes): the parts of many sets that lie in one fragment, as packed arrays."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[bytes] = set()
         for batch in batches:
-            keys, sizes, parts, owners = [], [], [], []
+            keys, sizes, parts, held = [], [], [], 0
             for body in batch["text"].tolist():
                 hashes = shingle_hashes(body, size)
                 key = _digest(hashes)
@@ -110,24 +128,15 @@ def _segments(docs: DataFrame, fragments: int, text: str, size: int) -> DataFram
                 if len(seen) >= CACHE_ENTRIES:
                     seen.clear()
                 seen.add(key)
-                owners.append(np.full(len(hashes), len(keys), dtype=np.int32))
                 keys.append(key)
                 sizes.append(len(hashes))
                 parts.append(hashes)
-            if not keys:
-                continue
-            hashes, owner = np.concatenate(parts), np.concatenate(owners)
-            fragment = ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-            order = np.argsort(fragment, kind="stable")
-            hashes, owner, fragment = hashes[order], owner[order], fragment[order]
-            packed = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-            total = np.array(sizes, dtype=np.int64)
-            bounds = np.flatnonzero(np.diff(fragment)) + 1
-            rows = []
-            for low, high in zip([0, *bounds], [*bounds, len(fragment)], strict=True):
-                own, counts = np.unique(owner[low:high], return_counts=True)  # owners are in order: so are the counts
-                rows.append((int(fragment[low]), packed[own].tobytes(), total[own].tobytes(), counts.astype(np.int64).tobytes(), hashes[low:high].tobytes()))
-            yield pd.DataFrame(rows, columns=["fragment", "keys", "sizes", "counts", "hashes"])
+                held += len(hashes)
+                if held >= PACKED_SHINGLES:
+                    yield _packed(keys, sizes, parts, fragments)
+                    keys, sizes, parts, held = [], [], [], 0
+            if keys:
+                yield _packed(keys, sizes, parts, fragments)
 
     return docs.select(F.col(text).alias("text")).mapInPandas(cut, "fragment bigint, keys binary, sizes binary, counts binary, hashes binary")
 
@@ -259,8 +268,8 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     members = store(sets.select("id", F.col("id").alias("comp")))
     barren = False
     for turn in range(MAX_HUB_ROUNDS + 1):
-        alone = prefix.withColumn("comp", F.col("s.id"))
-        rows = prefix.join(members, prefix["s.id"] == members["id"]).drop("id") if turn else alone
+        # a shingle of one component stays so: later rounds look at the open ones alone
+        rows = rows.select("hash", "s").join(members, F.col("s.id") == F.col("id")).drop("id") if turn else prefix.withColumn("comp", F.col("s.id"))
         by_comp = rows.groupBy("hash", "comp").agg(F.count("*").cast("double").alias("c"))
         top = F.max_by("comp", F.struct("c", "comp")).alias("top")
         open_ = by_comp.groupBy("hash").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("comps"), top)
