@@ -3,7 +3,8 @@
 A text's lines are hashed, and rolling hashes over the lines before and after a place choose the boundaries: they
 depend on the lines alone, so inserted or lost lines shift nothing beyond their chunk. A long line is a chunk of its
 own. A chunk that occurs again anywhere is a repeat but for its first occurrence. Neighbouring repeats make a passage;
-passages of enough words are removed, after the bytes of each chunk and its first occurrence have been compared.
+passages of enough words are removed, after the bytes of each chunk and its first occurrence have been compared. Blank
+lines have no part in boundaries, hashes or comparison; those after a line go with it.
 """
 
 from __future__ import annotations
@@ -32,28 +33,34 @@ _MASK = 0xFFFFFFFFFFFFFFFF
 
 
 def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(first line, line after the last) of every chunk. Blank lines stay with the line before them."""
-    hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
+    """(first line, line after the last) of every chunk. Boundaries are chosen on the lines that are not blank; blank
+    lines stay with the line before them, or with the first chunk."""
+    places = [i for i, line in enumerate(lines) if line.strip()]
+    hashes = [xxhash.xxh3_64_intdigest(lines[i]) for i in places]
     pairs = [(h * 31 + g) & _MASK for h, g in zip(hashes, hashes[WINDOW - 1 :], strict=False)]  # of lines i and i + 1
     chosen = [(p >> 17) % DIVISOR == 0 for p in pairs]
-    long = [line.count(b" ") + line.count(b"\t") >= LONG_WORDS - 1 for line in lines]
-    bounds, start, last = [], 0, len(lines) - 1
+    long = [lines[i].count(b" ") + lines[i].count(b"\t") >= LONG_WORDS - 1 for i in places]
+    bounds, start, first, last = [], 0, 0, len(places) - 1
     for i in range(last):
         before, after = i > 0 and chosen[i - 1], i + 1 < last and chosen[i + 1]
-        if before or after or long[i] or long[i + 1] or i + 1 - start >= MAX_LINES:
-            if lines[i + 1].strip():
-                bounds.append((start, i + 1))
-                start = i + 1
-    bounds.append((start, last + 1))
+        if before or after or long[i] or long[i + 1] or i + 1 - first >= MAX_LINES:
+            bounds.append((start, places[i + 1]))
+            start, first = places[i + 1], i + 1
+    bounds.append((start, len(lines)))
     return bounds
 
 
+def worded(lines: list[bytes]) -> bytes:
+    """The bytes that are hashed and compared: blank lines are left out."""
+    return b"\n".join(line for line in lines if line.strip())
+
+
 def chunks_of(text: str | None) -> list[tuple[int, int, int, bytes]]:
-    """Chunks with words: first line, line after the last, number of words, bytes."""
+    """Chunks with words: first line, line after the last, number of words, bytes without blank lines."""
     lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
     found = []
     for low, high in chunk_bounds(lines):
-        body = b"\n".join(lines[low:high])
+        body = worded(lines[low:high])
         if words := len(body.split()):
             found.append((low, high, words, body))
     return found
@@ -93,7 +100,7 @@ def _texts_of(rows: DataFrame, work: DataFrame) -> DataFrame:
             out = []
             for doc_id, t1, t2, body, items in zip(*(batch[c].tolist() for c in ("doc_id", "t1", "t2", "text", "work")), strict=True):
                 lines = (body or "").encode("utf-8", "surrogatepass").split(b"\n")
-                out += [(doc_id, t1, t2, w["low"], w["high"], w["h1"], w["h2"], w["first"], b"\n".join(lines[w["low"] : w["high"]])) for w in items]
+                out += [(doc_id, t1, t2, w["low"], w["high"], w["h1"], w["h2"], w["first"], worded(lines[w["low"] : w["high"]])) for w in items]
             yield pd.DataFrame(out, columns=["doc_id", "t1", "t2", "low", "high", "h1", "h2", "first", "body"])
 
     schema = "doc_id string, t1 bigint, t2 bigint, low int, high int, h1 bigint, h2 bigint, first boolean, body binary"

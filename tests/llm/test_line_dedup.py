@@ -58,3 +58,21 @@ def test_passages(spark):
     for r in got:
         assert r["_lines"] - r["_removed"] == (len(r["text"].split("\n")) if r["text"] else r["_lines"] - r["_removed"])
     assert line_dedup.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_blank_lines_after_a_paragraph(spark):
+    rng = random.Random(3)
+    rows, kept = [], {}
+    for k in range(24):
+        paragraph = line(rng, 60)
+        for n, (blank, tail) in enumerate([("", "short"), ("\n", "short"), ("\n\n", "short"), (" \n", "end"), ("", "end"), ("", "last"), ("\n", "last")]):
+            head, after = line(rng, rng.choice([4, 30])), {"short": "\n" + line(rng, 3), "end": "\n", "last": ""}[tail]
+            rows.append((10 * k + n, f"{head}\n\n{paragraph}\n{blank}{after[1:]}\n{line(rng, 4)}" if tail == "short" else f"{head}\n\n{paragraph}{after}{blank}"))
+            kept[10 * k + n] = (paragraph, head)
+    for r in line_dedup.remove_repeats(frame(spark, rows)).collect():
+        paragraph, head = kept[r["doc_id"]]
+        assert (paragraph in r["text"]) == (r["doc_id"] % 10 == 0), r
+        assert head in r["text"]
+        if r["doc_id"] % 10 in (1, 2):
+            own = [x for x in dict(rows)[r["doc_id"]].split("\n") if x.strip() and x != paragraph]
+            assert [x for x in r["text"].split("\n") if x.strip()] == own
