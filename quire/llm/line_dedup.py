@@ -1,10 +1,11 @@
-"""Removal of repeated multi-line passages by content-defined chunks of lines.
-
-A text's lines are hashed, and rolling hashes over the lines before and after a place choose the boundaries: they
-depend on the lines alone, so inserted or lost lines shift nothing beyond their chunk. A long line is a chunk of its
-own. A chunk that occurs again anywhere is a repeat but for its first occurrence. Neighbouring repeats make a passage;
-passages of enough words are removed, after the bytes of each chunk and its first occurrence have been compared. Blank
-lines have no part in boundaries, hashes or comparison; those after a line go with it.
+"""Removal of repeated passages of whole lines by content-defined windows of lines.
+
+A passage is a run of lines with enough words. From every line on, the shortest run with as many words is a window, and
+so is the shortest run up to every line. Windows depend on the lines inside them alone, and every passage is the union
+of the windows inside it; so a line is in a passage that occurs before just where it is in a window that does. A window
+that occurs again anywhere is a repeat but for its first occurrence and what overlaps that. Lines in repeats are
+removed, after their bytes have been compared with the lines of the first occurrence. Blank lines have no part in
+windows and comparison; those after a line go with it.
 """
 
 from __future__ import annotations
@@ -27,14 +28,15 @@ DIVISOR = 2
 MAX_LINES = 16
 #: A line of as many words is a chunk of its own.
 LONG_WORDS = 20
-#: Passages of fewer words stay.
+#: Passages of fewer words stay: a window has as many.
 MIN_WORDS = 50
 _MASK = 0xFFFFFFFFFFFFFFFF
 
 
 def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
     """(first line, line after the last) of every chunk. Boundaries are chosen on the lines that are not blank; blank
-    lines stay with the line before them, or with the first chunk."""
+    lines stay with the line before them, or with the first chunk. For callers that want disjoint chunks;
+    ``remove_repeats`` looks at windows, which no neighbouring line can shift."""
     places = [i for i, line in enumerate(lines) if line.strip()]
     hashes = [xxhash.xxh3_64_intdigest(lines[i]) for i in places]
     pairs = [(h * 31 + g) & _MASK for h, g in zip(hashes, hashes[WINDOW - 1 :], strict=False)]  # of lines i and i + 1
@@ -50,19 +52,50 @@ def chunk_bounds(lines: list[bytes]) -> list[tuple[int, int]]:
     return bounds
 
 
-def worded(lines: list[bytes]) -> bytes:
-    """The bytes that are hashed and compared: blank lines are left out."""
-    return b"\n".join(line for line in lines if line.strip())
-
-
-def chunks_of(text: str | None) -> list[tuple[int, int, int, bytes]]:
-    """Chunks with words: first line, line after the last, number of words, bytes without blank lines."""
+def worded(text: str | None) -> tuple[list[bytes], list[int]]:
+    """All lines of a text, and the places of those that are not blank."""
     lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
-    found = []
-    for low, high in chunk_bounds(lines):
-        body = worded(lines[low:high])
-        if words := len(body.split()):
-            found.append((low, high, words, body))
+    return lines, [i for i, line in enumerate(lines) if line.strip()]
+
+
+def windows(sizes: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(first line, line after the last) of the shortest runs of ``min_words`` from every line on and up to every line,
+    by the numbers of words of the lines that are not blank."""
+    found, total, high = set(), 0, 0
+    for low, size in enumerate(sizes):
+        while high < len(sizes) and total < min_words:
+            total += sizes[high]
+            high += 1
+        if total < min_words:
+            break
+        found.add((low, high))
+        total -= size
+    total = low = 0
+    for last, size in enumerate(sizes):
+        total += size
+        while total - sizes[low] >= min_words and low < last:
+            total -= sizes[low]
+            low += 1
+        if total >= min_words:
+            found.add((low, last + 1))
+    return sorted(found)
+
+
+def pieces(repeats: list[tuple[int, int, tuple]]) -> list[tuple[int, int, tuple, int]]:
+    """(first line, line after the last, text of the first occurrence, its first line): lines in repeats, each once.
+
+    ``repeats``: (first line, line after the last, (text, first line) of the first occurrence).
+    """
+    found, end = [], 0
+    for low, high, (text, at) in sorted(repeats, key=lambda r: r[:2]):
+        begin = max(low, end)
+        if begin >= high:
+            continue
+        at += begin - low
+        if found and found[-1][1] == begin and found[-1][2] == text and found[-1][3] + begin - found[-1][0] == at:
+            begin, _, _, at = found.pop()
+        found.append((begin, high, text, at))
+        end = high
     return found
 
 
@@ -70,66 +103,95 @@ def _keys(text: str) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
 
 
-def _occurrences(rows: DataFrame) -> DataFrame:
-    """(doc_id, t1, t2, low, high, words, h1, h2): the chunks of every text with 128 bits of their bytes."""
+def _occurrences(rows: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, t1, t2, low, high, h1, h2): the windows of every text, counted in lines that are not blank, with 128
+    bits of their lines."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            owner, lows, highs, sizes, digests = [], [], [], [], []
+            owner, lows, highs, digests = [], [], [], []
             for i, body in enumerate(batch["text"].tolist()):
-                for low, high, words, chunk in chunks_of(body):
+                lines, places = worded(body)
+                hashed = b"".join(xxhash.xxh3_128_digest(lines[k]) for k in places)
+                for low, high in windows([len(lines[k].split()) for k in places], min_words):
                     owner.append(i)
                     lows.append(low)
                     highs.append(high)
-                    sizes.append(words)
-                    digests.append(hashlib.blake2b(chunk, digest_size=16).digest())
+                    digests.append(hashlib.blake2b(hashed[16 * low : 16 * high], digest_size=16).digest())
             h = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             own = batch[["doc_id", "t1", "t2"]].iloc[owner].reset_index(drop=True)
-            ints = {k: np.array(v, dtype=np.int32) for k, v in (("low", lows), ("high", highs), ("words", sizes))}
-            yield own.assign(**ints, h1=h[:, 0], h2=h[:, 1])
+            yield own.assign(low=np.array(lows, dtype=np.int32), high=np.array(highs, dtype=np.int32), h1=h[:, 0], h2=h[:, 1])
 
-    schema = "doc_id string, t1 bigint, t2 bigint, low int, high int, words int, h1 bigint, h2 bigint"
-    return rows.select("doc_id", "t1", "t2", "text").mapInPandas(cut, schema)
+    return rows.select("doc_id", "t1", "t2", "text").mapInPandas(cut, "doc_id string, t1 bigint, t2 bigint, low int, high int, h1 bigint, h2 bigint")
 
 
-def _texts_of(rows: DataFrame, work: DataFrame) -> DataFrame:
-    """(doc_id, t1, t2, low, high, h1, h2, first, body): the bytes of the chunks that ``work`` lists per text."""
+_ONE = "o_key string, o1 bigint, o2 bigint"
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _pieces(gone: DataFrame) -> DataFrame:
+    """(_key, t1, t2, low, high, o_key, o1, o2, at): the pieces of every text, from its repeats."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, t1, t2, body, items in zip(*(batch[c].tolist() for c in ("doc_id", "t1", "t2", "text", "work")), strict=True):
-                lines = (body or "").encode("utf-8", "surrogatepass").split(b"\n")
-                out += [(doc_id, t1, t2, w["low"], w["high"], w["h1"], w["h2"], w["first"], worded(lines[w["low"] : w["high"]])) for w in items]
-            yield pd.DataFrame(out, columns=["doc_id", "t1", "t2", "low", "high", "h1", "h2", "first", "body"])
+            for *text, items in zip(*(batch[c].tolist() for c in ("_key", "t1", "t2", "repeats")), strict=True):
+                found = pieces([(w["low"], w["high"], ((w["o_key"], w["o1"], w["o2"]), w["at"])) for w in items])
+                out += [(*text, low, high, *one, at) for low, high, one, at in found]
+            yield pd.DataFrame(out, columns=["_key", "t1", "t2", "low", "high", "o_key", "o1", "o2", "at"])
+
+    own = gone.groupBy("_key", "t1", "t2").agg(F.collect_list(F.struct("low", "high", "o_key", "o1", "o2", "at")).alias("repeats"))  # a text's own windows
+    return own.mapInPandas(merge, f"_key string, t1 bigint, t2 bigint, low int, high int, {_ONE}, at int")
 
-    schema = "doc_id string, t1 bigint, t2 bigint, low int, high int, h1 bigint, h2 bigint, first boolean, body binary"
-    return rows.join(work.hint("shuffle_hash"), ["_key", "t1", "t2"]).select("doc_id", "t1", "t2", "text", "work").mapInPandas(fetch, schema)
 
+def _lines_of(rows: DataFrame, work: DataFrame) -> DataFrame:
+    """(_key, t1, t2, low, high, o_key, o1, o2, at, body): the lines that ``work`` lists per text, with the blank lines
+    after them and before the first. Lines of a first occurrence have no low."""
 
-def repeated_chunks(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_key, t1, t2, low, high): repeated chunks in passages of ``min_words`` whose bytes equal their first
-    occurrence's. First is the smallest doc_id (as a number, nulls last), then text hash, then line."""
-    found = store(_occurrences(rows).distinct())  # wholly equal rows count once
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for *text, body, items in zip(*(batch[c].tolist() for c in ("_key", "t1", "t2", "text", "work")), strict=True):
+                lines, places = worded(body)
+                ends = [0, *places[1:], len(lines)]
+                for w in items:
+                    for k in range(w["low"], w["high"]):
+                        of = (None, None, *text, k) if w["first"] else (ends[k], ends[k + 1], w["o_key"], w["o1"], w["o2"], w["at"] + k - w["low"])
+                        out.append((*text, *of, lines[places[k]]))
+            frame = pd.DataFrame(out, columns=["_key", "t1", "t2", "low", "high", "o_key", "o1", "o2", "at", "body"])
+            yield frame.astype({"low": "Int32", "high": "Int32"})
+
+    joined = rows.join(work.hint("shuffle_hash"), ["_key", "t1", "t2"]).select("_key", "t1", "t2", "text", "work")
+    return joined.mapInPandas(fetch, f"_key string, t1 bigint, t2 bigint, low int, high int, {_ONE}, at int, body binary")
+
+
+def repeated_lines(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(_key, t1, t2, low, high): ranges of lines in passages of ``min_words`` that occur before, whose bytes equal the
+    first occurrence's. First is the smallest doc_id (as a number, nulls last), then text hash, then line. A window that
+    overlaps its first occurrence is none of its repeats."""
+    found = store(_occurrences(rows, min_words))
+    place = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "t1", "t2", "low")  # wholly equal rows count once
+    # stored, so that the joins with what many texts hold can be split
+    again = store(found.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h1", "h2"))
+    listed = store(found.join(again, ["h1", "h2"]))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("decimal(38,0)"), "doc_id", "t1", "t2", "low", "high")
-    known = found.groupBy("h1", "h2").agg(F.min(order).alias("one"), F.count("*").alias("n")).where("n > 1")
-    first = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("t1") == F.col("one.t1")) & (F.col("t2") == F.col("one.t2")) & (F.col("low") == F.col("one.low"))
-    listed = found.join(known.drop("n"), ["h1", "h2"])
-    # neighbouring repeats of one text are a passage
-    by_text = Window.partitionBy("_key", "t1", "t2")
-    repeats = listed.where(~first).select(_doc_key(), "t1", "t2", "low", "high", "words", "h1", "h2", "one")
-    apart = F.coalesce((F.col("low") != F.lag("high").over(by_text.orderBy("low"))).cast("int"), F.lit(1))
-    passages = repeats.withColumn("apart", apart).withColumn("passage", F.sum("apart").over(by_text.orderBy("low")))
-    sized = passages.withColumn("size", F.sum("words").over(Window.partitionBy("_key", "t1", "t2", "passage")))
-    gone = store(sized.where(F.col("size") >= min_words).drop("apart", "passage", "size", "words"))
-    ones = gone.groupBy("h1", "h2").agg(F.first("one").alias("one"))
-    ones = ones.select(F.coalesce("one.doc_id", F.lit("")).alias("_key"), "one.t1", "one.t2", F.col("one.low").alias("low"), F.col("one.high").alias("high"), "h1", "h2")
-    wanted = gone.drop("one").withColumn("first", F.lit(False)).unionByName(ones.withColumn("first", F.lit(True)))
-    work = wanted.groupBy("_key", "t1", "t2").agg(F.collect_list(F.struct("low", "high", "h1", "h2", "first")).alias("work"))  # a text's own chunks
-    texts = store(_texts_of(rows, work))
-    firsts = texts.where("first").select("h1", "h2", F.col("body").alias("one")).dropDuplicates(["h1", "h2"])
-    same = texts.where("not first").join(firsts, ["h1", "h2"]).where("body = one")
-    return same.select(_doc_key(), "t1", "t2", "low", "high").distinct()
+    known = store(listed.groupBy("h1", "h2").agg(F.min(order).alias("one")))
+    inside = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("t1") == F.col("one.t1")) & (F.col("t2") == F.col("one.t2"))
+    one = [F.coalesce("one.doc_id", F.lit("")).alias("o_key"), F.col("one.t1").alias("o1"), F.col("one.t2").alias("o2"), F.col("one.low").alias("at")]
+    gone = listed.join(known, ["h1", "h2"]).where(~inside | (F.col("low") >= F.col("one.high"))).select(_doc_key(), "t1", "t2", "low", "high", *one).distinct()
+    cut = store(_pieces(gone))
+    ones = cut.select("o_key", "o1", "o2", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("high") - F.col("low") - 1)).alias("at")).distinct()
+    ones = ones.select(F.col("o_key").alias("_key"), F.col("o1").alias("t1"), F.col("o2").alias("t2"), F.col("at").alias("low"), (F.col("at") + 1).alias("high"), "o_key", "o1", "o2", "at", F.lit(True).alias("first"))
+    wanted = cut.withColumn("first", F.lit(False)).unionByName(ones)
+    work = wanted.groupBy("_key", "t1", "t2").agg(F.collect_list(F.struct("low", "high", "o_key", "o1", "o2", "at", "first")).alias("work"))  # a text's own lines
+    lines = store(_lines_of(rows, work))
+    at = ["o_key", "o1", "o2", "at"]
+    firsts = lines.where("low is null").select(*at, F.col("body").alias("one")).dropDuplicates(at)
+    same = lines.where("low is not null").join(firsts, at).where("body = one").select("_key", "t1", "t2", "low", "high").distinct()
+    # neighbouring lines make one range
+    by_text = Window.partitionBy("_key", "t1", "t2").orderBy("low")
+    apart = same.withColumn("apart", F.coalesce((F.col("low") != F.lag("high").over(by_text)).cast("int"), F.lit(1)))
+    ranges = apart.withColumn("run", F.sum("apart").over(by_text)).groupBy("_key", "t1", "t2", "run")
+    return ranges.agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
 
 
 def _doc_key() -> Column:
@@ -137,16 +199,16 @@ def _doc_key() -> Column:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of ``docs`` with all columns, ``text`` without repeated chunks, and ``_lines`` and ``_removed``: the
+    """The rows of ``docs`` with all columns, ``text`` without repeated passages, and ``_lines`` and ``_removed``: the
     numbers of lines before and of lines removed.
 
-    A null text stays null and has no lines; a text whose chunks all repeat becomes empty. Wholly equal (doc_id, text)
+    A null text stays null and has no lines; a text whose lines all repeat becomes empty. Wholly equal (doc_id, text)
     rows count as one document, and each keeps what it keeps. Shorter passages stay. An empty table gives an empty one.
     Input columns named _lines or _removed are replaced; the prefix _quire_ is reserved.
     """
     others = [c for c in docs.columns if c not in ("_lines", "_removed")]
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), *_keys(text), F.col(text).alias("text"))
-    gone = store(repeated_chunks(rows, min_words))
+    gone = store(repeated_lines(rows, min_words))
     cuts = gone.groupBy("_key", "t1", "t2").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))
     cuts = cuts.select(F.col("_key").alias("_quire_qk"), F.col("t1").alias("_quire_q1"), F.col("t2").alias("_quire_q2"), F.col("cuts").alias("_quire_cuts"))
     keyed = docs.select(*others, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_quire_k"), F.xxhash64(text).alias("_quire_t1"), F.xxhash64(F.lit(7), text).alias("_quire_t2"))

@@ -76,3 +76,53 @@ def test_blank_lines_after_a_paragraph(spark):
         if r["doc_id"] % 10 in (1, 2):
             own = [x for x in dict(rows)[r["doc_id"]].split("\n") if x.strip() and x != paragraph]
             assert [x for x in r["text"].split("\n") if x.strip()] == own
+
+
+def brute_left(texts):
+    """Per text the lines that stay; texts are in order and differ."""
+    split = [[x for x in t.split("\n") if x.strip()] for t in texts]
+    left = []
+    for t, own in enumerate(split):
+        gone = set()
+        for u in range(t + 1):
+            for i in range(len(own)):
+                for j in range(len(split[u]) if u < t else i):
+                    most, k = (len(own) - i if u < t else i - j), 0
+                    while k < most and i + k < len(own) and j + k < len(split[u]) and own[i + k] == split[u][j + k]:
+                        k += 1
+                    if sum(len(x.split()) for x in own[i : i + k]) >= line_dedup.MIN_WORDS:
+                        gone.update(range(i, i + k))
+        left.append([x for i, x in enumerate(own) if i not in gone])
+    return left
+
+
+def test_short_passages_of_short_lines(spark):
+    rng = random.Random(4)
+    rows, planted = [], {}
+    for k in range(60):
+        sizes = [[17, 17, 17], [12] * 5, [10, 10, 10, 10, 11], [19, 19, 19], [5] * 14][k % 5]
+        passage = [line(rng, n) for n in sizes]
+        for n in range(3):
+            rows.append((10 * k + n, "\n".join([*(line(rng, 9) for _ in range(3)), *passage, *(line(rng, 9) for _ in range(3))])))
+            planted[10 * k + n] = passage
+    for r in line_dedup.remove_repeats(frame(spark, rows)).collect():
+        passage, left = planted[r["doc_id"]], r["text"].split("\n")
+        assert len(left) == (6 if r["doc_id"] % 10 else 6 + len(passage)), r
+        assert (passage[0] in left) == (r["doc_id"] % 10 == 0)
+
+
+def test_passages_brute_force(spark):
+    rng = random.Random(5)
+    pool = [line(rng, rng.choice([1, 4, 9, 17, 30, 55])) for _ in range(40)]
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(pool))
+            parts += pool[at : at + rng.randrange(1, 9)] if rng.random() < 0.7 else [pool[at]] * rng.randrange(1, 8)
+            parts += [""] * rng.randrange(3)
+        texts.append("\n".join(parts))
+    texts = list(dict.fromkeys(texts))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(frame(spark, list(enumerate(texts)))).collect()}
+    for i, left in enumerate(brute_left(texts)):
+        assert [x for x in got[i].split("\n") if x.strip()] == left, i
