@@ -2,7 +2,8 @@
 
 A token is given an encoding by its characters. Under the hypothesis that it is random in the alphabet of that
 encoding, three tests are made: chi-squared uniformity of the characters, the number of runs above and below the
-middle of the alphabet, and the correlation of neighbours. The combined p-value is uniform for random tokens and
+middle of the alphabet, and the correlation of neighbours; without a digit, also the shares of capitals and small letters.
+A run of key characters is tested whole and by its parts, as a key may be glued to a name or a path. The combined p-value is uniform for random tokens and
 near zero for text. Per encoding and length band, the share of random tokens is estimated from the upper half of
 the p-values of the whole corpus, and the lowest limit is taken at which the expected share of other tokens among
 those above it stays within the false-discovery rate. Everything runs on DataFrame functions.
@@ -18,7 +19,15 @@ from quire.llm.shared import joined_spans, let, match_spans
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+#: What may stand together in one run: keys, and names or paths that they are glued to. "=" ends a run.
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}=*"
+#: The tokens of a run: the longest parts of letters and digits; of base64; of base64url; and of base64 between slashes.
+PARTS = (
+    r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}=*",
+    r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9]*[+/])[A-Za-z0-9+/]{16,}=*",
+    r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9]*[_-])[A-Za-z0-9_-]{16,}=*",
+    r"(?<![A-Za-z0-9+])(?=[A-Za-z0-9]*[+])(?:(?<=/)[A-Za-z0-9+]{16,}+=*|[A-Za-z0-9+]{16,}+(?=/))",
+)
 
 #: Alphabets by encoding: fixed values.
 ALPHABETS = {
@@ -57,7 +66,7 @@ def _upper_tail(z: Column) -> Column:
 
 
 def randomness(token: Column, encoding: Column) -> Column:
-    """Combined p-value of the three tests; 1 for perfectly ordinary random tokens, near 0 for text."""
+    """Combined p-value of the tests; 1 for perfectly ordinary random tokens, near 0 for text."""
     alphabet = F.lit("")
     for name, letters in ALPHABETS.items():
         alphabet = F.when(encoding == name, F.lit(letters)).otherwise(alphabet)
@@ -79,14 +88,19 @@ def randomness(token: Column, encoding: Column) -> Column:
         spread = (expected - 1) * (expected - 2) / (n - 1)
         p_runs = F.when(spread > 0, 2 * _upper_tail(F.abs(runs - expected) / F.sqrt(spread))).otherwise(0.0)
         mean = F.aggregate(x["places"], F.lit(0.0), lambda a, b: a + b) / n
-        off = F.transform(x["places"], lambda p: p - mean)
+        off = let(mean, lambda m: F.transform(x["places"], lambda p: p - m))  # once a token, not once a character
 
         def serial(o: Column) -> Column:
             square = F.aggregate(o, F.lit(0.0), lambda a, b: a + b * b)
             lagged = F.aggregate(F.zip_with(F.slice(o, F.lit(2), F.size(o)), F.slice(o, F.lit(1), F.size(o) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
             return F.when(square > 0, 2 * _upper_tail(F.abs(lagged / square + 1 / n) * F.sqrt(n))).otherwise(0.0)
 
-        return F.least(F.lit(1.0), 3 * F.least(_upper_tail(z_chi), p_runs, let(off, serial)))
+        # a token of both cases without a digit is judged by its shares of capitals, small letters and others too
+        upper, lower = (F.length(F.regexp_replace(x["value"], f"[^{letters}]", "")) for letters in ("A-Z", "a-z"))
+        shares = k / n * (F.pow(upper, F.lit(2.0)) / 26 + F.pow(lower, F.lit(2.0)) / 26 + F.pow(n - upper - lower, F.lit(2.0)) / (k - 52)) - n
+        p_shares = F.when((k > 52) & ~x["value"].rlike("[0-9]"), F.exp(-shares / 2)).otherwise(1.0)
+
+        return F.least(F.lit(1.0), 3 * F.least(_upper_tail(z_chi), p_runs, let(off, serial), p_shares))
 
     def prepared(value: Column) -> Column:
         letters = F.split(value, "")
@@ -100,8 +114,14 @@ def randomness(token: Column, encoding: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Tokens with a letter, a digit and one alphabet: (start, end, encoding, band, p). Padding is not tested."""
-    mixed = F.filter(match_spans(text, TOKEN), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    """Per run its tokens with a letter and one alphabet: (start, end, encoding, band, p). Padding is not tested."""
+
+    def tokens(r: Column) -> Column:
+        parts = F.transform(
+            F.concat(*[match_spans(r["value"], part) for part in PARTS]),
+            lambda s: F.struct((s["start"] + r["start"]).alias("start"), (s["end"] + r["start"]).alias("end"), s["value"].alias("value")),
+        )
+        return F.when(r["value"].rlike("[+/_-]"), parts).otherwise(F.array(r))
 
     def tested(s: Column) -> Column:
         value = F.rtrim(s["value"], F.lit("="))
@@ -110,11 +130,11 @@ def candidates(text: Column) -> Column:
             lambda v: F.struct(
                 s["start"].alias("start"), s["end"].alias("end"), v["encoding"].alias("encoding"),
                 sum((F.length(v["value"]) >= low).cast("int") for low in BANDS).alias("band"),
-                F.when(v["encoding"].isNotNull() & (F.length(v["value"]) >= BANDS[0]), randomness(v["value"], v["encoding"])).alias("p"),
+                F.when(v["encoding"].isNotNull() & v["value"].rlike("[A-Za-z]"), randomness(v["value"], v["encoding"])).alias("p"),
             ),
         )
 
-    return F.filter(F.transform(mixed, tested), lambda c: c["p"].isNotNull())
+    return F.transform(match_spans(text, RUN), lambda r: F.filter(F.transform(tokens(r), tested), lambda c: c["p"].isNotNull()))
 
 
 def limits(counts: dict[tuple[str, int], list[int]], rate: float) -> dict[tuple[str, int], float]:
@@ -139,7 +159,7 @@ def scan(docs: DataFrame, text: str = "text", rate: float = 0.1) -> DataFrame:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     counted = (
-        docs.select(F.explode(candidates(body)).alias("c"))
+        docs.select(F.explode(F.flatten(candidates(body))).alias("c"))
         .groupBy(F.col("c.encoding").alias("encoding"), F.col("c.band").alias("band"), F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).alias("bin"))
         .count()
     )
@@ -156,7 +176,13 @@ def scan(docs: DataFrame, text: str = "text", rate: float = 0.1) -> DataFrame:
 
     assign = F.filter(match_spans(body, ASSIGN, 2), lambda s: F.length(s["value"]) >= 8)
     base = F.concat(_spans(assign, 0, "assign"), _spans(match_spans(body, ACCESS), 1, "access"), _spans(match_spans(body, HEX), 2, "hex"))
-    found = _spans(F.filter(candidates(body), passes), 3, "random")
+
+    def longest(run: Column) -> Column:
+        """Of the tokens of a run that pass, those that are no part of another."""
+        within = lambda c, d: (d["start"] <= c["start"]) & (c["end"] <= d["end"]) & (d["end"] - d["start"] > c["end"] - c["start"])
+        return let(F.filter(run, passes), lambda kept: F.filter(kept, lambda c: ~F.exists(kept, lambda d: within(c, d))))
+
+    found = _spans(F.flatten(F.transform(candidates(body), longest)), 3, "random")
     return docs.select(*[c for c in docs.columns if c not in ("base", "found")], base.alias("base"), found.alias("found"))
 
 

@@ -146,3 +146,24 @@ def test_secrets_brute_force(spark):
         wrong += sum(p in random_spans for p in plain)
     assert hit > 0.9 * (hit + missed) and wrong == 0
     assert secrets.scan(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_glued_secrets(spark):
+    rng = random.Random(6)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    forms = ["DB_PASS={}", "AUTH={}", "?sig={}", "/api/v1/{}", "/api/v1/my-item_7/{}", "{}/of-a-path", "x=y&sig={}&z=1", "{}"]
+    texts, wanted = [], []
+    for i in range(160):
+        value = key(alnum[:52] if i % 4 == 0 else alnum, 40)
+        before, after = forms[i % len(forms)].split("{}")
+        texts.append(f"see {before}{value}{after} now")
+        wanted.append((4 + len(before), 4 + len(before) + len(value)))
+    plain = ["internationalisation", "undschungkeitber Underlichungkeit", "a/path/to/the-index_page/of/the/documentation", "name=value_of_a_setting_here", "4041894974608795"]
+    got = secrets.scan(docs(spark, texts + plain)).orderBy("doc_id").collect()
+    found = [[(s["start"], s["end"]) for s in r["found"]] for r in got]
+    assert not any(found[len(texts) :])
+    for form in range(len(forms)):
+        of = range(form, len(texts), len(forms))
+        assert sum(any(low <= wanted[i][0] and high >= wanted[i][1] for low, high in found[i]) for i in of) >= 0.8 * len(of), forms[form]
+    assert all(not (a[0] <= b[0] and b[1] <= a[1]) for f in found for a in f for b in f if a is not b)
