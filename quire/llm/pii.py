@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.shared import joined_spans, store
@@ -26,11 +26,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
+#: Groups of digits joined by blanks, dots, hyphens and brackets.
+_GROUPED = re.compile(r"(?<![0-9A-Za-z@])[+(]{0,2}[0-9]+(?:[\x20().-]{1,3}[0-9]+)+(?![0-9A-Za-z@])")
 _EDGE = ".,;:!?()[]{}<>\"'"
 #: Characters before and after an identifier that its context is taken from.
 _REACH = 64
 #: Turns of scoring, least confidence, and least number of different known instances behind a pattern.
 TURNS = 3
+#: A number of fewer digits is no identifier.
+LEAST_DIGITS = 6
 CONFIDENCE = 0.8
 SUPPORT = 3
 
@@ -84,6 +88,7 @@ def _hash(value: str) -> int:
 def identifiers(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple]:
     """Seeds and other identifier-like tokens: (start, end, kind or None, instance, signs, digits, patterns).
 
+    A token is a word, or a number in groups with blanks between them; words of such a number are tokens too.
     Instances and patterns are hashes: words around an identifier may themselves be personal data.
     """
     out = [(s, e, k, _hash(text[s:e]), None, None, list(map(_hash, context(text, s, e)))) for s, _, k, e in base]
@@ -101,6 +106,14 @@ def identifiers(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple]
         if "@" in token or digits >= 4:
             patterns = list(map(_hash, context(text, start, start + len(token))))
             out.append((start, start + len(token), None, _hash(token), token.count("@"), digits, patterns))
+    i, reach = 0, 0
+    for m in _GROUPED.finditer(text):
+        while i < len(base) and base[i][0] < m.end():
+            reach = max(reach, base[i][3])
+            i += 1
+        digits = sum("0" <= c <= "9" for c in m[0])
+        if reach <= m.start() and " " in m[0] and digits >= LEAST_DIGITS:
+            out.append((m.start(), m.end(), None, _hash(m[0]), 0, digits, list(map(_hash, context(text, m.start(), m.end())))))
     return out
 
 
@@ -161,9 +174,12 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     sure = score_patterns(edges).where(F.col("confidence") >= CONFIDENCE)
     best = sure.groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("best")).select("pattern", "best.confidence", "best.kind")
     open_ = tokens.where("t.kind is null").select("row", "t.start", "t.end", "t.signs", "t.digits", F.explode("t.patterns").alias("pattern"))
-    fits = F.when(F.col("kind") == "email", F.col("signs") == 1).otherwise((F.col("signs") == 0) & (F.col("digits") >= 6))
+    fits = F.when(F.col("kind") == "email", F.col("signs") == 1).otherwise((F.col("signs") == 0) & (F.col("digits") >= LEAST_DIGITS))
     spans = open_.join(best, "pattern").where(fits).groupBy("row", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("b"))
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("b.kind")).cast("int") - 1
+    # a word inside a number in groups that is found too
+    before = F.max("end").over(Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("reach", before).where("reach is null or reach < end")
     new = spans.select("row", F.struct("start", place.alias("place"), F.col("b.kind").alias("kind"), "end").cast(_SPAN).alias("s"))
     new = new.groupBy("row").agg(F.collect_list("s").alias("found"))  # a text's own spans
     return rows.join(new, "row", "left").select("doc_id", "base", F.coalesce("found", F.array().cast(f"array<{_SPAN}>")).alias("found"))

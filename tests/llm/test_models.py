@@ -69,6 +69,19 @@ def test_contexts_find_new_identifiers(spark):
     assert pii.find(frame(spark, [])).count() == 0
 
 
+def test_contexts_find_grouped_numbers(spark):
+    rng = random.Random(7)
+    number = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    rows = [(i, f"you can call me on +49 30 {number(3)} {number(5)} any day", None) for i in range(40)]
+    rows += [(100 + i, f"please charge my card 4111 1111 {1000 + i} {k:04d} today", None) for i in range(40) for k in range(1000, 1010) if luhn(f"41111111{1000 + i}{k}")]
+    new = {200: ("phone", "030 123 45 67"), 201: ("phone", "(555) 123 4567"), 202: ("phone", "555-123 4567"), 203: ("card", "4111 1111 1111 1112")}
+    assert not luhn("4111111111111112")
+    rows += [(i, f"you can call me on {v} any day" if kind == "phone" else f"please charge my card {v} today", None) for i, (kind, v) in new.items()]
+    rows += [(300 + i, f"we sold {number(3)} {number(4)} apples in {number(4)} 12 lots", None) for i in range(40)]
+    got = {(r["doc_id"], s["kind"], rows_text[s["start"] : s["end"]]) for r in pii.find(frame(spark, rows)).collect() for s in r["found"] for rows_text in [dict((i, t) for i, t, _ in rows)[r["doc_id"]]]}
+    assert got == {(i, kind, v) for i, (kind, v) in new.items()}
+
+
 def brute_statistics(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
