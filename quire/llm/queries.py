@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, language_id, line_dedup, ngram_join, packing, pii, quality, secrets, toxicity, url_filters
+from quire.llm import decontaminate, fill_in_middle, language_id, line_dedup, ngram_join, packing, periodic_runs, pii, quality, secrets
+from quire.llm import token_counts, toxicity, url_filters
+from quire.llm.shared import let
 
 #: Rules of the registered url query: (host, path, action).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -66,11 +68,50 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    first, second, third, fourth = fill_in_middle.draws(F.col("doc_id"))
+    form = F.when(third % 100 >= 90, "plain").when(fourth % 100 < 20, "spm").otherwise("psm")
+    made = fill_in_middle.transform(docs, first, second, form)
+    return made.select(
+        "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    number = F.crc32(F.col("doc_id").cast("string"))
+    group = F.floor(number / 10).cast("long")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+
+    def planted(words):
+        n = F.size(words)
+        first = group % n
+        period = 1 + F.floor((n - first) / (3 + group % 8)).cast("long")
+        return F.when(n > 0, F.array_join(periodic_runs.repeat_tail(words, first, period), " ")).otherwise("")
+
+    text = F.when(number % 10 == 0, let(words, planted)).otherwise(F.col("text"))
+    found = periodic_runs.find_runs(docs.select("doc_id", text.alias("text")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("_best", periodic_runs.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.floor(1000 * F.col("_best.length") / F.col("_best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_toxicity, op3_decontamination, op4_personal_data, op5_quality_rules, op6_language_id,
-        op7_secret_scan, op8_line_dedup, op9_ngram_jaccard_join, op10_packing,
+        op7_secret_scan, op8_line_dedup, op9_ngram_jaccard_join, op10_packing, op11_fill_in_middle, op12_periodic_runs, op13_token_counts,
     )
 }
 
@@ -129,4 +170,21 @@ links AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y W
 reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x, min(y) AS least FROM reach GROUP BY x) ON x = d.doc_id""",
+    "op11_fill_in_middle": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents
+), h AS (
+  SELECT *, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3,
+    CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d
+), cut AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), parts AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN a END AS BIGINT) AS prefix_chars,
+  CAST(CASE WHEN form <> 'plain' THEN b - a END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts""",
 }
