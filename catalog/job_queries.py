@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import ingest, jobs
+from quire.operators import ingest, jobs, parts
+from quire.sources import readers, sinks
 
 from . import relations as r
+from .file_queries import scratch
 
 # --- OCR responses: one per web page, a response page per paragraph -----------------------
 
@@ -125,7 +127,7 @@ def completions(spark, sf_dir):
 
 def completion_quarantine(spark, sf_dir):
     _, bad = ingest.parse_completions(completion_responses(spark, sf_dir))
-    return bad.select("conv_id", "turn", (F.length("body") > 0).alias("kept_body"))
+    return bad.select("conv_id", "turn", "body")
 
 
 # --- recogniser output --------------------------------------------------------------------
@@ -284,12 +286,15 @@ def refinement_join(spark, sf_dir):
     return jobs.join_refinements(ocr, refined)
 
 
-def assembled_markdown(spark, sf_dir):
-    pages = r.chat_pages(spark, sf_dir).select(
+def _chat_job_pages(spark, sf_dir):
+    return r.chat_pages(spark, sf_dir).select(
         F.col("document_id").alias("job_id"), (F.col("page_number") - 1).alias("page_index"),
         F.col("text").alias("final_markdown"),
     )
-    return jobs.assemble_markdown(pages)
+
+
+def assembled_markdown(spark, sf_dir):
+    return jobs.assemble_markdown(_chat_job_pages(spark, sf_dir))
 
 
 def split_assembled(spark, sf_dir):
@@ -297,6 +302,26 @@ def split_assembled(spark, sf_dir):
     return jobs.split_pages(assembled_markdown(spark, sf_dir))
 
 
+def assembled_in_parts(spark, sf_dir):
+    """Parts of two pages, put together: the same whole sources."""
+    cut_up = jobs.assemble_markdown(_chat_job_pages(spark, sf_dir), part_pages=2)
+    return parts.whole(cut_up, ["job_id"], "markdown")
+
+
+def split_in_parts(spark, sf_dir):
+    """Pages found in parts of two pages are numbered on from part to part."""
+    return jobs.split_pages(jobs.assemble_markdown(_chat_job_pages(spark, sf_dir), part_pages=2))
+
+
+def packed_sources(spark, sf_dir):
+    """Pages streamed into packed files, a source one stretch after another, and read back by the index."""
+    path = scratch(spark, "packed")
+    sinks.write_packed(
+        _chat_job_pages(spark, sf_dir), path, ["job_id"], ["page_index"], "final_markdown", jobs.PAGE_BREAK, file_bytes=20_000
+    )
+    return parts.whole(readers.read_packed(spark, path), ["job_id"], "text")
+
+
 def merge_evidence(spark, sf_dir):
     pages = job_pages(spark, sf_dir)
     overview = pages.select("job_id", "page_index", F.col("o_orderpriority").alias("overview"))
@@ -324,10 +349,21 @@ def page_evidence(spark, sf_dir):
 
 
 def job_records(spark, sf_dir):
-    """Nested record per job, as a JSON digest of its pages."""
-    digest = F.transform("pages", lambda p: F.concat_ws(":", p["page_index"].cast("string"), p["overview"],
-                                                        F.size(p["crops"]).cast("string"), p["final_markdown"]))
-    return jobs.job_records(_evidence(spark, sf_dir)).select("job_id", "part", F.array_join(digest, "|").alias("pages"))
+    """Nested record per job, as the JSON text of its pages."""
+    return jobs.job_records(_evidence(spark, sf_dir)).select("job_id", "part", F.to_json("pages").alias("pages"))
+
+
+def records_in_parts(spark, sf_dir):
+    """Records in parts of two pages, put together."""
+    cut_up = jobs.job_records(_evidence(spark, sf_dir), part_pages=2)
+    return parts.whole_array(cut_up, ["job_id"], "pages").select("job_id", F.to_json("pages").alias("pages"))
+
+
+def packed_records(spark, sf_dir):
+    """Records as JSON text in packed files, read back whole."""
+    path = scratch(spark, "records")
+    sinks.write_packed(jobs.record_lines(_evidence(spark, sf_dir)), path, ["job_id"], ["page_index"], "json", ",", file_bytes=200_000)
+    return parts.whole(readers.read_packed(spark, path), ["job_id"], "text")
 
 
 def _updates(spark, sf_dir):
@@ -396,6 +432,20 @@ _SHIPPED = """WITH k AS (
     AND r.l_shipdate >= k.o_orderdate AND r.l_shipdate <= k.o_orderdate + INTERVAL 30 DAY) AS in_time FROM k)"""
 _JOBS = f"WITH {SQL_JOBS}"
 _REQ = "job_id, page_index, kind, crop_index"
+_ASSEMBLED = (
+    "SELECT conv_id AS job_id, string_agg(text, chr(10) || chr(10) || '<div class=\"page-break\"></div>' || chr(10) || chr(10) "
+    "ORDER BY turn) AS {} FROM conversations GROUP BY 1"
+)
+_CHAT_PAGES = "SELECT conv_id AS job_id, CAST(turn AS INTEGER) AS page_index, trim(text, chr(10) || ' ') AS markdown FROM conversations"
+_CROPS = (
+    "g AS (SELECT job_id, page_index, '[' || string_agg('{\"index\":' || i || "
+    "',\"transcript\":\"t' || i || '\"' || CASE WHEN i > 0 THEN ',\"usage\":{\"total_tokens\":' || i || '}' ELSE '' END || "
+    "'}', ',' ORDER BY i) || ']' AS crops FROM (SELECT job_id, page_index, n, unnest(range(n)) AS i FROM crop) GROUP BY ALL)"
+)
+_RECORDS = (
+    f"{_JOBS}, {_CROPS}, p AS (SELECT job_id, page_index, '{{\"page_index\":' || page_index || ',\"overview\":\"' || o_orderpriority || "
+    "'\",\"crops\":' || crops || ',\"final_markdown\":\"' || o_orderstatus || '\"}' AS page FROM job_pages JOIN g USING (job_id, page_index))"
+)
 _UPDATES = """
 WITH s AS (
   SELECT user_id AS job_id, event_id AS seq, ts AS updated_at,
@@ -420,7 +470,7 @@ QUERIES = {
         ocr_assets, ocr_pages, ocr_quarantine, completions, completion_quarantine, clean_observations, best_candidates,
         language_negotiation, request_plan, pending_requests, reusable_requests, batch_completeness, write_once,
         effective_source, edit_history, edited_sources, page_mismatches, refinement_join, assembled_markdown,
-        split_assembled, merge_evidence, page_evidence, job_records, job_states, latest_manifests, deadline_results, deadline_leftovers, deadline_progress,
+        split_assembled, assembled_in_parts, split_in_parts, packed_sources, records_in_parts, packed_records, merge_evidence, page_evidence, job_records, job_states, latest_manifests, deadline_results, deadline_leftovers, deadline_progress,
     )
 }
 
@@ -434,8 +484,13 @@ ORACLE = {
     "CAST(CASE WHEN role <> 'system' AND turn > 0 THEN turn END AS INTEGER) AS completion_tokens, "
     "CAST(CASE WHEN role <> 'system' THEN conv_id + turn END AS INTEGER) AS total_tokens "
     "FROM conversations WHERE conv_id % 9 <> 4 AND turn % 5 <> 3",
-    "completion_quarantine": "SELECT conv_id, turn, true AS kept_body FROM conversations "
-    "WHERE conv_id % 9 = 4 OR turn % 5 = 3",
+    "completion_quarantine": """
+WITH c AS (SELECT conv_id, turn, '{"choices":[{"message":{"content":' || to_json(CASE WHEN turn % 5 = 3 THEN ' ' || chr(10) || ' '
+    ELSE chr(10) || text || ' ' END) || '}}]' || CASE WHEN role <> 'system' THEN ',"usage":{"prompt_tokens":' || conv_id
+    || CASE WHEN turn > 0 THEN ',"completion_tokens":' || turn ELSE '' END || ',"total_tokens":' || (conv_id + turn) || '}' ELSE '' END
+    || '}' AS body FROM conversations)
+SELECT conv_id, turn, CASE WHEN conv_id % 9 = 4 THEN left(body, length(body) - 5) ELSE body END AS body
+FROM c WHERE conv_id % 9 = 4 OR turn % 5 = 3""",
     "clean_observations": r"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS reading_order, unnest(ls) AS raw FROM l),
@@ -476,22 +531,23 @@ SELECT doc_id, reading_order, text, CAST(0.9 AS DOUBLE) AS confidence FROM c WHE
     "b AS (SELECT job_id, page_index + 1 AS page_index, o_orderstatus AS final_markdown FROM job_pages) "
     "SELECT job_id, CAST(page_index AS INTEGER) AS page_index, markdown, final_markdown, "
     "markdown IS NOT NULL AND final_markdown IS NOT NULL AS matched FROM a FULL JOIN b USING (job_id, page_index)",
-    "assembled_markdown": "SELECT conv_id AS job_id, 0 AS part, string_agg(text, chr(10) || chr(10) || "
-    "'<div class=\"page-break\"></div>' || chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY 1",
-    "split_assembled": "SELECT conv_id AS job_id, CAST(turn AS INTEGER) AS page_index, "
-    "trim(text, chr(10) || ' ') AS markdown FROM conversations",
+    "assembled_markdown": f"SELECT job_id, 0 AS part, markdown FROM ({_ASSEMBLED.format('markdown')})",
+    "assembled_in_parts": _ASSEMBLED.format("markdown"),
+    "packed_sources": _ASSEMBLED.format("text"),
+    "split_assembled": _CHAT_PAGES,
+    "split_in_parts": _CHAT_PAGES,
     "merge_evidence": f"{_JOBS}, g AS (SELECT job_id, page_index, string_agg('### Crop ' || (i + 1) || '/' || n || "
     "', top to bottom' || chr(10) || 'text ' || i, chr(10) || chr(10) ORDER BY i) AS crops "
     "FROM (SELECT job_id, page_index, n, unnest(range(n)) AS i FROM crop) GROUP BY ALL) "
     "SELECT job_id, page_index, '## Complete-page overview' || chr(10) || o_orderpriority || chr(10) || chr(10) || "
     "'## High-resolution crops' || chr(10) || crops || chr(10) || chr(10) || '## Legacy OCR draft' || chr(10) || "
     "CASE WHEN o_orderstatus = 'F' THEN 'draft' ELSE '' END AS evidence FROM job_pages JOIN g USING (job_id, page_index)",
-    "page_evidence": f"{_JOBS}, g AS (SELECT job_id, page_index, '[' || string_agg('{{\"index\":' || i || "
-    "',\"transcript\":\"t' || i || '\"' || CASE WHEN i > 0 THEN ',\"usage\":{\"total_tokens\":' || i || '}' ELSE '' END || "
-    "'}', ',' ORDER BY i) || ']' AS crops FROM (SELECT job_id, page_index, n, unnest(range(n)) AS i FROM crop) GROUP BY ALL) "
-    "SELECT job_id, page_index, crops, o_orderstatus AS final_markdown FROM job_pages JOIN g USING (job_id, page_index)",
-    "job_records": f"{_JOBS} SELECT job_id, 0 AS part, string_agg(page_index || ':' || o_orderpriority || ':' || n || ':' "
-    "|| o_orderstatus, '|' ORDER BY page_index) AS pages FROM crop GROUP BY job_id",
+    "page_evidence": f"{_JOBS}, {_CROPS} SELECT job_id, page_index, crops, o_orderstatus AS final_markdown "
+    "FROM job_pages JOIN g USING (job_id, page_index)",
+    "job_records": f"{_RECORDS} SELECT job_id, 0 AS part, '[' || string_agg(page, ',' ORDER BY page_index) || ']' AS pages FROM p GROUP BY 1",
+    "records_in_parts": f"{_RECORDS} SELECT job_id, '[' || string_agg(page, ',' ORDER BY page_index) || ']' AS pages FROM p GROUP BY 1",
+    "packed_records": f"{_RECORDS} SELECT job_id, '{{\"job_id\":' || job_id || ',\"pages\":[' || string_agg(page, ',' ORDER BY page_index) "
+    "|| ']}' AS text FROM p GROUP BY 1",
     "job_states": f"{_UPDATES} SELECT n.job_id, n.updated_at, stage, failure_message, stage_progress, stage_detail, "
     f"coalesce(u.uncertain_count, 0) AS uncertain_count, coalesce(stage_progress, CAST({_PROGRESS} AS DOUBLE)) "
     "AS displayed_progress FROM n JOIN u USING (job_id) WHERE n = 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators import layout
+from quire.operators import layout, parts
 
 from . import relations as r
 
@@ -31,6 +31,12 @@ def page_text(spark, sf_dir):
     return layout.order_and_compose(r.blocks(spark, sf_dir), KEYS, r.ORDINAL)
 
 
+def page_text_in_parts(spark, sf_dir):
+    """Parts of two blocks, put together."""
+    cut_up = layout.order_and_compose(r.blocks(spark, sf_dir), KEYS, r.ORDINAL, part_blocks=2)
+    return parts.whole(cut_up, KEYS, "page_text")
+
+
 def text_line_flags(spark, sf_dir):
     """Continues-line flags along the stored (arrival) order of blocks."""
     stored = layout.reindex(
@@ -71,6 +77,12 @@ cont AS (SELECT *, coalesce(qy IS NOT NULL AND least(y + h, qy + qh) - greatest(
 runs AS (SELECT *, sum(CASE WHEN continues_line THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY reading_order
                    ROWS UNBOUNDED PRECEDING) AS text_line FROM cont)"""
 
+_PAGE_TEXT = (
+    f"WITH {SQL_ORDER}{SQL_FLAGS.format('ordered')},\n"
+    "joined AS (SELECT page_id, text_line, string_agg(text, ' ' ORDER BY reading_order) AS line, count(*) AS n "
+    "FROM runs GROUP BY ALL)"
+)
+
 ORDINALS = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
 QUERIES = {
@@ -78,6 +90,7 @@ QUERIES = {
     "column_statistics": column_statistics,
     "visual_lines": visual_lines,
     "page_text": page_text,
+    "page_text_in_parts": page_text_in_parts,
     "text_line_flags": text_line_flags,
 }
 
@@ -88,11 +101,9 @@ ORACLE = {
     "spanning_count = 0 AND left_count >= 2 AND right_count >= 2 AS two_columns FROM stat",
     "visual_lines": f"WITH {SQL_ORDER} SELECT page_id, {ORDINALS}, column_id, CAST(line_id AS INTEGER) AS line_id, "
     "mid_y FROM lined",
-    "page_text": f"WITH {SQL_ORDER}{SQL_FLAGS.format('ordered')},\n"
-    "joined AS (SELECT page_id, text_line, string_agg(text, ' ' ORDER BY reading_order) AS line, count(*) AS n "
-    "FROM runs GROUP BY ALL) "
-    "SELECT page_id, 0 AS part, string_agg(line, chr(10) ORDER BY text_line) AS page_text, "
+    "page_text": f"{_PAGE_TEXT} SELECT page_id, 0 AS part, string_agg(line, chr(10) ORDER BY text_line) AS page_text, "
     "CAST(sum(n) AS BIGINT) AS block_count FROM joined GROUP BY page_id",
+    "page_text_in_parts": f"{_PAGE_TEXT} SELECT page_id, string_agg(line, chr(10) ORDER BY text_line) AS page_text FROM joined GROUP BY page_id",
     "text_line_flags": f"WITH {r.SQL_BLOCKS}, stored AS (SELECT *, row_number() OVER (PARTITION BY page_id "
     f"ORDER BY {ORDINALS}) - 1 AS reading_order FROM blocks){SQL_FLAGS.format('stored')} "
     f"SELECT page_id, {ORDINALS}, CAST(reading_order AS INTEGER) AS reading_order, continues_line, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import labels
-from quire.operators import layout, library
+from quire.operators import layout, library, parts
 
 from . import relations as r
 
@@ -33,13 +33,23 @@ def library_flattened(spark, sf_dir):
     return library.flatten_library(documents, r.library_pages(spark, sf_dir))
 
 
+def _nested_text(nested, *more):
+    """Arrays of pages rendered to text for the comparison."""
+    pages = F.transform(F.col("pages"), lambda p: F.concat_ws("=", p["page_number"].cast("string"), p["text"]))
+    return nested.select("document_id", *more, F.size("pages").alias("n_pages"), F.array_join(pages, "|").alias("pages_text"))
+
+
 def library_nested(spark, sf_dir):
-    """Nested export; arrays are rendered to text for the comparison."""
+    """Nested export."""
     flat = library.flatten_library(r.chat_documents(spark, sf_dir), r.chat_pages(spark, sf_dir))
-    pages = F.transform(F.col("pages"), lambda p: F.concat_ws("=", p["page_number"].cast("string"), p["text"]))
-    return library.nest_pages(flat).select(
-        "document_id", "part", F.size("pages").alias("n_pages"), F.array_join(pages, "|").alias("pages_text")
-    )
+    return _nested_text(library.nest_pages(flat), "part")
+
+
+def nested_in_parts(spark, sf_dir):
+    """Parts of two pages, put together."""
+    flat = library.flatten_library(r.chat_documents(spark, sf_dir), r.chat_pages(spark, sf_dir))
+    keys = ["document_id", "title", "document_type", "updated_at"]
+    return _nested_text(parts.whole_array(library.nest_pages(flat, part_pages=2), keys, "pages"))
 
 
 def library_count(spark, sf_dir):
@@ -76,13 +86,15 @@ def library_traversal(spark, sf_dir):
 
 
 def cascade_delete(spark, sf_dir):
+    """Every remaining row by its key."""
     documents, pages = r.library_documents(spark, sf_dir), r.library_pages(spark, sf_dir)
     left = library.cascade_delete(documents, pages, r.blocks(spark, sf_dir), _doomed(documents))
-    counts = [
-        rows.agg(F.count("*").alias("remaining")).select(F.lit(name).alias("relation"), "remaining")
-        for name, rows in zip(["documents", "pages", "blocks"], left)
+    keys = [["document_id"], ["page_id", "document_id"], ["page_id", *r.ORDINAL[:-1], "text"]]
+    rows = [
+        rows.select(F.lit(name).alias("relation"), F.concat_ws("-", *key).alias("key"))
+        for name, rows, key in zip(["documents", "pages", "blocks"], left, keys, strict=True)
     ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def files_to_remove(spark, sf_dir):
@@ -234,21 +246,26 @@ _ORDINALS = ", ".join(r.ORDINAL)
 QUERIES = {
     f.__name__: f
     for f in (
-        library_listing, library_point_lookup, library_flattened, library_nested, library_count, blocks_per_page,
+        library_listing, library_point_lookup, library_flattened, library_nested, nested_in_parts, library_count, blocks_per_page,
         first_pages, document_previews, listing_rows, library_traversal, cascade_delete, files_to_remove,
         delete_positions, pages_in_order, replace_page_blocks, replace_document_pages, rename_documents,
         edit_page_text, finish_processing, error_messages, enum_labels, stored_block_order,
     )
 }
 
+_NESTED = (
+    f"{_CHAT} SELECT document_id, CAST(count(*) AS INTEGER) AS n_pages, "
+    "string_agg(page_number || '=' || text, '|' ORDER BY page_number) AS pages_text FROM chat_pages GROUP BY 1"
+)
+
 ORACLE = {
     "library_listing": f"{_LIB} SELECT document_id, title, {_TYPE} AS document_type, {_STATUS} AS processing_status, "
     "created_at FROM library_documents ORDER BY created_at DESC, document_id",
     "library_point_lookup": f"{_LIB} SELECT document_id, title FROM library_documents WHERE document_id = 42",
     "library_flattened": f"{_LIB} SELECT d.document_id, d.title, d.document_type, d.created_at AS updated_at, "
     "p.page_id, p.page_number, p.text FROM library_documents d LEFT JOIN library_pages p USING (document_id)",
-    "library_nested": f"{_CHAT} SELECT document_id, 0 AS part, CAST(count(*) AS INTEGER) AS n_pages, "
-    "string_agg(page_number || '=' || text, '|' ORDER BY page_number) AS pages_text FROM chat_pages GROUP BY 1",
+    "library_nested": f"SELECT *, 0 AS part FROM ({_NESTED})",
+    "nested_in_parts": _NESTED,
     "library_count": "SELECT count(*) AS document_count, count(*) = 0 AS library_is_empty FROM customer",
     "blocks_per_page": "SELECT l_orderkey AS page_id, count(*) AS block_count FROM lineitem GROUP BY 1",
     "first_pages": f"{_LIB} SELECT document_id, arg_min(page_id, page_number) AS page_id, "
@@ -265,11 +282,12 @@ ORACLE = {
     "library_traversal": f"{_LIB}, {r.SQL_BLOCKS} SELECT document_id, title, count(*) AS block_count, max(x) AS max_x, "
     "min(y) AS min_y, max(page_number) AS last_page FROM library_documents JOIN library_pages USING (document_id) "
     "JOIN blocks USING (page_id) GROUP BY document_id, title",
-    "cascade_delete": f"{_LIB}, {_DOOM}, gone AS (SELECT page_id FROM library_pages WHERE document_id IN (FROM doomed)) "
-    "SELECT 'documents' AS relation, count(*) AS remaining FROM library_documents "
+    "cascade_delete": f"{_LIB}, {_DOOM}, {r.SQL_BLOCKS}, gone AS (SELECT page_id FROM library_pages WHERE document_id IN (FROM doomed)) "
+    "SELECT 'documents' AS relation, concat_ws('-', document_id) AS key FROM library_documents "
     "WHERE document_id NOT IN (FROM doomed) UNION ALL "
-    "SELECT 'pages', count(*) FROM library_pages WHERE document_id NOT IN (FROM doomed) UNION ALL "
-    "SELECT 'blocks', count(*) FROM lineitem WHERE l_orderkey NOT IN (FROM gone)",
+    "SELECT 'pages', concat_ws('-', page_id, document_id) FROM library_pages WHERE document_id NOT IN (FROM doomed) UNION ALL "
+    "SELECT 'blocks', concat_ws('-', page_id, l_linenumber, l_partkey, l_suppkey, text) FROM blocks "
+    "WHERE page_id NOT IN (FROM gone)",
     "files_to_remove": f"{_LIB}, {_DOOM}, "
     "disk AS (SELECT unnest(['Pages','Sources']) AS directory, image_file_name AS file_name FROM library_pages "
     "WHERE image_file_name NOT LIKE '%7.jpg' UNION SELECT 'Sources', local_file_name FROM library_documents), "

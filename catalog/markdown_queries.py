@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import markup as m
+from quire.operators import jobs
 from quire.operators import markdown as md
+from quire.plans import flows
 
 from . import relations as r
 
@@ -23,6 +25,20 @@ def sources(spark, sf_dir):
     return r.markdown_sources(spark, sf_dir).withColumn("markdown", F.concat("markdown", extra))
 
 
+def _pages_of_lines(spark, sf_dir):
+    """The same sources as jobs whose pages hold four lines each, so that math runs across page breaks."""
+    lines = F.split("markdown", "\n", -1)
+    pages = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 4).cast("int")), lambda i: F.array_join(F.slice(lines, i * 4 + 1, F.lit(4)), "\n")
+    )
+    return sources(spark, sf_dir).select(F.col("doc_id").alias("job_id"), F.posexplode(pages).alias("page_index", "final_markdown"))
+
+
+def sources_in_parts(spark, sf_dir):
+    """Assembled in parts of two pages."""
+    return jobs.assemble_markdown(_pages_of_lines(spark, sf_dir), part_pages=2).withColumnRenamed("job_id", "doc_id")
+
+
 SQL_EXTRA = r"""
 src AS (
   SELECT doc_id, markdown || chr(10) || '$$' || chr(10) || '\alpha_' || doc_id || ' \le \foo{x}' || chr(10)
@@ -35,6 +51,14 @@ src AS (
             ELSE '$$ open' || chr(10) || 'until the end' || chr(10) END AS markdown
   FROM sources)"""
 
+#: The same, with a page break after every four lines; it knows no parts.
+SQL_PAGED = SQL_EXTRA.replace("src AS (", "flat AS (", 1) + r"""
+, fl AS (SELECT doc_id, string_split(markdown, chr(10)) AS ls FROM flat),
+fi AS (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS i, unnest(ls) AS raw FROM fl),
+pg AS (SELECT doc_id, i // 4 AS page_index, string_agg(raw, chr(10) ORDER BY i) AS final_markdown FROM fi GROUP BY ALL),
+src AS (SELECT doc_id, string_agg(final_markdown, chr(10) || chr(10) || '<div class="page-break"></div>' || chr(10) || chr(10)
+          ORDER BY page_index) AS markdown FROM pg GROUP BY 1)"""
+
 _TRIM = r"regexp_replace({0}, '^[\t\p{{Zs}}]+|[\t\p{{Zs}}]+$', '', 'g')"
 
 # The line-by-line state machine as a recursive walk from block start to block start.
@@ -187,12 +211,37 @@ def command_usage(spark, sf_dir):
     return md.command_usage(md.math_inventory(sources(spark, sf_dir)))
 
 
-def figure_report(spark, sf_dir):
+def _figure_files(spark, sf_dir):
     """A figure file exists for even pages."""
-    files = r.table(spark, sf_dir, "pages").filter("page_id % 2 = 0").select(
+    return r.table(spark, sf_dir, "pages").filter("page_id % 2 = 0").select(
         F.col("page_id").alias("doc_id"), F.concat(F.lit("assets/f"), "page_id", F.lit(".png")).alias("path")
     )
-    return md.figure_report(sources(spark, sf_dir), files)
+
+
+def figure_report(spark, sf_dir):
+    return md.figure_report(sources(spark, sf_dir), _figure_files(spark, sf_dir))
+
+
+def html_with_figures(spark, sf_dir):
+    """Figures whose file is not listed are marked as missing."""
+    return md.to_html(sources(spark, sf_dir), _figure_files(spark, sf_dir))
+
+
+def blocks_in_parts(spark, sf_dir):
+    return md.block_table(sources_in_parts(spark, sf_dir))
+
+
+def outline_in_parts(spark, sf_dir):
+    return md.outline(sources_in_parts(spark, sf_dir))
+
+
+def headings_in_parts(spark, sf_dir):
+    return md.body_headings(sources_in_parts(spark, sf_dir))
+
+
+def published_parts(spark, sf_dir):
+    """Sources in parts of two pages, rendered part by part and put together: one row a source."""
+    return flows.publish_sources(sources_in_parts(spark, sf_dir), _figure_files(spark, sf_dir))
 
 
 def uncertain_counts(spark, sf_dir):
@@ -237,22 +286,50 @@ QUERIES = {
     f.__name__: f
     for f in (
         markdown_blocks, outline, body_headings, list_runs, inline_spans, math_inventory, command_usage, figure_report,
-        uncertain_counts, html_text, latex_text, matrix_cells, escaped_text, prose_escape,
+        uncertain_counts, html_text, latex_text, matrix_cells, escaped_text, prose_escape, html_with_figures, blocks_in_parts,
+        outline_in_parts, headings_in_parts, published_parts,
     )
 }
 
+_MISSING_SQL = SQL_HTML.replace(
+    "ELSE '<figure><img",
+    f"WHEN NOT (doc_id % 2 = 0 AND {_PATH} = 'assets/f' || doc_id || '.png') THEN '<span class=\"unclear\">[missing figure: ' || "
+    + _ESC.format(_PATH) + " || ']</span>' ELSE '<figure><img", 1,
+)
+
+
+def _paged(sql: str) -> str:
+    return sql.replace(SQL_EXTRA, SQL_PAGED)
+
+
+_OUTLINE = (
+    f"{SQL_BLOCKS}, hd AS (SELECT doc_id, raw, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) "
+    "AS ordinal FROM ln WHERE regexp_matches(raw, '^#{1,4} ')) SELECT doc_id, ordinal, "
+    "CAST(length(regexp_extract(raw, '^#+')) AS INTEGER) AS level, regexp_replace(raw, '^#{1,4} ', '') AS heading, "
+    "'section-' || ordinal AS anchor FROM hd"
+)
+_HEADINGS = (
+    f"{SQL_BLOCKS} SELECT doc_id, 'section-' || row_number() OVER (PARTITION BY doc_id ORDER BY position) "
+    "AS anchor, CAST(length(regexp_extract(t, '^#+')) AS INTEGER) AS level, body AS heading FROM bt WHERE kind = 'heading'"
+)
+_UNCERTAIN = (
+    f"WITH {r.SQL_SOURCES}, {SQL_EXTRA} SELECT doc_id, CAST(len(regexp_extract_all(markdown, "
+    r"'(?i)\[unclear:\s*[^\]]*\]')) AS INTEGER) AS uncertain_count FROM src"
+)
 _INVENTORY = (
     "SELECT doc_id, position, true AS display, tex FROM mt UNION ALL "
     "SELECT doc_id, position, false, substr(span, 2, length(span) - 2) FROM sk WHERE span_kind = 'math'"
 )
 ORACLE = {
     "markdown_blocks": f"{SQL_BLOCKS} SELECT doc_id, position, kind, source FROM bt",
-    "outline": f"{SQL_BLOCKS}, hd AS (SELECT doc_id, raw, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) "
-    "AS ordinal FROM ln WHERE regexp_matches(raw, '^#{1,4} ')) SELECT doc_id, ordinal, "
-    "CAST(length(regexp_extract(raw, '^#+')) AS INTEGER) AS level, regexp_replace(raw, '^#{1,4} ', '') AS heading, "
-    "'section-' || ordinal AS anchor FROM hd",
-    "body_headings": f"{SQL_BLOCKS} SELECT doc_id, 'section-' || row_number() OVER (PARTITION BY doc_id ORDER BY position) "
-    "AS anchor, CAST(length(regexp_extract(t, '^#+')) AS INTEGER) AS level, body AS heading FROM bt WHERE kind = 'heading'",
+    "outline": _OUTLINE,
+    "body_headings": _HEADINGS,
+    "blocks_in_parts": _paged(f"{SQL_BLOCKS} SELECT doc_id, position, kind, source FROM bt"),
+    "outline_in_parts": _paged(_OUTLINE),
+    "headings_in_parts": _paged(_HEADINGS),
+    "published_parts": f"SELECT doc_id, html, latex, uncertain_count FROM ({_paged(_MISSING_SQL)}) JOIN ({_paged(SQL_LATEX_LINES)}) "
+    f"USING (doc_id) JOIN ({_paged(_UNCERTAIN)}) USING (doc_id)",
+    "html_with_figures": _MISSING_SQL,
     "list_runs": f"{SQL_BLOCKS}, g AS (SELECT doc_id, position, CASE kind WHEN 'item' THEN 'ul' WHEN 'ordered_item' THEN 'ol' END "
     "AS tag FROM bt), f AS (SELECT *, tag IS NOT NULL AND tag IS DISTINCT FROM lag(tag) OVER (PARTITION BY doc_id "
     "ORDER BY position) AS fresh FROM g), s AS (SELECT *, CAST(count(*) FILTER (fresh) OVER (PARTITION BY doc_id "
@@ -270,8 +347,7 @@ ORACLE = {
     "CASE WHEN alt = path OR starts_with(alt, 'assets/') THEN 'Source figure' ELSE alt END AS caption, "
     "CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' "
     "WHEN 'gif' THEN 'image/gif' WHEN 'webp' THEN 'image/webp' ELSE 'image/png' END AS media_type FROM l",
-    "uncertain_counts": f"WITH {r.SQL_SOURCES}, {SQL_EXTRA} SELECT doc_id, CAST(len(regexp_extract_all(markdown, "
-    r"'(?i)\[unclear:\s*[^\]]*\]')) AS INTEGER) AS uncertain_count FROM src",
+    "uncertain_counts": _UNCERTAIN,
     "html_text": SQL_HTML,
     "latex_text": SQL_LATEX_LINES,
     "prose_escape": f"SELECT doc_id, {_sql_prose('text')} AS tex FROM documents",

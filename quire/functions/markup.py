@@ -2,12 +2,16 @@
 
 A source is cut into blocks by one regular expression that consumes whole lines
 in order. Repetitions are possessive or over single characters, so matching
-needs no stack depth and touches each character a bounded number of times for
-well-formed sources.
+needs no stack depth. A single-dollar line opens a block only while a line that
+closes one still follows: lines behind the last such line are known from a scan
+beforehand and never look for an end, so each character is touched a bounded
+number of times whatever the source.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,20 +29,35 @@ DISPLAY_OPEN, DISPLAY_CLOSE = '<div class="display-math">', "</div>"
 BREAK_ELEMENT = '<div class="page-break" aria-hidden="true"></div>'
 UNCLEAR_OPEN, UNCLEAR_CLOSE = '<span class="unclear">', "</span>"
 BLOCKED_IMAGE = '<span class="unclear">[blocked image path]</span>'
+_FIGURE_BEGIN, _FIGURE_END = "<figure>", "</figure>"
 TEX_FIGURE = "\\begin{figure}[htbp]\\centering\\includegraphics[width=.92\\linewidth]{"
 TEX_CAPTION, TEX_FIGURE_END = "}\\caption{", "}\\end{figure}"
 UNCERTAIN_MARK = r"(?i)\[unclear:\s*[^\]]*\]"
 
 _GAP = r"[\t\p{Zs}]*+"
-# In order: single-dollar block closed by a later line ending in "$"; one-line "$$…$$";
-# "$$" block up to the next line holding "$$"; unclosed "$$" block; any other line.
-_BLOCK = (
-    rf"{_GAP}\$(?!\$)[^$\n]*+\n(?s:.*?)\${_GAP}\n"
-    rf"|{_GAP}\$\$[^\n]*?\$\${_GAP}\n"
-    rf"|{_GAP}\$\$[^\n]*+\n(?s:.*?)\$\$[^\n]*+\n"
-    rf"|{_GAP}\$\$(?s:.*+)"
-    r"|[^\n]*+\n"
-)
+# A line whose last sign is "$" ends a single-dollar block; a line with one "$", its first sign, begins one.
+_LAST_CLOSING = rf"(?s)\A.*\${_GAP}\n"
+_OPENING = rf"(?md)^{_GAP}\$(?!\$)[^$\n]*+$"
+#: Line marks of a source with openings that nothing closes: a closing line follows, or none does.
+_CLOSABLE, _FINAL = "C", "F"
+
+
+def _block_pattern(closable: str = "", line: str = "", open_end: bool = False) -> str:
+    """Blocks of lines that begin with a mark.
+
+    In order: single-dollar block closed by a later line ending in "$" (with ``open_end`` also one that is not closed
+    here); one-line "$$…$$"; "$$" block up to the next line holding "$$"; unclosed "$$" block; any other line.
+    """
+    return (
+        rf"{closable}{_GAP}\$(?!\$)[^$\n]*+\n(?s:.*?)\${_GAP}\n"
+        + (rf"|{_GAP}\$(?!\$)[^$\n]*+\n(?s:.*+)" if open_end else "")
+        +        rf"|{line}{_GAP}\$\$[^\n]*?\$\${_GAP}\n"
+        rf"|{line}{_GAP}\$\$[^\n]*+\n(?s:.*?)\$\$[^\n]*+\n"
+        rf"|{line}{_GAP}\$\$(?s:.*+)"
+        r"|[^\n]*+\n"
+    )
+
+
 _INLINE = (
     r"(?s)!\[[^\]]*+\]\([^)]*+\)|\*\*.*?\*\*|\$[^$]*+\$|\[unclear:[^\]]*+\]|[^!*$\[]++|."
 )
@@ -53,12 +72,90 @@ def lines(markdown: Column) -> Column:
     return F.split(normalize_newlines(markdown), "\n", -1)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``use``."""
+    return F.transform(F.array(value), use)[0]
+
+
 def raw_blocks(markdown: Column) -> Column:
     """Array of block sources in order, each without its final newline."""
     text = F.concat(normalize_newlines(markdown), F.lit("\n"))
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(0)), lambda b: F.regexp_replace(b, r"\n\z", "")
-    )
+
+    def cut(whole: Column, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), lambda b: F.regexp_replace(b, r"\n\z", ""))
+
+    def marked(closable: Column, rest: Column) -> Column:
+        lines_ = F.concat(
+            F.when(closable == "", "").otherwise(F.regexp_replace(closable, "(?md)^", _CLOSABLE)),
+            F.regexp_replace(rest, "(?md)^", _FINAL),
+        )
+        blocks = cut(lines_, _block_pattern(_CLOSABLE, f"[{_CLOSABLE}{_FINAL}]"))
+        return F.transform(blocks, lambda b: F.regexp_replace(b, f"(?md)^[{_CLOSABLE}{_FINAL}]", ""))
+
+    def classified(whole: Column) -> Column:
+        return let(
+            F.regexp_extract(whole, _LAST_CLOSING, 0),
+            lambda closable: let(
+                F.substring(whole, F.length(closable) + 1, F.length(whole)),
+                lambda rest: F.when(rest.rlike(_OPENING), marked(closable, rest)).otherwise(cut(whole, _block_pattern())),
+            ),
+        )
+
+    return let(text, lambda whole: F.when(F.contains(whole, F.lit("$")), classified(whole)).otherwise(cut(whole, r"[^\n]*+\n")))
+
+
+# What a part of a source leaves open: nothing, a "$$" block, or a single-dollar block that a later part closes.
+NOTHING, PAIR, SINGLE = 0, 1, 2
+_TO_PAIR = r"(?s)\A.*?\$\$[^\n]*+"
+_TO_SINGLE = rf"(?s)\A(.*?\${_GAP})\n"
+
+
+def has_closing_line(markdown: Column) -> Column:
+    """A line whose last sign is "$"."""
+    return F.concat(normalize_newlines(markdown), F.lit("\n")).rlike(rf"\${_GAP}\n")
+
+
+def closes(markdown: Column) -> Column:
+    """For each state a part may begin in: it ends what is open there."""
+    return F.array(F.lit(True), F.contains(markdown, F.lit("$$")), has_closing_line(markdown))
+
+
+def continued(markdown: Column, state: Column) -> Column:
+    """Beginning of a part that belongs to the block open there, without the end of its last line."""
+    text = normalize_newlines(markdown)
+    pair = F.when(F.contains(text, F.lit("$$")), F.regexp_extract(text, _TO_PAIR, 0)).otherwise(text)
+    single = F.when(has_closing_line(text), F.regexp_extract(F.concat(text, F.lit("\n")), _TO_SINGLE, 1)).otherwise(text)
+    return F.when(state == PAIR, pair).when(state == SINGLE, single).otherwise(F.lit(""))
+
+
+def open_states(markdown: Column, closing_follows: Column) -> Column:
+    """For each state a part may begin in, the state it ends in; ``closing_follows`` tells of the later parts.
+
+    The part's lines are given without the line end in front of them.
+    """
+    text = normalize_newlines(markdown)
+
+    def last_block(rest: Column) -> Column:
+        whole = F.concat(rest, F.lit("\n"))
+        closed = F.element_at(raw_blocks(rest), -1)
+        opened = F.element_at(F.regexp_extract_all(whole, F.lit(_block_pattern(open_end=True)), F.lit(0)), -1)
+        return F.when(closing_follows, F.regexp_replace(opened, r"\n\z", "")).otherwise(closed)
+
+    def state_of(block: Column) -> Column:
+        pair = block.rlike(rf"\A{_GAP}\$\$") & ~block.rlike(rf"\A{_GAP}\$\$[^\n]*?\$\${_GAP}\z")
+        pair = pair & ~block.rlike(rf"\A{_GAP}\$\$[^\n]*+\n(?s:.*?)\$\$")
+        single = block.rlike(rf"\A{_GAP}\$(?!\$)[^$\n]*+(?:\n|\z)") & ~block.rlike(rf"(?s)\A{_GAP}\$(?!\$)[^$\n]*+\n.*\${_GAP}\z")
+        return F.when(pair, PAIR).when(single & closing_follows, SINGLE).otherwise(NOTHING)
+
+    def from_state(state: int) -> Column:
+        if state == NOTHING:
+            return let(last_block(text), state_of)
+        done = F.element_at(closes(text), state + 1)
+        rest = let(continued(text, F.lit(state)), lambda head: F.substring(text, F.length(head) + 2, F.length(text)))
+        return F.when(~done, F.lit(state)).otherwise(let(let(rest, last_block), state_of))
+
+    same = F.array(*[F.lit(s) for s in (NOTHING, PAIR, SINGLE)])
+    return F.when(F.contains(text, F.lit("$")), F.array(*[from_state(s) for s in (NOTHING, PAIR, SINGLE)])).otherwise(same)
 
 
 def is_math_block(block: Column) -> Column:
@@ -194,8 +291,8 @@ def inline_html(text: Column) -> Column:
             is_blocked_path(path), F.lit(BLOCKED_IMAGE)
         ).otherwise(
             F.concat(
-                F.lit('<figure><img alt="'), caption, F.lit('" src="'), escape_html(path),
-                F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"),
+                F.lit(f'{_FIGURE_BEGIN}<img alt="'), caption, F.lit('" src="'), escape_html(path),
+                F.lit('"><figcaption>'), caption, F.lit(f"</figcaption>{_FIGURE_END}"),
             )
         )
         return (
@@ -209,19 +306,70 @@ def inline_html(text: Column) -> Column:
     return F.array_join(F.transform(inline_spans(text), render), "")
 
 
+def inline_source(kind: Column, block: Column) -> Column:
+    """Text of a block that may hold inline spans; null for all other kinds."""
+    text = trim_blank(block)
+    return F.when(kind == "heading", heading_text(text)).when(kind.isin("item", "ordered_item"), item_text(text)).when(
+        kind == "paragraph", text
+    )
+
+
+def figure_paths(blocks: Column, kinds: Column) -> Column:
+    """Paths of the figures of all blocks that are not blocked, in the order they are rendered in."""
+
+    def of_block(block: Column, i: Column) -> Column:
+        images = F.filter(inline_spans(inline_source(F.get(kinds, i), block)), lambda span: span_kind(span) == "image")
+        return F.filter(F.transform(images, image_path), lambda path: ~is_blocked_path(path))
+
+    return F.flatten(F.filter(F.transform(blocks, of_block), lambda paths: paths.isNotNull()))
+
+
 def uncertain_count(source: Column) -> Column:
     return F.regexp_count(source, F.lit(UNCERTAIN_MARK))
 
 
+#: A mark that is begun and not ended; a later part may end it.
+_OPEN_MARK = r"(?i)\[unclear:[^\]]*\z"
+
+
+def uncertain_table(source: Column) -> Column:
+    """For a part that begins outside and inside a mark: ``struct<marks,open>``, the marks it ends and whether one is open after it."""
+
+    def counted(text: Column, ended: int) -> Column:
+        return F.struct((uncertain_count(text) + ended).cast("long").alias("marks"), text.rlike(_OPEN_MARK).alias("open"))
+
+    still = F.struct(F.lit(0).cast("long").alias("marks"), F.lit(True).alias("open"))
+    rest = F.substring(source, F.position(F.lit("]"), source) + 1, F.length(source))
+    inside = F.when(F.contains(source, F.lit("]")), let(rest, lambda text: counted(text, 1))).otherwise(still)
+    return F.array(counted(source, 0), inside)
+
+
 def _list_tag(kind: Column) -> Column:
     return F.when(kind == "item", "ul").when(kind == "ordered_item", "ol")
 
 
-def html_body(blocks: Column, kinds: Column) -> Column:
+def _mark_missing(body: Column, paths: Column, present: Column) -> Column:
+    """Figures whose file is not there become a mark; the body is cut at "<figure>", which escaped text cannot contain."""
+
+    def piece(part: Column, n: Column) -> Column:
+        after = F.substring(part, F.position(F.lit(_FIGURE_END), part) + len(_FIGURE_END), F.length(part))
+        missing = F.concat(
+            F.lit(f"{UNCLEAR_OPEN}[missing figure: "), escape_html(F.get(paths, n - 1)), F.lit(f"]{UNCLEAR_CLOSE}"), after
+        )
+        shown = F.concat(F.lit(_FIGURE_BEGIN), part)
+        return F.when(n == 0, part).when(F.get(present, n - 1), shown).otherwise(missing)
+
+    return F.array_join(F.transform(F.split(body, _FIGURE_BEGIN, -1), piece), "")
+
+
+def html_body(
+    blocks: Column, kinds: Column, paths: Column | None = None, present: Column | None = None, headings_before: Column | int = 0
+) -> Column:
     """Body HTML from block sources and their kinds.
 
     List tags depend on the neighbouring kinds only. Headings get their ordinal
-    by cutting the result at "<h", which escaped text cannot contain.
+    by cutting the result at "<h", which escaped text cannot contain. With the
+    figures' ``paths`` and flags of the ``present`` ones the others are marked.
     """
 
     def render(block: Column, i: Column) -> Column:
@@ -249,11 +397,13 @@ def html_body(blocks: Column, kinds: Column) -> Column:
         )
 
     body = F.array_join(F.filter(F.transform(blocks, render), lambda x: x.isNotNull()), "\n")
+    if present is not None:
+        body = _mark_missing(body, paths, present)
     numbered = F.transform(
         F.split(body, "<h(?=[1-4]>)", -1),
         lambda part, n: F.when(n == 0, part).otherwise(
             F.concat(
-                F.lit("<h"), F.substring(part, 1, 1), F.lit(' id="section-'), n.cast("string"), F.lit('"'),
+                F.lit("<h"), F.substring(part, 1, 1), F.lit(' id="section-'), (n + headings_before).cast("string"), F.lit('"'),
                 F.substring(part, F.lit(2), F.length(part)),
             )
         ),
@@ -268,19 +418,23 @@ def headings(markdown: Column) -> Column:
 
 def html_contents(markdown: Column) -> Column:
     """Table of contents, empty without headings."""
+    return let(contents_entries(markdown), wrap_contents)
+
+
+def wrap_contents(joined: Column) -> Column:
+    return F.when(joined == "", joined).otherwise(F.concat(F.lit(TOC_OPEN), joined, F.lit(TOC_CLOSE)))
+
+
+def contents_entries(markdown: Column, headings_before: Column | int = 0) -> Column:
+    """Entries of the table of contents, as one text."""
     entries = F.transform(
         headings(markdown),
         lambda line, i: F.concat(
             F.lit('<li class="level-'), heading_level(line).cast("string"), F.lit('"><a href="#section-'),
-            (i + 1).cast("string"), F.lit('">'), escape_html(heading_text(line)), F.lit("</a></li>"),
+            (i + 1 + headings_before).cast("string"), F.lit('">'), escape_html(heading_text(line)), F.lit("</a></li>"),
         ),
     )
-    return F.when(F.size(entries) == 0, F.lit("")).otherwise(
-        F.concat(
-            F.lit(TOC_OPEN),
-            F.array_join(entries, ""), F.lit(TOC_CLOSE),
-        )
-    )
+    return F.array_join(entries, "")
 
 
 def _is_bullet(line: Column) -> Column:

@@ -11,6 +11,9 @@ from ..functions import paging
 from ..functions.geometry import plan_crops
 from ..functions.names import history_stamp, vision_cache_path
 from ..functions.text import trim_all
+from ..runtime import broadcast_if_small
+from .ordered import same_keys
+from .parts import PART, later_parts, several_parts, sums_before
 
 # Page separator, evidence headings, crop label, history path, deadline.
 PAGE_BREAK = '\n\n<div class="page-break"></div>\n\n'
@@ -139,29 +142,40 @@ def join_refinements(ocr_pages: DataFrame, refinements: DataFrame) -> DataFrame:
 
 
 def assemble_markdown(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
-    """Pages of a job joined by page-break markers, in page order.
+    """(job_id, part, markdown): pages of a job joined by page-break markers, in page order.
 
-    Emits parts of ``part_pages`` pages; join parts with the same marker for the
-    whole. Ordinary jobs are a single part 0.
+    A part holds ``part_pages`` page numbers; all but a job's first begin with a marker, so the parts one behind the
+    other are the whole source (``parts.whole``). Ordinary jobs are a single part 0.
     """
     marker = PAGE_BREAK.replace("\n", "\\n")
-    return (
-        pages.withColumn("part", F.floor(F.col("page_index") / part_pages).cast("int"))
-        .groupBy("job_id", "part")
-        .agg(F.expr(f"listagg(final_markdown, '{marker}') within group (order by page_index)").alias("markdown"))
+    numbered = pages.withColumn(PART, F.floor(F.col("page_index") / part_pages).cast("int"))
+    joined = numbered.groupBy("job_id", PART).agg(
+        F.expr(f"listagg(final_markdown, '{marker}') within group (order by page_index)").alias("markdown")
     )
+    # a pruned scan of page numbers; only jobs that go beyond their first part need a look at where they begin
+    beyond = numbered.filter(F.col("page_index") >= part_pages).select("job_id").distinct()
+    begun = numbered.select("job_id", PART).join(broadcast_if_small(beyond), "job_id", "left_semi")
+    several = several_parts(begun, ["job_id"])
+    led = F.when(F.col("_later"), F.concat(F.lit(PAGE_BREAK), F.col("markdown"))).otherwise(F.col("markdown"))
+    return later_parts(joined, ["job_id"], several).select("job_id", PART, led.alias("markdown"))
 
 
-def split_pages(sources: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
+def split_pages(sources: DataFrame) -> DataFrame:
     """Assembled source back to pages at its page-break lines.
 
-    Where sources have a ``part``, each starts ``part_pages`` pages after the one before.
+    Where sources have a ``part``, pages are numbered on from the parts before.
     """
-    first = F.col("part") * part_pages if "part" in sources.columns else F.lit(0)
     breaks = r"(?:\A|(?<=\n))[\t\p{Zs}]*+(?:<div class=\"page-break\"></div>|<!-- page-break -->)[\t\p{Zs}]*+(?=\r?\n|\z)"
-    parts = F.posexplode(F.split("markdown", breaks)).alias("page_index", "_text")
-    return sources.select("job_id", first.cast("int").alias("_first"), parts).select(
-        "job_id", (F.col("_first") + F.col("page_index")).alias("page_index"), trim_all(F.col("_text")).alias("markdown")
+    texts = F.split("markdown", breaks)
+    rows = sources.withColumns({"_later": F.lit(False), "_before": F.lit(0)})
+    if PART in sources.columns:
+        several = several_parts(sources, ["job_id"])
+        rows = later_parts(sources, ["job_id"], several)
+        # what a later part has in front of its first break is blank
+        texts = F.when(F.col("_later"), F.slice(texts, F.lit(2), F.size(texts))).otherwise(texts)
+        rows = sums_before(rows, ["job_id"], {"_before": F.size(texts)}, several)
+    return rows.select("job_id", "_before", F.posexplode(texts).alias("page_index", "_text")).select(
+        "job_id", (F.col("_before") + F.col("page_index")).cast("int").alias("page_index"), trim_all(F.col("_text")).alias("markdown")
     )
 
 
@@ -213,15 +227,36 @@ def _by_index(a: Column, b: Column) -> Column:
 
 
 def job_records(evidence: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
-    """Nested record per job (and part of ``part_pages`` pages)."""
+    """Nested record per job (and part of ``part_pages`` pages); ``parts.whole_array`` puts them together."""
     page = F.struct("page_index", "overview", "crops", "final_markdown")
     return (
-        evidence.withColumn("part", F.floor(F.col("page_index") / part_pages).cast("int"))
-        .groupBy("job_id", "part")
+        evidence.withColumn(PART, F.floor(F.col("page_index") / part_pages).cast("int"))
+        .groupBy("job_id", PART)
         .agg(F.sort_array(F.collect_list(page)).alias("pages"))
     )
 
 
+def record_lines(evidence: DataFrame) -> DataFrame:
+    """(job_id, page_index, json): one record per job as JSON text in pieces of a page.
+
+    The pieces of a job in page order, joined by commas, are ``{"job_id":…,"pages":[…]}``. Written with
+    ``sinks.write_packed`` a record of any number of pages is one stretch of a file and never one value.
+    """
+    page = F.to_json(F.struct("page_index", "overview", "crops", "final_markdown"))
+    ends = evidence.groupBy("job_id").agg(F.min("page_index").alias("_first"), F.max("page_index").alias("_last"))
+    # one row per job: the head and the foot of its record
+    rows = evidence.select("job_id", "page_index", page.alias("_json")).alias("a").join(ends.alias("b"), same_keys(["job_id"]))
+    rows = rows.select("a.*", "_first", "_last")
+    named = F.to_json(F.struct("job_id"))
+    opened = F.when(F.col("job_id").isNull(), F.lit("{")).otherwise(F.concat(F.substring(named, F.lit(1), F.length(named) - 1), F.lit(",")))
+    head = F.concat(opened, F.lit('"pages":['))
+    text = F.concat(
+        F.when(F.col("page_index") == F.col("_first"), head).otherwise(""), F.col("_json"),
+        F.when(F.col("page_index") == F.col("_last"), F.lit("]}")).otherwise(""),
+    )
+    return rows.select("job_id", "page_index", text.alias("json"))
+
+
 def current_state(updates: DataFrame) -> DataFrame:
     """Fold stage updates to the current state of each job.
 

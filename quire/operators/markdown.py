@@ -1,18 +1,26 @@
-"""Markdown-corpus operators. Sources: ``doc_id``, ``markdown``.
+"""Markdown-corpus operators. Sources: ``doc_id``, ``markdown``, and ``part`` where sources come in parts.
 
 A source is one value, so its blocks are cut and rendered inside its row with
 array expressions: no shuffle, and a long source is linear work. Only the
 inventories that leave the row (outline, math, figures, commands) explode.
+
+A part after the first begins with the line end in front of a page break, as
+``jobs.assemble_markdown`` cuts them. Math that is open there moves to the part
+it began in (``settle``); numbers of blocks and headings go on from part to part,
+so every result is that of the source as one value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup as m
 from ..functions.assets import figure_caption, is_blocked_path, media_type
 from ..functions.text import trim_blank
+from ..runtime import broadcast_if_small, cut
+from .ordered import Ordered, per_group, same_keys
+from .parts import PART, later_parts, several_parts, sums_before
 
 # TeX commands the math display knows, and what they stand for.
 TEX_STRUCTURES = [
@@ -36,21 +44,110 @@ TEX_GREEK = {
 }
 
 
+def _own_lines(sources: DataFrame) -> DataFrame:
+    """Text of a part without the line end that belongs to the part before it."""
+    return sources.withColumn("markdown", F.when(F.col("_later"), F.regexp_replace("markdown", r"\A\r?\n", "")).otherwise(F.col("markdown")))
+
+
+def settle(sources: DataFrame) -> DataFrame:
+    """(doc_id, part, markdown): parts of the same sources, cut so that no block reaches into the next part.
+
+    Each part tells, for each state it may begin in, the state it ends in; folded over the few parts of a source that
+    gives where a block is open. The text up to its end moves to the part it began in. A block is one value, so a block
+    that is never closed gathers the rest of its source.
+    """
+    parts = sources.select("doc_id", PART, "markdown")
+    several = several_parts(parts, ["doc_id"])
+    if several is None:
+        return parts
+    within = parts.join(broadcast_if_small(several.select("doc_id")), "doc_id", "left_semi")
+    own = _own_lines(later_parts(within, ["doc_id"], several))
+    text = F.col("markdown")
+    last_closing = own.groupBy("doc_id").agg(F.max(F.when(m.has_closing_line(text), F.col(PART))).alias("_closing"))
+    follows = F.coalesce(F.col(PART) < F.col("_closing"), F.lit(False))
+    tables = own.join(broadcast_if_small(cut(last_closing)), "doc_id").select(
+        "doc_id", PART, m.open_states(text, follows).alias("ends"), m.closes(text).alias("closes")
+    )
+
+    def step(state: Column, row: Column) -> Column:
+        at = state["open"]
+        end = F.get(row["ends"], at)
+        swallowed = (at != m.NOTHING) & ~F.get(row["closes"], at)
+        here = F.struct(row[PART].alias(PART), at.alias("_state"), state["owner"].alias("_owner"))
+        return F.struct(
+            end.alias("open"), F.when(swallowed, state["owner"]).otherwise(row[PART]).alias("owner"),
+            F.array_append(state["rows"], here).alias("rows"),
+        )
+
+    start = F.struct(
+        F.lit(m.NOTHING).alias("open"), F.lit(0).alias("owner"), F.array().cast(f"array<struct<{PART}:int,_state:int,_owner:int>>").alias("rows")
+    )
+    rows = F.array_sort(F.collect_list(F.struct(F.col(PART).cast("int").alias(PART), "ends", "closes")))
+    folded = tables.groupBy("doc_id").agg(F.aggregate(rows, start, step, lambda state: state["rows"]).alias("_rows"))
+    open_parts = cut(folded.select("doc_id", F.inline("_rows")).filter(F.col("_state") != m.NOTHING))
+    if not open_parts.take(1):
+        return parts
+    moved = broadcast_if_small(open_parts.select("doc_id").distinct())
+    joined = parts.join(moved, "doc_id", "left_semi").alias("a").join(
+        broadcast_if_small(open_parts).alias("b"), same_keys(["doc_id", PART]), "left"
+    ).select("a.*", F.coalesce("b._state", F.lit(m.NOTHING)).alias("_state"), "b._owner")
+    plain = m.normalize_newlines(F.col("markdown"))
+    # the line end in front of a later part's first line goes with that line
+    first_line = F.concat(F.lit("\n"), m.continued(F.substring(plain, F.lit(2), F.length(plain)), F.col("_state")))
+    head = F.when(F.col("_state") == m.NOTHING, "").otherwise(first_line)
+    rows = joined.withColumn("_head", head).withColumn("_tail", F.substring(plain, F.length("_head") + 1, F.length(plain)))
+    piece = F.inline(
+        F.array(
+            F.struct(F.col("_owner").alias("_to"), F.col("_head").alias("_text")),
+            F.struct(F.col(PART).cast("int").alias("_to"), F.col("_tail").alias("_text")),
+        )
+    )
+    pieces = rows.select("doc_id", F.col(PART).alias("_from"), piece).filter("_text <> ''")
+    settled = pieces.groupBy("doc_id", F.col("_to").alias(PART)).agg(
+        F.expr("listagg(_text, '') within group (order by _from)").alias("markdown")
+    )
+    return parts.join(moved, "doc_id", "left_anti").unionByName(settled)
+
+
+class _Parts:
+    """Sources ready for cutting: settled, with own lines only, and what their earlier parts count."""
+
+    def __init__(self, sources: DataFrame):
+        self.parted = PART in sources.columns
+        self.several = None
+        if not self.parted:
+            self.rows = sources.withColumn("_later", F.lit(False))
+            return
+        settled = settle(sources)
+        self.several = several_parts(settled, ["doc_id"])
+        self.rows = _own_lines(later_parts(settled, ["doc_id"], self.several))
+
+    def counting(self, counts: dict[str, Column]) -> DataFrame:
+        """Rows with the sums of earlier parts; 0 where sources are one value."""
+        return sums_before(self.rows, ["doc_id"], counts, self.several)
+
+
 def block_table(sources: DataFrame) -> DataFrame:
     """One row per block: position, kind and source text."""
-    rows = sources.select("doc_id", F.posexplode(m.raw_blocks(F.col("markdown"))).alias("position", "source"))
-    return rows.withColumn("kind", m.block_kind(F.col("source")))
+    blocks = m.raw_blocks(F.col("markdown"))
+    rows = _Parts(sources).counting({"_before": F.size(blocks)})
+    rows = rows.select("doc_id", "_before", F.posexplode(blocks).alias("position", "source"))
+    placed = rows.withColumn("position", (F.col("position") + F.col("_before")).cast("int")).drop("_before")
+    return placed.withColumn("kind", m.block_kind(F.col("source")))
 
 
 def outline(sources: DataFrame) -> DataFrame:
     """Table of contents: headings of the raw lines with level, text and anchor."""
-    rows = sources.select("doc_id", F.posexplode(m.headings(F.col("markdown"))).alias("_i", "_line"))
+    found = m.headings(F.col("markdown"))
+    rows = _Parts(sources).counting({"_before": F.size(found)})
+    rows = rows.select("doc_id", "_before", F.posexplode(found).alias("_i", "_line"))
+    ordinal = (F.col("_i") + F.col("_before") + 1).cast("int")
     return rows.select(
         "doc_id",
-        (F.col("_i") + 1).alias("ordinal"),
+        ordinal.alias("ordinal"),
         m.heading_level(F.col("_line")).alias("level"),
         m.heading_text(F.col("_line")).alias("heading"),
-        F.concat(F.lit("section-"), (F.col("_i") + 1).cast("string")).alias("anchor"),
+        F.concat(F.lit("section-"), ordinal.cast("string")).alias("anchor"),
     )
 
 
@@ -59,68 +156,120 @@ def body_headings(sources: DataFrame) -> DataFrame:
 
     Kept apart from :func:`outline`, which reads raw lines; anchors may drift.
     """
-    found = F.filter(
-        m.raw_blocks(F.col("markdown")), lambda b: m.block_kind(b) == "heading"
-    )
-    rows = sources.select("doc_id", F.posexplode(found).alias("_i", "_line"))
+    found = _body_headings()
+    rows = _Parts(sources).counting({"_before": F.size(found)})
+    rows = rows.select("doc_id", "_before", F.posexplode(found).alias("_i", "_line"))
     text = trim_blank(F.col("_line"))
     return rows.select(
         "doc_id",
-        F.concat(F.lit("section-"), (F.col("_i") + 1).cast("string")).alias("anchor"),
+        F.concat(F.lit("section-"), (F.col("_i") + F.col("_before") + 1).cast("string")).alias("anchor"),
         m.heading_level(text).alias("level"),
         m.heading_text(text).alias("heading"),
     )
 
 
-def list_runs(sources: DataFrame) -> DataFrame:
-    """Runs of list items: (doc_id, run, tag, first_position, items).
+def _body_headings() -> Column:
+    return F.filter(m.raw_blocks(F.col("markdown")), lambda b: m.block_kind(b) == "heading")
 
-    A document's blocks come from one value, which bounds the window group.
-    """
+
+def list_runs(sources: DataFrame) -> DataFrame:
+    """Runs of list items: (doc_id, run, tag, first_position, items)."""
     tag = F.when(F.col("kind") == "item", "ul").when(F.col("kind") == "ordered_item", "ol")
-    window = Window.partitionBy("doc_id").orderBy("position")
-    rows = block_table(sources).select("doc_id", "position", tag.alias("tag"))
-    fresh = F.col("tag").isNotNull() & ~F.col("tag").eqNullSafe(F.lag("tag").over(window))
+    tags = block_table(sources).select("doc_id", "position", tag.alias("tag"))
+
+    def number(rows: DataFrame, slices: int) -> DataFrame:
+        scan = Ordered(rows, ["doc_id"], [F.col("position")], slices).lag({"_before": "tag"})
+        fresh = F.col("tag").isNotNull() & ~F.col("tag").eqNullSafe(F.col("_before"))
+        return scan.running_sum(F.when(fresh, 1).otherwise(0), "run").done()
+
     return (
-        rows.withColumn("_new", F.when(fresh, 1).otherwise(0))
-        .withColumn("run", F.sum("_new").over(window).cast("int"))
+        per_group(tags, ["doc_id"], number)
         .filter("tag IS NOT NULL")
-        .groupBy("doc_id", "run", "tag")
+        .groupBy("doc_id", F.col("run").cast("int").alias("run"), "tag")
         .agg(F.min("position").alias("first_position"), F.count("*").alias("items"))
     )
 
 
-def to_html(sources: DataFrame) -> DataFrame:
-    """(doc_id, html): contents and body; math stays TeX text inside ``math``."""
-    return (
-        sources.withColumn("_blocks", m.raw_blocks(F.col("markdown")))
-        .withColumn("_kinds", F.transform("_blocks", m.block_kind))
-        .select(
-            "doc_id",
-            F.concat(
-                m.html_contents(F.col("markdown")), F.lit("\n"), m.html_body(F.col("_blocks"), F.col("_kinds"))
-            ).alias("html"),
-        )
-    )
+def _present_figures(rows: DataFrame, keys: list[str], files: DataFrame) -> DataFrame:
+    """Add ``_present``: for each of a row's ``_paths``, whether ``files`` lists it. Only paths are shuffled to meet files."""
+    links = rows.select(*keys, F.posexplode("_paths").alias("_n", "path"))
+    listed = files.select("doc_id", "path").distinct().withColumn("_there", F.lit(True))
+    met = links.join(listed, ["doc_id", "path"], "left").select(*keys, "_n", F.coalesce("_there", F.lit(False)).alias("_there"))
+    flags = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_there"))), lambda r: r["_there"])
+    gathered = met.groupBy(*keys).agg(flags.alias("_present"))
+    return rows.alias("a").join(broadcast_if_small(cut(gathered)).alias("b"), same_keys(keys), "left").select("a.*", "b._present")
 
 
-def to_latex(sources: DataFrame) -> DataFrame:
-    """(doc_id, latex): body text with prose escaped and math kept."""
-    return sources.withColumn("_lines", F.transform(m.lines(F.col("markdown")), trim_blank)).select(
-        "doc_id", m.latex_body(F.col("_lines")).alias("latex")
+def to_html(sources: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(doc_id, html): contents and body; math stays TeX text inside ``math``.
+
+    ``files`` lists (doc_id, path) of existing figures; all others are marked as missing. Without it none is.
+    Sources in parts give (doc_id, part, html), in order the HTML of the whole: contents first (negative parts), then bodies.
+    """
+    parts = _Parts(sources)
+    keys = ["doc_id", *([PART] if parts.parted else [])]
+    text = F.col("markdown")
+    rows = parts.counting({"_lines": F.size(m.headings(text)), "_bodies": F.size(_body_headings())} if parts.parted else {})
+    rows = rows.withColumn("_blocks", m.raw_blocks(text)).withColumn("_kinds", F.transform("_blocks", m.block_kind))
+    blocks, kinds = F.col("_blocks"), F.col("_kinds")
+    figures: tuple = ()
+    if files is not None:
+        rows = _present_figures(rows.withColumn("_paths", m.figure_paths(blocks, kinds)), keys, files)
+        figures = (F.col("_paths"), F.coalesce("_present", F.array().cast("array<boolean>")))
+    if not parts.parted:
+        html = F.concat(m.html_contents(text), F.lit("\n"), m.html_body(blocks, kinds, *figures))
+        return rows.select("doc_id", html.alias("html"))
+    return _html_parts(rows, parts, m.html_body(blocks, kinds, *(figures or (None, None)), F.col("_bodies")))
+
+
+def _html_parts(rows: DataFrame, parts: _Parts, body: Column) -> DataFrame:
+    """Contents and bodies of parts as rows of their own, in one order of negative and other part numbers."""
+    several = parts.several
+    rows = rows.withColumn("_entries", m.contents_entries(F.col("markdown"), F.col("_lines"))).withColumn("_body", body)
+    if several is None:
+        html = F.concat(m.wrap_contents(F.col("_entries")), F.lit("\n"), F.col("_body"))
+        return rows.select("doc_id", PART, html.alias("html"))
+    titled = parts.rows.filter(F.size(m.headings(F.col("markdown"))) > 0).groupBy("doc_id").agg(
+        F.min(PART).alias("_first"), F.max(PART).alias("_last")
     )
+    ends = parts.rows.groupBy("doc_id").agg(F.max(PART).alias("_end"))
+    joined = rows.join(broadcast_if_small(cut(titled)), "doc_id", "left").join(broadcast_if_small(cut(ends)), "doc_id")
+    contents = F.concat(
+        F.when(F.col(PART) == F.col("_first"), m.TOC_OPEN).otherwise(""), F.col("_entries"),
+        F.when(F.col(PART) == F.col("_last"), m.TOC_CLOSE).otherwise(""),
+        F.when(F.col(PART) == F.col("_end"), "\n").otherwise(""),
+    )
+    # a part of blank lines alone has no body; the line end between bodies stands in front of all but the first
+    empty = F.col("_body") == ""
+    shown = rows.filter(~empty).groupBy("doc_id").agg(F.min(PART).alias("_shown"))
+    joined = joined.join(broadcast_if_small(cut(shown)), "doc_id", "left")
+    led = F.when(empty | (F.col(PART) == F.col("_shown")), F.col("_body")).otherwise(F.concat(F.lit("\n"), F.col("_body")))
+    pieces = F.inline(
+        F.array(
+            F.struct((F.col(PART) - F.col("_end") - 1).cast("int").alias(PART), contents.alias("html")),
+            F.struct(F.col(PART).cast("int").alias(PART), led.alias("html")),
+        )
+    )
+    return joined.select("doc_id", pieces)
 
 
-def _inline_text(kind, source):
-    text = trim_blank(source)
-    return F.when(kind == "heading", m.heading_text(text)).when(
-        kind.isin("item", "ordered_item"), m.item_text(text)
-    ).when(kind == "paragraph", text)
+def to_latex(sources: DataFrame) -> DataFrame:
+    """(doc_id, latex): body text with prose escaped and math kept. Sources in parts give parts, in order the whole."""
+    parted = PART in sources.columns
+    rows = sources.withColumn("_later", F.lit(False))
+    if parted:
+        # lines stand for themselves, so parts stay as they are
+        own = sources.select("doc_id", PART, "markdown")
+        rows = _own_lines(later_parts(own, ["doc_id"], several_parts(own, ["doc_id"])))
+    body = F.col("_body")
+    led = F.when(F.col("_later"), F.concat(F.lit("\n"), body)).otherwise(body)
+    trimmed = rows.withColumn("_lines", F.transform(m.lines(F.col("markdown")), trim_blank))
+    return trimmed.withColumn("_body", m.latex_body(F.col("_lines"))).select("doc_id", *([PART] if parted else []), led.alias("latex"))
 
 
 def spans(sources: DataFrame) -> DataFrame:
     """Inline spans of every text block: (doc_id, position, span_index, span_kind, span)."""
-    rows = block_table(sources).withColumn("_text", _inline_text(F.col("kind"), F.col("source")))
+    rows = block_table(sources).withColumn("_text", m.inline_source(F.col("kind"), F.col("source")))
     return rows.filter("_text IS NOT NULL").select(
         "doc_id", "position", F.posexplode(m.inline_spans(F.col("_text"))).alias("span_index", "span")
     ).withColumn("span_kind", m.span_kind(F.col("span")))
@@ -132,7 +281,7 @@ def math_inventory(sources: DataFrame) -> DataFrame:
     def entry(display: bool, tex):
         return F.struct(F.lit(display).alias("display"), tex.alias("tex"))
 
-    text = _inline_text(F.col("kind"), F.col("source"))
+    text = m.inline_source(F.col("kind"), F.col("source"))
     inline = F.transform(
         F.filter(m.inline_spans(text), lambda span: m.span_kind(span) == "math"),
         lambda span: entry(False, F.substring(span, F.lit(2), F.length(span) - 2)),
@@ -191,7 +340,19 @@ def figure_report(sources: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def uncertain_counts(sources: DataFrame) -> DataFrame:
-    return sources.select("doc_id", m.uncertain_count(F.col("markdown")).alias("uncertain_count"))
+    """(doc_id, uncertain_count); over the parts of a source where there are some, marks across a cut included."""
+    text = F.col("markdown")
+    if PART not in sources.columns:
+        return sources.select("doc_id", m.uncertain_count(text).alias("uncertain_count"))
+    narrow = sources.select("doc_id", F.struct(F.col(PART).alias("part"), m.uncertain_table(text).alias("table")).alias("_row"))
+
+    def step(state: Column, row: Column) -> Column:
+        here = F.get(row["table"], state["open"].cast("int"))
+        return F.struct((state["marks"] + here["marks"]).alias("marks"), here["open"].alias("open"))
+
+    start = F.struct(F.lit(0).cast("long").alias("marks"), F.lit(False).alias("open"))
+    total = F.aggregate(F.array_sort(F.collect_list("_row")), start, step, lambda state: state["marks"].cast("int"))
+    return narrow.groupBy("doc_id").agg(total.alias("uncertain_count"))
 
 
 def matrices(math: DataFrame) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..operators import hooks, ingest, jobs, library, markdown, search
+from ..operators import hooks, ingest, jobs, library, markdown, parts, search
 from ..runtime import cut
 
 
@@ -43,11 +42,16 @@ def responses_to_sources(responses: DataFrame, manifests: DataFrame) -> tuple[Da
     return sources, wrong, quarantine
 
 
-def publish_sources(sources: DataFrame) -> DataFrame:
-    """HTML text, LaTeX text and uncertain-mark count per source (doc_id, markdown)."""
+def publish_sources(sources: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """HTML text, LaTeX text and uncertain-mark count, one row per source (doc_id[, part], markdown).
+
+    ``files`` lists (doc_id, path) of existing figures. Sources in parts are put together again after rendering.
+    """
+    html, latex = markdown.to_html(sources, files), markdown.to_latex(sources)
+    if parts.PART in sources.columns:
+        html, latex = parts.whole(html, ["doc_id"], "html"), parts.whole(latex, ["doc_id"], "latex")
     return (
-        markdown.to_html(sources)
-        .join(markdown.to_latex(sources), "doc_id")
+        html.join(latex, "doc_id")
         .join(markdown.uncertain_counts(sources), "doc_id")
-        .select("doc_id", F.col("html"), F.col("latex"), "uncertain_count")
+        .select("doc_id", "html", "latex", "uncertain_count")
     )

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.jobs import edit_history, write_once
+from ..operators.ordered import SLICE, slice_rows
+from ..runtime import broadcast_if_small, cut, is_small
+
+#: Size of a packed file at which the next one begins.
+FILE_BYTES = 64 << 20
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
@@ -49,6 +55,53 @@ def write_text_artifacts(rows: DataFrame, path: str, key: str = "job_id", text:
     ).text(path)
 
 
+def write_packed(
+    rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], text: str = "text", separator: str = "\n",
+    file_bytes: int = FILE_BYTES,
+) -> None:
+    """Texts of all keys in few files of about ``file_bytes``, with an index; ``readers.read_packed`` gives them back.
+
+    A key's texts stand in ``order`` (unique within the key), joined by ``separator``, streamed through a sort: neither
+    a key nor a file is ever one value, and a key with a third of all rows is spread over many files. The index has a
+    row per key and file it stands in: (keys, ``_slice``, ``_file``, ``_from``, ``_bytes``); a key's rows in order of
+    slice and file are its pieces. Null texts count as empty.
+    """
+    gap = len(separator.encode())
+    columns = [*keys, *order]
+    body = rows.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    size = (F.octet_length("_text") + gap).cast("long")
+    total = body.agg(F.sum(size)).first()[0] or 0
+    slices = max(1, math.ceil(total / file_bytes))
+    ranged = slice_rows(body, columns, [], slices)
+    # narrow rows: where each text stands in its slice, and in which of the slice's files
+    window = Window.partitionBy(SLICE).orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum("_size").over(window), F.lit(0).cast("long"))
+    placed = ranged.select(SLICE, *columns, size.alias("_size")).withColumn("_at", at).withColumn("_file", F.floor(F.col("_at") / file_bytes).cast("int"))
+    placed = cut(placed)
+    files = placed.groupBy(SLICE, "_file").agg(F.min("_at").alias("_start"), F.min(F.struct(*columns)).alias("_least"))
+    files = cut(files.withColumn("_next", F.lead("_least").over(Window.partitionBy(SLICE).orderBy("_file"))))
+    last = F.max_by("_size", "_at") + F.max("_at")
+    index = (
+        placed.join(broadcast_if_small(files.select(SLICE, "_file", "_start")), [SLICE, "_file"])
+        .groupBy(*keys, SLICE, "_file")
+        .agg((F.min("_at") - F.min("_start")).alias("_from"), (last - F.min("_at")).alias("_bytes"))
+    )
+    # the separator behind a key's very last text is not part of it
+    ends = Window.partitionBy(*keys).orderBy(SLICE, "_file")
+    behind = F.lead(F.lit(1)).over(ends).isNull()
+    index.withColumn("_bytes", F.when(behind, F.col("_bytes") - gap).otherwise(F.col("_bytes"))).write.mode("overwrite").parquet(f"{path}/index")
+    here = F.struct(*columns)
+    within = (here >= F.col("_least")) & (F.col("_next").isNull() | (here < F.col("_next")))
+    texts = ranged.join(broadcast_if_small(files.drop("_start")), SLICE).filter(within)
+    if not is_small(files):
+        # a slice must stay one task, which a join that is split for skew does not promise
+        texts = texts.repartition(slices, SLICE)
+    (
+        texts.sortWithinPartitions(SLICE, "_file", *columns).select(SLICE, "_file", F.col("_text").alias("value"))
+        .write.mode("overwrite").partitionBy(SLICE, "_file").option("lineSep", separator).text(f"{path}/data")
+    )
+
+
 def apply_edits(current: DataFrame, edits: DataFrame, history_path: str, source_path: str) -> None:
     """Append the replaced texts to history, then replace the current sources."""
     history, updated = edit_history(current, edits)
