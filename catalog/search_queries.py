@@ -8,9 +8,11 @@ from quire.functions import text as t
 from quire.operators import batch_search, search
 
 from . import relations as r
+from .file_queries import scratch
 
 FRENCH_QUERY = "Étion  QUE"
 TITLE_QUERY = "the thor"
+SHARED_WORD = "thanedble"
 
 
 def marks(column):
@@ -111,16 +113,30 @@ SELECT CAST(document_id AS VARCHAR) || '#' || CASE WHEN body THEN CAST(page_id A
 FROM o {tail}"""
 
 
+def _matches(found):
+    return found.select(
+        "query_id", "document_id", "page_number",
+        F.col("page_matches").cast("long").alias("page_matches"),
+        F.col("body_match_count").cast("long").alias("body_match_count"),
+    )
+
+
 def search_batch(spark, sf_dir):
     """Every benchmark text as one query over the whole corpus."""
     queries = r.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
-    return batch_search.search_batch(queries, r.corpus_pages(spark, sf_dir)).select(
-        "query_id", "document_id", "page_number",
-        F.col("page_matches").cast("long").alias("page_matches"),
-        F.col("body_match_count").cast("long").alias("body_match_count"),
+    return _matches(batch_search.search_batch(queries, r.corpus_pages(spark, sf_dir)))
+
+
+def search_batch_shared(spark, sf_dir):
+    """Two words of every benchmark text next to a long word that many documents hold, over a stored index."""
+    path = scratch(spark, "index")
+    batch_search.write_index(batch_search.build_index(r.corpus_pages(spark, sf_dir)), path)
+    queries = r.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.concat(F.substring_index("text", " ", 2), F.lit(f" {SHARED_WORD}")).alias("query")
     )
+    return _matches(batch_search.search_index(queries, batch_search.read_index(spark, path)))
 
 
 SQL_BATCH = f"""
@@ -260,6 +276,7 @@ QUERIES = {
     "search_title_hits": search_title_hits,
     "search_blank_query": search_blank_query,
     "search_batch": search_batch,
+    "search_batch_shared": search_batch_shared,
     "query_terms": query_terms,
     "occurrence_counts": occurrence_counts,
     "highlight_offsets": highlight_offsets,
@@ -280,6 +297,9 @@ ORACLE = {
     "search_blank_query": _CHAT
     + sql_search("chat_documents", "chat_pages", ["the", "of"], "the of").replace("FROM o", "FROM o WHERE false"),
     "search_batch": SQL_BATCH,
+    "search_batch_shared": SQL_BATCH.replace(
+        "lower(text)", f"lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) || ' {SHARED_WORD}')", 1
+    ),
     "query_terms": SQL_TERMS,
     "occurrence_counts": SQL_OCCURRENCES,
     "highlight_offsets": SQL_HIGHLIGHTS,

@@ -1,14 +1,18 @@
-"""Many queries at once, as equi-joins instead of a query-by-page product.
+"""Many queries at once, as equi-joins over a token index instead of a query-by-page product.
 
 A term holds no whitespace, so every match lies inside one whitespace-free
-token. The distinct tokens of the corpus (the vocabulary) are far fewer than
-its words: terms are matched against vocabulary substrings by equality, and the
-few matching tokens are joined back to the pages that hold them.
+token. The index says how often a page holds a token; its distinct tokens (the
+vocabulary) are far fewer than the words. Terms are matched against vocabulary
+substrings by equality. Each query starts from the pages of its rarest term and
+finds its other terms there by equality on (page, term); counts come from the
+index as well, so the text of a page is read once, when it is indexed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -16,24 +20,45 @@ from ..runtime import broadcast_if_small, cut
 
 #: Tokens up to this length are cut by position, longer ones by a regex scan.
 WORD_LENGTH = 256
+PAGE = ["document_id", "page_id"]
 
 
-def query_table(queries: DataFrame) -> DataFrame:
-    """(query_id, terms, anchor): folded terms with repeats, and the longest of them."""
-    terms = F.filter(F.transform(t.query_terms(F.col("query")), t.fold), lambda term: term != "")
-    longest = F.array_max(
-        F.transform("terms", lambda term: F.struct(F.length(term).alias("size"), term.alias("term")))
-    )
-    return (
-        queries.select("query_id", terms.alias("terms"))
-        .filter(F.size("terms") > 0)
-        .withColumn("anchor", longest["term"])
+@dataclass
+class TokenIndex:
+    """``postings``: document_id, page_id, page_number, token, n. ``vocabulary``: token, pages."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+
+
+def build_index(pages: DataFrame) -> TokenIndex:
+    """Token index of pages (document_id, page_id, page_number, text); a page is one row with a unique key.
+
+    Words are counted per page before the exchange, and per token before the next.
+    """
+    words = F.explode(F.split(t.fold(F.col("text")), t.WHITESPACE_RUN)).alias("token")
+    counted = (
+        pages.select(*PAGE, "page_number", words).filter("token <> ''")
+        .groupBy(*PAGE, "page_number", "token").agg(F.count("*").alias("n"))
     )
+    postings = cut(counted)
+    return TokenIndex(postings, cut(postings.groupBy("token").agg(F.count("*").alias("pages"))))
+
+
+def write_index(index: TokenIndex, path: str) -> None:
+    """Store an index; postings stand in order of tokens, so a file holds a narrow range of them."""
+    index.postings.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
+    index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
 
 
-def _tokens(pages: DataFrame, keep: list[str]) -> DataFrame:
-    words = F.split(t.fold(F.col("text")), t.WHITESPACE_RUN)
-    return pages.select(*keep, F.explode(words).alias("token")).filter("token <> ''")
+def read_index(spark: SparkSession, path: str) -> TokenIndex:
+    return TokenIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocabulary"))
+
+
+def query_terms_table(queries: DataFrame) -> DataFrame:
+    """(query_id, term, times): folded terms of each query; ``times`` counts repeats."""
+    terms = F.filter(F.transform(t.query_terms(F.col("query")), t.fold), lambda term: term != "")
+    return queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
 def match_vocabulary(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
@@ -69,49 +94,62 @@ def match_vocabulary(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def search_batch(queries: DataFrame, pages: DataFrame) -> DataFrame:
-    """Body matches of a table of queries.
-
-    ``queries``: query_id, query. ``pages``: document_id, page_id, page_number,
-    text. Returns (query_id, document_id, page_id, page_number, page_matches,
-    body_match_count) for every page that holds all terms of a query.
+def search_index(queries: DataFrame, index: TokenIndex) -> DataFrame:
+    """Body matches of a table of queries (query_id, query).
 
-    Each query first finds the pages of its longest term, its anchor; only those
-    are checked for the other terms. Every page with all terms holds the anchor,
-    so nothing is lost.
+    Returns (query_id, document_id, page_id, page_number, page_matches,
+    body_match_count) for every page that holds all terms of a query. A query
+    whose rarest term is rare meets few pages, however common its other terms
+    are and however many queries share them.
     """
-    page_keys = ["document_id", "page_id"]
-    asked = cut(query_table(queries))
-    side = broadcast_if_small(asked)
+    asked = cut(query_terms_table(queries))
     # Matching is compute-heavy for its size, so it keeps the full partition count.
-    width = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vocabulary = _tokens(pages, []).distinct().repartition(width, "token")
-    # Written once: its size is checked before the broadcast and the scan reads it again.
-    token_terms = cut(match_vocabulary(vocabulary, asked.select(F.col("anchor").alias("term"))))
-    candidates = cut(
-        _tokens(pages, page_keys)
-        .join(broadcast_if_small(token_terms), "token")
-        .select(*page_keys, F.col("term").alias("anchor"))
-        .distinct()
-        .join(side.select("query_id", "anchor"), "anchor")
-        .select("query_id", *page_keys)
-    )
-    folded = pages.select(*page_keys, "page_number", t.fold(F.col("text")).alias("_f"))
-    matches = F.aggregate(
-        "terms", F.lit(0).cast("long"), lambda total, term: total + t.occurrences(F.col("_f"), term)
+    width = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vocabulary = index.vocabulary.repartition(width, "token")
+    matched = match_vocabulary(vocabulary.select("token"), asked)
+    hits = t.occurrences(F.col("token"), F.col("term")).cast("long")
+    token_terms = cut(matched.withColumn("hits", hits).join(index.vocabulary, "token"))
+    # The pages of a term are at most the pages of its tokens: rarest first, ties by the term itself.
+    rarity = token_terms.groupBy("term").agg(F.sum("pages").alias("pages"))
+    needed = asked.groupBy("query_id").agg(F.count("*").alias("_needed"))
+    known = asked.join(rarity, "term")
+    anchors = cut(
+        known.groupBy("query_id").agg(F.count("*").alias("_known"), F.min_by("term", F.struct("pages", "term")).alias("term"))
+        .join(needed, "query_id").filter(F.col("_known") == F.col("_needed")).select("query_id", "_needed", "term")
     )
-    hits = cut(
-        folded.join(broadcast_if_small(candidates), page_keys)
-        .join(side.select("query_id", "terms"), "query_id")
-        .filter(F.forall("terms", lambda term: F.contains(F.col("_f"), term)))
-        .select("query_id", *page_keys, "page_number", matches.alias("page_matches"))
+    asked = asked.join(broadcast_if_small(anchors.select("query_id")), "query_id", "left_semi")
+    wanted = broadcast_if_small(token_terms.select("token", "term", "hits"))
+
+    def holding(keys: list[str], rows: DataFrame, tokens: DataFrame) -> DataFrame:
+        """(keys, term, total) of index rows; summed before the exchange."""
+        return rows.join(tokens, "token").groupBy(*keys, "term").agg(F.sum(F.col("n") * F.col("hits")).alias("total"))
+
+    page = [*PAGE, "page_number"]
+    anchor_terms = broadcast_if_small(anchors.select("term").distinct())
+    anchor_tokens = broadcast_if_small(cut(token_terms.select("token", "term", "hits").join(anchor_terms, "term", "left_semi")))
+    # One row per query and page of its rarest term.
+    candidates = cut(holding(page, index.postings, anchor_tokens).drop("total").join(broadcast_if_small(anchors), "term").drop("term"))
+    near = index.postings.join(broadcast_if_small(cut(candidates.select(*PAGE).distinct())), PAGE, "left_semi")
+    found = cut(
+        candidates.join(asked, "query_id")
+        .join(holding(PAGE, near, wanted), [*PAGE, "term"])
+        .groupBy("query_id", *page, "_needed")
+        .agg(F.count("*").alias("_found"), F.sum(F.col("times") * F.col("total")).alias("page_matches"))
+        .filter(F.col("_found") == F.col("_needed"))
+        .select("query_id", *page, "page_matches")
     )
     # A document's count covers all its pages, also those without every term.
-    found = hits.select("query_id", "document_id").distinct()
+    documents = cut(found.select("query_id", "document_id").distinct())
+    inside = index.postings.join(broadcast_if_small(documents.select("document_id").distinct()), "document_id", "left_semi")
     totals = (
-        folded.join(broadcast_if_small(found, probe=hits), "document_id")
-        .join(side.select("query_id", "terms"), "query_id")
+        documents.join(asked, "query_id")
+        .join(holding(["document_id"], inside, wanted), ["document_id", "term"])
         .groupBy("query_id", "document_id")
-        .agg(F.sum(matches).alias("body_match_count"))
+        .agg(F.sum(F.col("times") * F.col("total")).alias("body_match_count"))
     )
-    return hits.join(totals, ["query_id", "document_id"])
+    return found.join(totals, ["query_id", "document_id"])
+
+
+def search_batch(queries: DataFrame, pages: DataFrame) -> DataFrame:
+    """:func:`search_index` over an index built for this batch; keep the index where more batches follow."""
+    return search_index(queries, build_index(pages))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 HOT_GROUP_ROWS = "quire.hotGroupRows"
 #: Target rows per range slice of a hot group.
 SLICE_ROWS = "quire.sliceRows"
-#: A side is broadcast only when a bounded count proves it is at most this long.
-BROADCAST_ROWS = "quire.broadcastRows"
+#: A side is broadcast only when a bounded count proves it is at most this long and, written as JSON, this large.
+BROADCAST_ROWS, BROADCAST_BYTES = "quire.broadcastRows", "quire.broadcastBytes"
 
-DEFAULTS = {HOT_GROUP_ROWS: 1_000_000, SLICE_ROWS: 500_000, BROADCAST_ROWS: 200_000}
+DEFAULTS = {HOT_GROUP_ROWS: 1_000_000, SLICE_ROWS: 500_000, BROADCAST_ROWS: 200_000, BROADCAST_BYTES: 64 << 20}
 
 
 def setting(spark: SparkSession, key: str) -> int:
@@ -31,7 +32,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         shared = tempfile.mkdtemp(prefix="quire-checkpoint-")
     context.setCheckpointDir(shared)
@@ -44,15 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def is_small(df: DataFrame) -> bool:
-    """True when a bounded count proves the frame is short enough to broadcast."""
+    """True when a bounded count proves the frame is small enough to broadcast, in rows and in bytes."""
     limit = setting(df.sparkSession, BROADCAST_ROWS)
-    return df.limit(limit + 1).count() <= limit
+    width = F.octet_length(F.to_json(F.struct("*")))
+    rows, size = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return rows <= limit and size <= setting(df.sparkSession, BROADCAST_BYTES)
 
 
 def broadcast_if_small(df: DataFrame, probe: DataFrame | None = None) -> DataFrame:
-    """Hint a broadcast only when the side is proven short.
+    """Hint a broadcast only when the side is proven small.
 
-    ``probe`` is a cheaper frame known to hold at least as many rows as ``df``.
+    ``probe`` is a cheaper frame known to be at least as large as ``df``.
     Beyond the bound the join stays a shuffled join that AQE may split.
     """
     return F.broadcast(df) if is_small(probe if probe is not None else df) else df

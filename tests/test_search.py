@@ -161,6 +161,38 @@ def test_batch_search_matches_single_search(spark):
     assert got == want
 
 
+def test_stored_index_and_shared_words(spark, tmp_path):
+    """A common word shared by all queries costs nothing where another word is rare; unknown words drop a query."""
+    texts = [f"shared w{i} w{i % 3} shared" for i in range(30)] + ["shared", "w1", "x\u0301y \u5b57\u5b57 shared"]
+    documents, pages = library(spark, *[(f"d{i}", "t", 0, [x, "w1 other"]) for i, x in enumerate(texts)])
+    queries = [f"shared w{i}" for i in range(12)] + ["shared shared", "shared none", "xy shared \u5b57", "shared w1 w1 w2"]
+    table = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    path = str(tmp_path / "index")
+    batch_search.write_index(batch_search.build_index(pages), path)
+    index = batch_search.read_index(spark, path)
+    got = {(r.query_id, r.page_id, r.page_matches, r.body_match_count) for r in batch_search.search_index(table, index).collect()}
+    want = set()
+    for i, query in enumerate(queries):
+        for r in search(documents, pages, query).filter("match_kind = 'body'").collect():
+            text = texts[int(r.document_id[1:])].replace("\u0301", "") if r.page_number == 1 else "w1 other"
+            want.add((i, r.page_id, sum(text.count(term) for term in query.split()), r.body_match_count))
+    assert got == want
+    # each query meets the pages of its rarest word only
+    plan = batch_search.search_index(table, index)._jdf.queryExecution().toString()
+    assert " text#" not in plan
+    assert batch_search.search_index(table.limit(0), index).count() == 0
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    from quire import runtime
+
+    rows = spark.createDataFrame([("x" * 1000,)] * 20, "text string")
+    assert runtime.is_small(rows)
+    spark.conf.set(runtime.BROADCAST_BYTES, "5000")
+    assert not runtime.is_small(rows) and runtime.is_small(rows.limit(2))
+    spark.conf.unset(runtime.BROADCAST_BYTES)
+
+
 def test_search_without_broadcasts(spark, no_broadcast):
     test_every_term_on_one_page(spark)
     test_title_only_match(spark)
