@@ -1,19 +1,19 @@
 """Token counts of texts, from pieces counted once per distinct pre-token.
 
 Documents are gathered into blocks of bounded size. A block keeps its distinct pre-tokens and, packed, how often each
-of its documents holds each of them: that table is written once. The distinct pre-tokens of all blocks are a hash
-shuffle of short words; each is cut into pieces once, in the whole corpus, and only its number of pieces is kept. The
-numbers go back to the blocks by a join on the pre-token, and a document's count is the sum of frequency times pieces.
-No token id of a document is ever made, and the texts are not shuffled.
+of its documents holds each of them: that table is written once. The pre-tokens of all blocks meet in a shuffle of
+short words; equal ones lie side by side there, each is cut into pieces once, in the whole corpus, and only its number
+of pieces goes back. Joined to the blocks, a document's count is the sum of frequency times pieces. No token id of a
+document is ever made, and the texts are not shuffled.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,19 +21,21 @@ from pyspark.sql import functions as F
 from quire.llm.shared import store
 
 #: A block is closed after the document with which it reaches this many characters, or this many documents.
-BLOCK_CHARS = 8 << 20
-BLOCK_DOCS = 20_000
-#: Stretches after which a worker's cache starts anew.
-CACHE_STRETCHES = 400_000
+BLOCK_CHARS = 12 << 20
+BLOCK_DOCS = 100_000
+
+#: Code points that may be letters standing for themselves, and signs that may close a word.
+LETTERS = range(0x41, 0x250)
+SIGNS = ".,;:!?"
 
 _BLOCKS = "doc_ids array<bigint>, n_bytes array<bigint>, sizes binary, places binary, times binary, words array<string>"
 
 
 class PreTokens:
-    """Pre-tokens of texts as the tokenizer itself finds them, cached by blank-free stretch.
+    """Pre-tokens of texts as the tokenizer itself finds them.
 
-    Blanks and line ends always part pre-tokens and are in none, so a text's pre-tokens are those of its stretches.
-    Added tokens, such as special strings inside texts, are matched first, as they are by the library.
+    Blanks and line ends always part pre-tokens and are in none, so a text's pre-tokens are those of its blank-free
+    stretches. Added tokens, such as special strings inside texts, are matched first, as they are by the library.
     """
 
     _one = None
@@ -47,7 +49,15 @@ class PreTokens:
         self.added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
-        self.stretches: dict[str, tuple[str, ...]] = {}
+        #: What must not be joined to others by blanks.
+        self.apart = regex.compile("|".join([r"[\s\x1c-\x1f]", *map(regex.escape, longest_first)]))
+        # Letters that stand for themselves, alone or between others, and signs that part from letters: asked of the tokenizer once.
+        letters = [c for c in map(chr, LETTERS) if c.isalpha()]
+        alone = {c: self._find(c) for c in letters}
+        plain = {c: w[0] for c, w in alone.items() if len(w) == 1 and alone["a"] and self._find(f"a{c}a") == [alone["a"][0] + w[0] + alone["a"][0]]}
+        signs = [c for c in SIGNS if "a" in plain and self._find(f"a{c}") == [plain["a"], c]]
+        self.table = str.maketrans(plain)
+        self.simple = regex.compile(f"([{''.join(plain)}]+)([{regex.escape(''.join(signs))}]?)") if plain and signs else None
 
     @classmethod
     def of(cls, path: str) -> PreTokens:
@@ -56,22 +66,49 @@ class PreTokens:
             cls._one = cls(path)
         return cls._one
 
-    def _find(self, stretch: str) -> tuple[str, ...]:
+    def _plain(self, text: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
+    def _find(self, stretch: str) -> list[str]:
         found: list[str] = []
         for part in self.cut.split(stretch) if self.cut else [stretch]:
             if part in self.added:
                 found.append(part)
             elif part:
-                plain = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
-                found += (word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain))
-        return tuple(found)
-
-    def __getitem__(self, stretch: str) -> tuple[str, ...]:
-        found = self.stretches.get(stretch)
-        if found is None:
-            if len(self.stretches) >= CACHE_STRETCHES:
-                self.stretches.clear()
-            found = self.stretches[stretch] = self._find(stretch)
+                found += (word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self._plain(part)))
+        return found
+
+    def _together(self, stretches: list[str]) -> list[list[str]]:
+        """Pre-tokens of stretches without any blank or added token, found in one call."""
+        plain = self._plain(" ".join(stretches))
+        starts = np.cumsum([0] + [len(p) + 1 for p in plain.split(" ")])
+        if len(starts) != len(stretches) + 1:
+            return [self._find(s) for s in stretches]
+        found: list[list[str]] = [[] for _ in stretches]
+        tokens = self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)
+        owners = np.searchsorted(starts, [at for _, (at, _) in tokens], side="right") - 1
+        for owner, (word, _) in zip(owners.tolist(), tokens, strict=True):
+            found[owner].append(word)
+        return found
+
+    def find(self, stretches: list[str]) -> list[list[str]]:
+        """Pre-tokens of each stretch."""
+        found: list[list[str]] = []
+        others = []
+        simple, table = self.simple.fullmatch if self.simple else (lambda _: None), self.table
+        for stretch in stretches:
+            match = simple(stretch)
+            if match:
+                word, sign = match.groups()
+                word = word.translate(table)
+                found.append([word, sign] if sign else [word])
+            elif self.apart.search(stretch):
+                found.append(self._find(stretch))
+            else:
+                others.append(len(found))
+                found.append([])
+        for i, words in zip(others, self._together([stretches[i] for i in others]) if others else [], strict=True):
+            found[i] = words
         return found
 
     def pieces(self, word: str) -> int:
@@ -79,44 +116,77 @@ class PreTokens:
         return 1 if word in self.added else len(self.tokenizer.model.tokenize(word))
 
 
+class _Numbers(dict):
+    """Numbers of keys by first occurrence."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, compressed by byte planes, the upper of which are nearly empty."""
+    planes = np.ascontiguousarray(values.astype("<u4").view("u1").reshape(-1, 4).T)
+    return values.size.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, dtype="u1").reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+def _summed(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, with the sums of their times."""
+    order = np.argsort(rows, kind="stable")
+    rows, times = rows[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.empty(0, dtype=np.int64)
+    return rows[first], np.add.reduceat(times, first) if len(first) else times
+
+
 class _Block:
-    """Documents gathered so far: distinct pre-tokens by place, and (place, times) per document."""
+    """Documents gathered so far, as numbers of their stretches."""
 
-    def __init__(self, known: PreTokens):
-        self.known, self.at, self.chars = known, {}, 0
-        self.doc_ids, self.n_bytes, self.sizes, self.places, self.times = [], [], [], [], []
+    def __init__(self):
+        self.stretches, self.chars = _Numbers(), 0
+        self.doc_ids, self.n_bytes, self.found = [], [], []
 
     def add(self, doc_id: int | None, text: str) -> None:
-        at, known, found = self.at, self.known, Counter()
-        for stretch, times in Counter(text.replace("\n", " ").split(" ")).items():
-            if stretch:
-                for word in known[stretch]:
-                    found[at.setdefault(word, len(at))] += times
-        places = np.fromiter(found.keys(), dtype="<u4", count=len(found))
-        times = np.fromiter(found.values(), dtype="<u4", count=len(found))
-        order = np.argsort(places)
-        # sorted places as steps: small numbers, which compress well
-        self.places.append(np.diff(places[order], prepend=np.uint32(0)).astype("<u4").tobytes())
-        self.times.append(times[order].tobytes())
-        self.sizes.append(len(found))
+        counts = Counter(text.replace("\n", " ").split(" "))
+        numbers = np.fromiter(map(self.stretches.__getitem__, counts), dtype=np.int32, count=len(counts))
+        self.found.append((numbers, np.fromiter(counts.values(), dtype=np.int32, count=len(counts))))
         self.doc_ids.append(doc_id)
-        self.n_bytes.append(len(text.encode()))
+        self.n_bytes.append(len(text) if text.isascii() else len(text.encode()))
         self.chars += len(text)
 
     def full(self) -> bool:
         return self.chars >= BLOCK_CHARS or len(self.doc_ids) >= BLOCK_DOCS
 
-    def rows(self) -> pa.RecordBatch:
+    def row(self, known: PreTokens) -> pa.RecordBatch:
+        words = _Numbers()
+        per_stretch = known.find(list(self.stretches))
+        held = np.array([len(w) for w in per_stretch], dtype=np.int64)
+        ends = np.cumsum(held)
+        places = np.fromiter(map(words.__getitem__, chain.from_iterable(per_stretch)), dtype=np.int64, count=int(held.sum()))
+        # every (document, stretch) becomes the pre-tokens of the stretch, then equal ones of a document are summed
+        docs = np.repeat(np.arange(len(self.found)), [len(s) for s, _ in self.found])
+        stretches = np.concatenate([s for s, _ in self.found])
+        n = held[stretches]
+        steps = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = places[np.repeat(ends[stretches] - n, n) + steps]
+        times = np.repeat(np.concatenate([t for _, t in self.found]), n)
+        width = max(1, len(words))
+        rows, times = _summed(np.repeat(docs, n) * width + at, times)
+        docs, places = rows // width, rows % width
+        sizes = np.bincount(docs, minlength=len(self.found))
+        # ascending places as steps from the one before: small numbers
+        steps = np.diff(places, prepend=0)
+        begins = (np.cumsum(sizes) - sizes)[sizes > 0]
+        steps[begins] = places[begins]
         names = ["doc_ids", "n_bytes", "sizes", "places", "times", "words"]
-        values = [
-            pa.array([self.doc_ids], pa.list_(pa.int64())),
-            pa.array([self.n_bytes], pa.list_(pa.int64())),
-            pa.array([np.array(self.sizes, dtype="<u4").tobytes()], pa.binary()),
-            pa.array([b"".join(self.places)], pa.binary()),
-            pa.array([b"".join(self.times)], pa.binary()),
-            pa.array([list(self.at)], pa.list_(pa.string())),
-        ]
-        return pa.RecordBatch.from_arrays(values, names=names)
+        values = [pa.array([self.doc_ids], pa.list_(pa.int64())), pa.array([self.n_bytes], pa.list_(pa.int64()))]
+        values += [pa.array([_squeezed(v)], pa.binary()) for v in (sizes, steps, times)]
+        return pa.RecordBatch.from_arrays([*values, pa.array([list(words)], pa.list_(pa.string()))], names=names)
 
 
 def frequencies(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,30 +198,40 @@ def frequencies(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = PreTokens.of(tokenizer)
-        block = _Block(known)
+        block = _Block()
         for batch in batches:
             for doc_id, body in zip(batch.column(0), batch.column(1), strict=True):
                 block.add(doc_id.as_py(), body.as_py() or "")
                 if block.full():
-                    yield block.rows()
-                    block = _Block(known)
+                    yield block.row(known)
+                    block = _Block()
         if block.doc_ids:
-            yield block.rows()
+            yield block.row(known)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_ids"), F.col(text).alias("words"))
     return store(rows.mapInArrow(gather, _BLOCKS).withColumn("block", F.monotonically_increasing_id()))
 
 
 def piece_counts(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, pieces): every distinct pre-token cut into pieces once."""
+    """(block, place, pieces) for (block, place, word): equal words come to one task, where the word is cut into pieces once.
+
+    The rows of a word stream by in order, so one that stands in every block needs no memory for its rows.
+    """
 
-    @F.pandas_udf("bigint")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = PreTokens.of(tokenizer)
+        last: tuple[str | None, int] = (None, 0)
         for batch in batches:
-            yield batch.map(known.pieces)
+            encoded = batch.column(2).dictionary_encode()
+            distinct = encoded.dictionary.to_pylist()
+            counts = [last[1] if word == last[0] else known.pieces(word) for word in distinct]
+            if distinct:
+                last = (distinct[-1], counts[-1])
+            pieces = pa.array(counts, pa.int32()).take(encoded.indices)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pieces], names=["block", "place", "pieces"])
 
-    return words.select("word").distinct().withColumn("pieces", count("word"))
+    alike = words.select("block", "place", "word").repartition("word").sortWithinPartitions("word")
+    return alike.mapInArrow(count, "block bigint, place int, pieces int")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,12 +240,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     ``tokenizer`` is a file of the tokenizers library whose pre-tokens never hold a blank or a line end, read on every
     worker. Null and empty texts have no tokens, null keys stay null, repeated rows are counted each, an empty table
     gives none; other columns are not looked at. A text of any length is counted whole; one longer than a block is a
-    block of its own. A word in every block is one row per block, and the join on words is split by AQE.
+    block of its own. A word in every block is one row per block.
     """
     blocks = frequencies(docs, tokenizer, key, text)
     words = blocks.select("block", F.posexplode("words").alias("place", "word"))
     numbers = (
-        words.join(piece_counts(words, tokenizer), "word")
+        piece_counts(words, tokenizer)
         .groupBy("block")
         .agg(F.sort_array(F.collect_list(F.struct("place", "pieces"))).alias("_numbers"))
         .select("block", F.col("_numbers.pieces").alias("pieces"))
@@ -175,13 +255,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids, n_bytes, sizes, places, times, pieces = (batch.column(c)[i] for c in range(6))
-                sizes = np.frombuffer(sizes.as_py(), dtype="<u4").astype(np.int64)
-                steps = np.frombuffer(places.as_py(), dtype="<u4").astype(np.int64)
+                sizes = _unsqueezed(sizes.as_py())
                 ends = np.cumsum(sizes)
-                sums = np.concatenate([[0], np.cumsum(steps)])
+                sums = np.concatenate([[0], np.cumsum(_unsqueezed(places.as_py()))])
                 at = sums[1:] - np.repeat(sums[ends - sizes], sizes)  # places start anew in every document
                 held = np.array(pieces.values.to_numpy() if pieces.is_valid else [], dtype=np.int64)
-                tokens = held[at] * np.frombuffer(times.as_py(), dtype="<u4")
+                tokens = held[at] * _unsqueezed(times.as_py())
                 totals = np.concatenate([[0], np.cumsum(tokens)])
                 counts = totals[ends] - totals[ends - sizes]
                 yield pa.RecordBatch.from_arrays([doc_ids.values, n_bytes.values, pa.array(counts)], names=["k", "n_bytes", "n_tokens"])

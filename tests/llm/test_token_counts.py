@@ -44,13 +44,27 @@ def test_query_against_the_library(spark, tmp_path, monkeypatch, tokenizer, char
     assert any(r["over_limit"] for r in found)
 
 
-def test_pieces_are_counted_once_per_word(spark, tokenizer):
+def test_pieces_are_counted_per_word(spark, tokenizer):
     docs = spark.createDataFrame([(i, "the cat, the dog <|endoftext|>") for i in range(50)], "doc_id bigint, text string")
     blocks = token_counts.frequencies(docs, tokenizer_path())
-    words = blocks.selectExpr("explode(words) as word")
-    counted = {r["word"]: r["pieces"] for r in token_counts.piece_counts(words, tokenizer_path()).collect()}
-    assert counted.pop("<|endoftext|>") == 1
-    assert counted == {w: len(tokenizer.encode(w, add_special_tokens=False).ids) for w in ("the", "cat", ",", "dog")}
+    words = blocks.selectExpr("block", "posexplode(words) as (place, word)")
+    counted = words.join(token_counts.piece_counts(words, tokenizer_path()), ["block", "place"])
+    found = {r["word"]: r["pieces"] for r in counted.collect()}
+    assert found.pop("<|endoftext|>") == 1
+    assert found == {w: len(tokenizer.encode(w, add_special_tokens=False).ids) for w in ("the", "cat", ",", "dog")}
+
+
+def test_pre_tokens_of_many_stretches_at_once():
+    known = token_counts.PreTokens(tokenizer_path())
+    stretches = sorted({s for text in make_texts() for s in (text or "").replace("\n", " ").split(" ")})
+    assert known.find(stretches) == [known._find(s) for s in stretches]
+
+
+def test_numbers_survive_squeezing():
+    import numpy as np
+
+    for values in ([], [0], [1, 2, 1 << 31, (1 << 32) - 1], list(range(1000))):
+        assert token_counts._unsqueezed(token_counts._squeezed(np.array(values, dtype=np.int64))).tolist() == values
 
 
 def test_empty_table(spark):
