@@ -131,7 +131,7 @@ def write_once_sink(spark, sf_dir):
     sinks.append_once(rows.filter("event_id < 2000"), path, ["key"])
     sinks.append_once(rows, path, ["key"])
     sinks.append_once(rows, path, ["key"])
-    return spark.read.parquet(path).select("key", "event_id")
+    return sinks.read_once(spark, path).select("key", "event_id")
 
 
 def replace_sink(spark, sf_dir):

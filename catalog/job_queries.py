@@ -407,7 +407,7 @@ def deadline_results(spark, sf_dir):
 MONTH = 30 * 24 * 3600
 
 
-def _shipping(spark, sf_dir):
+def shipping(spark, sf_dir):
     """An order plans its lines; a line has its result when it is received."""
     lines = r.table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "batch_id", "l_linenumber": "line"})
     orders = r.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("batch_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"))
@@ -416,12 +416,12 @@ def _shipping(spark, sf_dir):
 
 
 def deadline_leftovers(spark, sf_dir):
-    planned, results = _shipping(spark, sf_dir)
+    planned, results = shipping(spark, sf_dir)
     return jobs.deadline_leftovers(planned, results, "line", MONTH).select("batch_id", "line")
 
 
 def deadline_progress(spark, sf_dir):
-    planned, results = _shipping(spark, sf_dir)
+    planned, results = shipping(spark, sf_dir)
     return jobs.deadline_progress(planned, jobs.deadline_leftovers(planned, results, "line", MONTH))
 
 

@@ -1,43 +1,68 @@
-"""Streams: the events and orders tables replayed through Structured Streaming."""
+"""Streams: driver tables replayed through Structured Streaming, in several turns."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quire.operators import library
+from quire.sources import sinks
 from quire.streaming import streams
 
 from . import relations as r
 from .file_queries import scratch
 
 
-def replay(spark, sf_dir, name: str):
-    """A driver table as a stream of files."""
-    schema = r.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+class Feed:
+    """A table that arrives in turns as files, each turn later than the one before, and the stream that reads them."""
 
+    def __init__(self, spark, name: str, rows, by: str, turns: int = 3):
+        marks = [i / turns for i in range(1, turns)]
+        limits = rows.agg(F.percentile_approx(F.col(by).cast("double"), marks).alias("m")).first()["m"]
+        at, bounds = F.col(by).cast("double"), [None, *limits, None]
+        self.rows, self.folder, self.spark = rows, scratch(spark, name), spark
+        self.add(rows.limit(0))  # a stream needs its folder
+        self.turns = [
+            (F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high)
+            for low, high in zip(bounds, bounds[1:])
+        ]
 
-def replay_events(spark, sf_dir):
-    return replay(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    def send(self, turn: int) -> None:
+        self.add(self.rows.filter(self.turns[turn]))
 
+    def add(self, rows) -> None:
+        rows.write.mode("append").parquet(self.folder)
 
-def run_to_files(spark, stream, name: str, mode: str = "append"):
-    """Run a stream over the available input into parquet files and read them."""
-    out = scratch(spark, name)
-    query = (
-        stream.writeStream.outputMode(mode).format("parquet").option("path", out)
-        .option("checkpointLocation", scratch(spark, f"{name}-progress")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    def tell(self, column: str, at: str) -> None:
+        """A row that only tells the time."""
+        values = [F.lit(at).cast("timestamp") if f.name == column else F.lit(None).cast(f.dataType) for f in self.rows.schema]
+        self.add(self.spark.range(1).select(*[v.alias(f.name) for v, f in zip(values, self.rows.schema)]))
 
+    def stream(self):
+        return self.spark.readStream.schema(self.rows.schema).parquet(self.folder)
 
-def run_batches(spark, stream, writer, name: str, mode: str = "append") -> None:
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(writer)
-        .option("checkpointLocation", scratch(spark, f"{name}-progress")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+#: Later than every row of the tables, and the whole run of a stream that has ended.
+CLOSING = "2100-01-01 00:00:00"
+
+
+def drain(writer, progress: str) -> None:
+    """Run a stream over what has arrived since its last run."""
+    writer.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_turns(feeds, start, turns: int = 3, close=None) -> None:
+    """Let the feeds arrive turn by turn, running the stream after each; ``close`` feeds the last run."""
+    for turn in range(turns):
+        for feed in feeds:
+            feed.send(turn)
+        start()
+    if close:
+        close()
+        start()
+
+
+def _event_feed(spark, sf_dir, name: str, rows=None, by: str = "ts"):
+    return Feed(spark, name, r.events(spark, sf_dir) if rows is None else rows, by)
 
 
 def _typed(events):
@@ -45,9 +70,15 @@ def _typed(events):
 
 
 def debounced_queries(spark, sf_dir):
-    """Bursts separated by three quiet hours, as a stream in append mode."""
-    stream = streams.debounce(_typed(replay_events(spark, sf_dir)), "user_id", "3 hours", "1 hour")
-    return run_to_files(spark, stream, "debounce")
+    """Bursts separated by three quiet hours, as a stream in append mode; a last row that tells the time settles all."""
+    feed = _event_feed(spark, sf_dir, "typed", _typed(r.events(spark, sf_dir)))
+    stream = streams.debounce(feed.stream(), "user_id", "3 hours", "1 hour")
+    out, progress = scratch(spark, "debounce"), scratch(spark, "debounce-progress")
+    run_turns(
+        [feed], lambda: drain(stream.writeStream.outputMode("append").format("parquet").option("path", out), progress),
+        close=lambda: feed.tell("ts", CLOSING),
+    )
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def debounced_batch(spark, sf_dir):
@@ -56,69 +87,101 @@ def debounced_batch(spark, sf_dir):
 
 
 def streamed_job_states(spark, sf_dir):
+    """Updates in the order of their ids, in three epochs, then all of them again under a renewed checkpoint."""
     from .job_queries import stage_updates
 
     path = scratch(spark, "states")
-    run_batches(spark, stage_updates(replay_events(spark, sf_dir)), streams.fold_states(path), "states")
-    return streams.current_version(spark, path).withColumnRenamed("at", "updated_at").drop("seq")
+    feed = _event_feed(spark, sf_dir, "updates", by="event_id")
+    progress = scratch(spark, "states-progress")
+    updates = stage_updates(feed.stream())
+    run_turns([feed], lambda: drain(updates.writeStream.foreachBatch(streams.fold_states(path)), progress))
+    drain(updates.writeStream.foreachBatch(streams.fold_states(path)), scratch(spark, "states-again"))
+    return streams.current_states(spark, path)
 
 
 def page_arrivals(spark, sf_dir):
-    """Orders arrive as pages of their customer; the expected count is static."""
-    pages = replay(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"))
+    """Orders arrive as pages of their customer, a third of them twice; the expected count is static."""
+    pages = r.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("page_id"))
     documents = r.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("document_id"), (F.col("c_custkey") % 9 + 6).cast("int").alias("page_count")
     )
-    out = scratch(spark, "arrivals")
-
-    def write(batch, epoch):
-        streams.with_completion(batch, documents).write.mode("overwrite").parquet(out)
-
-    run_batches(spark, streams.arrivals(pages), write, "arrivals", "complete")
-    return spark.read.parquet(out).select("document_id", "done", "page_count", "progress")
+    feed = Feed(spark, "arriving", pages, "page_id")
+    path, progress = scratch(spark, "arrivals"), scratch(spark, "arrivals-progress")
+    counts = streams.arrivals(feed.stream(), "page_id")
+    run_turns(
+        [feed], lambda: drain(counts.writeStream.outputMode("update").foreachBatch(streams.keep_arrivals(path)), progress),
+        close=lambda: feed.send(0),
+    )
+    return streams.with_completion(streams.current_version(spark, path), documents).select("document_id", "done", "page_count", "progress")
 
 
 def streamed_deadline(spark, sf_dir):
-    starts = replay_events(spark, sf_dir).filter("event_type = 'purchase'").select(
+    events = r.events(spark, sf_dir)
+    starts = _event_feed(spark, sf_dir, "starts", events.filter("event_type = 'purchase'").select(
         F.col("user_id").alias("batch_id"), F.col("ts").alias("started_at"), F.col("event_id").alias("start_id")
-    )
-    results = replay_events(spark, sf_dir).filter("event_type <> 'purchase'").select(
+    ), "started_at")
+    results = _event_feed(spark, sf_dir, "results", events.filter("event_type <> 'purchase'").select(
         F.col("user_id").alias("batch_id"), F.col("ts").alias("finished_at"), "event_id"
-    )
-    joined = streams.within_deadline(starts, results).select("batch_id", "start_id", "event_id")
-    return run_to_files(spark, joined, "deadline")
+    ), "finished_at")
+    joined = streams.within_deadline(starts.stream(), results.stream()).select("batch_id", "start_id", "event_id")
+    out, progress = scratch(spark, "deadline"), scratch(spark, "deadline-progress")
+    run_turns([starts, results], lambda: drain(joined.writeStream.format("parquet").option("path", out), progress))
+    return spark.read.schema(joined.schema).parquet(out)
+
+
+def streamed_deadline_leftovers(spark, sf_dir):
+    """Order lines planned with their order and not received within a month, by an outer join of two streams."""
+    from .job_queries import MONTH, shipping
+
+    planned, results = shipping(spark, sf_dir)
+    plans, found = Feed(spark, "planned", planned, "started_at"), Feed(spark, "received", results, "finished_at")
+    late = streams.leftovers(plans.stream(), found.stream(), "line", "1 day", MONTH).select("batch_id", "line")
+    out, progress = scratch(spark, "leftovers"), scratch(spark, "leftovers-progress")
+
+    def close():
+        plans.tell("started_at", CLOSING)
+        found.tell("finished_at", CLOSING)
+
+    run_turns([plans, found], lambda: drain(late.writeStream.format("parquet").option("path", out), progress), close=close)
+    return spark.read.schema(late.schema).parquet(out)
 
 
 def streamed_first_results(spark, sf_dir):
-    """Each request key once: deduplicated in the stream and saved once."""
-    rows = replay_events(spark, sf_dir).select(
-        "user_id", "event_type", F.col("ts").alias("arrived_at")
-    )
-    first = streams.first_results(rows, ["user_id", "event_type"], "60 days")
-    path = scratch(spark, "first")
-    run_batches(spark, first, streams.save_once(path, ["user_id", "event_type"]), "first")
-    return spark.read.parquet(path).select("user_id", "event_type")
+    """Each request key once: deduplicated in the stream and saved once, also by a stream that begins anew."""
+    rows = r.events(spark, sf_dir).select("user_id", "event_type", F.col("ts").alias("arrived_at"))
+    feed = _event_feed(spark, sf_dir, "requests", rows, "arrived_at")
+    first = streams.first_results(feed.stream(), ["user_id", "event_type"], "60 days")
+    path, progress = scratch(spark, "first"), scratch(spark, "first-progress")
+    save = streams.save_once(path, ["user_id", "event_type"])
+    run_turns([feed], lambda: drain(first.writeStream.foreachBatch(save), progress))
+    drain(first.writeStream.foreachBatch(save), scratch(spark, "first-again"))
+    return sinks.read_once(spark, path).select("user_id", "event_type")
 
 
 def streamed_edits(spark, sf_dir):
-    """Edits logged by a stream and laid over the pages by the reader."""
-    edits = replay_events(spark, sf_dir).select(
+    """Edits logged by a stream and laid over the pages by the reader; the checkpoint is renewed on the way."""
+    edits = r.events(spark, sf_dir).select(
         F.concat_ws("-", "user_id", (F.col("event_id") % 5)).alias("page_id"),
         F.concat_ws(" ", F.lit("corrected by hand"), "event_id").alias("new_text"),
         F.col("ts").alias("changed_at"),
     )
-    path = scratch(spark, "edits")
-    run_batches(spark, edits, streams.log_edits(path), "edits")
-    log = spark.read.parquet(path).drop("epoch")
-    documents, pages = library.edit_text(r.chat_documents(spark, sf_dir), r.chat_pages(spark, sf_dir), log)
+    feed = Feed(spark, "edits", edits, "changed_at")
+    path, progress = scratch(spark, "edit-log"), [scratch(spark, "edit-progress")]
+    log = streams.log_edits(path, most_deltas=2)
+    run_turns(
+        [feed], lambda: drain(feed.stream().writeStream.foreachBatch(log), progress[0]),
+        close=lambda: progress.__setitem__(0, scratch(spark, "edit-again")),
+    )
+    newest = streams.current_version(spark, path)
+    documents, pages = library.edit_text(r.chat_documents(spark, sf_dir), r.chat_pages(spark, sf_dir), newest)
     return pages.join(documents.select("document_id", "updated_at"), "document_id").select("page_id", "text", "updated_at")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        debounced_queries, debounced_batch, streamed_job_states, page_arrivals, streamed_deadline, streamed_first_results,
-        streamed_edits,
+        debounced_queries, debounced_batch, streamed_job_states, page_arrivals, streamed_deadline, streamed_deadline_leftovers,
+        streamed_first_results, streamed_edits,
     )
 }
 
@@ -134,15 +197,14 @@ def _oracle() -> dict:
     from . import job_queries, library_queries
 
     return {
-        # A burst leaves the stream once the watermark (newest event minus one hour) has passed its end.
-        "debounced_queries": _BURSTS.format("3 HOUR")
-        + " WHERE settled_at <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+        "debounced_queries": _BURSTS.format("3 HOUR"),
         "debounced_batch": _BURSTS.format("200 MILLISECOND"),
         "streamed_job_states": job_queries.ORACLE["job_states"],
         "page_arrivals": "SELECT o_custkey AS document_id, count(*) AS done, CAST(o_custkey % 9 + 6 AS INTEGER) AS page_count, "
         "least(count(*), o_custkey % 9 + 6) / CAST(o_custkey % 9 + 6 AS DOUBLE) AS progress FROM orders "
         "WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey",
         "streamed_deadline": job_queries.ORACLE["deadline_results"],
+        "streamed_deadline_leftovers": job_queries.ORACLE["deadline_leftovers"],
         "streamed_first_results": "SELECT DISTINCT user_id, event_type FROM events",
         "streamed_edits": library_queries.ORACLE["edit_page_text"],
     }

@@ -273,10 +273,14 @@ def current_state(updates: DataFrame) -> DataFrame:
         .filter("_n = 1")
         .select("job_id", "uncertain_count")
     )
+    return finish_state(latest.join(counted, "job_id", "left"))
+
+
+def finish_state(latest: DataFrame) -> DataFrame:
+    """Newest updates with their latest counts, as states to show."""
     progress = paging.clamp_unit(F.col("stage_progress"))
     return (
-        latest.join(counted, "job_id", "left")
-        .withColumn("uncertain_count", F.coalesce("uncertain_count", F.lit(0)))
+        latest.withColumn("uncertain_count", F.coalesce("uncertain_count", F.lit(0)))
         .withColumn("stage_progress", progress)
         .withColumn("displayed_progress", paging.displayed_progress(F.col("stage_progress"), F.col("stage")))
         .withColumnRenamed("at", "updated_at")

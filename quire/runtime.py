@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Groups with more rows than this are never windowed in one task.
@@ -15,6 +16,9 @@ SLICE_ROWS = "quire.sliceRows"
 #: A side is broadcast only when a bounded count proves it is at most this long and, written as JSON, this large.
 BROADCAST_ROWS, BROADCAST_BYTES = "quire.broadcastRows", "quire.broadcastBytes"
 
+#: Tables in key buckets: the column, and how many buckets there are.
+BUCKET, BUCKETS = "_bucket", 64
+
 DEFAULTS = {HOT_GROUP_ROWS: 1_000_000, SLICE_ROWS: 500_000, BROADCAST_ROWS: 200_000, BROADCAST_BYTES: 64 << 20}
 
 
@@ -22,6 +26,11 @@ def setting(spark: SparkSession, key: str) -> int:
     return int(spark.conf.get(key, str(DEFAULTS[key])))
 
 
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    """Bucket of a key."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the shared folder the cluster names.
 

@@ -11,28 +11,43 @@ from pyspark.sql import functions as F
 
 from ..operators.jobs import edit_history, write_once
 from ..operators.ordered import SLICE, slice_rows
-from ..runtime import broadcast_if_small, cut, is_small
+from ..runtime import BUCKET, BUCKETS, broadcast_if_small, bucket_of, cut, is_small
 
 #: Size of a packed file at which the next one begins.
 FILE_BYTES = 64 << 20
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows below a path; None only where the path does not exist."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
-def append_once(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
+def append_once(rows: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
     """Append rows whose key is not stored yet; earlier rows always win.
 
     ``arrived_at`` decides between rows of one batch. Repeating a batch after a
-    failure adds nothing, which makes the sink idempotent.
+    failure adds nothing, which makes the sink idempotent. Rows stand in folders
+    by bucket of their key: of the stored rows only the keys are read, and only
+    in buckets in which the batch has a key. ``read_once`` reads the sink.
     """
+    bucketed = rows.withColumn(BUCKET, bucket_of(keys, buckets))
     stored = read_or_none(rows.sparkSession, path)
-    existing = rows.limit(0) if stored is None else stored
-    write_once(existing, rows, keys).write.mode("append").parquet(path)
+    existing = bucketed.limit(0)
+    if stored is not None:
+        touched = [row[0] for row in bucketed.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+        existing = stored.select(*keys, BUCKET).filter(F.col(BUCKET).isin(touched))
+    fresh = write_once(existing, bucketed, [BUCKET, *keys])
+    fresh.repartition(buckets, BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
+
+
+def read_once(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a write-once sink."""
+    return spark.read.parquet(path).drop(BUCKET)
 
 
 def replace(rows: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:

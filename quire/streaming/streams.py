@@ -13,24 +13,37 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paging import completion
-from ..operators.jobs import DEADLINE_SECONDS, current_state, deadline_slot
+from ..operators.jobs import DEADLINE_SECONDS, deadline_slot, finish_state
 from ..operators.ordered import Ordered, per_group
-from ..sources.sinks import append_once, read_or_none
+from ..runtime import BUCKETS
+from ..sources.sinks import append_once
+from .versions import append, current, fold
 
 QUIET = "200 milliseconds"
 
 
+def with_time(rows: DataFrame, ts: str, delay: str, key: str) -> DataFrame:
+    """Rows with a watermark. A row without a key only tells the time: it moves the watermark on and goes no further.
+
+    Such a row, sent when a source is quiet or has ended, lets everything older be settled.
+    """
+    # the event time in the test keeps it behind the watermark, which would not see the row otherwise
+    return rows.withWatermark(ts, delay).filter(F.when(F.col(ts).isNotNull(), F.col(key).isNotNull()))
+
+
 def debounce(queries: DataFrame, key: str, quiet: str = QUIET, delay: str | None = None) -> DataFrame:
     """Last query of each burst: emitted once ``quiet`` passes without another.
 
     ``queries``: key, ts, query. A stream in append mode emits a burst when the
-    watermark (``delay`` behind the newest row) has passed its end. On a batch
-    frame bursts are found with ordered scans, which spread a hot key.
+    watermark (``delay`` behind the newest row) has passed its end; a row with a
+    null key tells the time (:func:`with_time`), so a last one settles all bursts.
+    Rows more than ``delay`` late are not seen. On a batch frame bursts are found
+    with ordered scans, which spread a hot key.
     """
     last = [F.max_by("query", F.struct("ts", "query")).alias("query"), F.count("*").alias("keystrokes")]
     if not queries.isStreaming:
         return _debounce_batch(queries, key, quiet, last)
-    rows = queries.withWatermark("ts", delay) if delay else queries
+    rows = with_time(queries, "ts", delay, key) if delay else queries
     burst = F.session_window("ts", quiet)
     return (
         rows.groupBy(key, burst.alias("burst"))
@@ -57,12 +70,25 @@ def _debounce_batch(queries: DataFrame, key: str, quiet: str, last: list) -> Dat
     )
 
 
-def arrivals(pages: DataFrame) -> DataFrame:
-    """Running number of pages per document (update or complete mode).
+def arrivals(pages: DataFrame, page: str | None = None) -> DataFrame:
+    """Running number of pages per document (update mode); with ``page`` each is counted once, however often it comes.
 
     The count is combined map-side before the state store sees it.
     """
-    return pages.groupBy("document_id").agg(F.count("*").alias("done"))
+    rows = pages if page is None else pages.dropDuplicates(["document_id", page])
+    return rows.groupBy("document_id").agg(F.count("*").alias("done"))
+
+
+def keep_arrivals(path: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """Batch writer of changed counts (update mode): only the buckets of changed documents are written again."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("document_id").agg(F.max("done").alias("done"))  # a count only grows
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        fold(batch.select("document_id", "done"), epoch, path, ["document_id"], merge, buckets)
+
+    return write
 
 
 def with_completion(counts: DataFrame, documents: DataFrame) -> DataFrame:
@@ -98,71 +124,95 @@ def within_deadline(
     return left.join(right, on).drop(F.col("r.batch_id"), F.col("r._slot"), F.col("s._slot"))
 
 
+def leftovers(
+    planned: DataFrame, results: DataFrame, item: str, delay: str = "10 minutes", seconds: int = DEADLINE_SECONDS
+) -> DataFrame:
+    """Planned items (batch_id, ``item``, started_at) without a result in time, once their deadline has passed.
+
+    Results: batch_id, ``item``, finished_at. An outer join by equality on batch and item: a batch of any size is spread
+    over its items, and both sides leave the state when the watermarks pass. On either side a row without a batch only
+    tells the time, so a last one on each lets every planned item be decided.
+    """
+    left = planned.select("batch_id", item, "started_at").withWatermark("started_at", delay).alias("s")
+    right = results.select("batch_id", item, "finished_at").withWatermark("finished_at", delay).alias("r")
+    # null-safe: otherwise rows that only tell the time would be dropped in front of the watermark
+    on = (
+        F.col("s.batch_id").eqNullSafe(F.col("r.batch_id"))
+        & F.col(f"s.{item}").eqNullSafe(F.col(f"r.{item}"))
+        & (F.col("r.finished_at") >= F.col("s.started_at"))
+        & (F.col("r.finished_at") <= F.col("s.started_at") + F.expr(f"INTERVAL {seconds} SECONDS"))
+    )
+    late = left.join(right, on, "left_outer").filter(F.col("r.finished_at").isNull()).select("s.batch_id", f"s.{item}", "s.started_at")
+    return late.filter(F.when(F.col("started_at").isNotNull(), F.col("batch_id").isNotNull()))
+
+
 def first_results(results: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """Each request result once, within the watermark of its event time."""
     return results.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def save_once(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Batch writer that never stores a key twice, also when a batch is repeated."""
+def save_once(path: str, keys: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """Batch writer that never stores a key twice, also when a batch is repeated; only touched key buckets are looked at."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        append_once(batch, path, keys)
+        append_once(batch, path, keys, buckets)
 
     return write
 
 
-def _version(path: str, epoch: int) -> str:
-    return f"{path}/epoch={epoch}"
-
-
 def current_version(spark: SparkSession, path: str) -> DataFrame:
-    """Newest complete version of a table written by a fold."""
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("epoch").alias("epoch"))
-    return rows.join(F.broadcast(newest), "epoch", "left_semi").drop("epoch")  # one-row side
+    """Newest version of a table that a stream keeps up to date."""
+    return current(spark, path)
 
 
-STATE_COLUMNS = [
-    "job_id", "seq", "at", "stage", "failure_message", "uncertain_count", "stage_progress", "stage_detail",
-]
+#: What an update says of its job, and when; the count keeps its own time, as later updates may come without one.
+UPDATE_COLUMNS = ["at", "seq", "stage", "failure_message", "stage_progress", "stage_detail"]
 
 
-def fold_states(path: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer folding stage updates into one current row per job.
+def fold_states(path: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """Batch writer folding stage updates into one current row per job; :func:`current_states` reads it.
 
     A batch is reduced to one row per job before it meets the stored states, so
-    a job sending most of the updates costs no more than any other. Each epoch
-    writes its own version from the one before: repeating it changes nothing.
+    a job sending most of the updates costs no more than any other. Only buckets
+    of jobs with updates are read and written; a repeated epoch changes nothing.
     """
 
+    def merge(rows: DataFrame) -> DataFrame:
+        counted = F.when(F.col("counted_at").isNotNull(), F.struct("counted_at", "counted_seq"))
+        reduced = rows.groupBy("job_id").agg(
+            F.max_by(F.struct(*UPDATE_COLUMNS), F.struct(*UPDATE_COLUMNS[:2])).alias("_update"),
+            F.max_by(F.struct("uncertain_count", "counted_at", "counted_seq"), counted).alias("_count"),
+        )
+        return reduced.select("job_id", "_update.*", "_count.*")
+
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = read_or_none(spark, _version(path, epoch - 1)) if epoch else None
-        rows = batch.select(*STATE_COLUMNS)
-        if before is not None:
-            rows = before.select(*STATE_COLUMNS).unionByName(rows)
-        window = Window.partitionBy("job_id").orderBy(F.col("at").desc(), F.col("seq").desc())
-        latest = (
-            rows.withColumn("_n", F.row_number().over(window)).filter("_n = 1").select("job_id", "seq")
+        given = F.col("uncertain_count").isNotNull()
+        rows = batch.select(
+            "job_id", *UPDATE_COLUMNS, "uncertain_count",
+            F.when(given, F.col("at")).alias("counted_at"), F.when(given, F.col("seq")).alias("counted_seq"),
         )
-        current_state(rows).withColumnRenamed("updated_at", "at").join(latest, "job_id").write.mode(
-            "overwrite"
-        ).parquet(_version(path, epoch))
+        fold(rows, epoch, path, ["job_id"], merge, buckets)
 
     return write
 
 
-def log_edits(path: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer appending page edits, one folder per epoch.
+def current_states(spark: SparkSession, path: str) -> DataFrame:
+    """Current state of each job, as ``jobs.current_state`` gives it."""
+    return finish_state(current(spark, path).drop("counted_at", "counted_seq"))
+
+
+def log_edits(path: str, most_deltas: int = 20) -> Callable[[DataFrame, int], None]:
+    """Batch writer of page edits: a delta per epoch, compacted into a snapshot of the newest edit per page.
 
     Readers overlay the newest edit of each page (see ``library.edit_text``), so
     an edit is visible to the next search without rewriting the page table.
     """
 
-    def write(batch: DataFrame, epoch: int) -> None:
+    def newest(rows: DataFrame) -> DataFrame:
         window = Window.partitionBy("page_id").orderBy(F.col("changed_at").desc(), F.col("new_text"))
-        last = batch.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
-        last.write.mode("overwrite").parquet(_version(path, epoch))
+        return rows.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        append(batch, epoch, path, newest, most_deltas)
 
     return write
