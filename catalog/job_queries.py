@@ -305,7 +305,7 @@ def split_assembled(spark, sf_dir):
 def assembled_in_parts(spark, sf_dir):
     """Parts of two pages, put together: the same whole sources."""
     cut_up = jobs.assemble_markdown(_chat_job_pages(spark, sf_dir), part_pages=2)
-    return parts.whole(cut_up, ["job_id"], "markdown")
+    return parts.whole(cut_up, ["job_id"], "markdown", jobs.PAGE_BREAK)
 
 
 def split_in_parts(spark, sf_dir):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +9,6 @@ from ..functions.assets import data_uri_payload, image_extension, is_base64, san
 from ..functions.text import trim_all
 
 
-
 def _member(value: Column, *names: str) -> Column:
     """First member that is present, even as JSON null; SQL null when all are absent."""
     return F.coalesce(*[F.try_variant_get(value, f"$.{name}", "variant") for name in names])
@@ -47,8 +45,11 @@ def parse_responses(responses: DataFrame, key: str, body: str = "body") -> tuple
     root = responses.withColumn("_pages", _objects(F.try_parse_json(F.col(body)), "$.pages"))
     good = F.col("_pages").isNotNull()
     pages = root.filter(good).select(key, F.transform("_pages", _page).alias("pages"))
-    proposed = F.transform("pages", lambda page: F.transform(page["images"], lambda image: image["proposed"]))
-    return pages.withColumn("local_names", _local_names()(proposed)), root.filter(~good).drop("_pages")
+    # names begin with the number of their page, so only names of one page can be equal
+    names = F.transform(
+        "pages", lambda page: F.transform(F.array(F.transform(page["images"], lambda image: image["proposed"])), unique_names)[0]
+    )
+    return pages.withColumn("local_names", names), root.filter(~good).drop("_pages")
 
 
 def _page(page: Column, page_index: Column) -> Column:
@@ -79,35 +80,28 @@ def _image(image: Column, image_index: Column, page_index: Column) -> Column:
     )
 
 
-def _local_names():
-    """Arrow UDF: first free name per image, in order, within one response.
+def unique_names(names: Column) -> Column:
+    """First free name for each of an array of file names, in order.
 
-    The first image proposing a name gets it; later ones try -2, -3, … until a
-    name is free. Only names travel to Python, never payloads. It is built
-    inside a function so that it reaches workers by value.
+    The first to propose a name gets it; later ones try -2, -3, … in front of the extension until a name is free. Only a
+    name that was proposed itself can stand in the way of a numbered one, so the number to begin with is known from the
+    earlier renames. Arrays without repeats, nearly all, are passed through.
     """
 
-    def assign(pages) -> list[list[str]]:
-        used: set[str] = set()
-        counters: dict[str, int] = {}
-
-        def free(name: str) -> str:
-            if name in used:
-                stem, _, ext = name.rpartition(".")
-                turn = counters.get(name, 2)
-                while f"{stem}-{turn}.{ext}" in used:
-                    turn += 1
-                counters[name] = turn + 1
-                name = f"{stem}-{turn}.{ext}"
-            used.add(name)
-            return name
-
-        return [[free(name) for name in names] for names in pages]
-
-    def resolve(batches: pd.Series) -> pd.Series:
-        return batches.map(assign)
-
-    return F.pandas_udf(resolve, "array<array<string>>")
+    def step(used: Column, name: Column) -> Column:
+        stem = F.regexp_extract(name, r"(?s)\A(.*)\.[^.]*\z", 1)
+        extension = F.substring_index(name, ".", -1)
+        before = F.zip_with(used, F.slice(names, F.lit(1), F.size(used)), lambda own, asked: (asked == name) & (own != name))
+        first = F.size(F.filter(before, lambda renamed: renamed)) + 2
+        rivals = F.size(F.filter(names, lambda other: F.startswith(other, F.concat(stem, F.lit("-")))))
+        numbered = F.transform(
+            F.sequence(first, first + rivals), lambda n: F.concat(stem, F.lit("-"), n.cast("string"), F.lit("."), extension)
+        )
+        free = F.get(F.filter(numbered, lambda candidate: ~F.array_contains(used, candidate)), F.lit(0))
+        return F.array_append(used, F.when(F.array_contains(used, name), free).otherwise(name))
+
+    renamed = F.aggregate(names, F.array().cast("array<string>"), step)
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(renamed)
 
 
 def ocr_assets(parsed: DataFrame, key: str) -> DataFrame:

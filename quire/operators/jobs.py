@@ -11,9 +11,8 @@ from ..functions import paging
 from ..functions.geometry import plan_crops
 from ..functions.names import history_stamp, vision_cache_path
 from ..functions.text import trim_all
-from ..runtime import broadcast_if_small
 from .ordered import same_keys
-from .parts import PART, later_parts, several_parts, sums_before
+from .parts import PART, several_parts, sums_before
 
 # Page separator, evidence headings, crop label, history path, deadline.
 PAGE_BREAK = '\n\n<div class="page-break"></div>\n\n'
@@ -142,38 +141,33 @@ def join_refinements(ocr_pages: DataFrame, refinements: DataFrame) -> DataFrame:
 
 
 def assemble_markdown(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
-    """(job_id, part, markdown): pages of a job joined by page-break markers, in page order.
+    """Pages of a job joined by page-break markers, in page order.
 
-    A part holds ``part_pages`` page numbers; all but a job's first begin with a marker, so the parts one behind the
-    other are the whole source (``parts.whole``). Ordinary jobs are a single part 0.
+    Emits parts of ``part_pages`` pages; join parts with the same marker for the
+    whole (``parts.whole``). Ordinary jobs are a single part 0.
     """
     marker = PAGE_BREAK.replace("\n", "\\n")
-    numbered = pages.withColumn(PART, F.floor(F.col("page_index") / part_pages).cast("int"))
-    joined = numbered.groupBy("job_id", PART).agg(
-        F.expr(f"listagg(final_markdown, '{marker}') within group (order by page_index)").alias("markdown")
+    return (
+        pages.withColumn(PART, F.floor(F.col("page_index") / part_pages).cast("int"))
+        .groupBy("job_id", PART)
+        .agg(F.expr(f"listagg(final_markdown, '{marker}') within group (order by page_index)").alias("markdown"))
     )
-    # a pruned scan of page numbers; only jobs that go beyond their first part need a look at where they begin
-    beyond = numbered.filter(F.col("page_index") >= part_pages).select("job_id").distinct()
-    begun = numbered.select("job_id", PART).join(broadcast_if_small(beyond), "job_id", "left_semi")
-    several = several_parts(begun, ["job_id"])
-    led = F.when(F.col("_later"), F.concat(F.lit(PAGE_BREAK), F.col("markdown"))).otherwise(F.col("markdown"))
-    return later_parts(joined, ["job_id"], several).select("job_id", PART, led.alias("markdown"))
 
 
-def split_pages(sources: DataFrame) -> DataFrame:
+def split_pages(sources: DataFrame, part_pages: int | None = None) -> DataFrame:
     """Assembled source back to pages at its page-break lines.
 
-    Where sources have a ``part``, pages are numbered on from the parts before.
+    Where sources have a ``part``, pages are numbered on from the parts before; with ``part_pages`` a part begins at
+    its own page number, as it was assembled.
     """
     breaks = r"(?:\A|(?<=\n))[\t\p{Zs}]*+(?:<div class=\"page-break\"></div>|<!-- page-break -->)[\t\p{Zs}]*+(?=\r?\n|\z)"
     texts = F.split("markdown", breaks)
-    rows = sources.withColumns({"_later": F.lit(False), "_before": F.lit(0)})
-    if PART in sources.columns:
-        several = several_parts(sources, ["job_id"])
-        rows = later_parts(sources, ["job_id"], several)
-        # what a later part has in front of its first break is blank
-        texts = F.when(F.col("_later"), F.slice(texts, F.lit(2), F.size(texts))).otherwise(texts)
-        rows = sums_before(rows, ["job_id"], {"_before": F.size(texts)}, several)
+    if PART not in sources.columns:
+        rows = sources.withColumn("_before", F.lit(0))
+    elif part_pages:
+        rows = sources.withColumn("_before", F.col(PART) * part_pages)
+    else:
+        rows = sums_before(sources, ["job_id"], {"_before": F.size(texts)}, several_parts(sources, ["job_id"]))
     return rows.select("job_id", "_before", F.posexplode(texts).alias("page_index", "_text")).select(
         "job_id", (F.col("_before") + F.col("page_index")).cast("int").alias("page_index"), trim_all(F.col("_text")).alias("markdown")
     )

@@ -4,10 +4,10 @@ A source is one value, so its blocks are cut and rendered inside its row with
 array expressions: no shuffle, and a long source is linear work. Only the
 inventories that leave the row (outline, math, figures, commands) explode.
 
-A part after the first begins with the line end in front of a page break, as
-``jobs.assemble_markdown`` cuts them. Math that is open there moves to the part
-it began in (``settle``); numbers of blocks and headings go on from part to part,
-so every result is that of the source as one value.
+Parts are cut at page breaks, as ``jobs.assemble_markdown`` does; the break itself
+is in none of them. Math that is open there moves to the part it began in
+(``settle``); numbers of blocks and headings go on from part to part, so every
+result is that of the source as one value.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ..functions import markup as m
 from ..functions.assets import figure_caption, is_blocked_path, media_type
 from ..functions.text import trim_blank
 from ..runtime import broadcast_if_small, cut
+from .jobs import PAGE_BREAK
 from .ordered import Ordered, per_group, same_keys
 from .parts import PART, later_parts, several_parts, sums_before
 
@@ -49,15 +50,23 @@ def _own_lines(sources: DataFrame) -> DataFrame:
     return sources.withColumn("markdown", F.when(F.col("_later"), F.regexp_replace("markdown", r"\A\r?\n", "")).otherwise(F.col("markdown")))
 
 
+def _with_breaks(parts: DataFrame, several: DataFrame | None) -> DataFrame:
+    """Parts after the first with the page break in front of them, so that they stand one directly behind the other."""
+    text = F.col("markdown")
+    led = F.when(F.col("_later"), F.concat(F.lit(PAGE_BREAK), text)).otherwise(text)
+    return later_parts(parts.select("doc_id", PART, "markdown"), ["doc_id"], several).select("doc_id", PART, led.alias("markdown"))
+
+
 def settle(sources: DataFrame) -> DataFrame:
     """(doc_id, part, markdown): parts of the same sources, cut so that no block reaches into the next part.
 
+    All but the first begin with a line end; one directly behind the other they are the whole.
     Each part tells, for each state it may begin in, the state it ends in; folded over the few parts of a source that
     gives where a block is open. The text up to its end moves to the part it began in. A block is one value, so a block
     that is never closed gathers the rest of its source.
     """
-    parts = sources.select("doc_id", PART, "markdown")
-    several = several_parts(parts, ["doc_id"])
+    several = several_parts(sources, ["doc_id"])
+    parts = _with_breaks(sources, several)
     if several is None:
         return parts
     within = parts.join(broadcast_if_small(several.select("doc_id")), "doc_id", "left_semi")
@@ -259,8 +268,8 @@ def to_latex(sources: DataFrame) -> DataFrame:
     rows = sources.withColumn("_later", F.lit(False))
     if parted:
         # lines stand for themselves, so parts stay as they are
-        own = sources.select("doc_id", PART, "markdown")
-        rows = _own_lines(later_parts(own, ["doc_id"], several_parts(own, ["doc_id"])))
+        several = several_parts(sources, ["doc_id"])
+        rows = _own_lines(later_parts(_with_breaks(sources, several), ["doc_id"], several))
     body = F.col("_body")
     led = F.when(F.col("_later"), F.concat(F.lit("\n"), body)).otherwise(body)
     trimmed = rows.withColumn("_lines", F.transform(m.lines(F.col("markdown")), trim_blank))

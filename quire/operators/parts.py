@@ -1,7 +1,7 @@
 """Long values in ordered parts: numbering across parts, and parts put together again.
 
-A value that may outgrow a task comes as rows (keys, ``part``, value); its parts in order, one directly behind the
-other, are the whole value. Nearly all values have one part. What a part needs to know of the parts before it is a
+A value that may outgrow a task comes as rows (keys, ``part``, value); its parts in order, joined by the separator its
+operator names, are the whole value. Nearly all values have one part. What a part needs to know of the parts before it is a
 sum over one narrow row per part, so texts are never moved for it.
 """
 
@@ -18,9 +18,10 @@ from .ordered import same_keys
 PART = "part"
 
 
-def whole(parts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def whole(parts: DataFrame, keys: Sequence[str], value: str, separator: str = "") -> DataFrame:
     """One row per key: the texts of its parts in order. A value must fit a task; ``sinks.write_packed`` has no such limit."""
-    return parts.groupBy(*keys).agg(F.expr(f"listagg(`{value}`, '') within group (order by {PART})").alias(value))
+    quoted = separator.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return parts.groupBy(*keys).agg(F.expr(f"listagg(`{value}`, '{quoted}') within group (order by {PART})").alias(value))
 
 
 def whole_array(parts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -169,3 +169,32 @@ def test_parts_split_back_to_their_pages(spark):
     pages = spark.createDataFrame([("j", i, f"page {i}") for i in range(5)], "job_id string, page_index int, final_markdown string")
     back = jobs.split_pages(jobs.assemble_markdown(pages, part_pages=2), part_pages=2)
     assert sorted((r.page_index, r.markdown) for r in back.collect()) == [(i, f"page {i}") for i in range(5)]
+
+
+def test_unique_names_against_the_rule(spark):
+    import random
+
+    def first_free(names):
+        used, out = set(), []
+        for name in names:
+            stem, _, extension = name.rpartition(".")
+            turn, candidate = 2, name
+            while candidate in used:
+                candidate, turn = f"{stem}-{turn}.{extension}", turn + 1
+            used.add(candidate)
+            out.append(candidate)
+        return out
+
+    rng = random.Random(3)
+    pool = ["a.png", "a-2.png", "a-3.png", "a-2-2.png", "a.jpg", "a-2.jpg", "b.png", "a.b.png", "a-.png", "a--2.png"]
+    cases = [[rng.choice(pool) for _ in range(rng.randint(0, 14))] for _ in range(300)] + [["x.png"] * 200]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, names array<string>")
+    found = {r.i: r.found for r in df.select("i", ingest.unique_names(F.col("names")).alias("found")).collect()}
+    assert found == {i: first_free(names) for i, names in enumerate(cases)}
+
+
+def test_responses_need_no_python_worker(spark):
+    df = spark.createDataFrame([(1, "{}")], "job_id int, body string")
+    parsed, _ = ingest.parse_responses(df, "job_id")
+    for frame in (ingest.ocr_assets(parsed, "job_id"), ingest.ocr_pages(parsed, "job_id")):
+        assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()

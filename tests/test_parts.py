@@ -39,7 +39,7 @@ def rows_of(df):
 def test_parts_give_what_the_whole_gives(spark, seed, part_pages):
     whole, cut_up = both(spark, random.Random(seed), part_pages)
     assert cut_up.agg(F.max("part")).first()[0] > 0
-    assert rows_of(parts.whole(cut_up, ["doc_id"], "markdown")) == rows_of(whole)
+    assert rows_of(parts.whole(cut_up, ["doc_id"], "markdown", jobs.PAGE_BREAK)) == rows_of(whole)
     for operator in (md.block_table, md.outline, md.body_headings, md.list_runs, md.math_inventory, md.uncertain_counts):
         assert rows_of(operator(cut_up)) == rows_of(operator(whole)), operator.__name__
     files = spark.createDataFrame([(i, "p.png") for i in range(0, 25, 2)], "doc_id int, path string")
@@ -61,7 +61,7 @@ def test_math_open_over_many_parts(spark):
 def test_pages_beyond_the_first_part_alone(spark):
     df = spark.createDataFrame([(1, 7, "late"), (1, 9, "later"), (2, 0, "x")], "job_id int, page_index int, final_markdown string")
     cut_up = jobs.assemble_markdown(df, 2)
-    texts = {r.job_id: r.markdown for r in parts.whole(cut_up, ["job_id"], "markdown").collect()}
+    texts = {r.job_id: r.markdown for r in parts.whole(cut_up, ["job_id"], "markdown", jobs.PAGE_BREAK).collect()}
     assert texts == {1: "late" + jobs.PAGE_BREAK + "later", 2: "x"}
     assert rows_of(jobs.split_pages(cut_up)) == [(1, "late", 0), (1, "later", 1), (2, "x", 0)]
 
