@@ -204,6 +204,41 @@ SELECT page_id, array_to_string(list_transform(l, lambda x: x.s || '-' || (x.s +
        CAST(len(l) AS INTEGER) AS n_ranges FROM l"""
 
 
+def _marked(spark, sf_dir):
+    """Chat pages with a mark on every e, written as two code points on even turns and as one letter on odd ones."""
+    rows = r.chat_pages(spark, sf_dir)
+    two = F.replace("text", F.lit("e"), F.lit("e\u0301"))
+    one = F.replace("text", F.lit("e"), F.lit("\u00e9"))
+    return rows.select("page_id", F.when(F.col("page_number") % 2 == 1, two).otherwise(one).alias("text"))
+
+
+def highlight_marked(spark, sf_dir):
+    """Match ranges where letters carry marks: a range covers them."""
+    rows = _marked(spark, sf_dir)
+    found = t.highlight_ranges(F.col("text"), F.array(F.lit("que"), F.lit("ea")))
+    return rows.select("page_id", marks(found).alias("highlights"), F.size(found).alias("n_ranges"))
+
+
+def occurrences_marked(spark, sf_dir):
+    rows = _marked(spark, sf_dir).withColumn("f", t.fold(F.col("text")))
+    return rows.select("page_id", t.occurrences(F.col("f"), F.lit("que")).alias("n_que"), t.occurrences(F.col("f"), F.lit("ea")).alias("n_ea"))
+
+
+_SQL_MARKED = f"""
+WITH {r.SQL_CHAT},
+m AS (SELECT page_id, page_number % 2 = 1 AS two, {r.SQL_FOLD.format('text')} AS f,
+             CASE WHEN page_number % 2 = 1 THEN replace(text, 'e', 'e' || chr(769)) ELSE replace(text, 'e', chr(233)) END AS t
+      FROM chat_pages),
+k AS (SELECT *, list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 1) <> chr(769)) AS kept FROM m)"""
+SQL_HIGHLIGHT_MARKED = f"""{_SQL_MARKED},
+l AS (SELECT page_id, t, kept, list_sort(list_concat(
+        list_transform(list_filter(range(1, length(f) + 1), lambda i: substr(f, i, 3) = 'que'), lambda i: {{'s': i, 'o': 0, 'n': 3}}),
+        list_transform(list_filter(range(1, length(f) + 1), lambda i: substr(f, i, 2) = 'ea'), lambda i: {{'s': i, 'o': 1, 'n': 2}})
+      )) AS l FROM k)
+SELECT page_id, array_to_string(list_transform(l, lambda x: (kept[x.s] - 1) || '-' || (coalesce(kept[x.s + x.n], length(t) + 1) - 1)), ',')
+         AS highlights, CAST(len(l) AS INTEGER) AS n_ranges FROM l"""
+
+
 def page_previews(spark, sf_dir):
     rows = r.corpus_pages(spark, sf_dir)
     return rows.select(
@@ -280,6 +315,8 @@ QUERIES = {
     "query_terms": query_terms,
     "occurrence_counts": occurrence_counts,
     "highlight_offsets": highlight_offsets,
+    "highlight_marked": highlight_marked,
+    "occurrences_marked": occurrences_marked,
     "page_previews": page_previews,
     "results_with_documents": results_with_documents,
     "open_result_pages": open_result_pages,
@@ -303,6 +340,9 @@ ORACLE = {
     "query_terms": SQL_TERMS,
     "occurrence_counts": SQL_OCCURRENCES,
     "highlight_offsets": SQL_HIGHLIGHTS,
+    "highlight_marked": SQL_HIGHLIGHT_MARKED,
+    "occurrences_marked": f"{_SQL_MARKED} SELECT page_id, CAST((length(f) - length(replace(f, 'que', ''))) / 3 AS INTEGER) AS n_que, "
+    "CAST((length(f) - length(replace(f, 'ea', ''))) / 2 AS INTEGER) AS n_ea FROM k",
     "page_previews": SQL_PREVIEWS,
     "results_with_documents": SQL_RESULTS_DOCS,
     "open_result_pages": SQL_OPEN_PAGES,

@@ -18,37 +18,50 @@ CONTEXT_RADIUS = 48
 PREVIEW_LENGTH = 120
 ELLIPSIS = "…"
 
-#: Scripts whose accented letters decompose into one base letter plus marks.
-_FOLDED_RANGES = ((0xC0, 0x24F), (0x370, 0x52F), (0x1E00, 0x1FFF))
-_COMBINING_MARKS = "".join(chr(c) for c in range(0x300, 0x370))
+#: A letter is followed by any number of these.
+_MARKS_AFTER = r"\p{Mn}*+"
 
 
 @lru_cache(maxsize=1)
-def fold_tables() -> tuple[str, str]:
-    """Accented letters and their base letters, derived from Unicode decomposition."""
-    accented, plain = [], []
-    for low, high in _FOLDED_RANGES:
-        for code in range(low, high + 1):
-            parts = unicodedata.normalize("NFD", chr(code))
-            if len(parts) > 1 and all(unicodedata.category(p) == "Mn" for p in parts[1:]):
-                accented.append(chr(code))
-                plain.append(parts[0])
-    return "".join(accented), "".join(plain)
+def fold_tables() -> tuple[str, str, str]:
+    """Letters and what they fold to, one code point each, and the marks that are dropped; by rule from Unicode.
+
+    A letter that decomposes into one base letter and nonspacing marks folds to the base, in any script; a letter
+    whose folded case is one other letter than its lower case (final sigma, long s) folds to that.
+    """
+    letters, plain, marks = [], [], []
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000:
+            continue
+        letter = chr(code)
+        if unicodedata.category(letter) == "Mn":
+            marks.append(letter)
+            continue
+        base = [c for c in unicodedata.normalize("NFD", letter) if unicodedata.category(c) != "Mn"]
+        if len(base) != 1:
+            continue
+        folded = base[0].casefold()
+        # lower() of a text writes the capital sigma by its place in the word
+        if len(folded) == 1 and (folded != letter.lower() or letter == "\u03a3"):
+            letters.append(letter)
+            plain.append(folded)
+    return "".join(letters), "".join(plain), "".join(marks)
 
 
 def fold(text: Column) -> Column:
     """Case- and accent-insensitive form used for matching and counting.
 
     Translation runs before ``lower`` so letters whose lower case expands keep
-    one code point, and combining marks are dropped. Pure ASCII text skips it.
+    one code point, and nonspacing marks are dropped. Pure ASCII text skips it.
     """
-    accented, plain = fold_tables()
-    return _fold(text, accented + _COMBINING_MARKS, plain)
+    letters, plain, marks = fold_tables()
+    return _fold(text, letters + marks, plain)
 
 
 def fold_aligned(text: Column) -> Column:
-    """Like :func:`fold`, but keeps every code point so offsets stay valid."""
-    return _fold(text, *fold_tables())
+    """Like :func:`fold`, but keeps every code point, marks too, so offsets stay valid."""
+    letters, plain, _ = fold_tables()
+    return _fold(text, letters, plain)
 
 
 def _fold(text: Column, source: str, target: str) -> Column:
@@ -58,9 +71,9 @@ def _fold(text: Column, source: str, target: str) -> Column:
 
 def fold_literal(text: str) -> str:
     """Driver-side counterpart of :func:`fold` for query literals."""
-    accented, plain = fold_tables()
-    table = {ord(a): p for a, p in zip(accented, plain)}
-    table.update({ord(m): None for m in _COMBINING_MARKS})
+    letters, plain, marks = fold_tables()
+    table = {ord(a): p for a, p in zip(letters, plain, strict=True)}
+    table.update({ord(m): None for m in marks})
     return text.translate(table).lower()
 
 
@@ -123,8 +136,13 @@ def _quoted(term: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-def _starts(pieces: Column, width: Column) -> Column:
-    """Start offsets of the separators between split pieces.
+def _with_marks(term: Column) -> Column:
+    """Pattern of a folded term, each letter of which may carry marks."""
+    return F.regexp_replace(term, "(?s)(.)", r"\\Q$1\\E" + _MARKS_AFTER.replace("\\", "\\\\"))
+
+
+def _starts(pieces: Column, widths: Column) -> Column:
+    """Start offsets of the separators between split pieces, of the given widths.
 
     The running offset is folded in runs of 256 pieces, so appending stays
     close to linear even for a text with very many matches.
@@ -134,12 +152,17 @@ def _starts(pieces: Column, width: Column) -> Column:
     empty = F.array().cast("array<int>")
 
     def inner(begin: Column, base: Column) -> Column:
+        length = F.least(F.lit(run), gaps - begin)
+        steps = F.zip_with(
+            F.slice(pieces, begin + 1, length), F.slice(widths, begin + 1, length),
+            lambda piece, width: F.struct(F.length(piece).alias("before"), width.alias("width")),
+        )
         return F.aggregate(
-            F.slice(pieces, begin + 1, F.least(F.lit(run), gaps - begin)),
+            steps,
             F.struct(base.alias("at"), empty.alias("starts")),
-            lambda acc, piece: F.struct(
-                (acc["at"] + F.length(piece) + width).alias("at"),
-                F.array_append(acc["starts"], acc["at"] + F.length(piece)).alias("starts"),
+            lambda acc, step: F.struct(
+                (acc["at"] + step["before"] + step["width"]).alias("at"),
+                F.array_append(acc["starts"], acc["at"] + step["before"]).alias("starts"),
             ),
         )
 
@@ -161,26 +184,47 @@ def _starts(pieces: Column, width: Column) -> Column:
     return F.when(gaps > 0, folded).otherwise(empty)
 
 
+def _bound(values: list[Column], use) -> Column:
+    """Evaluate values once per row and hand them to ``use``."""
+    names = [f"v{i}" for i in range(len(values))]
+    row = F.struct(*[value.alias(name) for value, name in zip(values, names, strict=True)])
+    return F.transform(F.array(row), lambda r: use(*[r[name] for name in names]))[0]
+
+
 def highlight_ranges(text: Column, terms: Column) -> Column:
     """Sorted ``array<struct<start,end>>`` of every match of every term.
 
-    ``terms`` is an array column. Ranges of different terms may overlap; they
-    are sorted by start (query order on ties) and not merged.
+    ``terms`` is an array column. A match covers the marks its letters carry. Ranges
+    of different terms may overlap; they are sorted by start (query order on ties)
+    and not merged.
     """
     folded = fold_aligned(text)
 
-    def of_term(term: Column, position: Column) -> Column:
-        key = fold_aligned(term)
-        return F.transform(
-            _starts(F.split(folded, _quoted(key), -1), F.length(key)),
-            lambda start: F.struct(
-                start.alias("start"), position.alias("ord"), (start + F.length(key)).alias("end")
-            ),
-        )
+    def of_term(whole: Column, marked: Column, key: Column, position: Column) -> Column:
+        pattern = F.when(marked, _with_marks(key)).otherwise(_quoted(key))
+
+        def ranges(pieces: Column, widths: Column) -> Column:
+            return F.zip_with(
+                _starts(pieces, widths), widths,
+                lambda start, width: F.struct(start.alias("start"), position.alias("ord"), (start + width).alias("end")),
+            )
+
+        def measured(pieces: Column) -> Column:
+            found = F.transform(F.regexp_extract_all(whole, pattern, F.lit(0)), lambda match: F.length(match))
+            same = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda _: F.length(key))
+            return _bound([pieces, F.when(marked, found).otherwise(same)], ranges)
+
+        return _bound([F.split(whole, pattern, -1)], measured)
+
+    def of_terms(whole: Column, keys: Column) -> Column:
+        marked = whole.rlike(r"\p{Mn}")
+        return F.flatten(F.transform(keys, lambda key, position: F.when(key != "", of_term(whole, marked, key, position)).otherwise(
+            F.array().cast("array<struct<start:int,ord:int,end:int>>"))))
 
     kept = F.filter(terms, lambda term: term != "")
+    hits = _bound([folded, F.transform(kept, fold)], of_terms)
     return F.transform(
-        F.array_sort(F.flatten(F.transform(kept, of_term))),
+        F.array_sort(hits),
         lambda hit: F.struct(hit["start"].alias("start"), hit["end"].alias("end")),
     )
 
@@ -188,17 +232,27 @@ def highlight_ranges(text: Column, terms: Column) -> Column:
 def first_match(folded: Column, terms: Column) -> Column:
     """``struct<pos,ord,len>`` of the earliest match (1-based), null without one.
 
-    ``folded`` is the length-preserving fold of the flattened text.
+    ``folded`` is the length-preserving fold of the flattened text; a match covers
+    the marks its letters carry.
     """
-    hits = F.transform(
-        terms,
-        lambda term, position: F.struct(
-            F.position(fold_aligned(term), folded).alias("pos"),
-            position.alias("ord"),
-            F.length(term).alias("len"),
-        ),
-    )
-    return F.array_min(F.filter(hits, lambda hit: (hit["pos"] > 0) & (hit["len"] > 0)))
+
+    def of_terms(whole: Column, keys: Column) -> Column:
+        marked = whole.rlike(r"\p{Mn}")
+
+        def hit(key: Column, position: Column) -> Column:
+            pattern = _with_marks(key)
+            before = F.length(F.get(F.split(whole, pattern, 2), F.lit(0)))
+            with_marks = F.when(F.rlike(whole, pattern), before + 1).otherwise(0)
+            return F.struct(
+                F.when(marked, with_marks).otherwise(F.position(key, whole)).alias("pos"),
+                position.alias("ord"),
+                F.when(marked, F.length(F.regexp_substr(whole, pattern))).otherwise(F.length(key)).alias("len"),
+            )
+
+        hits = F.transform(F.filter(keys, lambda key: key != ""), hit)
+        return F.array_min(F.filter(hits, lambda found: found["pos"] > 0))
+
+    return _bound([folded, F.transform(terms, fold)], of_terms)
 
 
 def _lead(flat: Column, length: int) -> Column:

@@ -122,6 +122,13 @@ def test_snippet_with_context(spark):
         ("矩阵的特征值和特征向量", ["特征"], ["特征", "特征"]),
         ("a+b A+B [x] \\E", ["a+b", "\\e"], ["a+b", "A+B", "\\E"]),
         ("none", ["x"], []),
+        ("Cafe\u0301s caf\u00e9 \u0301 x", ["CAFE", "\u0301"], ["Cafe\u0301", "caf\u00e9"]),
+        ("e\u0301\u0323 a.\u0301c \\\u0301E", ["\u00e9", "a.c", "\\e"], ["e\u0301\u0323", "a.\u0301c", "\\\u0301E", "E"]),
+        ("\u0623\u0628 \u0627\u0628", ["\u0627\u0628"], ["\u0623\u0628", "\u0627\u0628"]),
+        ("\u304b\u3099\u3063 \u304c", ["\u304b"], ["\u304b\u3099", "\u304c"]),
+        ("\u039f\u0394\u039f\u03a3 \u03bf\u03b4\u03cc\u03c2 \u03bf\u03b4\u03bf\u03c3\u03b1", ["\u03bf\u03b4\u03bf\u03c2"],
+         ["\u039f\u0394\u039f\u03a3", "\u03bf\u03b4\u03cc\u03c2", "\u03bf\u03b4\u03bf\u03c3"]),
+        ("\U0001d538\u0301x \U0001f600", ["\U0001f600"], ["\U0001f600"]),
     ],
 )
 def test_highlights(spark, text, terms, expected):
@@ -135,6 +142,35 @@ def test_many_highlights_match_brute_force(spark):
     assert [m.start for m in marks] == list(range(1, 5999, 2))
 
 
+def test_marked_highlights_match_brute_force(spark):
+    import random
+    import unicodedata
+
+    rng = random.Random(6)
+    text = "".join(rng.choice("aabb \u0301\u0323\u00e1") for _ in range(2000))
+    marks = value(spark, t.highlight_ranges(F.lit(text), F.array(F.lit("ab"), F.lit("ba"))))
+    clusters = []  # (start, end, folded letter)
+    for i, c in enumerate(text):
+        if unicodedata.category(c) == "Mn" and clusters:
+            clusters[-1][1] = i + 1
+        elif unicodedata.category(c) != "Mn":
+            clusters.append([i, i + 1, "a" if c == "\u00e1" else c])
+    plain, want = "".join(c[2] for c in clusters), []
+    for term in ("ab", "ba"):
+        at = plain.find(term)
+        while at >= 0:
+            want.append((clusters[at][0], clusters[at + 1][1]))
+            at = plain.find(term, at + 2)
+    assert sorted((m.start, m.end) for m in marks) == sorted(want)
+
+
+def test_snippets_of_marked_text(spark):
+    text = "x" * 80 + " re\u0301sume\u0301 " + "y" * 80
+    row = run(spark, "resume", ("d", "t", 0, [text]))[0]
+    assert row.snippet == "\u2026" + "x" * 47 + " re\u0301sume\u0301 " + "y" * 47 + "\u2026"
+    assert [row.snippet[h.start : h.end] for h in row.highlights] == ["re\u0301sume\u0301"]
+
+
 def test_occurrences(spark):
     assert value(spark, t.occurrences(F.lit("abab ab"), F.lit("ab"))) == 3
     assert value(spark, t.occurrences(F.lit("abab ab"), F.lit(""))) == 0
