@@ -20,8 +20,8 @@ def scratch(spark, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def _manifest_folder(spark, sf_dir):
-    """A manifest per supplier, each in its own folder; some broken, some of an older form."""
+def _manifest_texts(spark, sf_dir):
+    """A manifest per supplier; some broken, some of an older form."""
     rows = r.table(spark, sf_dir, "supplier")
     key, at = F.col("s_suppkey"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("s_suppkey") * 3607 % 500_009)
     stamp = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -40,14 +40,10 @@ def _manifest_folder(spark, sf_dir):
     )
     pretty = F.replace(body, F.lit(","), F.lit(",\n"))
     text = F.when(key % 11 == 5, F.substring(pretty, 1, 60)).when(key % 11 == 6, F.lit('{"version":1}')).otherwise(pretty)
-    path = scratch(spark, "manifests")
-    sinks.write_text_artifacts(rows.select(key.alias("job_id"), text.alias("text")), path)
-    return path
+    return rows.select(key.alias("job_id"), text.alias("text"))
 
 
-def job_manifests(spark, sf_dir):
-    """Manifest files written and read back; unreadable ones are skipped."""
-    found = readers.list_jobs(readers.read_manifests(spark, _manifest_folder(spark, sf_dir) + "/*/*.txt"))
+def _manifest_rows(found):
     return found.select(
         "id", "title", "stage", "updatedAt", F.size("pages").alias("page_count"),
         F.element_at("pages", 2)["sourcePath"].alias("second_page"), "uncertainCount", "failureMessage",
@@ -55,6 +51,28 @@ def job_manifests(spark, sf_dir):
     )
 
 
+def job_manifests(spark, sf_dir):
+    """Manifest files, each in its own folder, written and read back; unreadable ones are skipped."""
+    path = scratch(spark, "manifests")
+    sinks.write_text_artifacts(_manifest_texts(spark, sf_dir), path)
+    return _manifest_rows(readers.list_jobs(readers.read_manifests(spark, path + "/*/*.txt")))
+
+
+def packed_manifests(spark, sf_dir):
+    """The same manifests in few packed files with an index instead of a folder each."""
+    path = scratch(spark, "packed-manifests")
+    sinks.write_packed(_manifest_texts(spark, sf_dir), path, ["job_id"], [], file_bytes=20_000)
+    return _manifest_rows(readers.list_jobs(readers.parse_manifests(readers.read_packed(spark, path))))
+
+
+def packed_artifacts(spark, sf_dir):
+    """Document texts in packed files; of them, those of even documents are read by their keys."""
+    path = scratch(spark, "packed-artifacts")
+    rows = r.table(spark, sf_dir, "documents").select("doc_id", "text")
+    sinks.write_packed(rows, path, ["doc_id"], [], file_bytes=200_000)
+    return readers.read_packed(spark, path, rows.select("doc_id").filter("doc_id % 2 = 0")).select("doc_id", "text")
+
+
 def _artifact_files(spark, sf_dir):
     """Artifacts of a job per document source; some names must not be exported."""
     key = F.col("doc_id").cast("string")
@@ -222,7 +240,7 @@ def custom_page_order(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        job_manifests, archive_manifest, archive_checksums, oversized_jobs, value_histogram, otsu_thresholds, binary_files,
+        job_manifests, packed_manifests, packed_artifacts, archive_manifest, archive_checksums, oversized_jobs, value_histogram, otsu_thresholds, binary_files,
         file_listing, write_once_sink, replace_sink, nested_json_sink, edit_history_sink, recognized_blocks,
         recognized_pages, custom_order, custom_page_order,
     )
@@ -255,12 +273,18 @@ WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS i, unnest(ls) AS raw FROM l),
 c AS (SELECT doc_id, i, regexp_replace(raw, '^[\t-\r\x{85}\p{Z}]+|[\t-\r\x{85}\p{Z}]+$', '', 'g') AS text FROM u)"""
 
-ORACLE = {
-    "job_manifests": "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS title, 'baseOCR' AS stage, "
+_MANIFESTS = (
+    "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS title, 'baseOCR' AS stage, "
     "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(s_suppkey * 3607 % 500009) AS \"updatedAt\", 2 AS page_count, "
     "'pages/page-002.jpg' AS second_page, CAST(s_suppkey % 4 AS INTEGER) AS \"uncertainCount\", "
     "CAST(NULL AS VARCHAR) AS \"failureMessage\", CASE WHEN s_suppkey % 3 = 0 THEN CAST(0.5 AS DOUBLE) END AS \"stageProgress\", "
-    "CASE WHEN s_suppkey % 3 = 0 THEN 'page 1' END AS \"stageDetail\" FROM supplier WHERE s_suppkey % 11 NOT IN (5, 6)",
+    "CASE WHEN s_suppkey % 3 = 0 THEN 'page 1' END AS \"stageDetail\" FROM supplier WHERE s_suppkey % 11 NOT IN (5, 6)"
+)
+
+ORACLE = {
+    "job_manifests": _MANIFESTS,
+    "packed_manifests": _MANIFESTS,
+    "packed_artifacts": "SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0",
     "archive_manifest": f"{_FILES} SELECT job_id, archive_path, size, entry, CAST(running AS BIGINT) AS running_bytes, "
     "running > 60000 AS over_cap FROM m",
     "archive_checksums": f"""{_FILES},

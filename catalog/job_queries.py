@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions.names import refinement_cache_path, vision_cache_path
 from quire.operators import ingest, jobs, parts
 from quire.sources import readers, sinks
 
@@ -277,6 +278,15 @@ def page_mismatches(spark, sf_dir):
     return jobs.page_mismatches(manifests, job_pages(spark, sf_dir).select("job_id", "page_index"))
 
 
+def cached_page_mismatches(spark, sf_dir):
+    """Pages saved under their place; some say another index, some none, and other files lie next to them."""
+    page, order = F.col("page_index"), F.col("o_orderkey")
+    path = F.when(order % 11 == 5, vision_cache_path(page, F.lit("overview"), F.lit(0))).otherwise(refinement_cache_path(page))
+    own = F.when(order % 7 == 3, page + 1).when(order % 13 != 4, page)
+    saved = job_pages(spark, sf_dir).select("job_id", path.alias("path"), own.cast("int").alias("page_index"))
+    return jobs.cached_page_mismatches(saved)
+
+
 def refinement_join(spark, sf_dir):
     pages = job_pages(spark, sf_dir)
     ocr = pages.select("job_id", "page_index", F.col("o_orderpriority").alias("markdown"))
@@ -469,7 +479,7 @@ QUERIES = {
     for f in (
         ocr_assets, ocr_pages, ocr_quarantine, completions, completion_quarantine, clean_observations, best_candidates,
         language_negotiation, request_plan, pending_requests, reusable_requests, batch_completeness, write_once,
-        effective_source, edit_history, edited_sources, page_mismatches, refinement_join, assembled_markdown,
+        effective_source, edit_history, edited_sources, page_mismatches, cached_page_mismatches, refinement_join, assembled_markdown,
         split_assembled, assembled_in_parts, split_in_parts, packed_sources, records_in_parts, packed_records, merge_evidence, page_evidence, job_records, job_states, latest_manifests, deadline_results, deadline_leftovers, deadline_progress,
     )
 }
@@ -527,6 +537,9 @@ SELECT doc_id, reading_order, text, CAST(0.9 AS DOUBLE) AS confidence FROM c WHE
     "SELECT job_id, expected, coalesce(actual, 0) AS actual, CASE WHEN actual > 0 THEN 0 END AS first_index, "
     "CAST(actual - 1 AS INTEGER) AS last_index FROM m FULL JOIN a USING (job_id) "
     "WHERE coalesce(actual, 0) IS DISTINCT FROM expected",
+    "cached_page_mismatches": f"{_JOBS}, c AS (SELECT job_id, page_index AS expected, CAST(CASE WHEN o_orderkey % 7 = 3 THEN page_index + 1 "
+    "WHEN o_orderkey % 13 <> 4 THEN page_index END AS INTEGER) AS actual, printf('refinement-page-%03d.json', page_index + 1) AS path "
+    "FROM job_pages WHERE o_orderkey % 11 <> 5) SELECT job_id, path, expected, actual FROM c WHERE expected IS DISTINCT FROM actual",
     "refinement_join": f"{_JOBS}, a AS (SELECT job_id, page_index, o_orderpriority AS markdown FROM job_pages), "
     "b AS (SELECT job_id, page_index + 1 AS page_index, o_orderstatus AS final_markdown FROM job_pages) "
     "SELECT job_id, CAST(page_index AS INTEGER) AS page_index, markdown, final_markdown, "

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paging
 from ..functions.geometry import plan_crops
-from ..functions.names import history_stamp, vision_cache_path
+from ..functions.names import REFINEMENT_CACHE, history_stamp, vision_cache_path
 from ..functions.text import trim_all
 from .ordered import same_keys
 from .parts import PART, several_parts, sums_before
@@ -133,6 +133,21 @@ def page_mismatches(manifests: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def cached_page_mismatches(cached: DataFrame) -> DataFrame:
+    """Saved pages whose own index is not that of their place: (job_id, path, expected, actual).
+
+    ``cached``: job_id, path (as ``names.refinement_cache_path`` names it), page_index (as the saved page says; null where
+    it says none). Files of another name are none of these pages. A row-local check: nothing is shuffled.
+    """
+    prefix, suffix = REFINEMENT_CACHE.split("%03d")
+    number = F.regexp_extract("path", rf"(?:\A|/)\Q{prefix}\E([0-9]+)\Q{suffix}\E\z", 1)
+    expected = F.when(number != "", number.cast("int") - 1)
+    return (
+        cached.select("job_id", "path", expected.alias("expected"), F.col("page_index").alias("actual"))
+        .filter(F.col("expected").isNotNull() & ~F.col("expected").eqNullSafe(F.col("actual")))
+    )
+
+
 def join_refinements(ocr_pages: DataFrame, refinements: DataFrame) -> DataFrame:
     """OCR page next to its refinement by page index; one-sided pages are flagged."""
     return ocr_pages.join(refinements, ["job_id", "page_index"], "full_outer").withColumn(

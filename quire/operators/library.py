@@ -74,21 +74,27 @@ def document_previews(pages: DataFrame, length: int = PREVIEW_LENGTH) -> DataFra
     each group however many pages a document has.
     """
     need = length + 2
-    blank = trim_all(F.col("text")) == ""
+    edge = F.lit(WHITESPACE + NEWLINES)
     text = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    spans = pages.filter(~blank).groupBy("document_id").agg(
+    # Longer texts cannot show more than the cut. What an edge page shows is trimmed, so both forms
+    # of its beginning are kept; the whole text goes no further than its scan.
+    slim = pages.select(
+        "document_id", "page_number", (trim_all(F.col("text")) == "").alias("_blank"),
+        F.substring(text, 1, length + 1).alias("_text"),
+        F.substring(F.ltrim(text, edge), 1, length + 1).alias("_opened"),
+        F.substring(F.rtrim(text, edge), 1, length + 1).alias("_closed"),
+        F.substring(F.btrim(text, edge), 1, length + 1).alias("_only"),
+    )
+    spans = slim.filter("not _blank").groupBy("document_id").agg(
         F.min("page_number").alias("_from"), F.max("page_number").alias("_to")
     )
     window = Window.partitionBy("document_id").orderBy("page_number")
-    edge = F.lit(WHITESPACE + NEWLINES)
-    opened = F.when(F.col("page_number") == F.col("_from"), F.ltrim(text, edge)).otherwise(text)
-    closed = F.when(F.col("page_number") == F.col("_to"), F.rtrim(opened, edge)).otherwise(opened)
+    first, last = F.col("page_number") == F.col("_from"), F.col("page_number") == F.col("_to")
+    shown = F.when(first & last, F.col("_only")).when(first, F.col("_opened")).when(last, F.col("_closed")).otherwise(F.col("_text"))
     lead = (
-        pages.select("document_id", "page_number", "text")
-        .join(spans, "document_id")
+        slim.join(spans, "document_id")
         .filter(F.col("page_number").between(F.col("_from"), F.col("_to")))
-        # Longer page texts cannot show more than the cut; the edges are trimmed first.
-        .select("document_id", "page_number", F.substring(closed, 1, length + 1).alias("_lead"))
+        .select("document_id", "page_number", shown.alias("_lead"))
         .withColumn("_n", F.row_number().over(window))
         .filter(F.col("_n") <= need)
         .groupBy("document_id")

@@ -37,6 +37,14 @@ def read_manifests(spark: SparkSession, pattern: str) -> DataFrame:
     return rows.filter(complete)
 
 
+def parse_manifests(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Manifests from their texts, as :func:`read_manifests` reads them from files; broken or incomplete ones are skipped."""
+    body = F.from_json(F.col(text), f"{MANIFEST_SCHEMA}, _corrupt_record string").alias("_manifest")
+    rows = texts.select(body).select("_manifest.*").filter("_corrupt_record is null")
+    complete = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in REQUIRED])
+    return rows.filter(complete).drop("_corrupt_record")
+
+
 def list_jobs(manifests: DataFrame) -> DataFrame:
     """Manifests, newest update first."""
     return manifests.orderBy(F.col("updatedAt").desc(), F.col("id"))

@@ -73,6 +73,13 @@ def test_manifests(spark, tmp_path):
     assert [p.sourcePath for p in rows[0].pages] == ["pages/page-001.jpg", "pages/page-002.jpg"]
 
 
+def test_manifests_from_texts(spark):
+    cases = [json.dumps(manifest(id="a", stageProgress=0.5)), "{broken", json.dumps({"id": "d"}), None, json.dumps(manifest(id="e", version="x"))]
+    texts = spark.createDataFrame([(c,) for c in cases], "text string")
+    rows = readers.parse_manifests(texts).collect()
+    assert [(r.id, r.stageProgress, len(r.pages)) for r in rows] == [("a", 0.5, 2)]
+
+
 def test_binary_files(spark, tmp_path):
     (tmp_path / "assets").mkdir()
     (tmp_path / "assets" / "figure.png").write_bytes(b"\x01\x02")

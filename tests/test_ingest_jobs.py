@@ -198,3 +198,12 @@ def test_responses_need_no_python_worker(spark):
     parsed, _ = ingest.parse_responses(df, "job_id")
     for frame in (ingest.ocr_assets(parsed, "job_id"), ingest.ocr_pages(parsed, "job_id")):
         assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cached_pages_out_of_place(spark):
+    rows = [
+        ("j", "refinement-page-001.json", 0), ("j", "refinement-page-002.json", 0), ("j", "cache/refinement-page-1000.json", 999),
+        ("k", "refinement-page-003.json", None), ("k", "vision-page-001-overview.json", 7), ("k", "xrefinement-page-001.json", 7),
+    ]
+    found = jobs.cached_page_mismatches(spark.createDataFrame(rows, "job_id string, path string, page_index int")).collect()
+    assert sorted(map(tuple, found)) == [("j", "refinement-page-002.json", 1, 0), ("k", "refinement-page-003.json", 2, None)]
