@@ -317,11 +317,12 @@ def inline_source(kind: Column, block: Column) -> Column:
 def figure_paths(blocks: Column, kinds: Column) -> Column:
     """Paths of the figures of all blocks that are not blocked, in the order they are rendered in."""
 
-    def of_block(block: Column, i: Column) -> Column:
-        images = F.filter(inline_spans(inline_source(F.get(kinds, i), block)), lambda span: span_kind(span) == "image")
+    def of_block(block: Column, kind: Column) -> Column:
+        images = F.filter(inline_spans(inline_source(kind, block)), lambda span: span_kind(span) == "image")
         return F.filter(F.transform(images, image_path), lambda path: ~is_blocked_path(path))
 
-    return F.flatten(F.filter(F.transform(blocks, of_block), lambda paths: paths.isNotNull()))
+    # zipped, so that the kinds are evaluated once and not once per block
+    return F.flatten(F.filter(F.zip_with(blocks, kinds, of_block), lambda paths: paths.isNotNull()))
 
 
 def uncertain_count(source: Column) -> Column:
