@@ -11,7 +11,7 @@ from ..functions import paging
 from ..functions.geometry import plan_crops
 from ..functions.names import REFINEMENT_CACHE, history_stamp, vision_cache_path
 from ..functions.text import trim_all
-from .ordered import same_keys
+from .ordered import Ordered, per_group, same_keys
 from .parts import PART, several_parts, sums_before
 
 # Page separator, evidence headings, crop label, history path, deadline.
@@ -87,10 +87,13 @@ def edit_history(current: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataF
 
     Blank edits are rejected. The edits of a job follow each other by time, then text: each
     sends the text before it to history with its own stamp, and the last one is current.
+    A job with most of the edits is spread over slices.
     """
     clean = edits.select("job_id", "edited_at", trim_all(F.col("source")).alias("source")).filter("source <> ''")
-    order = Window.partitionBy("job_id").orderBy("edited_at", "source")
-    turns = clean.withColumn("_before", F.lag("source").over(order)).withColumn("_next", F.lead("source").over(order))
+    order = [F.col("edited_at"), F.col("source")]
+    turns = per_group(
+        clean, ["job_id"], lambda rows, slices: Ordered(rows, ["job_id"], order, slices).lag({"_before": "source"}).done()
+    )
     old = current.select("job_id", F.col("source").alias("_old"))
     history = (
         turns.join(old, "job_id", "left")
@@ -102,7 +105,7 @@ def edit_history(current: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataF
             F.col("_replaced").alias("source"),
         )
     )
-    last = turns.filter("_next is null").select("job_id", "source")
+    last = clean.groupBy("job_id").agg(F.max_by("source", F.struct("edited_at", "source")).alias("source"))
     kept = current.select("job_id", "source").join(last.select("job_id"), "job_id", "left_anti")
     return history, kept.unionByName(last)
 

@@ -207,3 +207,11 @@ def test_cached_pages_out_of_place(spark):
     ]
     found = jobs.cached_page_mismatches(spark.createDataFrame(rows, "job_id string, path string, page_index int")).collect()
     assert sorted(map(tuple, found)) == [("j", "refinement-page-002.json", 1, 0), ("k", "refinement-page-003.json", 2, None)]
+
+
+def test_edit_history_of_a_hot_job(spark, hot_limits):
+    edits = [("a", T0 + datetime.timedelta(minutes=i), f"t{i}") for i in range(11)] + [("b", T0, "only"), ("a", T0, " ")]
+    current = spark.createDataFrame([("a", "first")], "job_id string, source string")
+    history, now = jobs.edit_history(current, spark.createDataFrame(edits, "job_id string, edited_at timestamp, source string"))
+    assert [r.source for r in history.orderBy("path").collect()] == ["first", *[f"t{i}" for i in range(10)]]
+    assert {(r.job_id, r.source) for r in now.collect()} == {("a", "t10"), ("b", "only")}
