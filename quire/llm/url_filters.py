@@ -72,7 +72,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     own = {"host", "path", "rule", "verdict"}
     rows = pages.select(*[c for c in pages.columns if c not in own], url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     urls = store(rows.select("host", "path").distinct())
-    words = F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit("[a-z0-9]+"), F.lit(0))
+    # A-Z only: lower() would turn other signs, such as that of Kelvin, into letters of a token
+    plain = F.translate(F.concat_ws("/", "host", "path"), UPPER, UPPER.lower())
+    words = F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0))
     url_tokens = urls.select("host", "path", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), words))).alias("token"))
     index, _ = broadcast_if_bounded(store(index_rules(rules, url_tokens)))
     fits = F.expr("regexp_like(host, host_regex) and regexp_like(path, path_regex)")

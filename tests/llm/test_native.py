@@ -42,7 +42,7 @@ def test_spans_match_re(spark):
 
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://A.Net", "http://A.Net/", "http://www.example.net/en/1?q", "http://example.com/de/", "https://x.org/fr/a#b",
-            "https://x.org/fr", "http://notnet/", "http://cheap-pills.example.com/en/", "http://spammer.com/", "x://net?://org/fr/", "http://net/", "http://net/"]
+            "https://x.org/fr", "http://notnet/", "http://cheap-pills.example.com/en/", "http://spammer.com/", "http://\u212aspam.com/", "http://spam\u212a.com/", "x://net?://org/fr/", "http://net/", "http://net/"]
     pages = spark.createDataFrame([(None if u == "" else i, u, "h") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
     rules = url_filters.host_rules(spark, URL_RULES).union(url_filters.word_rules(spark))
     got = url_filters.judge(pages, rules).collect()
