@@ -6,39 +6,44 @@ returns, per set, those that other sets hold too; summed over the fragments they
 and most sets end there. The rest are joined on the rarest shingles that a link must touch. Pairs are counted fragment
 by fragment of the order and the partial overlaps summed.
 
-Groups of thousands of near copies would make all pairs. So members are first compared with one hub per shingle, and
-linked ones become one component; only pairs across components are compared after that. Links inside a component
+Groups of thousands of near copies would make all pairs. So members are first compared with a few hubs per shingle,
+and linked ones become one component; only pairs across components are compared after that. Links inside a component
 change nothing in the result, and all others are found.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quire.llm import components
-from quire.llm.shared import store
+from quire.llm.shared import broadcast_if_bounded, squeezed, store, unsqueezed
 
 #: Shingles that one fragment holds, on average.
-FRAGMENT_SHINGLES = 2_000_000
+FRAGMENT_SHINGLES = 1_500_000
 #: A task packs the parts of so many shingles at once, whatever the batch holds.
-PACKED_SHINGLES = 2_000_000
-#: Fragments in which a pair's overlap is counted: the highest bits of the hash.
+PACKED_SHINGLES = 1_000_000
+#: Bits of a shingle's hash that cross the wire; its fragment gives the others.
+SENT_BITS = 40
+#: Fragments in which a pair's overlap is counted: the low bits of a shingle's number.
 PAIR_FRAGMENT_BITS = 3
 #: Longs of the bitmap that bounds an overlap before it is counted.
 BITMAP_LONGS = 8
+#: Members of a shingle that all others are compared with in one round.
+HUBS = 4
 #: Hub rounds end when the pairs left are at most this many times the rows they come from.
 PAIRS_PER_ROW = 4
-MAX_HUB_ROUNDS = 2
+MAX_HUB_ROUNDS = 3
 #: They also end when fewer than one in so many compared pairs links.
 BARREN_SHARE = 20
-CACHE_ENTRIES = 250_000
+#: A set's rarest shingles at which it is compared across components before all others.
+FIRST_SHINGLES = 2
+CACHE_ENTRIES = 100_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -69,112 +74,119 @@ def shingle_hashes(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _digest(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-
-
-def _id() -> Column:
-    return F.struct("k1", "k2").alias("id")
+def _key(hashes: np.ndarray) -> int:
+    """64 bits of a set, as a signed number."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
 def sets_of(docs: DataFrame, text: str = "text", size: int = 5) -> DataFrame:
-    """(doc_id, t1, t2, n, k1, k2): 128 bits of each row's text and of its set; n is the size of the set."""
+    """(doc_id, t1, t2, n, key): 128 bits of each row's text and 64 of its set; n is the size of the set."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, keys = [], []
-            for body in batch["text"].tolist():
-                hashes = shingle_hashes(body, size)
-                sizes.append(len(hashes))
-                keys.append(_digest(hashes))
-            k = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-            yield batch[["doc_id", "t1", "t2"]].assign(n=np.array(sizes, dtype=np.int64), k1=k[:, 0], k2=k[:, 1])
+            found = [(len(hashes), _key(hashes)) for hashes in (shingle_hashes(body, size) for body in batch["text"])]
+            yield batch[["doc_id", "t1", "t2"]].assign(n=[n for n, _ in found], key=[key for _, key in found])
 
     rows = docs.select(
         F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), F.col(text).alias("text")
     )
-    found = rows.mapInPandas(measure, "doc_id string, t1 bigint, t2 bigint, n bigint, k1 bigint, k2 bigint")
+    found = rows.mapInPandas(measure, "doc_id string, t1 bigint, t2 bigint, n bigint, key bigint")
     return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _packed(keys: list[bytes], sizes: list[int], parts: list[np.ndarray], fragments: int) -> pd.DataFrame:
-    """One row a fragment: the keys and sizes of its sets, how many shingles of each lie in it, and those."""
-    total = np.array(sizes, dtype=np.int64)
-    hashes, owner = np.concatenate(parts), np.repeat(np.arange(len(keys), dtype=np.int32), total)
-    fragment = ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+def _sent(hashes: np.ndarray) -> bytes:
+    """The low 40 bits of each hash."""
+    return hashes.astype("<u8").view("u1").reshape(-1, 8)[:, : SENT_BITS // 8].tobytes()
+
+
+def _received(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, dtype="u1").reshape(-1, SENT_BITS // 8)
+    whole = np.zeros((len(rows), 8), dtype="u1")
+    whole[:, : SENT_BITS // 8] = rows
+    return whole.view("<u8").ravel()
+
+
+def _packed(keys: list[int], parts: list[np.ndarray], fragments: int) -> pd.DataFrame:
+    """One row a fragment: the keys of its sets, how many shingles of each lie in it, and those."""
+    hashes, owner = np.concatenate(parts), np.repeat(np.arange(len(keys), dtype=np.int32), [len(p) for p in parts])
+    fragment = (((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(fragment, kind="stable")
     hashes, owner, fragment = hashes[order], owner[order], fragment[order]
-    packed = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
+    key = np.array(keys, dtype="<i8")
     bounds = np.flatnonzero(np.diff(fragment)) + 1
     rows = []
     for low, high in zip([0, *bounds], [*bounds, len(fragment)], strict=True):
         own, counts = np.unique(owner[low:high], return_counts=True)  # owners are in order: so are the counts
-        rows.append((int(fragment[low]), packed[own].tobytes(), total[own].tobytes(), counts.astype(np.int64).tobytes(), hashes[low:high].tobytes()))
-    return pd.DataFrame(rows, columns=["fragment", "keys", "sizes", "counts", "hashes"])
+        rows.append((int(fragment[low]), key[own].tobytes(), squeezed(counts), _sent(hashes[low:high])))
+    return pd.DataFrame(rows, columns=["fragment", "keys", "counts", "hashes"])
 
 
 def _segments(docs: DataFrame, fragments: int, text: str, size: int) -> DataFrame:
-    """(fragment, keys, sizes, counts, hashes): the parts of many sets that lie in one fragment, as packed arrays."""
+    """(fragment, keys, counts, hashes): the parts of many sets that lie in one fragment, as packed arrays."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         for batch in batches:
-            keys, sizes, parts, held = [], [], [], 0
-            for body in batch["text"].tolist():
+            keys, parts, held = [], [], 0
+            for body in batch["text"]:
                 hashes = shingle_hashes(body, size)
-                key = _digest(hashes)
+                key = _key(hashes)
                 if not len(hashes) or key in seen:
                     continue
                 if len(seen) >= CACHE_ENTRIES:
                     seen.clear()
                 seen.add(key)
                 keys.append(key)
-                sizes.append(len(hashes))
                 parts.append(hashes)
                 held += len(hashes)
                 if held >= PACKED_SHINGLES:
-                    yield _packed(keys, sizes, parts, fragments)
-                    keys, sizes, parts, held = [], [], [], 0
+                    yield _packed(keys, parts, fragments)
+                    keys, parts, held = [], [], 0
             if keys:
-                yield _packed(keys, sizes, parts, fragments)
+                yield _packed(keys, parts, fragments)
 
-    return docs.select(F.col(text).alias("text")).mapInPandas(cut, "fragment bigint, keys binary, sizes binary, counts binary, hashes binary")
+    return docs.select(F.col(text).alias("text")).mapInPandas(cut, "fragment int, keys binary, counts binary, hashes binary")
 
 
-def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """keys (two longs a set), sizes, counts and hashes of packed rows."""
-    keys = np.frombuffer(b"".join(group["keys"]), dtype="<i8").reshape(-1, 2)
-    sizes, counts = (np.frombuffer(b"".join(group[c]), dtype="<i8") for c in ("sizes", "counts"))
-    return keys, sizes, counts, np.frombuffer(b"".join(group["hashes"]), dtype="<u8")
+def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of packed rows."""
+    return np.frombuffer(b"".join(group["keys"]), dtype="<i8"), np.concatenate([unsqueezed(c) for c in group["counts"]])
 
 
 def _shared_of_fragment(buckets: int):
-    """Of one fragment: the shingles that at least two sets hold, and how many hold each; packed by bucket of the sets."""
+    """Of one fragment: the shingles that at least two sets hold, and how many hold each; packed by bucket of the sets.
+
+    From here on a shared shingle is its rank among those of its fragment: a small number that means the same for all.
+    """
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes, counts, hashes = _unpacked(group)
-        _, first = np.unique(keys.view([("a", "<i8"), ("b", "<i8")]).ravel(), return_index=True)
+        keys, counts = _unpacked(group)
+        hashes = _received(b"".join(group["hashes"]))
+        _, first = np.unique(keys, return_index=True)
         once = np.zeros(len(keys), dtype=bool)  # a set may have come from several tasks
         once[first] = True
-        hashes = hashes[np.repeat(once, counts)]
-        keys, sizes, counts = keys[once], sizes[once], counts[once]
+        if not once.all():
+            hashes = hashes[np.repeat(once, counts)]
+            keys, counts = keys[once], counts[once]
         order = np.argsort(hashes, kind="stable")
         ordered = hashes[order]
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
-        holders = np.empty(len(hashes), dtype=np.int64)
-        holders[order] = np.repeat(np.diff(edges), np.diff(edges))
-        owner = np.repeat(np.arange(len(keys)), counts)
+        held = np.diff(edges).astype(np.uint32)
+        holders, ranks = np.empty(len(hashes), dtype=np.uint32), np.empty(len(hashes), dtype=np.uint32)
+        holders[order] = np.repeat(held, held)
+        ranks[order] = np.repeat(np.cumsum(held > 1).astype(np.uint32) - np.uint32(1), held)
+        del order, ordered, edges, held, hashes
+        owner = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
         shared = holders > 1
-        hashes, holders, owner = hashes[shared], holders[shared], owner[shared]
-        bucket = keys[owner, 0] % buckets
+        ranks, holders, owner = ranks[shared], holders[shared], owner[shared]
+        bucket = (keys.view("<u8") % np.uint64(buckets)).astype(np.int32)[owner]
         by_bucket = np.argsort(bucket, kind="stable")
         bounds = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
         rows = []
         for part in np.split(by_bucket, bounds) if len(by_bucket) else []:
             own, n = np.unique(owner[part], return_counts=True)
-            packed = (keys[own], sizes[own], n.astype(np.int64), hashes[part], holders[part])
-            rows.append((int(bucket[part[0]]), *(x.tobytes() for x in packed)))
-        return pd.DataFrame(rows, columns=["bucket", "keys", "sizes", "counts", "hashes", "holders"])
+            rows.append((int(bucket[part[0]]), int(group["fragment"].iat[0]), keys[own].tobytes(), squeezed(n), squeezed(ranks[part]), squeezed(holders[part])))
+        return pd.DataFrame(rows, columns=["bucket", "fragment", "keys", "counts", "ranks", "holders"])
 
     return count
 
@@ -182,38 +194,56 @@ def _shared_of_fragment(buckets: int):
 def _survivors_of_bucket(percent: int):
     """Sums what the fragments counted per set; sets that can link, with their shared shingles from the rarest on."""
 
-    def select(group: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes, counts, hashes = _unpacked(group)
-        holders = np.frombuffer(b"".join(group["holders"]), dtype="<i8")
-        _, first, same = np.unique(keys.view([("a", "<i8"), ("b", "<i8")]).ravel(), return_index=True, return_inverse=True)
-        enough = np.bincount(same, weights=counts) * 100 >= sizes[first] * percent
-        owner = np.repeat(same, counts)
-        keep = enough[owner]
-        owner, hashes, holders = owner[keep], hashes[keep], holders[keep]
+    def select(group: pd.DataFrame, sizes: pd.DataFrame) -> pd.DataFrame:
+        columns = ["id", "n", "hashes", "bits"]
+        if not len(group):
+            return pd.DataFrame([], columns=columns)
+        keys, counts = _unpacked(group)
+        known = sizes["key"].to_numpy()
+        order = np.argsort(known)
+        known, n = known[order], sizes["n"].to_numpy()[order]
+        ids, same = np.unique(keys, return_inverse=True)
+        n = n[np.searchsorted(known, ids)]
+        enough = np.bincount(same, weights=counts) * 100 >= n * percent
+        owner, hashes, holders = [], [], []
+        at = 0
+        for row in group.itertuples():  # a row of a fragment at a time: most of it goes at once
+            size = len(row.keys) // 8
+            own = np.repeat(same[at : at + size], counts[at : at + size])
+            keep = enough[own]
+            owner.append(own[keep])
+            hashes.append(unsqueezed(row.ranks)[keep].astype(np.uint64) | (np.uint64(row.fragment) << np.uint64(32)))
+            holders.append(unsqueezed(row.holders)[keep])
+            at += size
+        owner, hashes, holders = (np.concatenate(x) for x in (owner, hashes, holders))
         order = np.lexsort((hashes, holders, owner))
         owner, hashes = owner[order], hashes[order]
         rows = []
         for part in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(owner)) + 1) if len(owner) else []:
-            own, at = hashes[part], first[owner[part[0]]]
+            own, i = hashes[part], owner[part[0]]
             bits = np.zeros(BITMAP_LONGS, dtype=np.uint64)
             np.bitwise_or.at(bits, ((own >> np.uint64(6)) % np.uint64(BITMAP_LONGS)).astype(np.int64), np.uint64(1) << (own & np.uint64(63)))
-            rows.append((keys[at, 0], keys[at, 1], sizes[at], own.view(np.int64), bits.view(np.int64)))
-        return pd.DataFrame(rows, columns=["k1", "k2", "n", "hashes", "bits"])
+            rows.append((ids[i], n[i], own.view(np.int64), bits.view(np.int64)))
+        return pd.DataFrame(rows, columns=columns)
 
     return select
 
 
-def survivors(docs: DataFrame, total: int, percent: int, text: str, size: int) -> DataFrame:
+def survivors(docs: DataFrame, sets: DataFrame, percent: int, text: str, size: int) -> DataFrame:
     """(id, n, hashes, bits): sets that share at least ``percent`` of their shingles with others; the shared ones from
-    the rarest on, and a bitmap of them."""
+    the rarest on, and a bitmap of them. ``sets`` has (key, n) of every row."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
     fragments = max(1, -(-total // FRAGMENT_SHINGLES))
     shared = (
         _segments(docs, fragments, text, size)
         .groupBy("fragment")
-        .applyInPandas(_shared_of_fragment(fragments), "bucket bigint, keys binary, sizes binary, counts binary, hashes binary, holders binary")
+        .applyInPandas(_shared_of_fragment(fragments), "bucket int, fragment int, keys binary, counts binary, ranks binary, holders binary")
     )
-    found = shared.groupBy("bucket").applyInPandas(_survivors_of_bucket(percent), "k1 bigint, k2 bigint, n bigint, hashes array<bigint>, bits array<bigint>")
-    return found.select(_id(), "n", "hashes", "bits")
+    # the keys in unsigned order are what numpy sees; pmod of the signed number does not agree with it
+    bucket = (F.pmod(F.shiftrightunsigned("key", 1) % fragments * 2 + F.col("key").bitwiseAND(1), F.lit(fragments))).cast("int")
+    sizes = sets.where("n > 0").select("key", "n").distinct().withColumn("bucket", bucket)
+    schema = "id bigint, n bigint, hashes array<bigint>, bits array<bigint>"
+    return shared.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInPandas(_survivors_of_bucket(percent), schema)
 
 
 def _needed(n: Column, percent: int) -> Column:
@@ -221,8 +251,17 @@ def _needed(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100).cast("int")
 
 
-def _overlaps(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v) of the pairs that link: overlaps are counted per fragment and summed."""
+    met, _ = broadcast_if_bounded(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+    cut = F.transform(
+        F.sequence(F.lit(0), F.lit((1 << PAIR_FRAGMENT_BITS) - 1)),
+        lambda i: F.struct(
+            i.alias("fragment"),
+            F.filter("hashes", lambda h: h.bitwiseAND((1 << PAIR_FRAGMENT_BITS) - 1) == i).alias("hashes"),
+        ),
+    )
+    parts = sets.join(met, "id", "left_semi").select("id", "n", F.inline(cut)).where(F.size("hashes") > 0)
     left = parts.select(F.col("id").alias("u"), F.col("n").alias("n_u"), "fragment", F.col("hashes").alias("h_u"))
     right = parts.select(F.col("id").alias("v"), F.col("n").alias("n_v"), "fragment", F.col("hashes").alias("h_v"))
     partial = pairs.join(left, "u").join(right, ["v", "fragment"]).select("u", "v", "n_u", "n_v", F.size(F.array_intersect("h_u", "h_v")).alias("o"))
@@ -230,17 +269,26 @@ def _overlaps(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return summed.where(F.col("o") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("o")) * percent).select("u", "v")
 
 
-def _possible(u: str, v: str, percent: int) -> Column:
-    """Whether two sets that meet at one shingle can still link.
+def _near(most: Column, percent: int) -> Column:
+    """Whether two sets with at most so many common shingles can still link."""
+    return most * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent
 
-    ``rest`` counts a set's shared shingles from the meeting one on: at the first shingle that both hold, no more than
-    the smaller rest can be common. A bit that only one bitmap has stands for a shingle that only one set holds.
+
+def _possible(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): distinct pairs of those that met, without the ones whose bitmaps rule a link out.
+
+    A bit that only one bitmap has stands for a shingle that only one set holds.
     """
-    most = F.least(F.col(f"{u}.rest"), F.col(f"{v}.rest"))
-    for one, other in ((u, v), (v, u)):
-        alone = [F.bit_count(F.col(f"{one}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{other}.bits")[i]))) for i in range(BITMAP_LONGS)]
-        most = F.least(most, F.col(f"{one}.m") - sum(alone[1:], alone[0]))
-    return most * (100 + percent) >= (F.col(f"{u}.n") + F.col(f"{v}.n")) * percent
+    bits, _ = broadcast_if_bounded(sets.select("id", "n", F.size("hashes").alias("m"), "bits"))
+    u = bits.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("m").alias("m_u"), F.col("bits").alias("b_u"))
+    v = bits.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("m").alias("m_v"), F.col("bits").alias("b_v"))
+
+    def common(m: str, one: str, other: str) -> Column:
+        alone = [F.bit_count(F.col(one)[i].bitwiseAND(F.bitwise_not(F.col(other)[i]))) for i in range(BITMAP_LONGS)]
+        return F.col(m) - sum(alone[1:], alone[0])
+
+    rows = met.select("u", "v").distinct().join(u, "u").join(v, "v")
+    return rows.where(_near(F.least(common("m_u", "b_u", "b_v"), common("m_v", "b_v", "b_u")), percent)).select("u", "v")
 
 
 def _merged(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -253,46 +301,69 @@ def _merged(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def set_components(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, comp) of the surviving sets; ``comp`` is the smallest id that links reach."""
+    """(id, comp) of the surviving sets; ``comp`` is the smallest id that links reach.
+
+    Rows are (hash, id, n, rest): ``rest`` counts a set's shared shingles from this one on, so at the first shingle that
+    two sets both hold, no more than the smaller rest can be common.
+    """
     sets = store(sets)
-    cut = F.transform(
-        F.sequence(F.lit(0), F.lit((1 << PAIR_FRAGMENT_BITS) - 1)),
-        lambda i: F.struct(i.alias("fragment"), F.filter("hashes", lambda h: F.shiftrightunsigned(h, 64 - PAIR_FRAGMENT_BITS) == i).alias("hashes")),
-    )
-    parts = store(sets.select("id", "n", F.inline(cut)).where(F.size("hashes") > 0))
     m = F.size("hashes")
-    prefix = store(
-        sets.select("id", "n", "bits", m.alias("m"), F.posexplode(F.slice("hashes", F.lit(1), m - _needed(F.col("n"), percent) + 1)).alias("at", "hash"))
-        .select("hash", F.struct("id", "n", "m", (F.col("m") - F.col("at")).alias("rest"), "bits").alias("s"))
-    )
+    prefix = sets.select("id", F.col("n").cast("int").alias("n"), m.alias("m"), F.posexplode(F.slice("hashes", F.lit(1), m - _needed(F.col("n"), percent) + 1)).alias("at", "hash"))
+    rows = prefix.select("hash", "id", "n", (F.col("m") - F.col("at")).alias("rest"), F.col("id").alias("comp"))
     members = store(sets.select("id", F.col("id").alias("comp")))
-    barren = False
-    for turn in range(MAX_HUB_ROUNDS + 1):
-        # a shingle of one component stays so: later rounds look at the open ones alone
-        rows = rows.select("hash", "s").join(members, F.col("s.id") == F.col("id")).drop("id") if turn else prefix.withColumn("comp", F.col("s.id"))
-        by_comp = rows.groupBy("hash", "comp").agg(F.count("*").cast("double").alias("c"))
-        top = F.max_by("comp", F.struct("c", "comp")).alias("top")
-        open_ = by_comp.groupBy("hash").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("comps"), top)
-        open_ = store(open_.where("comps > 1"))
-        left = open_.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("rows")).first()
+    rows, left = _open(rows, single=True)
+    for turn in range(MAX_HUB_ROUNDS):
         if not left["pairs"]:
             return members
-        rows = store(rows.join(open_.select("hash", "top"), "hash"))
-        if left["pairs"] <= PAIRS_PER_ROW * left["rows"] or turn == MAX_HUB_ROUNDS or barren:
+        if left["pairs"] <= PAIRS_PER_ROW * left["rows"]:
             break
-        hubs = rows.groupBy("hash").agg(F.min_by(F.struct("s", "comp"), F.xxhash64(F.lit(turn), "s.id")).alias("hub")).select("hash", F.col("hub.s").alias("h"), F.col("hub.comp").alias("hub"))
-        near = rows.join(hubs, (rows["hash"] == hubs["hash"]) & (F.col("comp") != F.col("hub")) & _possible("s", "h", percent))
-        pairs = store(near.select(F.col("s.id").alias("u"), F.col("h.id").alias("v")).distinct())
-        links = store(_overlaps(pairs, parts, percent))
+        drawn = Window.partitionBy("hash").orderBy(F.xxhash64(F.lit(turn), "id"), "id")
+        hubs = rows.withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= HUBS)
+        pairs = store(_possible(_across(rows, hubs, F.lit(True), percent), sets, percent))
+        links = store(_overlaps(pairs, sets, percent))
         members = _merged(members, links)
-        barren = links.count() * BARREN_SHARE < pairs.count()
+        rows, left = _open(_renamed(rows, members))
+        if links.count() * BARREN_SHARE < pairs.count():
+            break
     # all pairs across components: one of the two is not in the largest component of their shingle
-    u = rows.where("comp != top").select(F.col("hash").alias("hu"), F.col("s").alias("u"), F.col("comp").alias("cu"))
-    v = rows.select(F.col("hash").alias("hv"), F.col("s").alias("v"), F.col("comp").alias("cv"), "top")
-    once = (F.col("cv") == F.col("top")) | (F.col("u.id") < F.col("v.id"))
-    met = u.join(v, (F.col("hu") == F.col("hv")) & (F.col("cu") != F.col("cv")) & once & _possible("u", "v", percent))
-    pairs = store(met.select(F.col("u.id").alias("u"), F.col("v.id").alias("v")).distinct())
-    return _merged(members, store(_overlaps(pairs, parts, percent)))
+    once = (F.col("cv") == F.col("top")) | (F.col("u") < F.col("v"))
+    # the rarest shingles of a set first: what links there joins its component and meets no more of it
+    rarest = Window.partitionBy("id").orderBy(F.col("rest").desc(), "hash")
+    first = rows.where("comp != top").withColumn("_n", F.row_number().over(rarest)).where(F.col("_n") <= FIRST_SHINGLES)
+    tried = store(_possible(_across(first, rows, once, percent), sets, percent))
+    members = _merged(members, store(_overlaps(tried, sets, percent)))
+    rows, left = _open(_renamed(rows, members))
+    if not left["pairs"]:
+        return members
+    met = _possible(_across(rows.where("comp != top"), rows, once, percent), sets, percent)
+    pairs = store(met.join(tried, ["u", "v"], "left_anti"))
+    return _merged(members, store(_overlaps(pairs, sets, percent)))
+
+
+def _renamed(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows with the components of now."""
+    return rows.select("hash", "id", "n", "rest").join(broadcast_if_bounded(members)[0], "id")
+
+
+def _open(rows: DataFrame, single: bool = False) -> tuple[DataFrame, Row]:
+    """Rows of the shingles that several components hold, with the largest of them as ``top``, and how many pairs they make.
+
+    A shingle of one component stays so, so later rounds look at these alone. ``single``: each set is a component.
+    """
+    counted = rows.withColumn("c", F.lit(1.0)) if single else rows.groupBy("hash", "comp").agg(F.count("*").cast("double").alias("c"))
+    top = F.max_by("comp", F.struct("c", "comp")).alias("top")
+    found = counted.groupBy("hash").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("comps"), top)
+    found = store(found.where("comps > 1"))
+    left = found.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("rows")).first()
+    return store(rows.select("hash", "id", "n", "rest", "comp").join(found.select("hash", "top"), "hash")), left
+
+
+def _across(one: DataFrame, other: DataFrame, once: Column, percent: int) -> DataFrame:
+    """(u, v): sets of different components that meet at a shingle and may link; the smaller id first."""
+    u = one.select(F.col("hash").alias("hu"), F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("rest").alias("rest_u"), F.col("comp").alias("cu"))
+    v = other.select(F.col("hash").alias("hv"), F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("rest").alias("rest_v"), F.col("comp").alias("cv"), "top")
+    met = u.join(v, (F.col("hu") == F.col("hv")) & (F.col("cu") != F.col("cv")) & once & _near(F.least("rest_u", "rest_v"), percent))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def link_documents(docs: DataFrame, percent: int = 80, size: int = 5, text: str = "text") -> DataFrame:
@@ -304,11 +375,11 @@ def link_documents(docs: DataFrame, percent: int = 80, size: int = 5, text: str
     Null doc_ids are passed over in the minimum; a component of them alone has a null id. An empty table gives none.
     """
     rows = store(sets_of(docs, text, size))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    found = set_components(survivors(docs, total, percent, text, size), percent)
-    joined = rows.join(found.select("id.*", "comp"), ["k1", "k2"], "left")
-    named = joined.select("doc_id", "t1", "t2", "n", F.coalesce("comp", _id()).alias("comp"))
-    least = named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    found = set_components(survivors(docs, rows, percent, text, size), percent)
+    joined = rows.join(found.select(F.col("id").alias("key"), "comp"), "key", "left")
+    named = joined.select("doc_id", "t1", "t2", "n", F.coalesce("comp", "key").alias("comp"))
+    # written first, so that the rows of a large component can be dealt to several tasks
+    least = store(named.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least")))
     alone = named.where("n = 0").select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return (
         named.where("n > 0").join(least, "comp").select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))

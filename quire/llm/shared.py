@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,18 @@ def broadcast_if_bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> tuple[D
     return (F.broadcast(df), True) if size <= limit else (df, False)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, compressed by byte planes, the upper of which are nearly empty."""
+    planes = np.ascontiguousarray(values.astype("<u4").view("u1").reshape(-1, 4).T)
+    return values.size.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, dtype="u1").reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``use``."""
     return F.transform(F.array(value), use)[0]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import store
+from quire.llm.shared import squeezed, store, unsqueezed
 
 #: A block is closed after the document with which it reaches this many characters, or this many documents.
 BLOCK_CHARS = 12 << 20
@@ -124,18 +124,6 @@ class _Numbers(dict):
         return number
 
 
-def _squeezed(values: np.ndarray) -> bytes:
-    """Numbers below 2 ** 32, compressed by byte planes, the upper of which are nearly empty."""
-    planes = np.ascontiguousarray(values.astype("<u4").view("u1").reshape(-1, 4).T)
-    return values.size.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unsqueezed(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = pa.decompress(data[8:], decompressed_size=4 * n, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, dtype="u1").reshape(4, n).T).view("<u4").ravel().astype(np.int64)
-
-
 def _summed(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values, ascending, with the sums of their times."""
     order = np.argsort(rows, kind="stable")
@@ -185,7 +173,7 @@ class _Block:
         steps[begins] = places[begins]
         names = ["doc_ids", "n_bytes", "sizes", "places", "times", "words"]
         values = [pa.array([self.doc_ids], pa.list_(pa.int64())), pa.array([self.n_bytes], pa.list_(pa.int64()))]
-        values += [pa.array([_squeezed(v)], pa.binary()) for v in (sizes, steps, times)]
+        values += [pa.array([squeezed(v)], pa.binary()) for v in (sizes, steps, times)]
         return pa.RecordBatch.from_arrays([*values, pa.array([list(words)], pa.list_(pa.string()))], names=names)
 
 
@@ -252,12 +240,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
         for batch in batches:
             for i in range(batch.num_rows):
                 doc_ids, n_bytes, sizes, places, times, pieces = (batch.column(c)[i] for c in range(6))
-                sizes = _unsqueezed(sizes.as_py())
+                sizes = unsqueezed(sizes.as_py())
                 ends = np.cumsum(sizes)
-                sums = np.concatenate([[0], np.cumsum(_unsqueezed(places.as_py()))])
+                sums = np.concatenate([[0], np.cumsum(unsqueezed(places.as_py()))])
                 at = sums[1:] - np.repeat(sums[ends - sizes], sizes)  # places start anew in every document
                 held = np.array(pieces.values.to_numpy() if pieces.is_valid else [], dtype=np.int64) & 0xFFFFFFFF
-                tokens = held[at] * _unsqueezed(times.as_py())
+                tokens = held[at] * unsqueezed(times.as_py())
                 totals = np.concatenate([[0], np.cumsum(tokens)])
                 counts = totals[ends] - totals[ends - sizes]
                 yield pa.RecordBatch.from_arrays([doc_ids.values, n_bytes.values, pa.array(counts)], names=["k", "n_bytes", "n_tokens"])

@@ -63,8 +63,10 @@ def test_pre_tokens_of_many_stretches_at_once():
 def test_numbers_survive_squeezing():
     import numpy as np
 
+    from quire.llm.shared import squeezed, unsqueezed
+
     for values in ([], [0], [1, 2, 1 << 31, (1 << 32) - 1], list(range(1000))):
-        assert token_counts._unsqueezed(token_counts._squeezed(np.array(values, dtype=np.int64))).tolist() == values
+        assert unsqueezed(squeezed(np.array(values, dtype=np.int64))).tolist() == values
 
 
 def test_empty_table(spark):
