@@ -274,21 +274,23 @@ def _near(most: Column, percent: int) -> Column:
     return most * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent
 
 
-def _possible(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): distinct pairs of those that met, without the ones whose bitmaps rule a link out.
+def _common(m: str, one: str, other: str) -> Column:
+    """Most common shingles by the bitmaps: a bit that only one has stands for a shingle that only one set holds."""
+    alone = [F.bit_count(F.col(one)[i].bitwiseAND(F.bitwise_not(F.col(other)[i]))) for i in range(BITMAP_LONGS)]
+    return F.col(m) - sum(alone[1:], alone[0])
 
-    A bit that only one bitmap has stands for a shingle that only one set holds.
-    """
+
+_COMMON = [("m_u", "b_u", "b_v"), ("m_v", "b_v", "b_u")]
+
+
+def _possible(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): distinct pairs of those that met, without the ones whose bitmaps rule a link out."""
     bits, _ = broadcast_if_bounded(sets.select("id", "n", F.size("hashes").alias("m"), "bits"))
     u = bits.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("m").alias("m_u"), F.col("bits").alias("b_u"))
     v = bits.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("m").alias("m_v"), F.col("bits").alias("b_v"))
 
-    def common(m: str, one: str, other: str) -> Column:
-        alone = [F.bit_count(F.col(one)[i].bitwiseAND(F.bitwise_not(F.col(other)[i]))) for i in range(BITMAP_LONGS)]
-        return F.col(m) - sum(alone[1:], alone[0])
-
     rows = met.select("u", "v").distinct().join(u, "u").join(v, "v")
-    return rows.where(_near(F.least(common("m_u", "b_u", "b_v"), common("m_v", "b_v", "b_u")), percent)).select("u", "v")
+    return rows.where(_near(F.least(*[_common(*names) for names in _COMMON]), percent)).select("u", "v")
 
 
 def _merged(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -330,12 +332,12 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     # the rarest shingles of a set first: what links there joins its component and meets no more of it
     rarest = Window.partitionBy("id").orderBy(F.col("rest").desc(), "hash")
     first = rows.where("comp != top").withColumn("_n", F.row_number().over(rarest)).where(F.col("_n") <= FIRST_SHINGLES)
-    tried = store(_possible(_across(first, rows, once, percent), sets, percent))
+    tried = store(_across(first, rows, once, percent, sets).distinct())
     members = _merged(members, store(_overlaps(tried, sets, percent)))
     rows, left = _open(_renamed(rows, members))
     if not left["pairs"]:
         return members
-    met = _possible(_across(rows.where("comp != top"), rows, once, percent), sets, percent)
+    met = _across(rows.where("comp != top"), rows, once, percent, sets).distinct()
     pairs = store(met.join(tried, ["u", "v"], "left_anti"))
     return _merged(members, store(_overlaps(pairs, sets, percent)))
 
@@ -358,11 +360,20 @@ def _open(rows: DataFrame, single: bool = False) -> tuple[DataFrame, Row]:
     return store(rows.select("hash", "id", "n", "rest", "comp").join(found.select("hash", "top"), "hash")), left
 
 
-def _across(one: DataFrame, other: DataFrame, once: Column, percent: int) -> DataFrame:
-    """(u, v): sets of different components that meet at a shingle and may link; the smaller id first."""
-    u = one.select(F.col("hash").alias("hu"), F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("rest").alias("rest_u"), F.col("comp").alias("cu"))
-    v = other.select(F.col("hash").alias("hv"), F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("rest").alias("rest_v"), F.col("comp").alias("cv"), "top")
-    met = u.join(v, (F.col("hu") == F.col("hv")) & (F.col("cu") != F.col("cv")) & once & _near(F.least("rest_u", "rest_v"), percent))
+def _across(one: DataFrame, other: DataFrame, once: Column, percent: int, sets: DataFrame | None = None) -> DataFrame:
+    """(u, v): sets of different components that meet at a shingle and may link; the smaller id first.
+
+    With ``sets`` their bitmaps are compared where they meet, so that what cannot link makes no row.
+    """
+    u = one.select(F.col("id").alias("u"), F.col("hash").alias("hu"), F.col("n").alias("n_u"), F.col("rest").alias("rest_u"), F.col("comp").alias("cu"))
+    v = other.select(F.col("id").alias("v"), F.col("hash").alias("hv"), F.col("n").alias("n_v"), F.col("rest").alias("rest_v"), F.col("comp").alias("cv"), "top")
+    most = [F.col("rest_u"), F.col("rest_v")]
+    if sets is not None:
+        bits, _ = broadcast_if_bounded(sets.select("id", F.size("hashes").alias("m"), "bits"))
+        u = u.join(bits.select(F.col("id").alias("u"), F.col("m").alias("m_u"), F.col("bits").alias("b_u")), "u")
+        v = v.join(bits.select(F.col("id").alias("v"), F.col("m").alias("m_v"), F.col("bits").alias("b_v")), "v")
+        most += [_common(*names) for names in _COMMON]
+    met = u.join(v, (F.col("hu") == F.col("hv")) & (F.col("cu") != F.col("cv")) & once & _near(F.least(*most), percent))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
